@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, packing
+from . import bpe, langid, line_dedup, packing, secret_scan, unit_dedup
 from .common import table
 
 #: Vocabulary files are parameters; these are the ones the registered queries use.
@@ -22,6 +22,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_ids(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return secret_scan.report(docs, secret_scan.model(spark, docs))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary(RANKS), public_tokenizers.PATTERN)
 
@@ -30,5 +39,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary(WORDS).decode())
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
