@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, line_dedup, packing, secret_scan, unit_dedup
+from . import bpe, langid, line_dedup, packing, range_join, secret_scan, topk_search, unit_dedup
 from .common import table
 
 #: Vocabulary files are parameters; these are the ones the registered queries use.
@@ -18,10 +18,18 @@ def vocabulary(name: str) -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_ids(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op4_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
