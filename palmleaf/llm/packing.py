@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -12,38 +15,73 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words a worker remembers before it starts afresh; it bounds memory and changes no result.
-CACHE_WORDS = 400_000
+#: Chunks of text a worker remembers; beyond that the newer half goes, as the frequent ones come first. Changes no result.
+CACHE_WORDS = 800_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_WORDS = re.compile(r"[^ \n\t\r]+").findall
+_MARKS = ".,!?#$%&*"
+_LETTERS = "A-Za-zß-öø-ÿÀ-ÖØ-Þ"
+#: A run of letters up to a blank or a mark, a run of marks after letters or blanks and up to a blank, or else all up to a blank.
+_CHUNKS = re.compile(rf"[{_LETTERS}]+(?![^ \n\t\r{_MARKS}])|(?<![^{_LETTERS} \n\t\r])[{_MARKS}]+(?![^ \n\t\r])|[^ \n\t\r]+").findall
+_PLAIN = re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+").fullmatch
 _loaded: dict[str, tuple] = {}
 
 
 def _tokenizer(data: str) -> tuple:
     key = hashlib.sha256(data.encode()).hexdigest()
     if key not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[key] = (Tokenizer.from_str(data), {})
+        tokenizer = Tokenizer.from_str(data)
+        suffix = json.loads(data)["model"].get("end_of_word_suffix") or "\0"
+        last = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+        last[[v for k, v in tokenizer.get_vocab().items() if k.endswith(suffix)]] = True
+        _loaded[key] = (tokenizer, {}, last)
     return _loaded[key]
 
 
-def _ids(texts: list[str], tokenizer, known: dict[str, bytes], end: bytes) -> list[bytes]:
+def _learn(fresh: list[str], tokenizer, known: dict[str, bytes], last: np.ndarray) -> None:
+    """Add the ids of new chunks, as packed 32-bit integers. Plain chunks are words each, so many go in one call and the
+    ids of word ends tell them apart; the others go one by one."""
+    plain = [w for w in fresh if _PLAIN(w)]
+    for k in range(0, len(plain), 2048):
+        part = plain[k : k + 2048]
+        ids = np.asarray(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(last[ids]) + 1
+        if len(ends) != len(part) or ends[-1] != len(ids):
+            break
+        data, at = ids.tobytes(), 0
+        for word, end in zip(part, (ends * 4).tolist(), strict=True):
+            known[word] = data[at:end]
+            at = end
+    rest = [w for w in fresh if w not in known]
+    for k in range(0, len(rest), 2048):
+        part = rest[k : k + 2048]
+        for word, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            known[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+
+
+def _ids(texts: list[str], tokenizer, known: dict[str, bytes], last: np.ndarray, end: bytes) -> list[bytes]:
     """The ids of each text and the closing id, as packed 32-bit integers.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its blank-separated
-    words in order; each distinct word is encoded once.
+    The tokenizer lower-cases, drops white space, and lets no token cross it or the border between a run of Latin letters
+    and an ASCII mark. So a text's ids are those of its chunks in order, and each distinct chunk is encoded once.
     """
+    # Latin-1 text has no characters that combine and lower-cases character by character
+    split = [_CHUNKS(x.lower() if x.isascii() or max(x) < "\u0100" else x) for x in texts]
+    got = [list(map(known.get, chunks)) for chunks in split]
+    fresh = {c for chunks, ids in zip(split, got, strict=True) if None in ids for c, i in zip(chunks, ids, strict=True) if i is None}
+    if fresh:
+        _learn(list(fresh), tokenizer, known, last)
+    out = []
+    for chunks, ids in zip(split, got, strict=True):
+        if None in ids:
+            ids = [known[c] if i is None else i for c, i in zip(chunks, ids, strict=True)]
+        out.append(b"".join(ids) + end)
     if len(known) > CACHE_WORDS:
-        known.clear()
-    split = [_WORDS(x) for x in texts]
-    fresh = list({w for words in split for w in words if w not in known})
-    for k in range(0, len(fresh), 4096):
-        part = fresh[k : k + 4096]
-        for word, got in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            known[word] = np.asarray(got.ids, dtype="<u4").tobytes()
-    get = known.__getitem__
-    return [b"".join(map(get, words)) + end for words in split]
+        for c in list(known)[CACHE_WORDS // 2 :]:
+            del known[c]
+    return out
 
 
 class _Bins:
@@ -133,13 +171,13 @@ def pack(docs: DataFrame, tokenizer_json: str, max_tokens: int = 4096, end_id: i
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, known = _tokenizer(shared.value)
+        tokenizer, known, last = _tokenizer(shared.value)
         for pdf in batches:
             for k in range(0, len(pdf), 256):
                 part = pdf.iloc[k : k + 256]
                 rows = []
                 texts = [x if isinstance(x, str) else "" for x in part["text"]]
-                for group, doc, ids in zip(part["grp"], part["doc_id"], _ids(texts, tokenizer, known, end), strict=True):
+                for group, doc, ids in zip(part["grp"], part["doc_id"], _ids(texts, tokenizer, known, last, end), strict=True):
                     n, step = len(ids) // 4, max_tokens * 4
                     full = n // max_tokens
                     for j in range(full):

@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, line_dedup, packing, range_join, secret_scan, topk_search, unit_dedup
+from . import bpe, jaccard_join, langid, line_dedup, packing, range_join, secret_scan, topk_search, unit_dedup
 from .common import table
 
 #: Vocabulary files are parameters; these are the ones the registered queries use.
@@ -47,6 +47,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary(WORDS).decode())
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
