@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, langid, line_dedup, packing, range_join, secret_scan, topk_search, unit_dedup
+from . import bpe, jaccard_join, langid, line_dedup, packing, range_join, repeats, secret_scan, topk_search, unit_dedup
 from .common import table
 
 #: Vocabulary files are parameters; these are the ones the registered queries use.
@@ -18,6 +18,10 @@ def vocabulary(name: str) -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op1_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
