@@ -15,13 +15,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks of text a worker remembers; beyond that the newer half goes, as the frequent ones come first. Changes no result.
+#: Words, and chunks of words, that a worker remembers; beyond that the newer half goes, as the frequent ones come first. Changes no result.
 CACHE_WORDS = 800_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _MARKS = ".,!?#$%&*"
 _LETTERS = "A-Za-zß-öø-ÿÀ-ÖØ-Þ"
 #: A run of letters up to a blank or a mark, a run of marks after letters or blanks and up to a blank, or else all up to a blank.
 _CHUNKS = re.compile(rf"[{_LETTERS}]+(?![^ \n\t\r{_MARKS}])|(?<![^{_LETTERS} \n\t\r])[{_MARKS}]+(?![^ \n\t\r])|[^ \n\t\r]+").findall
+_WORDS = re.compile(r"[^ \n\t\r]+").findall
+#: What Python takes for blanks and the tokenizer does not.
+_ODD_BLANKS = re.compile("[\x1c-\x1f]").search
 _PLAIN = re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+").fullmatch
 _loaded: dict[str, tuple] = {}
 
@@ -36,10 +39,18 @@ def _tokenizer(data: str) -> tuple:
         suffix = json.loads(data)["model"].get("end_of_word_suffix") or "\0"
         last = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
         last[[v for k, v in tokenizer.get_vocab().items() if k.endswith(suffix)]] = True
-        _loaded[key] = (tokenizer, {}, last)
+        _loaded[key] = (tokenizer, {}, {}, last)
     return _loaded[key]
 
 
+def _is_latin(x: str) -> bool:
+    try:
+        x.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _learn(fresh: list[str], tokenizer, known: dict[str, bytes], last: np.ndarray) -> None:
     """Add the ids of new chunks, as packed 32-bit integers. Plain chunks are words each, so many go in one call and the
     ids of word ends tell them apart; the others go one by one."""
@@ -61,26 +72,36 @@ def _learn(fresh: list[str], tokenizer, known: dict[str, bytes], last: np.ndarra
             known[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
 
 
-def _ids(texts: list[str], tokenizer, known: dict[str, bytes], last: np.ndarray, end: bytes) -> list[bytes]:
+def _ids(texts: list[str], tokenizer, words: dict[str, bytes], known: dict[str, bytes], last: np.ndarray, end: bytes) -> list[bytes]:
     """The ids of each text and the closing id, as packed 32-bit integers.
 
     The tokenizer lower-cases, drops white space, and lets no token cross it or the border between a run of Latin letters
-    and an ASCII mark. So a text's ids are those of its chunks in order, and each distinct chunk is encoded once.
+    and an ASCII mark. So a text's ids are those of its words in order, a word's those of its chunks, and each distinct one
+    is encoded once.
     """
-    # Latin-1 text has no characters that combine and lower-cases character by character
-    split = [_CHUNKS(x.lower() if x.isascii() or max(x) < "\u0100" else x) for x in texts]
-    got = [list(map(known.get, chunks)) for chunks in split]
-    fresh = {c for chunks, ids in zip(split, got, strict=True) if None in ids for c, i in zip(chunks, ids, strict=True) if i is None}
+    split = []
+    for x in texts:
+        # Latin-1 text has no characters that combine and lower-cases character by character
+        plain = x.isascii() or _is_latin(x)
+        split.append(x.lower().split() if plain and not _ODD_BLANKS(x) else _WORDS(x))
+    got = [list(map(words.get, part)) for part in split]
+    fresh = {w for part, ids in zip(split, got, strict=True) if None in ids for w, i in zip(part, ids, strict=True) if i is None}
     if fresh:
-        _learn(list(fresh), tokenizer, known, last)
+        chunks = {w: _CHUNKS(w) for w in fresh}
+        new = {c for part in chunks.values() for c in part if c not in known}
+        if new:
+            _learn(list(new), tokenizer, known, last)
+        for w, part in chunks.items():
+            words[w] = known[part[0]] if len(part) == 1 else b"".join([known[c] for c in part])
     out = []
-    for chunks, ids in zip(split, got, strict=True):
+    for part, ids in zip(split, got, strict=True):
         if None in ids:
-            ids = [known[c] if i is None else i for c, i in zip(chunks, ids, strict=True)]
+            ids = [words[w] if i is None else i for w, i in zip(part, ids, strict=True)]
         out.append(b"".join(ids) + end)
-    if len(known) > CACHE_WORDS:
-        for c in list(known)[CACHE_WORDS // 2 :]:
-            del known[c]
+    for cache in (words, known):
+        if len(cache) > CACHE_WORDS:
+            for c in list(cache)[CACHE_WORDS // 2 :]:
+                del cache[c]
     return out
 
 
@@ -171,13 +192,13 @@ def pack(docs: DataFrame, tokenizer_json: str, max_tokens: int = 4096, end_id: i
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, known, last = _tokenizer(shared.value)
+        tokenizer, words, known, last = _tokenizer(shared.value)
         for pdf in batches:
             for k in range(0, len(pdf), 256):
                 part = pdf.iloc[k : k + 256]
                 rows = []
                 texts = [x if isinstance(x, str) else "" for x in part["text"]]
-                for group, doc, ids in zip(part["grp"], part["doc_id"], _ids(texts, tokenizer, known, last, end), strict=True):
+                for group, doc, ids in zip(part["grp"], part["doc_id"], _ids(texts, tokenizer, words, known, last, end), strict=True):
                     n, step = len(ids) // 4, max_tokens * 4
                     full = n // max_tokens
                     for j in range(full):
