@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Bytes of a window; texts are cut into consecutive windows, the last one padded with zero bytes.
 WINDOW = 256
 #: Filter widths, and filters of each width.
@@ -142,10 +144,9 @@ def identify(docs: DataFrame, model: Model | None, pred_col: str = "lang_pred",
     weighted by their bytes.
 
     A text that is null or has no letter, and any text where there is no model, is `und` with score 0. All windows of a
-    text count, in blocks, so a long text costs time and no memory. The columns to add must not be there yet.
+    text count, in blocks, so a long text costs time and no memory. Columns named like the new ones are replaced.
     """
-    if {pred_col, score_col} & {*docs.columns}:
-        raise ValueError("the input already has a column of that name")
+    docs = docs.drop(pred_col, score_col)
     if model is None:
         return docs.withColumns({pred_col: F.lit(UNKNOWN), score_col: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -183,8 +184,9 @@ def identify(docs: DataFrame, model: Model | None, pred_col: str = "lang_pred",
 
     guess = F.pandas_udf(scores, "p string, s double")
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("__guess", guess(F.col("text"), lettered)).select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.col("__guess.p").alias(pred_col), F.col("__guess.s").alias(score_col)
+    name = fresh(docs, "guess")
+    return docs.withColumn(name, guess(F.col("text"), lettered)).select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.col(f"{name}.p").alias(pred_col), F.col(f"{name}.s").alias(score_col)
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: Lines of a fingerprint, and fingerprints of a winnowing window. Repeats of LINES + WINDOW - 1 lines are always found.
 LINES, WINDOW = 3, 4
@@ -86,17 +86,17 @@ def dedup_lines(docs: DataFrame, removed_col: str = "removed_lines") -> DataFram
     """Delete later copies of runs of LINES or more lines from the texts; add the deleted line numbers as `removed_col`.
 
     Blank lines don't count and stay. Documents with a null text or id pass unchanged; rows that repeat a doc_id get
-    the deletions found under it that fit their lines. Other columns pass through.
+    the deletions found under it that fit their lines. Other columns pass through, one named `removed_col` is replaced.
     """
-    if removed_col in docs.columns:
-        raise ValueError(f"the input already has a column {removed_col}")
-    gone = repeated_lines(docs.select("doc_id", "text")).withColumnRenamed("gone", "__gone")
+    docs = docs.drop(removed_col)
+    name = fresh(docs, "gone")
+    gone = repeated_lines(docs.select("doc_id", "text")).withColumnRenamed("gone", name)
     lines = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(name))
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     return docs.join(gone, "doc_id", "left").select(
-        *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce("__gone", F.array().cast("array<int>")).alias(removed_col),
+        *[F.when(F.col(name).isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.coalesce(name, F.array().cast("array<int>")).alias(removed_col),
     )
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 # The patterns of the base kinds and the least length of what counts of a match.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -132,13 +134,13 @@ def markov_spans(text: Column, ratios: list[float], least: float = RATIO_LEAST)
 def scan(docs: DataFrame, ratios: list[float], spans_col: str = "spans") -> DataFrame:
     """Add `spans_col`: all spans by start, then kind. Base spans stay; spans of the models are added where they meet none.
 
-    A null text has no spans. Row by row, without a shuffle; extra columns pass through.
+    A null text has no spans. Row by row, without a shuffle; extra columns pass through, one named `spans_col` is replaced.
     """
-    if spans_col in docs.columns:
-        raise ValueError(f"the input already has a column {spans_col}")
-    base = docs.withColumn("__base", base_spans(F.col("text"))).withColumn("__more", markov_spans(F.col("text"), ratios))
-    free = F.filter("__more", lambda m: ~F.exists("__base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return base.withColumn(spans_col, F.array_sort(F.concat("__base", free))).drop("__base", "__more")
+    docs = docs.drop(spans_col)
+    fixed, more = fresh(docs, "fixed_spans"), fresh(docs, "more_spans")
+    base = docs.withColumns({fixed: base_spans(F.col("text")), more: markov_spans(F.col("text"), ratios)})
+    free = F.filter(more, lambda m: ~F.exists(fixed, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return base.withColumn(spans_col, F.array_sort(F.concat(fixed, free))).drop(fixed, more)
 
 
 def redact(docs: DataFrame, spans_col: str = "spans", mask: str = "[SECRET]") -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: Units whose normal form is shorter are left alone: they are headings and stock phrases, not repeated passages.
 LEAST_CHARS = 20
@@ -73,10 +73,11 @@ def dedup_units(docs: DataFrame, unit: str = "line", least_chars: int = LEAST_CH
     """Remove from the texts every unit that occurred before; add the removed spans, in the original text's code points.
 
     The earliest occurrence stays. A removed unit's line break goes with it; what is kept is joined by single line
-    breaks (paragraphs: by an empty line). Documents with a null text or id pass unchanged. Extra columns pass through.
+    breaks (paragraphs: by an empty line). Documents with a null text or id pass unchanged. Extra columns pass through, one
+    named `removed_col` is replaced.
     """
-    if removed_col in docs.columns:
-        raise ValueError(f"the input already has a column {removed_col}")
+    docs = docs.drop(removed_col)
+    name = fresh(docs, "gone")
     separator, glue = _SEPARATOR[unit], "\n" if unit == "line" else "\n\n"
 
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -88,13 +89,13 @@ def dedup_units(docs: DataFrame, unit: str = "line", least_chars: int = LEAST_CH
 
     cut = F.pandas_udf(cut, "string")
     spans = "array<struct<start:bigint,finish:bigint>>"
-    gone = repeated_units(docs, unit, least_chars).withColumnRenamed("removed", "__gone")
+    gone = repeated_units(docs, unit, least_chars).withColumnRenamed("removed", name)
     both = docs.join(gone, "doc_id", "left")
-    fixed = F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(
-        cut(F.when(F.col("__gone").isNull(), F.lit("")).otherwise(F.coalesce("text", F.lit(""))), F.coalesce("__gone", F.array().cast(spans)))
+    fixed = F.when(F.col(name).isNull() | F.col("text").isNull(), F.col("text")).otherwise(
+        cut(F.when(F.col(name).isNull(), F.lit("")).otherwise(F.coalesce("text", F.lit(""))), F.coalesce(name, F.array().cast(spans)))
     )
     return both.select(
-        *[fixed.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce("__gone", F.array().cast(spans)).alias(removed_col)
+        *[fixed.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(name, F.array().cast(spans)).alias(removed_col)
     )
 
 
