@@ -20,7 +20,7 @@ def list_files(spark: SparkSession, folder: str, suffix: str, ignore_case: bool
     """(path, name, modified, length) of the files of a folder that end in `suffix`; contents are not read."""
     pattern = "*" + ("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix) if ignore_case else suffix)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select("path", F.col("_metadata.file_name").alias("name"), F.col("modificationTime").alias("modified"), "length")
+    return files.select("path", F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("modificationTime").alias("modified"), "length")
 
 
 def docx_paragraphs(data: bytes) -> list[str]:
@@ -48,7 +48,7 @@ def read_docx(spark: SparkSession, folder: str, ignore_case: bool = False) -> Da
     """
     pattern = "*.[dD][oO][cC][xX]" if ignore_case else "*.docx"
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    named = files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("doc_id"), "content")
+    named = files.select(F.regexp_replace(F.regexp_extract("path", "[^/]+$", 0), r"\.[^.]*$", "").alias("doc_id"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "para_no", "text", "error"]
@@ -66,7 +66,8 @@ def read_docx(spark: SparkSession, folder: str, ignore_case: bool = False) -> Da
 def read_json_files(spark: SparkSession, folder: str) -> DataFrame:
     """(source_file, value): whole JSON files of a folder, for `parse_trees`."""
     text = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    return text.select(F.col("_metadata.file_name").alias("source_file"), "value")
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return text.select(name.alias("source_file"), "value")
 
 
 def read_segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,4 +121,6 @@ def read_flags(spark: SparkSession, folder: str, pattern: str = "dataset*.csv")
         return None
     if newest is None:
         return None
-    return spark.read.csv(newest, header=True, multiLine=True, escape='"')
+    rows = spark.read.csv(newest, header=True, multiLine=True, escape='"', lineSep="\n")
+    # lines may end either way, even within one file
+    return rows.select(*[F.regexp_replace(F.col(f"`{c}`"), "\r$", "").alias(c.strip()) for c in rows.columns])
