@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now: it does so when the driver's JVM collects its garbage."""
     gc.collect()
@@ -81,3 +90,37 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             F.col("node").cast(node).alias("node"), F.col("component_id").cast(node).alias("component_id")
         )
     return labels.select("node", F.col("root").alias("component_id"))
+
+
+class Forest:
+    """Union-find over row numbers that keeps the edges that joined two trees."""
+
+    def __init__(self, n: int):
+        self.label, self.edges = np.arange(n), []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        x, y = self.label[i], self.label[j]
+        apart = x != y
+        if not apart.any():
+            return
+        _, first = np.unique(np.minimum(x, y)[apart] * len(self.label) + np.maximum(x, y)[apart], return_index=True)
+        i, j, x, y = i[apart][first], j[apart][first], x[apart][first], y[apart][first]
+        up: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            top = v
+            while top in up:
+                top = up[top]
+            while v != top:
+                up[v], v = top, up[v]
+            return top
+
+        for a, b, p, q in zip(i.tolist(), j.tolist(), x.tolist(), y.tolist(), strict=True):
+            p, q = root(p), root(q)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                self.edges.append((a, b))
+        move = np.arange(len(self.label))
+        for v in list(up):
+            move[v] = root(v)
+        self.label = move[self.label]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import Forest, components, materialize
 from .topk_search import matrix, usable
 
 #: Vectors a cell should own; most pivots there may be (their matrix is broadcast); rows of a block within a cell.
@@ -37,40 +37,6 @@ def links_between(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[
         yield i[ok] + k, j[ok]
 
 
-class _Forest:
-    """Union-find over row numbers that keeps the edges that joined two trees."""
-
-    def __init__(self, n: int):
-        self.label, self.edges = np.arange(n), []
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        x, y = self.label[i], self.label[j]
-        apart = x != y
-        if not apart.any():
-            return
-        _, first = np.unique(np.minimum(x, y)[apart] * len(self.label) + np.maximum(x, y)[apart], return_index=True)
-        i, j, x, y = i[apart][first], j[apart][first], x[apart][first], y[apart][first]
-        up: dict[int, int] = {}
-
-        def root(v: int) -> int:
-            top = v
-            while top in up:
-                top = up[top]
-            while v != top:
-                up[v], v = top, up[v]
-            return top
-
-        for a, b, p, q in zip(i.tolist(), j.tolist(), x.tolist(), y.tolist(), strict=True):
-            p, q = root(p), root(q)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-                self.edges.append((a, b))
-        move = np.arange(len(self.label))
-        for v in list(up):
-            move[v] = root(v)
-        self.label = move[self.label]
-
-
 def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding): links join vectors of cosine >= `least`.
 
@@ -132,7 +98,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         w = right["weight"].to_numpy()
         ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-        forest, total = _Forest(len(ids)), np.zeros(len(a), np.int64)
+        forest, total = Forest(len(ids)), np.zeros(len(a), np.int64)
         for i, j in links_between(_units(left["embedding"], width), _units(right["embedding"], width), least):
             np.add.at(total, i, w[j])
             forest.add(place[i], place[len(a) + j])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import fresh, materialize, release
 from .shingles import mix, powers, prefix_hash
 
 #: Bytes of the shortest repeat, and of an anchor. Every window of LEAST bytes owns its smallest anchor.
@@ -19,7 +19,7 @@ _SPREAD = LEAST - ANCHOR + 1
 LIMIT = 4096
 #: Most ids that are broadcast; beyond it Spark joins by shuffling.
 MAX_BROADCAST_IDS = 500_000
-_SLICE, _STRETCH = 1 << 20, 1_000_000
+_SLICE, _STRETCH = 1 << 20, 500_000
 
 
 def _smallest(x: np.ndarray, width: int) -> np.ndarray:
@@ -209,6 +209,18 @@ def repeat_groups(list_no: np.ndarray, doc: np.ndarray, at: np.ndarray, back: np
             yield depth + reach, at[some] - reach, some
 
 
+def _union(doc: np.ndarray, start: np.ndarray, finish: np.ndarray) -> pd.DataFrame:
+    """The ranges as maximal runs of each document."""
+    order = np.lexsort((start, doc))
+    doc, start, finish = doc[order], start[order], finish[order]
+    _, place = np.unique(doc, return_inverse=True)
+    reach = np.maximum.accumulate(place * (1 << 40) + finish)  # positions stay below 2**40
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = place[1:] * (1 << 40) + start[1:] > reach[:-1]
+    last = np.append(np.flatnonzero(fresh)[1:] - 1, len(doc) - 1)
+    return pd.DataFrame({"doc": doc[fresh], "start": start[fresh], "finish": reach[last] - place[last] * (1 << 40)})
+
+
 def _removals_of_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(doc, start, finish) to remove, from rows (anchor, doc, at, back, span) in order of anchor."""
     rest = None
@@ -226,7 +238,7 @@ def _removals_of_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
             ends.append(begin[later] + length)
         if not docs:
             return pd.DataFrame({"doc": [], "start": [], "finish": []}, dtype="int64")
-        return pd.DataFrame({"doc": np.concatenate(docs), "start": np.concatenate(starts), "finish": np.concatenate(ends)}).drop_duplicates()
+        return _union(np.concatenate(docs), np.concatenate(starts), np.concatenate(ends))
 
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
@@ -349,12 +361,13 @@ def dedup_substrings(docs: DataFrame, spans_col: str = "removed", kept_col: str
     """Add the removed byte ranges of each text (`spans_col`, maximal runs in order) and the bytes that are left (`kept_col`).
 
     A null text counts as empty and a null doc_id as a document without repeats. doc_id should be unique; rows that repeat one
-    get the ranges found under it. Texts below LEAST bytes lose nothing. Extra columns pass through.
+    get the ranges found under it. Texts below LEAST bytes lose nothing. Extra columns pass through, those named like the
+    new ones are replaced.
     """
-    if {spans_col, kept_col} & {*docs.columns}:
-        raise ValueError("the input already has a column of that name")
-    gone = removals(docs).groupBy("doc").agg(F.collect_set(F.struct("start", "finish")).alias("__gone")).withColumnRenamed("doc", "__doc")
-    both = docs.join(gone, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    docs = docs.drop(spans_col, kept_col)
+    name, new = fresh(docs, "gone"), fresh(docs, "new")
+    gone = removals(docs).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("start", "finish")).alias(name))
+    both = docs.join(gone, "doc_id", "left")
 
     def cut(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
         spans, kept = [], []
@@ -371,12 +384,12 @@ def dedup_substrings(docs: DataFrame, spans_col: str = "removed", kept_col: str
 
     fix = F.pandas_udf(cut, "spans array<struct<start:bigint,finish:bigint>>, kept binary")
     none = F.array().cast("array<struct<start:bigint,finish:bigint>>")
-    hit = F.col("__gone").isNotNull()
-    done = both.withColumn("__new", fix(F.when(hit, F.coalesce("text", F.lit(""))).otherwise(F.lit("")), F.coalesce("__gone", none)))
+    hit = F.col(name).isNotNull()
+    done = both.withColumn(new, fix(F.when(hit, F.coalesce("text", F.lit(""))).otherwise(F.lit("")), F.coalesce(name, none)))
     return done.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(hit, F.col("__new.spans")).otherwise(none).alias(spans_col),
-        F.when(hit, F.col("__new.kept")).otherwise(F.coalesce("text", F.lit("")).cast("binary")).alias(kept_col),
+        F.when(hit, F.col(f"{new}.spans")).otherwise(none).alias(spans_col),
+        F.when(hit, F.col(f"{new}.kept")).otherwise(F.coalesce("text", F.lit("")).cast("binary")).alias(kept_col),
     )
 
 
