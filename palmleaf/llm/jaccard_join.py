@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import Forest, components, materialize, release
 from .shingles import shingle_sets
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -20,8 +20,8 @@ STRETCH_COUNT, LEAST_FREQUENT, MAX_FREQUENT = 3, 16, 1 << 20
 _STRETCH = 4_000_000
 #: Most ids that are broadcast to pick documents; beyond it Spark joins by shuffling.
 MAX_BROADCAST_IDS = 500_000
-#: Entries of an index list that are skipped or compared together.
-BLOCK = 64
+#: Entries of an index list that are skipped or compared together; sets of a cluster that a task compares.
+BLOCK, CLUSTER_BLOCK = 64, 1024
 _SLICE = 1 << 20
 
 
@@ -107,10 +107,8 @@ def prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
     return docs.select("doc_id", "text").mapInPandas(run, "token long, doc long, n int, pos int")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) that link. Each document in them is read once; sets meet in a join that Spark may split."""
-    pairs = materialize(pairs)
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, items): the sets of the documents in `ids` (doc_id), their shingles as sorted 48-bit numbers."""
     if ids.count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
 
@@ -121,20 +119,133 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 cut = np.searchsorted(owner, np.arange(len(rows) + 1))
                 yield pd.DataFrame({"doc": doc[rows], "items": [(value[i:j] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]})
 
-    sets = materialize(docs.select("doc_id", "text").join(ids, "doc_id").mapInPandas(run, "doc long, items binary"))
+    return docs.select("doc_id", "text").join(ids, "doc_id").mapInPandas(run, "doc long, items binary")
+
 
-    def wide(data: bytes) -> np.ndarray:
-        x = np.zeros((len(data) // 6, 8), np.uint8)
-        x[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-        return x.view("<u8").ravel()
+def _unpacked(data: bytes) -> np.ndarray:
+    x = np.zeros((len(data) // 6, 8), np.uint8)
+    x[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return x.view("<u8").ravel()
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other.
+
+    Items of few sets are counted pair by pair, those of many as products of 0/1 matrices.
+    """
+    g = len(sets)
+    out = np.zeros((g, g), np.float32)
+    own = np.repeat(np.arange(g), [len(s) for s in sets])
+    _, item, count = np.unique(np.concatenate(sets) if g else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
+    order = np.argsort(item, kind="stable")
+    own, item, few = own[order], item[order], 12
+    rare = count[item] <= few
+    o, t = own[rare], item[rare]
+    for k in range(1, few):
+        same = t[k:] == t[:-k]
+        np.add.at(out, (o[:-k][same], o[k:][same]), 1)
+    out += out.T
+    columns = np.flatnonzero(count > few)
+    o, t = own[~rare], np.searchsorted(columns, item[~rare])
+    cuts = np.searchsorted(t, np.arange(0, len(columns) + 4096, 4096))
+    for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if i < j:
+            m = np.zeros((g, min(4096, len(columns) - k * 4096)), np.float32)
+            m[o[i:j], t[i:j] - k * 4096] = 1
+            out += m @ m.T
+    return out
+
+
+def _cluster_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spanning forests (a, b) of the links within clusters, from rows (cluster, x, y, doc, block, items) in order of the first three.
+
+    The intersections of a whole cluster come from its shared items at once: what one set has in common with the others is
+    not worked out again for the next one that hardly differs from it. Of two blocks, only links between them count.
+    """
+    rest = None
+
+    def solve(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        sets = [_unpacked(x) for x in pdf["items"]]
+        doc, block = pdf["doc"].to_numpy(), pdf["block"].to_numpy()
+        n = np.array([len(s) for s in sets], np.int64)
+        if len(sets) == 2:
+            both = np.zeros((2, 2))
+            both[0, 1] = both[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+        else:
+            both = intersections(sets)
+        linked = 100 * both >= PERCENT * (n[:, None] + n[None, :] - both)
+        if block[0] != block[-1] or block.min() != block.max():
+            linked &= block[:, None] != block[None, :]
+        forest = Forest(len(sets))
+        for k in range(0, len(sets), 64):
+            i, j = np.nonzero(np.triu(linked[k : k + 64], k + 1))
+            if len(i):
+                forest.add(i + k, j)
+        edges = np.array(forest.edges, np.int64).reshape(-1, 2)
+        return doc[edges[:, 0]], doc[edges[:, 1]]
+
+    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = pdf[["cluster", "x", "y"]].to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
+        got = [solve(pdf.iloc[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i + 1]
+        a, b = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.empty(0, np.int64),) * 2
+        return pd.DataFrame({"a": a, "b": b})
+
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        open_ = (pdf[["cluster", "x", "y"]].to_numpy() == pdf[["cluster", "x", "y"]].to_numpy()[-1]).all(1)
+        rest = pdf[open_].reset_index(drop=True)
+        if (~open_).any():
+            yield runs(pdf[~open_].reset_index(drop=True))
+    if rest is not None and len(rest):
+        yield runs(rest)
+
+
+def _clusters(lists: DataFrame) -> DataFrame:
+    """(doc, cluster): each document of the index lists (token, doc, n, pos, size) with a document that it probably resembles.
+
+    The hub of a list is the entry that meets most others over all its lists: of near copies, the text they were made from.
+    A document goes to the hub of most of its lists, if that is a tenth of its prefix, and on to that one's hub. Clusters only
+    decide where sets are compared, never whether.
+    """
+    degree = lists.groupBy("doc").agg(F.sum(F.col("size") - 1).alias("degree"))
+    met = lists.select("token", "doc", "n").join(materialize(degree), "doc")
+    hub = F.max_by("doc", F.struct("degree", -F.col("doc"))).over(Window.partitionBy("token"))
+    votes = met.withColumn("hub", hub).groupBy("doc", "n", "hub").agg(F.count(F.lit(1)).alias("votes"))
+    enough = F.expr(f"10 * votes >= n - ceil({PERCENT} * n / 100.0) + 1")
+    best = votes.groupBy("doc").agg(F.max_by(F.when(enough, F.col("hub")).otherwise(F.col("doc")), F.struct("votes", -F.col("hub"))).alias("hub"))
+    best = materialize(best)
+    onward = best.select(F.col("doc").alias("hub"), F.col("hub").alias("cluster"))
+    return materialize(best.join(onward, "hub").select("doc", "cluster"))
+
+
+def _within_clusters(docs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Edges (a, b) that span the links between documents of the same cluster; large clusters are compared block by block."""
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = materialize(clusters.join(sizes, "cluster").withColumn("blocks", F.expr(f"(size + {CLUSTER_BLOCK - 1}) div {CLUSTER_BLOCK}")))
+    sets = _packed(docs, members.select(F.col("doc").alias("doc_id")))
+    placed = sets.join(members, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = pairs.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc", "block", "items")
+    keys = ["cluster", "x", "y"]
+    return materialize(rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_cluster_links, "a long, b long"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) that link. Each document in them is read once; sets meet in a join that Spark may split."""
+    pairs = materialize(pairs)
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = materialize(_packed(docs, materialize(ids)))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep, last, hub = [], None, None
             for a, x, y in zip(pdf["a"], pdf["items_a"], pdf["items_b"], strict=True):
                 if a != last:
-                    last, hub = a, wide(x)
-                other = wide(y)
+                    last, hub = a, _unpacked(x)
+                other = _unpacked(y)
                 both = len(np.intersect1d(hub, other, assume_unique=True))
                 keep.append(100 * both >= PERCENT * (len(hub) + len(other) - both))
             yield pdf.loc[keep, ["a", "b"]]
@@ -144,8 +255,8 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(members.join(hubs, "a").select("a", "b", "items_a", "items_b").mapInPandas(compare, "a long, b long"))
 
 
-def _blocks(n: np.ndarray, pos: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of entries of one index list, of different groups, whose sizes and positions allow a link.
+def _blocks(n: np.ndarray, pos: np.ndarray, group: np.ndarray, cluster: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of one index list, of different groups and clusters, whose sizes and positions allow a link.
 
     The list is in order of size. Two blocks are skipped together where their extreme sizes, or the most that can still
     be shared after the positions of this shingle, rule out every pair.
@@ -160,14 +271,14 @@ def _blocks(n: np.ndarray, pos: np.ndarray, group: np.ndarray) -> Iterator[tuple
                 continue
             a, b = np.arange(x * BLOCK, min(len(n), (x + 1) * BLOCK))[:, None], np.arange(y * BLOCK, min(len(n), (y + 1) * BLOCK))[None, :]
             most = np.minimum(pos[a], pos[b]) + 1 + np.minimum(left[a], left[b])
-            ok = (a < b) & (group[a] != group[b]) & (100 * n[a] >= PERCENT * n[b]) & (most >= required(n[a], n[b]))
+            ok = (a < b) & (group[a] != group[b]) & (cluster[a] != cluster[b]) & (100 * n[a] >= PERCENT * n[b]) & (most >= required(n[a], n[b]))
             i, j = np.nonzero(ok)
             if len(i):
                 yield i + x * BLOCK, j + y * BLOCK
 
 
 def _cross_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of shared prefix shingles of pairs (a, b) of different groups, from rows in order of token, size and document."""
+    """Counts of shared prefix shingles of pairs (a, b) of different groups and clusters, from rows in order of token, size and document."""
     names = ["a", "b", "n_a", "n_b", "shared"]
     held, total, rest = [], 0, None
 
@@ -177,10 +288,10 @@ def _cross_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def lists(pdf: pd.DataFrame) -> Iterator[np.ndarray]:
         token = pdf["token"].to_numpy()
-        doc, n, pos, group = (pdf[c].to_numpy().astype(np.int64) for c in ("doc", "n", "pos", "grp"))
+        doc, n, pos, group, cluster = (pdf[c].to_numpy().astype(np.int64) for c in ("doc", "n", "pos", "grp", "cluster"))
         cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            for x, y in _blocks(n[i:j], pos[i:j], group[i:j]):
+            for x, y in _blocks(n[i:j], pos[i:j], group[i:j], cluster[i:j]):
                 a, b = doc[i:j][x], doc[i:j][y]
                 swap = a > b
                 yield np.stack([np.where(swap, b, a), np.where(swap, a, b), np.where(swap, n[i:j][y], n[i:j][x]), np.where(swap, n[i:j][x], n[i:j][y])], 1)
@@ -204,11 +315,11 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document of (doc_id, text) under links of Jaccard >= PERCENT / 100.
 
     1. Equal sets (size and 128-bit digest) are one set. 2. Each set's prefix goes into index lists by shingle; lists of one
-    entry vanish. 3. Every set is compared with the partner that it shares most of its lists with, next to it in size or
-    at a list's head; what links shares its answers from then on. 4. Within each list only sets whose known answers differ
-    are paired, blocks being skipped by position; the exact count of shared prefix shingles bounds the intersection, and
-    what passes is compared in full. So a group of near copies costs about a comparison each, and no link between
-    different groups is lost. Frequent shingles come last in the order, so no list holds all documents of a stock phrase.
+    entry vanish. 3. Sets that share many lists with the same hub form a cluster, whose links are all worked out together.
+    4. Within each list only sets of different groups and clusters are paired, as the answers for others are known, blocks being
+    skipped by position; the exact count of shared prefix shingles bounds the intersection, and what passes is compared in
+    full. So a group of near copies is never written out as pairs, and no link is lost. Frequent shingles come last in the
+    order, so no list holds all documents of a stock phrase.
 
     A null text, or one without words, has an empty set and links with nothing. Null ids keep null components. Extra columns
     are ignored; rows that repeat a doc_id must repeat its text.
@@ -228,23 +339,16 @@ def join(docs: DataFrame) -> DataFrame:
     order = np.argsort(token)
     frequent = (token[order], np.minimum(often["seen"].to_numpy(np.int64), 1 << 40)[order])
     rows = prefix_rows(docs.where("doc_id is not null").join(copies.select("doc_id"), "doc_id", "left_anti"), frequent)
-    by_size = Window.partitionBy("token").orderBy("n", "doc")
-    before, after, head = F.lag(F.struct("doc", "n")).over(by_size), F.lead("doc").over(by_size), F.first(F.struct("doc", "n")).over(by_size)
-    lists = materialize(
-        rows.withColumn("prev", before).withColumn("next", after).withColumn("head", head).where("prev is not null or next is not null").drop("next")
-    )
-    seeds = []
-    for kind in ("prev", "head"):
-        pair = lists.where(f"prev is not null and {kind}.doc <> doc").select(
-            F.col(f"{kind}.doc").alias("a"), F.col("doc").alias("b"), F.col(f"{kind}.n").cast("long").alias("n_a"), F.col("n").cast("long").alias("n_b")
-        ).where(f"100 * n_a >= {PERCENT} * n_b")
-        counted = pair.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared")).where("4 * shared >= n_b div 10")
-        seeds.append(counted.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    sure = _verified(docs, seeds[0].union(seeds[1]).distinct())
-    known = components(sure)
-    grouped = lists.select("token", "doc", "n", "pos").join(known.select(F.col("node").alias("doc"), F.col("component_id").alias("grp")), "doc", "left")
-    grouped = materialize(grouped.select("token", "doc", "n", "pos", F.coalesce("grp", "doc").alias("grp")))
-    mixed = grouped.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
+    lists = materialize(rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("size > 1"))
+    release(spark)
+    clusters = _clusters(lists)
+    sure = _within_clusters(docs, clusters)
+    release(spark)
+    known = components(sure).select(F.col("node").alias("doc"), F.col("component_id").alias("grp"))
+    state = materialize(clusters.join(known, "doc", "left").select("doc", "cluster", F.coalesce("grp", "doc").alias("grp")))
+    grouped = materialize(lists.select("token", "doc", "n", "pos").join(state, "doc"))
+    ends = [f(c).alias(f"{k}_{c}") for c in ("grp", "cluster") for k, f in (("low", F.min), ("high", F.max))]
+    mixed = grouped.groupBy("token").agg(*ends).where("low_grp <> high_grp and low_cluster <> high_cluster").select("token")
     open_ = grouped.join(materialize(mixed), "token").repartition("token").sortWithinPartitions("token", "n", "doc")
     pairs = open_.mapInPandas(_cross_pairs, "a long, b long, n_a long, n_b long, shared long")
     total = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
