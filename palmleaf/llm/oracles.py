@@ -1,7 +1,104 @@
-"""DuckDB SQL for those training-data queries that SQL can express."""
+"""DuckDB SQL for those training-data queries that SQL can express.
+
+A trained network or model, a tokenizer's merges and first-fit packing are beyond it; tests/llm holds those against brute force.
+"""
 
 from __future__ import annotations
 
+_LINES = "select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as no from documents"
+
+_REPEATS = """
+    with h as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, '')))::BIGINT as n from documents),
+    w as (select doc_id, p, md5(substr(h, 2 * p + 1, 200)) as m from (select doc_id, h, unnest(range(0, n - 99)) as p from h)),
+    d as (select doc_id, p from (select *, row_number() over (partition by m order by doc_id, p) as r from w) where r > 1),
+    i as (select doc_id, p, sum(fresh) over (partition by doc_id order by p) as run from (
+        select doc_id, p, case when p > lag(p, 1, -1000) over (partition by doc_id order by p) + 100 then 1 else 0 end as fresh from d)),
+    runs as (select doc_id, min(p) as a, max(p) + 100 as b from i group by doc_id, run),
+    gaps as (
+        select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as a, a as b from runs
+        union all select h.doc_id, coalesce(max(r.b), 0), max(h.n) from h left join runs r on r.doc_id = h.doc_id group by h.doc_id),
+    kept as (select g.doc_id, sha256(unhex(string_agg(substr(h.h, 2 * g.a + 1, 2 * (g.b - g.a)), '' order by g.a))) as kept_sha256 from gaps g join h on h.doc_id = g.doc_id group by g.doc_id),
+    total as (select doc_id, sum(b - a)::BIGINT as n_removed, count(*)::BIGINT as n_spans from runs group by doc_id)
+    select h.doc_id, h.n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, kept_sha256
+    from h join kept on kept.doc_id = h.doc_id left join total on total.doc_id = h.doc_id
+"""
+
+_TOP_K = """
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) as e from embeddings where embedding is not null)
+    select query_id, rank, vec_id, score from (
+        select *, row_number() over (partition by query_id order by score desc, vec_id)::INT as rank from (
+            select q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(q.e, c.e)::BIGINT as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0))
+    where rank <= 20
+"""
+
+_REACH = """
+    reach(a, b) as (select id, id from nodes union select r.a, l.b from reach r join links l on l.a = r.b),
+    found as (select a as id, min(b) as component_id from reach group by a)
+"""
+
+_RANGE_JOIN = f"""
+    with recursive nodes as (select vec_id as id from embeddings),
+    links as (select x.vec_id as a, y.vec_id as b from embeddings x join embeddings y on x.vec_id <> y.vec_id where list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.95),
+    {_REACH}
+    select id as vec_id, (select count(*) from links where a = id)::BIGINT as n_links, component_id, id = component_id as kept from found
+"""
+
+_UNITS = f"""
+    with l as ({_LINES}),
+    o as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by no rows between unbounded preceding and 1 preceding), 0)::BIGINT as start,
+        lower(trim(regexp_replace(line, '[ \\t\\n\\v\\f\\r]+', ' ', 'g'))) as form from l),
+    r as (select *, length(form) >= 20 and row_number() over (partition by form order by doc_id, no) > 1 as again from o)
+    select doc_id, (max(start + length(line)))::BIGINT as n_chars, count(*) filter (again)::BIGINT as n_removed, coalesce(sum(length(line)) filter (again), 0)::BIGINT as n_removed_chars,
+        coalesce(string_agg(start || ':' || start + length(line), ',' order by no) filter (again), '') as removed,
+        sha256(coalesce(string_agg(line, chr(10) order by no) filter (not again), '')) as kept_sha256
+    from r group by doc_id
+"""
+
+_JACCARD = f"""
+    with recursive words as (
+        select doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    sets as materialized (
+        select distinct id, md5(array_to_string(w[i : i + 4], ' ')) as s from (select id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) as i from words)),
+    sizes as materialized (select id, count(*) as n from sets group by id),
+    links as materialized (
+        select p.a, p.b from (select x.id as a, y.id as b, count(*) as c from sets x join sets y on x.s = y.s and x.id <> y.id group by x.id, y.id) p
+        join sizes p1 on p1.id = p.a join sizes p2 on p2.id = p.b where 100 * c >= 75 * (p1.n + p2.n - c)),
+    nodes as (select id from words),
+    {_REACH}
+    select found.id as doc_id, coalesce(n, 0)::BIGINT as n_shingles, component_id from found left join sizes on sizes.id = found.id
+"""
+
+_LINE_DEDUP = f"""
+    with l as ({_LINES}),
+    f as (select doc_id, no, row_number() over (partition by doc_id order by no) - 1 as pos, ('0x' || substr(md5(line), 1, 15))::BIGINT as code from l where trim(line) <> ''),
+    g as (
+        select doc_id, pos, ('0x' || substr(md5(code || ',' || c1 || ',' || c2), 1, 15))::BIGINT as gram from (
+            select *, lead(code, 1) over w as c1, lead(code, 2) over w as c2 from f window w as (partition by doc_id order by pos)) where c2 is not null),
+    size as (select doc_id, count(*) as n from g group by doc_id),
+    windows as (select doc_id, unnest(range(0, greatest(n - 3, 1))) as p from size),
+    prints as (
+        select distinct doc_id, pos, gram from (
+            select w.doc_id, w.p, g.pos, g.gram, row_number() over (partition by w.doc_id, w.p order by g.gram, g.pos desc) as r
+            from windows w join g on g.doc_id = w.doc_id and g.pos between w.p and w.p + 3) where r = 1),
+    first as (select gram, doc_id as src, pos as src_pos from (select *, row_number() over (partition by gram order by doc_id, pos) as r from prints) where r = 1),
+    links as (select distinct p.doc_id, s.src, p.pos - s.src_pos as shift from prints p join first s on s.gram = p.gram where (p.doc_id, p.pos) <> (s.src, s.src_pos)),
+    equal as (select k.doc_id, k.src, k.shift, a.pos from links k join f a on a.doc_id = k.doc_id join f b on b.doc_id = k.src and b.pos = a.pos - k.shift and b.code = a.code),
+    starts as (
+        select doc_id, pos from (select *, lead(pos, 1) over w as p1, lead(pos, 2) over w as p2 from equal window w as (partition by doc_id, src, shift order by pos))
+        where p1 = pos + 1 and p2 = pos + 2),
+    gone as (select distinct s.doc_id, f.no from (select doc_id, unnest([pos, pos + 1, pos + 2]) as pos from starts) s join f on f.doc_id = s.doc_id and f.pos = s.pos)
+    select l.doc_id, count(*)::BIGINT as n_lines, count(gone.no)::BIGINT as n_removed, coalesce(string_agg(gone.no::VARCHAR, ',' order by gone.no), '') as removed_lines,
+        sha256(coalesce(string_agg(line, chr(10) order by l.no) filter (gone.no is null), '')) as kept_sha256
+    from l left join gone on gone.doc_id = l.doc_id and gone.no = l.no group by l.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_repeated_substrings": _REPEATS,
+        "op2_topk_search": _TOP_K,
+        "op4_range_join": _RANGE_JOIN,
+        "op5_unit_dedup": _UNITS,
+        "op9_jaccard_join": _JACCARD,
+        "op10_line_dedup": _LINE_DEDUP,
+    }
