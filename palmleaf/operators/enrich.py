@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -63,6 +64,18 @@ def enrich_misses(rows: DataFrame, name_col: str, cache: DataFrame, enrich_fn: C
     return cache.select("name", "meta").unionByName(misses.mapInPandas(run, f"name string, meta {_MAP}"))
 
 
+def throttled(fn: Callable, per_minute: float) -> Callable:
+    """`fn`, called at most so often a minute by each worker; give it to `enrich_misses` or `answered` as their function."""
+    last = [0.0]
+
+    def call(x):
+        time.sleep(max(0.0, last[0] + 60 / per_minute - time.monotonic()))
+        last[0] = time.monotonic()
+        return fn(x)
+
+    return call
+
+
 def scalar_metadata(meta: Column, last_updated: Column | None = None) -> Column:
     """Non-null entries only, with `last_updated` as text."""
     kept = F.map_filter(meta, lambda _, v: v.isNotNull())

@@ -137,6 +137,15 @@ def test_metadata(spark):
     assert cache["nothing"]["Bộ"] == "NOTHING" and cache["Fails"]["Bộ"] == NOT_AVAILABLE and cache["other"] == {"Bộ": "y"} and "kinh ðoàn a" not in cache
 
 
+def test_throttle():
+    import time
+
+    began = time.monotonic()
+    assert [enrich.throttled(str, 1200)(k) for k in range(2)] == ["0", "1"]
+    slow = enrich.throttled(str, 600)
+    assert [slow(k) for k in range(3)] == ["0", "1", "2"] and time.monotonic() - began >= 0.2
+
+
 def test_sync(spark):
     s = spark.createDataFrame([("a", "2024-01-02", 1), ("b", "2024-01-02T00:00:00Z", 2), ("c", "2024-01-02", 3), ("d", "never", 4)], "id string, last_updated string, v int")
     t = spark.createDataFrame([("b", "2024-01-01", 0), ("c", "2024-01-02", 0), ("d", None, 0), ("e", "2024-01-01", 0)], "id string, last_updated string, v int")
