@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words, and chunks of words, that a worker remembers; beyond that the newer half goes, as the frequent ones come first. Changes no result.
-CACHE_WORDS = 800_000
+#: Words and chunks of words that a worker remembers; beyond that the newer half goes, as the frequent ones come first. Changes no result.
+CACHE_WORDS = 700_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _MARKS = ".,!?#$%&*"
 _LETTERS = "A-Za-zß-öø-ÿÀ-ÖØ-Þ"
@@ -39,7 +40,7 @@ def _tokenizer(data: str) -> tuple:
         suffix = json.loads(data)["model"].get("end_of_word_suffix") or "\0"
         last = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
         last[[v for k, v in tokenizer.get_vocab().items() if k.endswith(suffix)]] = True
-        _loaded[key] = (tokenizer, {}, {}, last)
+        _loaded[key] = (tokenizer, {}, last)
     return _loaded[key]
 
 
@@ -72,7 +73,17 @@ def _learn(fresh: list[str], tokenizer, known: dict[str, bytes], last: np.ndarra
             known[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
 
 
-def _ids(texts: list[str], tokenizer, words: dict[str, bytes], known: dict[str, bytes], last: np.ndarray, end: bytes) -> list[bytes]:
+def _holes(ids: list) -> list[int]:
+    """Where a list has None."""
+    out, at, find = [], -1, ids.index
+    try:
+        while True:
+            out.append(at := find(None, at + 1))
+    except ValueError:
+        return out
+
+
+def _ids(texts: list[str], tokenizer, words: dict[str, bytes], last: np.ndarray, end: bytes) -> list[bytes]:
     """The ids of each text and the closing id, as packed 32-bit integers.
 
     The tokenizer lower-cases, drops white space, and lets no token cross it or the border between a run of Latin letters
@@ -85,23 +96,24 @@ def _ids(texts: list[str], tokenizer, words: dict[str, bytes], known: dict[str,
         plain = x.isascii() or _is_latin(x)
         split.append(x.lower().split() if plain and not _ODD_BLANKS(x) else _WORDS(x))
     got = [list(map(words.get, part)) for part in split]
-    fresh = {w for part, ids in zip(split, got, strict=True) if None in ids for w, i in zip(part, ids, strict=True) if i is None}
+    holes = [_holes(ids) for ids in got]
+    fresh = {part[i] for part, missing in zip(split, holes, strict=True) for i in missing}
     if fresh:
         chunks = {w: _CHUNKS(w) for w in fresh}
-        new = {c for part in chunks.values() for c in part if c not in known}
+        new = {c for part in chunks.values() for c in part if c not in words}
         if new:
-            _learn(list(new), tokenizer, known, last)
+            _learn(list(new), tokenizer, words, last)
         for w, part in chunks.items():
-            words[w] = known[part[0]] if len(part) == 1 else b"".join([known[c] for c in part])
+            if len(part) > 1:
+                words[w] = b"".join([words[c] for c in part])
     out = []
-    for part, ids in zip(split, got, strict=True):
-        if None in ids:
-            ids = [words[w] if i is None else i for w, i in zip(part, ids, strict=True)]
+    for part, ids, missing in zip(split, got, holes, strict=True):
+        for i in missing:
+            ids[i] = words[part[i]]
         out.append(b"".join(ids) + end)
-    for cache in (words, known):
-        if len(cache) > CACHE_WORDS:
-            for c in list(cache)[CACHE_WORDS // 2 :]:
-                del cache[c]
+    if len(words) > CACHE_WORDS:
+        for w in list(words)[CACHE_WORDS // 2 :]:
+            del words[w]
     return out
 
 
@@ -191,14 +203,16 @@ def pack(docs: DataFrame, tokenizer_json: str, max_tokens: int = 4096, end_id: i
     groups = max(1, -(-docs.count() // docs_per_group))
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, words, known, last = _tokenizer(shared.value)
-        for pdf in batches:
-            for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
+    names = ["grp", "doc_id", "start", "length", "crc", "doc_tokens", "ids"]
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, words, last = _tokenizer(shared.value)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
                 rows = []
-                texts = [x if isinstance(x, str) else "" for x in part["text"]]
-                for group, doc, ids in zip(part["grp"], part["doc_id"], _ids(texts, tokenizer, words, known, last, end), strict=True):
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                for group, doc, ids in zip(part.column(2).to_pylist(), part.column(0).to_pylist(), _ids(texts, tokenizer, words, last, end), strict=True):
                     n, step = len(ids) // 4, max_tokens * 4
                     full = n // max_tokens
                     for j in range(full):
@@ -207,9 +221,8 @@ def pack(docs: DataFrame, tokenizer_json: str, max_tokens: int = 4096, end_id: i
                         rest = np.frombuffer(ids, "<u4", offset=full * step)
                         short = rest.astype("<u2") if rest.max() < 1 << 16 else rest
                         rows.append((group, doc, full * max_tokens, n - full * max_tokens, None, n, short.tobytes()))
-                yield pd.DataFrame(rows, columns=["grp", "doc_id", "start", "length", "crc", "doc_tokens", "ids"]).astype(
-                    {"doc_id": "Int64", "crc": "Int64"}
-                )
+                kinds = [pa.int64()] * 6 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start"], kind="stable")
@@ -231,6 +244,6 @@ def pack(docs: DataFrame, tokenizer_json: str, max_tokens: int = 4096, end_id: i
             seq += 1
         return pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")]).astype({"doc_id": "Int64"})
 
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("grp"))
-    rows = dealt.mapInPandas(tokens, "grp long, doc_id long, start long, length long, crc long, doc_tokens long, ids binary")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("grp"))
+    rows = dealt.mapInArrow(tokens, "grp long, doc_id long, start long, length long, crc long, doc_tokens long, ids binary")
     return rows.groupBy("grp").applyInPandas(fill, PIECES)
