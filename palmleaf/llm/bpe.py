@@ -8,6 +8,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,28 +37,16 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
-    size = 1 << (n - 1).bit_length()
-    tree = [_NONE] * (2 * size)
     get = ranks.get
-    for i in range(n - 1):
-        tree[size + i] = get(piece[i : i + 2], _NONE)
-    for i in range(size - 1, 0, -1):
-        left, right = tree[2 * i], tree[2 * i + 1]
-        tree[i] = left if left <= right else right
+    level = [get(piece[i : i + 2], _NONE) for i in range(n - 1)]
+    size = 1 << (n - 1).bit_length()
+    level += [_NONE] * (size - n + 1)
+    tree = level
+    while len(level) > 1:
+        level = list(map(min, level[::2], level[1::2]))
+        tree = level + tree
+    tree.insert(0, _NONE)  # the root is entry 1, and entry k has the children 2k and 2k + 1
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(at: int, rank: int) -> None:
-        at += size
-        tree[at] = rank
-        at >>= 1
-        while at:
-            left, right = tree[2 * at], tree[2 * at + 1]
-            small = left if left <= right else right
-            if tree[at] == small:
-                return
-            tree[at] = small
-            at >>= 1
-
     while (best := tree[1]) != _NONE:
         at = 1
         while at < size:
@@ -66,20 +55,31 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 at += 1
         at -= size
         gone = after[at]
-        end = after[gone]
-        after[at] = end
-        put(gone, _NONE)
+        end = after[at] = after[gone]
+        prev = before[at]
         if end < n:
             before[end] = at
-            put(at, get(piece[at : after[end]], _NONE))
+            changes = ((gone, _NONE), (at, get(piece[at : after[end]], _NONE)))
         else:
-            put(at, _NONE)
-        if (prev := before[at]) >= 0:
-            put(prev, get(piece[prev:end], _NONE))
+            changes = ((gone, _NONE), (at, _NONE))
+        if prev >= 0:
+            changes += ((prev, get(piece[prev:end], _NONE)),)
+        for leaf, rank in changes:
+            k = leaf + size
+            tree[k] = rank
+            while k > 1:
+                other = tree[k ^ 1]
+                k >>= 1
+                if other < rank:
+                    rank = other
+                if tree[k] == rank:
+                    break
+                tree[k] = rank
     out, at = [], 0
     while at < n:
-        out.append(ranks[piece[at : after[at]]])
-        at = after[at]
+        end = after[at]
+        out.append(ranks[piece[at:end]])
+        at = end
     return out
 
 
@@ -110,6 +110,21 @@ def _with(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(column, kind)])
 
 
+def _encoded(texts: list, pieces: _Pieces, find) -> list[bytes]:
+    get, out = pieces.__getitem__, []
+    for text in texts:
+        out.append(b"".join(map(get, find(text))) if isinstance(text, str) else b"")
+        if len(pieces) > CACHE_PIECES:
+            for piece in list(pieces)[CACHE_PIECES // 2 :]:
+                del pieces[piece]
+    return out
+
+
+def _decoded(ids: list, tokens: dict[int, bytes]) -> list[bytes]:
+    get = tokens.__getitem__
+    return [b"".join(map(get, struct.unpack(f"<{len(x) // 4}I", x))) if x else b"" for x in ids]
+
+
 def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add `ids_col`: the text's token ids as little-endian unsigned 32-bit integers, in one binary value.
 
@@ -123,15 +138,8 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", id
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces, _ = _vocabulary(shared.value)
         find = regex.compile(pattern).findall
-        get = pieces.__getitem__
         for pdf in batches:
-            out = []
-            for text in pdf[text_col]:
-                out.append(b"".join(map(get, find(text))) if isinstance(text, str) else b"")
-                if len(pieces) > CACHE_PIECES:
-                    for piece in list(pieces)[CACHE_PIECES // 2 :]:
-                        del pieces[piece]
-            yield pdf.assign(**{ids_col: pd.Series(out, index=pdf.index, dtype=object)})
+            yield pdf.assign(**{ids_col: pd.Series(_encoded(pdf[text_col].tolist(), pieces, find), index=pdf.index, dtype=object)})
 
     return df.mapInPandas(run, _with(df, ids_col, T.BinaryType()))
 
@@ -147,20 +155,30 @@ def decode(df: DataFrame, ranks: bytes, ids_col: str = "ids", bytes_col: str = "
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, tokens = _vocabulary(shared.value)
-        get = tokens.__getitem__
         for pdf in batches:
-            out = [b"".join(map(get, struct.unpack(f"<{len(x) // 4}I", x))) if x else b"" for x in pdf[ids_col]]
-            yield pdf.assign(**{bytes_col: pd.Series(out, index=pdf.index, dtype=object)})
+            yield pdf.assign(**{bytes_col: pd.Series(_decoded(pdf[ids_col].tolist(), tokens), index=pdf.index, dtype=object)})
 
     return df.mapInPandas(run, _with(df, bytes_col, T.BinaryType()))
 
 
 def round_trip_digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, through `encode` and `decode`."""
-    ids = encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "ids")
-    return decode(ids, ranks).select(
-        "doc_id",
-        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document: what `encode` and then `decode` give, in one pass
+    that holds the ids of a few documents at a time."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, tokens = _vocabulary(shared.value)
+        find = regex.compile(pattern).findall
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                ids = _encoded(part.column(1).to_pylist(), pieces, find)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in _decoded(ids, tokens)], pa.string()),
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,59 +19,67 @@ PERCENT = 75
 #: at most MAX_FREQUENT of them are kept (and broadcast). They only move to the end of every set's order.
 STRETCH_COUNT, LEAST_FREQUENT, MAX_FREQUENT = 3, 16, 1 << 20
 _STRETCH = 4_000_000
-#: Most ids that are broadcast to pick documents; beyond it Spark joins by shuffling.
+#: Most rows of a table of ids that are broadcast; beyond it Spark joins by shuffling.
 MAX_BROADCAST_IDS = 500_000
 #: Entries of an index list that are skipped or compared together; sets of a cluster that a task compares.
 BLOCK, CLUSTER_BLOCK = 64, 1024
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 
 
-def _sets(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row numbers, owner among them, shingles) for slices of a batch of about _SLICE bytes."""
-    texts, held, at = [], 0, 0
-    column = pdf["text"].tolist()
-    for k, text in enumerate(column):
-        texts.append(text.encode() if isinstance(text, str) else b"")
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, owner among them, shingles) for slices of a batch (doc_id, text) of about _SLICE bytes."""
+    ids, texts, held, at = batch.column(0), [], 0, 0
+    for k, text in enumerate(batch.column(1).cast(pa.binary())):
+        texts.append(text.as_py() or b"")
         held += len(texts[-1])
-        if held >= _SLICE or k == len(column) - 1:
+        if held >= _SLICE or k == batch.num_rows - 1:
             owner, value = shingle_sets(texts)
-            yield np.arange(at, k + 1), owner, value
+            yield ids[at : k + 1], owner, value
             texts, held, at = [], 0, k + 1
 
 
+def _arrow(schema: str, **columns) -> pa.RecordBatch:
+    """A batch of the columns that a schema of longs, ints and binaries names; missing ones are null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    n = len(next(iter(columns.values())))
+    arrays = [pa.array(columns[c], kinds[k]) if c in columns else pa.nulls(n, kinds[k]) for c, k in fields]
+    return pa.RecordBatch.from_arrays(arrays, names=[c for c, _ in fields])
+
+
 def survey(docs: DataFrame) -> DataFrame:
     """One row (doc_id, n, h1, h2) per document, with the size and a 128-bit digest of its set; and rows (token, seen) with
     the counts of shingles that are frequent in some stretch of the corpus (n is null there)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = "doc_id long, n long, h1 long, h2 long, token long, seen long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stretch, held = [], 0
 
-        def frequent() -> pd.DataFrame:
+        def frequent() -> pa.RecordBatch:
             token, seen = np.unique(np.concatenate(stretch), return_counts=True) if stretch else (np.empty(0, np.uint64), np.empty(0, np.int64))
             often = seen >= STRETCH_COUNT
-            return pd.DataFrame({"token": token[often].view(np.int64), "seen": seen[often]})
+            return _arrow(schema, token=token[often].view(np.int64), seen=seen[often])
 
-        for pdf in batches:
-            for rows, owner, value in _sets(pdf):
-                n = np.bincount(owner, minlength=len(rows))
-                low, high = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64)
+        for batch in batches:
+            for ids, owner, value in _sets(batch):
+                n = np.bincount(owner, minlength=len(ids))
+                low, high = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
                 np.add.at(low, owner, value)
                 np.add.at(high, owner, value * (value >> np.uint64(7) | np.uint64(1)))
-                yield pd.DataFrame(
-                    {"doc_id": pdf["doc_id"].iloc[rows].astype("Int64").to_numpy(), "n": n, "h1": low.view(np.int64), "h2": high.view(np.int64), "token": pd.NA, "seen": pd.NA}
-                ).astype({"doc_id": "Int64", "token": "Int64", "seen": "Int64"})
+                yield _arrow(schema, doc_id=ids, n=n, h1=low.view(np.int64), h2=high.view(np.int64))
                 stretch.append(value)
                 held += len(value)
                 if held >= _STRETCH:
-                    yield _wide(frequent())
+                    yield frequent()
                     stretch, held = [], 0
-        yield _wide(frequent())
+        yield frequent()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, h1 long, h2 long, token long, seen long")
+    return _keyed(docs).mapInArrow(run, schema)
 
 
-def _wide(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.assign(doc_id=pd.NA, n=pd.NA, h1=pd.NA, h2=pd.NA).astype("Int64")[["doc_id", "n", "h1", "h2", "token", "seen"]]
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def required(a, b):
@@ -83,12 +92,13 @@ def prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
     value - as many that linked sets must share one of them."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = "token long, doc long, n int, pos int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value
-        for pdf in batches:
-            ids = pdf["doc_id"].to_numpy()
-            for rows, owner, value in _sets(pdf):
-                n = np.bincount(owner, minlength=len(rows))
+        for batch in batches:
+            for ids, owner, value in _sets(batch):
+                n = np.bincount(owner, minlength=len(ids))
                 if len(tokens):
                     k = np.minimum(np.searchsorted(tokens, value), len(tokens) - 1)
                     weight = np.where(tokens[k] == value, counts[k], 0)
@@ -102,24 +112,29 @@ def prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Dat
                 pos = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 size = n[owner]
                 keep = pos < size - -(-PERCENT * size // 100) + 1
-                yield pd.DataFrame({"token": value[keep].view(np.int64), "doc": ids[rows][owner[keep]], "n": size[keep].astype(np.int32), "pos": pos[keep].astype(np.int32)})
+                yield _arrow(schema, token=value[keep].view(np.int64), doc=ids.take(pa.array(owner[keep])), n=size[keep].astype(np.int32), pos=pos[keep].astype(np.int32))
+
+    return _keyed(docs).mapInArrow(run, schema)
+
 
-    return docs.select("doc_id", "text").mapInPandas(run, "token long, doc long, n int, pos int")
+def _small(rows: DataFrame) -> DataFrame:
+    """`rows` of one or two numbers each, to be broadcast where they are few; their other side then isn't shuffled."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_IDS else rows
 
 
 def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc, items): the sets of the documents in `ids` (doc_id), their shingles as sorted 48-bit numbers."""
-    if ids.count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            doc = pdf["doc_id"].to_numpy()
-            for rows, owner, value in _sets(pdf):
-                cut = np.searchsorted(owner, np.arange(len(rows) + 1))
-                yield pd.DataFrame({"doc": doc[rows], "items": [(value[i:j] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]})
+    schema = "doc long, items binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, owner, value in _sets(batch):
+                cut = np.searchsorted(owner, np.arange(len(doc) + 1))
+                items = [(value[i:j] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                yield _arrow(schema, doc=doc, items=items)
 
-    return docs.select("doc_id", "text").join(ids, "doc_id").mapInPandas(run, "doc long, items binary")
+    return _keyed(docs.join(_small(ids), "doc_id")).mapInArrow(run, schema)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -211,7 +226,7 @@ def _clusters(lists: DataFrame) -> DataFrame:
     decide where sets are compared, never whether.
     """
     degree = lists.groupBy("doc").agg(F.sum(F.col("size") - 1).alias("degree"))
-    met = lists.select("token", "doc", "n").join(materialize(degree), "doc")
+    met = lists.select("token", "doc", "n").join(_small(materialize(degree)), "doc")
     hub = F.max_by("doc", F.struct("degree", -F.col("doc"))).over(Window.partitionBy("token"))
     votes = met.withColumn("hub", hub).groupBy("doc", "n", "hub").agg(F.count(F.lit(1)).alias("votes"))
     enough = F.expr(f"10 * votes >= n - ceil({PERCENT} * n / 100.0) + 1")
@@ -226,7 +241,7 @@ def _within_clusters(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(clusters.join(sizes, "cluster").withColumn("blocks", F.expr(f"(size + {CLUSTER_BLOCK - 1}) div {CLUSTER_BLOCK}")))
     sets = _packed(docs, members.select(F.col("doc").alias("doc_id")))
-    placed = sets.join(members, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
+    placed = sets.join(_small(members), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = pairs.select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc", "block", "items")
     keys = ["cluster", "x", "y"]
@@ -346,10 +361,10 @@ def join(docs: DataFrame) -> DataFrame:
     release(spark)
     known = components(sure).select(F.col("node").alias("doc"), F.col("component_id").alias("grp"))
     state = materialize(clusters.join(known, "doc", "left").select("doc", "cluster", F.coalesce("grp", "doc").alias("grp")))
-    grouped = materialize(lists.select("token", "doc", "n", "pos").join(state, "doc"))
+    grouped = materialize(lists.select("token", "doc", "n", "pos").join(_small(state), "doc"))
     ends = [f(c).alias(f"{k}_{c}") for c in ("grp", "cluster") for k, f in (("low", F.min), ("high", F.max))]
     mixed = grouped.groupBy("token").agg(*ends).where("low_grp <> high_grp and low_cluster <> high_cluster").select("token")
-    open_ = grouped.join(materialize(mixed), "token").repartition("token").sortWithinPartitions("token", "n", "doc")
+    open_ = grouped.join(_small(materialize(mixed)), "token").repartition("token").sortWithinPartitions("token", "n", "doc")
     pairs = open_.mapInPandas(_cross_pairs, "a long, b long, n_a long, n_b long, shared long")
     total = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     rest = F.greatest(*[F.expr(f"cast(ceil({PERCENT} * {n} / 100.0) as bigint) - 1") for n in ("n_a", "n_b")])

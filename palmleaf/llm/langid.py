@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,27 +119,40 @@ def fit(labelled: DataFrame) -> Model | None:
         return None
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, DOCS_PER_LANG / r["count"]))])
     lot = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / (1 << 30)
-    chosen = (
-        seen.where(lot < F.coalesce(F.try_element_at(share, "lang"), F.lit(0.0)))
-        .orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id").limit(2 * DOCS_PER_LANG * len(counts))
-    )
+    chosen = seen.where(lot < F.coalesce(F.try_element_at(share, "lang"), F.lit(0.0)))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
+            for key, text, lang in zip(pdf["key"], pdf["text"], pdf["lang"], strict=True):
                 w = windows(text.encode())
                 for k in sorted({0, len(w) // 2, len(w) - 1})[:WINDOWS_PER_DOC]:
-                    rows.append((w[k].tobytes(), lang))
-            yield pd.DataFrame(rows, columns=["w", "lang"])
+                    rows.append((key, w[k].tobytes(), lang))
+            yield pd.DataFrame(rows, columns=["key", "w", "lang"])
 
-    got = chosen.select("text", "lang").mapInPandas(cut, "w binary, lang string").collect()
+    cuts = chosen.select(F.xxhash64("doc_id", F.lit("order")).alias("key"), "text", "lang").mapInPandas(cut, "key long, w binary, lang string")
+    # the share gives the expected size; the limit holds where one doc_id stands for very many rows
+    got = cuts.orderBy("key", "w", "lang").limit(2 * WINDOWS_PER_DOC * DOCS_PER_LANG * len(counts)).collect()
     labels = sorted({r["lang"] for r in got})
     got.sort(key=lambda r: (bytes(r["w"]), r["lang"]))
     x = np.frombuffer(b"".join(bytes(r["w"]) for r in got), np.uint8).reshape(-1, WINDOW)
     return train(x, np.array([labels.index(r["lang"]) for r in got]), labels)
 
 
+def _votes(data: list[bytes], parts: list[np.ndarray], m: Model) -> tuple[list[str], list[float]]:
+    """Label and score of each text from the probabilities of its windows, weighted by the bytes they hold."""
+    sums = np.zeros((len(data), len(m.labels)))
+    own = np.repeat(np.arange(len(data)), [len(p) for p in parts])
+    x = np.concatenate(parts)
+    size = np.array([len(d) for d in data])
+    used = np.minimum(WINDOW, size[own] - WINDOW * (np.arange(len(own)) - np.searchsorted(own, own)))
+    for s in range(0, len(x), 128):
+        np.add.at(sums, own[s : s + 128], probabilities(x[s : s + 128], m) * used[s : s + 128, None])
+    best = sums.argmax(1)
+    score = np.clip(sums[np.arange(len(data)), best] / np.maximum(sums.sum(1), 1e-9), 0, 1)
+    return [m.labels[b] if n else UNKNOWN for b, n in zip(best, size, strict=True)], np.where(size > 0, score, 0.0).tolist()
+
+
 def identify(docs: DataFrame, model: Model | None, pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """Add the predicted language of each whole text and its score, the mean probability over the text's windows,
     weighted by their bytes.
@@ -151,38 +165,23 @@ def identify(docs: DataFrame, model: Model | None, pred_col: str = "lang_pred",
         return docs.withColumns({pred_col: F.lit(UNKNOWN), score_col: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def scores(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         m = shared.value
         for texts, lettered in batches:
-            data = [t.encode() if ok else b"" for t, ok in zip(texts, lettered, strict=True)]
-            sums = np.zeros((len(data), len(m.labels)))
-            k = 0
-            while k < len(data):
-                parts, owners, held = [], [], 0
-                while k < len(data) and held < 512:
-                    if data[k]:
-                        w = windows(data[k])
-                        parts.append(w)
-                        owners.append(np.full(len(w), k))
-                        held += len(w)
+            told, sure, k = [], [], 0
+            texts = texts.cast(pa.binary())
+            while k < len(texts):
+                data, parts = [], []
+                while k < len(texts) and sum(map(len, parts)) < 512:
+                    data.append(texts[k].as_py() if lettered[k].as_py() else b"")
+                    parts.append(windows(data[-1]) if data[-1] else np.empty((0, WINDOW), np.uint8))
                     k += 1
-                if not parts:
-                    continue
-                x, own = np.concatenate(parts), np.concatenate(owners)
-                used = np.minimum(WINDOW, np.array([len(data[o]) for o in own]) - WINDOW * (np.arange(len(own)) - np.searchsorted(own, own)))
-                for s in range(0, len(x), 128):
-                    p = probabilities(x[s : s + 128], m) * used[s : s + 128, None]
-                    np.add.at(sums, own[s : s + 128], p)
-            best = sums.argmax(1)
-            total = np.maximum(sums.sum(1), 1e-9)
-            yield pd.DataFrame(
-                {
-                    "p": [m.labels[b] if d else UNKNOWN for b, d in zip(best, data, strict=True)],
-                    "s": np.where([bool(d) for d in data], np.clip(sums[np.arange(len(data)), best] / total, 0, 1), 0.0),
-                }
-            )
-
-    guess = F.pandas_udf(scores, "p string, s double")
+                p, s = _votes(data, parts, m)
+                told += p
+                sure += s
+            yield pa.StructArray.from_arrays([pa.array(told, pa.string()), pa.array(sure, pa.float64())], names=["p", "s"])
+
+    guess = F.arrow_udf(scores, "p string, s double")
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     name = fresh(docs, "guess")
     return docs.withColumn(name, guess(F.col("text"), lettered)).select(

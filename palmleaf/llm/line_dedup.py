@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,10 +73,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     high = F.least(F.size("codes"), F.size("src_codes") + F.col("shift"))
     equal = F.transform(F.slice("codes", low + 1, high - low), lambda c, i: c == F.get("src_codes", i + low - F.col("shift")))
     runs = both.select("doc_id", low.alias("low"), equal.alias("eq"))
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("eq") - LINES),
-        lambda i: F.get("eq", i) & F.get("eq", i + 1) & F.get("eq", i + 2),
-    )
+    starts = F.filter(F.sequence(F.lit(0), F.size("eq") - LINES), lambda i: reduce(and_, [F.get("eq", i + k) for k in range(LINES)]))
     hit = runs.where(F.size("eq") >= LINES).select("doc_id", F.explode(F.transform(starts, lambda i: i + F.col("low"))).alias("at"))
     covered = hit.select("doc_id", F.explode(F.array(*[F.col("at") + k for k in range(LINES)])).alias("pos")).distinct()
     gone = covered.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))

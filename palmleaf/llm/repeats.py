@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ _SPREAD = LEAST - ANCHOR + 1
 LIMIT = 4096
 #: Most ids that are broadcast; beyond it Spark joins by shuffling.
 MAX_BROADCAST_IDS = 500_000
-_SLICE, _STRETCH = 1 << 20, 500_000
+_SLICE, _STRETCH = 1 << 19, 250_000
 
 
 def _smallest(x: np.ndarray, width: int) -> np.ndarray:
@@ -80,44 +81,52 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return own, at - base, first - base, last - base, gram[at], mix(code)
 
 
-def _slices(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(doc_ids, texts as bytes) of about _SLICE bytes at a time; null texts are empty."""
-    texts, rows, held = [], [], 0
-    ids = pdf["doc_id"].to_numpy()
-    for k, text in enumerate(pdf["text"].tolist()):
-        texts.append(text.encode() if isinstance(text, str) else b"")
-        rows.append(k)
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(doc_ids, texts as bytes) of about _SLICE bytes at a time, from columns doc_id and text without nulls."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    texts, at, held = [], 0, 0
+    for k, text in enumerate(batch.column(1).cast(pa.binary())):
+        texts.append(text.as_py())
         held += len(texts[-1])
         if held >= _SLICE:
-            yield ids[rows], texts
-            texts, rows, held = [], [], 0
+            yield ids[at : k + 1], texts
+            texts, at, held = [], k + 1, 0
     if texts:
-        yield ids[rows], texts
+        yield ids[at:], texts
+
+
+def _batch(pdf: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(pdf, schema, preserve_index=False)
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
     """(kind, anchor, code, doc, at, back, fore): kind 0, the first of equal anchors with equal surroundings in a stretch of
     the corpus; kind 1, the others, which are repeats for certain, under a key of their own. Bytes at - back .. at + fore are meant."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema(
+        [("kind", pa.int8()), *((c, pa.int64()) for c in ("anchor", "code", "doc", "at")), ("back", pa.int16()), ("fore", pa.int16())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             doc, at, first, last, anchor, code = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((at, doc, code, anchor))
             doc, at, first, last, anchor, code = (x[order] for x in (doc, at, first, last, anchor, code))
             again = np.zeros(len(doc), np.int8)
             again[1:] = (anchor[1:] == anchor[:-1]) & (code[1:] == code[:-1])
             alone = mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64))
-            return pd.DataFrame(
+            rows = pd.DataFrame(
                 {
                     "kind": again, "anchor": np.where(again, alone, anchor).view(np.int64), "code": code.view(np.int64), "doc": doc, "at": at,
                     "back": (at - first).astype(np.int16), "fore": (last + LEAST - at).astype(np.int16),
                 }
             )
+            return _batch(rows, schema)
 
-        for pdf in batches:
-            for ids, texts in _slices(pdf):
+        for batch in batches:
+            for ids, texts in _slices(batch):
                 own, at, first, last, anchor, code = anchors(texts)
                 held.append((ids[own], at, first, last, anchor, code))
                 total += len(own)
@@ -127,7 +136,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInPandas(run, "kind byte, anchor long, code long, doc long, at long, back short, fore short")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind byte, anchor long, code long, doc long, at long, back short, fore short")
 
 
 def _common(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -325,11 +334,12 @@ def removals(docs: DataFrame) -> DataFrame:
 def _windows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """(anchor, code, doc, at) of every window that an anchor in `hot` owns."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
+    schema = pa.schema([(c, pa.int64()) for c in ("anchor", "code", "doc", "at")])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = shared.value
-        for pdf in batches:
-            for ids, texts in _slices(pdf):
+        for batch in batches:
+            for ids, texts in _slices(batch):
                 own, _, first, last, anchor, _ = anchors(texts)
                 pick = np.isin(anchor.view(np.int64), keys)
                 own, first, last, anchor = own[pick], first[pick], last[pick], anchor[pick]
@@ -341,9 +351,10 @@ def _windows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 total = prefix_hash(np.frombuffer(b"".join(texts), np.uint8))
                 _, down = powers(len(total))
                 code = mix((total[base + LEAST] - total[base]) * down[base])
-                yield pd.DataFrame({"anchor": np.repeat(anchor, count).view(np.int64), "code": code.view(np.int64), "doc": ids[np.repeat(own, count)], "at": at})
+                rows = pd.DataFrame({"anchor": np.repeat(anchor, count).view(np.int64), "code": code.view(np.int64), "doc": ids[np.repeat(own, count)], "at": at})
+                yield _batch(rows, schema)
 
-    return docs.mapInPandas(run, "anchor long, code long, doc long, at long")
+    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, code long, doc long, at long")
 
 
 def merged(ranges) -> list[tuple[int, int]]:
