@@ -29,19 +29,24 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """(doc_id, pos, print): in each window of WINDOW successive line groups the smallest hash, the last of equals."""
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size("codes") - LINES),
-        lambda i: F.struct(
-            _code(F.concat_ws(",", *[F.get("codes", i + k).cast("string") for k in range(LINES)])).alias("print"), (-i).alias("back")
-        ),
-    )
+    """(doc_id, pos, print): in each window of WINDOW successive line groups the smallest hash, the last of equals,
+    and the hash of the window's lines as a whole.
+
+    A print may occur first in a document that shares its lines only; the whole window leads to one that shares them all.
+    """
+
+    def groups(n: int) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size("codes") - n, F.lit(0))),
+            lambda i: F.struct(_code(F.array_join(F.slice("codes", i + 1, n).cast("array<string>"), ",")).alias("print"), (-i).alias("back")),
+        )
+
     windows = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("g") - (WINDOW - 1), F.lit(1))), lambda i: F.array_min(F.slice("g", i, WINDOW))
     )
     return (
-        lines.where(F.size("codes") >= LINES).select("doc_id", grams.alias("g"))
-        .select("doc_id", F.explode(F.array_distinct(windows)).alias("f"))
+        lines.where(F.size("codes") >= LINES).select("doc_id", groups(LINES).alias("g"), groups(LINES + WINDOW - 1).alias("whole"))
+        .select("doc_id", F.explode(F.array_union(windows, "whole")).alias("f"))
         .select("doc_id", (-F.col("f.back")).alias("pos"), F.col("f.print").alias("print"))
     )
 
@@ -51,7 +56,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     Every fingerprint is held against its first occurrence (smallest doc_id, then position) only: a count and a
     minimum, both aggregated before they are shuffled, so a passage shared by a third of all documents costs one
-    row each and no pairs. The two documents are then compared along that diagonal, both ways and to the end, and
+    row each and no pairs. Whole windows being fingerprints too, no window that occurred before is missed. The two documents are then compared along that diagonal, both ways and to the end, and
     every run of LINES or more equal lines goes from the later place.
     """
     lines = materialize(line_table(docs))

@@ -127,6 +127,41 @@ def test_lines(spark):
     assert got[0]["spans"] == "old"
 
 
+def earlier_runs(items, least):
+    """Brute force: the numbers of all lines in runs of `least` or more lines that an earlier place has."""
+    seen, gone = set(), {}
+    for doc, text in sorted(items.items()):
+        full = [(n, x) for n, x in enumerate((text or "").split("\n")) if x.strip(" ")]
+        gone[doc] = set()
+        for k in range(len(full) - least + 1):
+            run = tuple(x for _, x in full[k : k + least])
+            if run in seen:
+                gone[doc].update(n for n, _ in full[k : k + least])
+            seen.add(run)
+    return gone
+
+
+def headed(pairs=60):
+    """A document of a header only, then pairs of documents that share header and passage, bare or between own lines, and short copies."""
+    r = random.Random(21)
+    new = lambda n: [corpus.line(r) for _ in range(n)]
+    header = new(3)
+    out = [header]
+    for k in range(pairs):
+        body, own = header + new(3), 4 * (k % 2)
+        out += [new(own) + body + new(own) for _ in range(2)]
+    out += [x for _ in range(pairs // 4) for x in [header + new(1)] * 2]
+    return ["\n".join(x) for x in out]
+
+
+def test_lines_behind_a_common_header(spark):
+    items = dict(enumerate(headed()))
+    sure, most = earlier_runs(items, line_dedup.LINES + line_dedup.WINDOW - 1), earlier_runs(items, line_dedup.LINES)
+    got = {k: set(v["gone"]) for k, v in keyed(line_dedup.dedup_lines(corpus.frame(spark, list(items.values())), "gone")).items()}
+    assert sum(map(len, sure.values())) >= 360 and all(sure[d] <= got[d] <= most[d] for d in items)
+    assert all(len(got[d]) == 4 for d in list(items)[-1::-2][:15])  # exact copies shorter than a window
+
+
 def test_lines_edges(spark):
     assert line_dedup.digests(corpus.empty(spark)).count() == 0
     got = line_dedup.digests(corpus.frame(spark, ["a\nb\nc\nd", "a\nb\nc\nd", None, "x"], [1, 1, 2, None])).collect()
