@@ -28,8 +28,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later repeated runs of lines; documents of which only blanks are left after that go."""
-    mended = line_dedup.dedup_lines(docs.select(*COLUMNS), "__gone")
+    """Delete every later repeated run of lines and long line; documents of which only blanks are left after that go."""
+    mended = line_dedup.dedup_lines(docs.select(*COLUMNS), "__gone", line_dedup.EVERY, line_dedup.LONG_WORDS)
     return _documents(mended.where((F.size("__gone") == 0) | F.col("text").rlike(r"\S")))
 
 

@@ -12,6 +12,8 @@ from .common import fresh, materialize
 
 #: Lines of a fingerprint, and fingerprints of a winnowing window. Repeats of LINES + WINDOW - 1 lines are always found.
 LINES, WINDOW = 3, 4
+#: With a window of one every repeat of LINES lines is found; lines of more words than this can also be taken by themselves.
+EVERY, LONG_WORDS = 1, 50
 
 
 def _code(text: Column) -> Column:
@@ -19,17 +21,22 @@ def _code(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, nos, codes): the numbers (from 0) and hashes of each document's lines that aren't blank."""
+def line_table(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+    """(doc_id, nos, codes): the numbers (from 0) and hashes of each document's lines that aren't blank.
+
+    With `long_words` also `long`: the positions in `codes` of the lines of more words than that.
+    """
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("no"), x.alias("line")))
     full = F.filter(lines, lambda x: F.trim(x["line"]) != "")
-    return docs.where("doc_id is not null and text is not null").select("doc_id", full.alias("x")).select(
-        "doc_id", F.col("x.no").alias("nos"), F.transform("x", lambda x: _code(x["line"])).alias("codes")
-    )
+    out = ["doc_id", F.col("x.no").alias("nos"), F.transform("x", lambda x: _code(x["line"])).alias("codes")]
+    if long_words is not None:
+        words = F.transform("x", lambda x, i: F.struct(i.alias("at"), F.size(F.split(F.trim(x["line"]), r"\s+")).alias("n")))
+        out.append(F.transform(F.filter(words, lambda w: w["n"] > long_words), lambda w: w["at"]).alias("long"))
+    return docs.where("doc_id is not null and text is not null").select("doc_id", full.alias("x")).select(*out)
 
 
-def fingerprints(lines: DataFrame) -> DataFrame:
-    """(doc_id, pos, print): in each window of WINDOW successive line groups the smallest hash, the last of equals,
+def fingerprints(lines: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, pos, print): in each window of `window` successive line groups the smallest hash, the last of equals,
     and the hash of the window's lines as a whole.
 
     A print may occur first in a document that shares its lines only; the whole window leads to one that shares them all.
@@ -42,25 +49,37 @@ def fingerprints(lines: DataFrame) -> DataFrame:
         )
 
     windows = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("g") - (WINDOW - 1), F.lit(1))), lambda i: F.array_min(F.slice("g", i, WINDOW))
+        F.sequence(F.lit(1), F.greatest(F.size("g") - (window - 1), F.lit(1))), lambda i: F.array_min(F.slice("g", i, window))
     )
     return (
-        lines.where(F.size("codes") >= LINES).select("doc_id", groups(LINES).alias("g"), groups(LINES + WINDOW - 1).alias("whole"))
+        lines.where(F.size("codes") >= LINES).select("doc_id", groups(LINES).alias("g"), groups(LINES + window - 1).alias("whole"))
         .select("doc_id", F.explode(F.array_union(windows, "whole")).alias("f"))
         .select("doc_id", (-F.col("f.back")).alias("pos"), F.col("f.print").alias("print"))
     )
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def long_repeats(lines: DataFrame) -> DataFrame:
+    """(doc_id, pos) of each long line that occurred before, by itself."""
+    at = F.explode("long").alias("pos")
+    own = materialize(lines.where(F.size("long") > 0).select("doc_id", "codes", at).select("doc_id", "pos", F.get("codes", F.col("pos")).alias("code")))
+    first = (
+        own.groupBy("code").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        .select("code", F.col("first.doc_id").alias("src"), F.col("first.pos").alias("src_pos"))
+    )
+    return own.join(first, "code").where("doc_id <> src or pos <> src_pos").select("doc_id", "pos")
+
+
+def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """(doc_id, gone): the numbers of the lines to delete, for documents that have any.
 
     Every fingerprint is held against its first occurrence (smallest doc_id, then position) only: a count and a
     minimum, both aggregated before they are shuffled, so a passage shared by a third of all documents costs one
     row each and no pairs. Whole windows being fingerprints too, no window that occurred before is missed. The two documents are then compared along that diagonal, both ways and to the end, and
-    every run of LINES or more equal lines goes from the later place.
+    every run of LINES or more equal lines goes from the later place. With `long_words`, later copies of longer lines
+    go by themselves too.
     """
-    lines = materialize(line_table(docs))
-    prints = materialize(fingerprints(lines))
+    lines = materialize(line_table(docs, long_words))
+    prints = materialize(fingerprints(lines, window))
     first = materialize(
         prints.groupBy("print").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         .select("print", F.col("first.doc_id").alias("src"), F.col("first.pos").alias("src_pos"))
@@ -80,22 +99,26 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     runs = both.select("doc_id", low.alias("low"), equal.alias("eq"))
     starts = F.filter(F.sequence(F.lit(0), F.size("eq") - LINES), lambda i: reduce(and_, [F.get("eq", i + k) for k in range(LINES)]))
     hit = runs.where(F.size("eq") >= LINES).select("doc_id", F.explode(F.transform(starts, lambda i: i + F.col("low"))).alias("at"))
-    covered = hit.select("doc_id", F.explode(F.array(*[F.col("at") + k for k in range(LINES)])).alias("pos")).distinct()
-    gone = covered.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
+    covered = hit.select("doc_id", F.explode(F.array(*[F.col("at") + k for k in range(LINES)])).alias("pos"))
+    if long_words is not None:
+        covered = covered.union(long_repeats(lines))
+    gone = covered.distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
     return gone.join(lines.select("doc_id", "nos"), "doc_id").select(
         "doc_id", F.array_sort(F.transform("pos", lambda p: F.get("nos", p))).alias("gone")
     )
 
 
-def dedup_lines(docs: DataFrame, removed_col: str = "removed_lines") -> DataFrame:
+def dedup_lines(docs: DataFrame, removed_col: str = "removed_lines", window: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """Delete later copies of runs of LINES or more lines from the texts; add the deleted line numbers as `removed_col`.
 
+    Runs of LINES + window - 1 lines are always found, shorter ones by chance; `window` EVERY finds all. `long_words`
+    (LONG_WORDS, say) also deletes later copies of single lines of more words.
     Blank lines don't count and stay. Documents with a null text or id pass unchanged; rows that repeat a doc_id get
     the deletions found under it that fit their lines. Other columns pass through, one named `removed_col` is replaced.
     """
     docs = docs.drop(removed_col)
     name = fresh(docs, "gone")
-    gone = repeated_lines(docs.select("doc_id", "text")).withColumnRenamed("gone", name)
+    gone = repeated_lines(docs.select("doc_id", "text"), window, long_words).withColumnRenamed("gone", name)
     lines = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(name))
     text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")

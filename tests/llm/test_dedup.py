@@ -162,6 +162,31 @@ def test_lines_behind_a_common_header(spark):
     assert all(len(got[d]) == 4 for d in list(items)[-1::-2][:15])  # exact copies shorter than a window
 
 
+def test_every_run_and_long_line(spark):
+    """The line stage of the pipeline finds what a brute force over earlier runs and lines finds, no more."""
+    import corpus_pipeline
+
+    r = random.Random(4)
+    four, long, short = [corpus.line(r) for _ in range(4)], corpus.line(r, 60), corpus.line(r, 20)
+    items = headed(12) + corpus.texts(9) + ["\n".join([corpus.line(r), *four, corpus.line(r)]) for _ in range(8)]
+    items += [f"{corpus.line(r)}\n{long}" for _ in range(3)] + [f"\t{short}\n{corpus.line(r)}" for _ in range(3)]
+    items = dict(enumerate(items))
+    want, seen = earlier_runs(items, line_dedup.LINES), set()
+    assert sum(map(len, want.values())) > sum(map(len, brute_lines(items).values()))
+    for doc, text in items.items():
+        for n, x in enumerate((text or "").split("\n")):
+            if len(x.split()) > 50:
+                if x in seen:
+                    want[doc].add(n)
+                seen.add(x)
+    docs = corpus.frame(spark, list(items.values()))
+    got = keyed(line_dedup.dedup_lines(docs, "gone", line_dedup.EVERY, line_dedup.LONG_WORDS))
+    assert {k: set(v["gone"]) for k, v in got.items()} == want
+    whole = lambda d: "\n".join(x for n, x in enumerate(items[d].split("\n")) if n not in want[d])
+    kept = {d: whole(d) for d in items if items[d] is not None and (not want[d] or whole(d).strip())}
+    assert {k: v["text"] for k, v in keyed(corpus_pipeline.line_stage(spark, docs, "")).items() if v["text"] is not None} == kept
+
+
 def test_lines_edges(spark):
     assert line_dedup.digests(corpus.empty(spark)).count() == 0
     got = line_dedup.digests(corpus.frame(spark, ["a\nb\nc\nd", "a\nb\nc\nd", None, "x"], [1, 1, 2, None])).collect()
