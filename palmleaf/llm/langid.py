@@ -17,8 +17,10 @@ from .common import fresh
 WINDOW = 256
 #: Filter widths, and filters of each width.
 WIDTHS, FILTERS = (2, 3, 4, 5), 8
-#: Bounds of the training sample: documents for each language, windows of each document, languages.
+#: Bounds of the training sample: documents for each language, windows of each document, languages that get so many documents.
 DOCS_PER_LANG, WINDOWS_PER_DOC, MAX_LANGS = 400, 3, 64
+#: With more languages each gets fewer documents, but no fewer than this.
+LEAST_DOCS = 16
 UNKNOWN = "und"
 
 
@@ -107,17 +109,21 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 12, rat
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """Train on a bounded sample of `labelled` (doc_id, text, lang): about DOCS_PER_LANG documents of each of the
-    MAX_LANGS most frequent languages, up to WINDOWS_PER_DOC evenly spaced windows of each.
+    """Train on a bounded sample of `labelled` (doc_id, text, lang): about DOCS_PER_LANG documents of each
+    language, up to WINDOWS_PER_DOC evenly spaced windows of each. With more than MAX_LANGS languages each gets fewer documents,
+    so that the sample stays bounded; so many that fewer than LEAST_DOCS are left for each are refused, none is dropped.
 
     Rows with null text or language don't count; without any there is no model. The sample goes by a hash of doc_id,
     so it is the same on every run; the languages are counted over all rows.
     """
     seen = labelled.where("text is not null and lang is not null and doc_id is not null")
-    counts = seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(DOCS_PER_LANG * MAX_LANGS // LEAST_DOCS + 1).collect()
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, DOCS_PER_LANG / r["count"]))])
+    each = DOCS_PER_LANG * min(1.0, MAX_LANGS / len(counts))
+    if each < LEAST_DOCS:
+        raise ValueError(f"more than {len(counts) - 1} languages leave fewer than {LEAST_DOCS} documents for each")
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
     lot = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / (1 << 30)
     chosen = seen.where(lot < F.coalesce(F.try_element_at(share, "lang"), F.lit(0.0)))
 
@@ -132,7 +138,7 @@ def fit(labelled: DataFrame) -> Model | None:
 
     cuts = chosen.select(F.xxhash64("doc_id", F.lit("order")).alias("key"), "text", "lang").mapInPandas(cut, "key long, w binary, lang string")
     # the share gives the expected size; the limit holds where one doc_id stands for very many rows
-    got = cuts.orderBy("key", "w", "lang").limit(2 * WINDOWS_PER_DOC * DOCS_PER_LANG * len(counts)).collect()
+    got = cuts.orderBy("key", "w", "lang").limit(int(2 * WINDOWS_PER_DOC * each * len(counts))).collect()
     labels = sorted({r["lang"] for r in got})
     got.sort(key=lambda r: (bytes(r["w"]), r["lang"]))
     x = np.frombuffer(b"".join(bytes(r["w"]) for r in got), np.uint8).reshape(-1, WINDOW)

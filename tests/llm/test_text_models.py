@@ -52,6 +52,16 @@ def test_language_id_edges(spark):
     assert told[0]["lang"] == "und" and told[0]["spans"] == "old"
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than the sample's bound share it; none is left out, and too many are refused."""
+    df = spark.createDataFrame(labelled(), "doc_id long, text string, lang string").where("doc_id < 240")
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    assert set(langid.fit(df).labels) == set(PARTS)
+    monkeypatch.setattr(langid, "MAX_LANGS", 0)
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(df)
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
