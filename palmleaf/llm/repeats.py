@@ -280,10 +280,20 @@ def removals(docs: DataFrame) -> DataFrame:
     size = F.octet_length("text")
     long = docs.where(size >= LEAST)
     key = long.select("doc_id", size.cast("long").alias("size"), F.md5("text").alias("h"))
-    first = materialize(key.groupBy("h", "size").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = key.groupBy("h", "size", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    first = materialize(
+        rows.groupBy("h", "size").agg(F.min(F.struct("doc_id", "c")).alias("least"), F.sum("c").alias("n")).where("n > 1")
+        .select("h", "size", F.col("least.doc_id").alias("first"), F.col("least.c").alias("c"))
+    )
     copies = materialize(key.join(first, ["h", "size"]).where("doc_id <> first").select("doc_id", "size").distinct())
     whole = copies.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("start"), F.col("size").alias("finish"))
     alone = _pick(long, copies.select("doc_id"), "left_anti")
+    # a row that comes again with its id and text starts nowhere earlier than itself: it counts once
+    again = first.where("c > 1").select(F.col("first").alias("doc_id")).distinct()
+    texts = docs
+    if not again.isEmpty():
+        once = materialize(_pick(alone, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+        texts = alone = _pick(alone, again, "left_anti").union(once)
 
     rows = anchor_rows(alone)
     by_anchor = Window.partitionBy("kind", "anchor")
@@ -312,7 +322,7 @@ def removals(docs: DataFrame) -> DataFrame:
                     out = []
             yield pd.DataFrame(out, columns=["anchor", "doc", "at", "back", "span"])
 
-    spans = materialize(docs.join(wanted, "doc_id").mapInPandas(cut, "anchor long, doc long, at long, back short, span binary"))
+    spans = materialize(texts.join(wanted, "doc_id").mapInPandas(cut, "anchor long, doc long, at long, back short, span binary"))
     release(spark)
     found = spans.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_removals_of_lists, "doc long, start long, finish long")
     found = materialize(found)

@@ -55,6 +55,17 @@ def test_repeats_edges(spark):
     assert bytes(got[0]["ids"]) == b"q" and bytes(got[1]["ids"]) == b"a" and got[1]["spans"] == "old"
 
 
+@pytest.mark.parametrize("limit", [4096, 0])
+def test_repeats_of_a_row(spark, monkeypatch, limit):
+    """Equal rows of one id don't delete each other's text; later documents lose it still."""
+    monkeypatch.setattr(R, "LIMIT", limit)
+    r = random.Random(2)
+    text, other = (bytes(r.choices(range(97, 123), k=300)).decode() for _ in range(2))
+    items, ids = [text, text, "0" + text[:250] + "1", other, text], [1, 1, 2, 3, 4]
+    got = R.dedup_substrings(corpus.frame(spark, items, ids), "gone", "ids").collect()
+    assert sorted((x["doc_id"], bytes(x["ids"]).decode()) for x in got) == [(1, text), (1, text), (2, "01"), (3, other), (4, "")]
+
+
 def test_maximal_repeat_groups():
     import numpy as np
 
