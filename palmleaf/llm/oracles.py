@@ -43,15 +43,18 @@ _RANGE_JOIN = f"""
     select id as vec_id, (select count(*) from links where a = id)::BIGINT as n_links, component_id, id = component_id as kept from found
 """
 
-_UNITS = f"""
-    with l as ({_LINES}),
-    o as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by no rows between unbounded preceding and 1 preceding), 0)::BIGINT as start,
-        lower(trim(regexp_replace(line, '[ \\t\\n\\v\\f\\r]+', ' ', 'g'))) as form from l),
-    r as (select *, length(form) >= 20 and row_number() over (partition by form order by doc_id, no) > 1 as again from o)
-    select doc_id, (max(start + length(line)))::BIGINT as n_chars, count(*) filter (again)::BIGINT as n_removed, coalesce(sum(length(line)) filter (again), 0)::BIGINT as n_removed_chars,
-        coalesce(string_agg(start || ':' || start + length(line), ',' order by no) filter (again), '') as removed,
-        sha256(coalesce(string_agg(line, chr(10) order by no) filter (not again), '')) as kept_sha256
-    from r group by doc_id
+_UNITS = """
+    with p as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?][ \\t\\n\\v\\f\\r]+|\\n[ \\t\\n\\v\\f\\r]*)', '\\1' || chr(1), 'g'), chr(1)) as parts from documents),
+    l as (select doc_id, unnest(parts) as unit, generate_subscripts(parts, 1) as no from p),
+    o as (select *, lower(trim(regexp_replace(unit, '[ \\t\\n\\v\\f\\r]+', ' ', 'g'))) as form, (sum(length(unit)) over (partition by doc_id order by no))::BIGINT as finish from l),
+    r as (select *, form <> '' and row_number() over (partition by form order by doc_id, no) > 1 as again, case when form = '' then 0 else length(form) - length(replace(form, ' ', '')) + 1 end as words from o),
+    i as (select *, no - row_number() over (partition by doc_id, again order by no) as run from r),
+    g as (select *, again and sum(words) over (partition by doc_id, again, run) >= 25 as gone from i),
+    runs as (select doc_id, min(finish - length(unit)) as a, max(finish) as b from g where gone group by doc_id, run),
+    spans as (select doc_id, string_agg(a || ':' || b, ',' order by a) as removed, sum(b - a)::BIGINT as n from runs group by doc_id)
+    select g.doc_id, max(finish) as n_chars, count(*) filter (gone)::BIGINT as n_removed, coalesce(any_value(n), 0) as n_removed_chars, coalesce(any_value(removed), '') as removed,
+        sha256(coalesce(string_agg(unit, '' order by no) filter (not gone), '')) as kept_sha256
+    from g left join spans on spans.doc_id = g.doc_id group by g.doc_id
 """
 
 _JACCARD = f"""

@@ -6,96 +6,119 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize
 
-#: Units whose normal form is shorter are left alone: they are headings and stock phrases, not repeated passages.
-LEAST_CHARS = 20
-_SEPARATOR = {"line": re.compile("\n"), "paragraph": re.compile("\n[ \t]*\n")}
-_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
-
-
-def normal(unit: str) -> str:
-    """Lower case, white space collapsed to single blanks, none at the ends."""
-    return _BLANKS.sub(" ", unit).strip(" ").lower()
-
-
-def split_units(text: str, separator: re.Pattern) -> Iterator[tuple[int, int]]:
-    """(start, end) in code points of the stretches between separators."""
-    at = 0
-    for m in separator.finditer(text):
-        yield at, m.start()
-        at = m.end()
-    yield at, len(text)
-
-
-def unit_table(docs: DataFrame, unit: str = "line", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, no, start, finish, digest) of each unit of at least `least_chars` normalised characters; units count from 0."""
-    separator = _SEPARATOR[unit]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "no", "start", "finish", "digest"]
-        for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                for no, (start, end) in enumerate(split_units(text, separator)):
-                    form = normal(text[start:end]) if end - start >= least_chars else ""
-                    if len(form) >= least_chars:
-                        rows.append((doc, no, start, end, hashlib.md5(form.encode()).digest()))
-                if len(rows) >= 50_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
-
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(
-        run, "doc_id long, no long, start long, finish long, digest binary"
-    )
+#: A run of successive repeated units goes where it has this many words; shorter ones are stock phrases, not passages.
+LEAST_WORDS = 25
+# Where a unit ends: after the match. A line ends at a line break and, as passages are pasted into lines of any width, at a
+# sentence's end too; a paragraph ends at an empty line.
+_BLANK = r"[ \t\n\x0b\f\r]"
+_CUT = {"line": rf"[.!?]{_BLANK}+|\n{_BLANK}*", "paragraph": rf"\n[ \t]*\n{_BLANK}*"}
+_FLUSH = 50_000
+_SPANS = "array<struct<start:bigint,finish:bigint>>"
+
+
+def cuts(text: str | bytes, unit: str = "line") -> list[int]:
+    """Where the units of `text` end; they cover it without a gap, each with the blanks behind it."""
+    pattern = _CUT[unit]
+    return [m.end() for m in re.finditer(pattern.encode() if isinstance(text, bytes) else pattern, text)] + [len(text)]
 
 
-def repeated_units(docs: DataFrame, unit: str = "line", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, removed): spans (start, finish) of the units that an earlier one (doc_id, then position) repeats, in order.
+def unit_table(docs: DataFrame, unit: str = "line") -> DataFrame:
+    """(doc_id, no, words, digest) of each unit that isn't blank; units count from 0.
+
+    The digest is the MD5 of the normal form: lower case, white space collapsed to single blanks, none at the ends.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("no", pa.int32()), ("words", pa.int32()), ("digest", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs_, nos, words, digests = [], [], [], []
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data, at = text.as_py().lower().encode(), 0
+                for no, end in enumerate(cuts(data, unit)):
+                    parts = data[at:end].split()
+                    at = end
+                    if parts:
+                        docs_.append(doc)
+                        nos.append(no)
+                        words.append(len(parts))
+                        digests.append(hashlib.md5(b" ".join(parts)).digest())
+                    if len(docs_) >= _FLUSH:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((docs_, nos, words, digests), schema, strict=True)], schema=schema)
+                        docs_, nos, words, digests = [], [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((docs_, nos, words, digests), schema, strict=True)], schema=schema)
+
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, no int, words int, digest binary")
+
+
+def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, again): the numbers of the units that an earlier one (doc_id, then position) repeats, for documents in which
+    they have `least_words` words together.
 
     Digests are counted and their first places found by an aggregation that combines map-side; the members of repeated
     digests then meet that one row in a join whose large keys Spark may split, so no group is ever collected.
     """
-    units = materialize(unit_table(docs, unit, least_chars))
+    units = materialize(unit_table(docs, unit))
     first = materialize(
         units.groupBy("digest").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     )
     again = units.join(first, "digest").where(F.struct("doc_id", "no") > F.col("first"))
-    return again.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "finish"))).alias("removed"))
-
-
-def dedup_units(docs: DataFrame, unit: str = "line", least_chars: int = LEAST_CHARS, removed_col: str = "removed") -> DataFrame:
-    """Remove from the texts every unit that occurred before; add the removed spans, in the original text's code points.
-
-    The earliest occurrence stays. A removed unit's line break goes with it; what is kept is joined by single line
-    breaks (paragraphs: by an empty line). Documents with a null text or id pass unchanged. Extra columns pass through, one
-    named `removed_col` is replaced.
+    found = again.groupBy("doc_id").agg(F.collect_set("no").alias("again"), F.sum("words").alias("words"))
+    return found.where(F.col("words") >= least_words).select("doc_id", "again")
+
+
+def spans_of(text: str, again: np.ndarray, unit: str, least_words: int) -> tuple[list[tuple[int, int]], int]:
+    """(start, finish) in code points of the runs of units in `again` with `least_words` words or more, and how many units those are."""
+    ends = cuts(text, unit)
+    spans, units = [], 0
+    again = np.sort(again[again < len(ends)])
+    for run in np.split(again, np.flatnonzero(np.diff(again) > 1) + 1) if len(again) else ():
+        start, finish = ends[run[0] - 1] if run[0] else 0, ends[run[-1]]
+        if len(text[start:finish].encode().split()) >= least_words:
+            spans.append((start, finish))
+            units += len(run)
+    return spans, units
+
+
+def dedup_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, removed_col: str = "removed", count_col: str = "removed_units") -> DataFrame:
+    """Remove from the texts every repeated passage; add its spans, in the original text's code points, and the number of units.
+
+    The unit hashed is the line, which ends at a line break or at a sentence's end, or the paragraph between empty lines.
+    Normalised units are grouped by digest over all documents; the earliest occurrence (doc_id, then position) stays. Of the
+    others those go that form, with the repeated units next to them, a run of `least_words` words or more (1: all of them).
+    A unit goes with the blanks behind it, and what is kept is joined as it stands. Documents with a null text or id pass
+    unchanged; rows that repeat a doc_id lose what was found under it and fits their text, but never each other's units.
+    Extra columns pass through, those named like the new ones are replaced.
     """
-    docs = docs.drop(removed_col)
-    name = fresh(docs, "gone")
-    separator, glue = _SEPARATOR[unit], "\n" if unit == "line" else "\n\n"
+    docs = docs.drop(removed_col, count_col)
+    name, new = fresh(docs, "again"), fresh(docs, "new")
 
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, agains: pd.Series) -> pd.DataFrame:
         out = []
-        for text, gone in zip(texts, spans, strict=True):
-            starts = {x["start"] for x in gone}
-            out.append(glue.join(text[a:b] for a, b in split_units(text, separator) if a not in starts))
-        return pd.Series(out, dtype=object)
-
-    cut = F.pandas_udf(cut, "string")
-    spans = "array<struct<start:bigint,finish:bigint>>"
-    gone = repeated_units(docs, unit, least_chars).withColumnRenamed("removed", name)
-    both = docs.join(gone, "doc_id", "left")
-    fixed = F.when(F.col(name).isNull() | F.col("text").isNull(), F.col("text")).otherwise(
-        cut(F.when(F.col(name).isNull(), F.lit("")).otherwise(F.coalesce("text", F.lit(""))), F.coalesce(name, F.array().cast(spans)))
-    )
-    return both.select(
-        *[fixed.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(name, F.array().cast(spans)).alias(removed_col)
+        for text, again in zip(texts, agains, strict=True):
+            spans, units = spans_of(text, np.asarray(again, np.int64), unit, least_words)
+            at, kept = 0, []
+            for start, finish in spans:
+                kept.append(text[at:start])
+                at = finish
+            out.append(("".join(kept) + text[at:], [{"start": a, "finish": b} for a, b in spans], units))
+        return pd.DataFrame(out, columns=["text", "spans", "units"])
+
+    cut = F.pandas_udf(cut, f"text string, spans {_SPANS}, units bigint")
+    hit = F.col(name).isNotNull() & F.col("text").isNotNull()
+    both = docs.join(repeated_units(docs, unit, least_words).withColumnRenamed("again", name), "doc_id", "left")
+    done = both.withColumn(new, cut(F.when(hit, F.col("text")).otherwise(F.lit("")), F.when(hit, F.col(name)).otherwise(F.array().cast("array<int>"))))
+    return done.select(
+        *[F.when(hit, F.col(f"{new}.text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.coalesce(F.col(f"{new}.spans"), F.array().cast(_SPANS)).alias(removed_col), F.coalesce(F.col(f"{new}.units"), F.lit(0).cast("long")).alias(count_col),
     )
 
 
@@ -103,7 +126,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, n_removed units, n_removed_chars, removed (start:finish, comma-joined) and kept_sha256 of every document."""
     rows = docs.select("doc_id", "text", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
     return dedup_units(rows).select(
-        "doc_id", "n_chars", F.size("removed").cast("long").alias("n_removed"),
+        "doc_id", "n_chars", F.col("removed_units").alias("n_removed"),
         F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["finish"] - s["start"]).alias("n_removed_chars"),
         F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["finish"].cast("string"))), ",").alias("removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),

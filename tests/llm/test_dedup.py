@@ -77,30 +77,100 @@ def test_maximal_repeat_groups():
     assert (120, (0, 1, 2)) in found and (140, (0, 1)) in found  # both maximal repeats, each with all its occurrences
 
 
-@pytest.mark.parametrize("unit", ["line", "paragraph"])
-def test_units(spark, unit):
-    items = dict(enumerate(corpus.texts(8)))
-    cut = re.compile("\n" if unit == "line" else "\n[ \t]*\n")
-    seen, want = set(), {}
-    for doc, text in items.items():
-        kept, gone = [], []
-        for a, b in unit_dedup.split_units(text or "", cut):
-            form = re.sub(r"[ \t\n\x0b\f\r]+", " ", (text or "")[a:b]).strip(" ").lower()
-            if len(form) >= unit_dedup.LEAST_CHARS and form in seen:
-                gone.append((a, b))
+BLANK = " \t\n\x0b\f\r"
+
+
+def brute_units(items, unit, least):
+    """Character by character: units, those seen before, and their runs of `least` words or more as (start, finish)."""
+    seen, out = set(), {}
+    for doc, text in sorted(items.items()):
+        text, units, at, k = text or "", [], 0, 0
+        while k < len(text):
+            end = k + 1
+            if unit == "line" and (text[k] == "\n" or text[k] in ".!?" and text[k + 1 : k + 2] in set(BLANK)):
+                while end < len(text) and text[end] in BLANK:
+                    end += 1
+            elif unit == "paragraph" and text[k] == "\n" and (m := re.match(r"[ \t]*\n", text[k + 1 :])):
+                end += m.end()
+                while end < len(text) and text[end] in BLANK:
+                    end += 1
             else:
-                kept.append((text or "")[a:b])
-            seen.add(form)
-        want[doc] = (text if not gone else ("\n" if unit == "line" else "\n\n").join(kept), gone)
-    got = keyed(unit_dedup.dedup_units(corpus.frame(spark, list(items.values())), unit, removed_col="gone"))
-    assert {k: (v["text"], [(x["start"], x["finish"]) for x in v["gone"]]) for k, v in got.items()} == want
+                k = end
+                continue
+            units.append((at, end))
+            at = k = end
+        units.append((at, len(text)))
+        run, spans = [], []
+        for a, b in [*units, (0, 0)]:
+            form = " ".join(text[a:b].lower().translate(dict.fromkeys(map(ord, BLANK), " ")).split(" ")).split(" ")
+            form = " ".join(x for x in form if x)
+            if form and form in seen:
+                run.append((a, b, len(form.split(" "))))
+            else:
+                if run and sum(n for *_, n in run) >= least:
+                    spans.append((run[0][0], run[-1][1]))
+                run = []
+            if form:
+                seen.add(form)
+        out[doc] = spans
+    return out
+
+
+def without(text, spans):
+    out, at = "", 0
+    for a, b in spans:
+        out, at = out + text[at:a], b
+    return out + text[at:]
+
+
+def pasted(seed=3):
+    """Passages of sentences pasted into other texts between any two words, re-wrapped, and alone; short phrases that recur."""
+    r = random.Random(seed)
+    sentence = lambda n: corpus.line(r, n).capitalize()
+    passages = [" ".join(sentence(r.randint(2, 12)) for _ in range(9)) for _ in range(4)]
+    out = []
+    for k in range(24):
+        own = " ".join(sentence(r.randint(3, 12)) for _ in range(8)).split(" ")
+        at = r.randrange(len(own))
+        body = passages[k % 4] if k % 3 else passages[k % 4].replace(". ", ".\n").upper()
+        out.append(" ".join([*own[:at], body, *own[at:], "See below."]))
+    return [*out, *passages]
+
+
+@pytest.mark.parametrize(("unit", "least"), [("line", 25), ("line", 1), ("paragraph", 8)])
+def test_units(spark, unit, least):
+    items = corpus.texts(8) + pasted()
+    items += ["\n \n".join(x.split("\n")) for x in items[:20] * 2 if x] + ["\r\n a b.\n\n\t\n c. d"] * 2
+    items = dict(enumerate(items))
+    want = brute_units(items, unit, least)
+    assert sum(map(len, want.values())) > 20
+    got = keyed(unit_dedup.dedup_units(corpus.frame(spark, list(items.values())), unit, least, removed_col="gone", count_col="score"))
+    assert {k: [(x["start"], x["finish"]) for x in v["gone"]] for k, v in got.items()} == want
+    assert all(v["text"] == (items[k] if items[k] is None else without(items[k], want[k])) for k, v in got.items())
     assert got[0]["ids"] == "old"
 
 
+def test_units_catch_pasted_passages(spark):
+    """Every later copy of a passage goes but for its first and last sentence, wherever it was pasted; own text stays."""
+    items = pasted()
+    got = keyed(unit_dedup.dedup_units(corpus.frame(spark, items)))
+    assert all(got[k]["removed"] for k in range(4, len(items))) and not any(got[k]["removed"] for k in range(4))
+    assert all("See below." in got[k]["text"] for k in range(24))
+
+
 def test_units_edges(spark):
     assert unit_dedup.digests(corpus.empty(spark)).count() == 0
-    got = unit_dedup.digests(corpus.frame(spark, ["a line that is long enough"] * 3 + [None], [1, 1, None, 2])).collect()
-    assert len(got) == 4
+    text = "a line that is long enough to go, one word after another, and another, till it has as many as are asked for or more."
+    got = unit_dedup.digests(corpus.frame(spark, [text] * 3 + [None, text], [1, 1, None, 2, 3])).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 1)]
+
+
+def test_units_of_a_very_long_text(spark):
+    r = random.Random(5)
+    body = [corpus.line(r) for _ in range(200)]
+    long = "\n".join([*body, "x" * 1_000_000, *["the same short line."] * 60_000])
+    got = keyed(unit_dedup.digests(corpus.frame(spark, ["\n".join(body), long])))
+    assert got[0]["n_removed"] == 0 and got[1]["n_removed"] == 200 + 59_999
 
 
 def brute_lines(items):
