@@ -2,130 +2,117 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize
 
-#: Lines of a fingerprint, and fingerprints of a winnowing window. Repeats of LINES + WINDOW - 1 lines are always found.
-LINES, WINDOW = 3, 4
-#: With a window of one every repeat of LINES lines is found; lines of more words than this can also be taken by themselves.
-EVERY, LONG_WORDS = 1, 50
+#: Lines of the shortest repeated run that goes, which is also the number of line hashes in a winnowing window.
+LINES = 3
+#: A line of more words than this is a passage and goes by itself where it occurred before.
+LONG_WORDS = 50
 
 
-def _code(text: Column) -> Column:
-    """60 bits of MD5 as a number, alike in other SQL engines."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often it stands there, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def line_table(docs: DataFrame, long_words: int | None = None) -> DataFrame:
-    """(doc_id, nos, codes): the numbers (from 0) and hashes of each document's lines that aren't blank.
+def _upto(n: Column) -> Column:
+    """0 .. n - 1; nothing where n is below 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    With `long_words` also `long`: the positions in `codes` of the lines of more words than that.
-    """
+
+def line_table(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, g): for the lines that aren't blank, in order, their digest, position (negative), number from 0 and whether they are long."""
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("no"), x.alias("line")))
     full = F.filter(lines, lambda x: F.trim(x["line"]) != "")
-    out = ["doc_id", F.col("x.no").alias("nos"), F.transform("x", lambda x: _code(x["line"])).alias("codes")]
-    if long_words is not None:
-        words = F.transform("x", lambda x, i: F.struct(i.alias("at"), F.size(F.split(F.trim(x["line"]), r"\s+")).alias("n")))
-        out.append(F.transform(F.filter(words, lambda w: w["n"] > long_words), lambda w: w["at"]).alias("long"))
-    return docs.where("doc_id is not null and text is not null").select("doc_id", full.alias("x")).select(*out)
+    long = lambda x: (F.length(x) > 2 * long_words) & (F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) > long_words)
+    hashed = F.transform(full, lambda x, i: F.struct(F.unhex(F.md5(x["line"])).alias("d"), (-i).alias("back"), x["no"].alias("no"), long(x["line"]).alias("long")))
+    return docs.where("doc_id is not null and text is not null").select("doc_id", hashed.alias("g"))
 
 
-def fingerprints(lines: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, pos, print): in each window of `window` successive line groups the smallest hash, the last of equals,
-    and the hash of the window's lines as a whole.
+def fingerprints(table: DataFrame, lines: int = LINES) -> DataFrame:
+    """(doc_id, print, windows): the winnowed fingerprints, and for each the windows that it stands for.
 
-    A print may occur first in a document that shares its lines only; the whole window leads to one that shares them all.
+    A window is `lines` successive lines; its fingerprint is the smallest of their digests, the last of equals. So equal
+    windows always have equal fingerprints at equal places. Successive windows share one, which makes them one row here;
+    each has its digest, the extension of the fingerprint both ways to `lines` lines, and the numbers of its lines. A long
+    line is a fingerprint and a window by itself.
     """
-
-    def groups(n: int) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size("codes") - n, F.lit(0))),
-            lambda i: F.struct(_code(F.array_join(F.slice("codes", i + 1, n).cast("array<string>"), ",")).alias("print"), (-i).alias("back")),
+    together = lambda g, i: F.md5(F.concat(*[F.get(g, i + k)["d"] for k in range(lines)]))
+
+    def rows(g: Column) -> Column:
+        windows = F.transform(
+            _upto(F.size(g) - (lines - 1)),
+            lambda i: F.struct(
+                F.array_min(F.transform(F.slice(g, i + 1, lines), lambda x: F.struct(x["d"].alias("d"), x["back"].alias("back")))).alias("own"), i.alias("i"),
+                F.struct(F.unhex(together(g, i)).alias("digest"), F.transform(F.slice(g, i + 1, lines), lambda x: x["no"]).alias("nos")).alias("w"),
+            ),
         )
 
-    windows = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("g") - (window - 1), F.lit(1))), lambda i: F.array_min(F.slice("g", i, window))
-    )
-    return (
-        lines.where(F.size("codes") >= LINES).select("doc_id", groups(LINES).alias("g"), groups(LINES + window - 1).alias("whole"))
-        .select("doc_id", F.explode(F.array_union(windows, "whole")).alias("f"))
-        .select("doc_id", (-F.col("f.back")).alias("pos"), F.col("f.print").alias("print"))
-    )
-
+        def grouped(w: Column) -> Column:
+            starts = F.filter(w, lambda x, i: (i == 0) | (x["own"]["back"] != F.get(w, F.greatest(i - 1, F.lit(0)))["own"]["back"]))
+            return _let(
+                starts,
+                lambda s: F.transform(
+                    s,
+                    lambda x, k: F.struct(
+                        x["own"]["d"].alias("print"),
+                        F.transform(F.slice(w, x["i"] + 1, F.coalesce(F.get(s, k + 1)["i"], F.size(w)) - x["i"]), lambda y: y["w"]).alias("windows"),
+                    ),
+                ),
+            )
+
+        alone = F.transform(
+            F.filter(g, lambda x: x["long"]),
+            lambda x: F.struct(x["d"].alias("print"), F.array(F.struct(x["d"].alias("digest"), F.array(x["no"]).alias("nos"))).alias("windows")),
+        )
+        return F.concat(_let(windows, grouped), alone)
 
-def long_repeats(lines: DataFrame) -> DataFrame:
-    """(doc_id, pos) of each long line that occurred before, by itself."""
-    at = F.explode("long").alias("pos")
-    own = materialize(lines.where(F.size("long") > 0).select("doc_id", "codes", at).select("doc_id", "pos", F.get("codes", F.col("pos")).alias("code")))
-    first = (
-        own.groupBy("code").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select("code", F.col("first.doc_id").alias("src"), F.col("first.pos").alias("src_pos"))
-    )
-    return own.join(first, "code").where("doc_id <> src or pos <> src_pos").select("doc_id", "pos")
+    found = table.select("doc_id", F.explode(_let(F.col("g"), rows)).alias("f"))
+    return found.select("doc_id", "f.print", "f.windows")
 
 
-def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, lines: int = LINES, long_words: int = LONG_WORDS) -> DataFrame:
     """(doc_id, gone): the numbers of the lines to delete, for documents that have any.
 
-    Every fingerprint is held against its first occurrence (smallest doc_id, then position) only: a count and a
-    minimum, both aggregated before they are shuffled, so a passage shared by a third of all documents costs one
-    row each and no pairs. Whole windows being fingerprints too, no window that occurred before is missed. The two documents are then compared along that diagonal, both ways and to the end, and
-    every run of LINES or more equal lines goes from the later place. With `long_words`, later copies of longer lines
-    go by themselves too.
+    Fingerprints that occur once leave first. The others' windows meet by digest: the smallest (doc_id, line) of each is a
+    minimum that is aggregated before it is shuffled, and all other members join that one row, in a join that Spark may split.
+    So a passage shared by a third of all documents costs one row for each place and no pairs, and a document of equal
+    lines costs no more than one of different lines. Every window that occurred before is found, which is every line of
+    every run of `lines` lines that occurred before.
     """
-    lines = materialize(line_table(docs, long_words))
-    prints = materialize(fingerprints(lines, window))
-    first = materialize(
-        prints.groupBy("print").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select("print", F.col("first.doc_id").alias("src"), F.col("first.pos").alias("src_pos"))
-    )
-    links = (
-        prints.join(first, "print").where("doc_id <> src or pos <> src_pos")
-        .select("doc_id", "src", (F.col("pos") - F.col("src_pos")).alias("shift")).distinct()
-    )
-    links = materialize(links)
-    # the sources' line hashes meet the links in pieces, so a source that many documents share is only read often, never grouped
-    here = links.join(lines.select("doc_id", "codes"), "doc_id")
-    there = lines.select(F.col("doc_id").alias("src"), F.col("codes").alias("src_codes"))
-    both = here.join(there, "src")
-    low = F.greatest(F.col("shift"), F.lit(0))
-    high = F.least(F.size("codes"), F.size("src_codes") + F.col("shift"))
-    equal = F.transform(F.slice("codes", low + 1, high - low), lambda c, i: c == F.get("src_codes", i + low - F.col("shift")))
-    runs = both.select("doc_id", low.alias("low"), equal.alias("eq"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("eq") - LINES), lambda i: reduce(and_, [F.get("eq", i + k) for k in range(LINES)]))
-    hit = runs.where(F.size("eq") >= LINES).select("doc_id", F.explode(F.transform(starts, lambda i: i + F.col("low"))).alias("at"))
-    covered = hit.select("doc_id", F.explode(F.array(*[F.col("at") + k for k in range(LINES)])).alias("pos"))
-    if long_words is not None:
-        covered = covered.union(long_repeats(lines))
-    gone = covered.distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
-    return gone.join(lines.select("doc_id", "nos"), "doc_id").select(
-        "doc_id", F.array_sort(F.transform("pos", lambda p: F.get("nos", p))).alias("gone")
-    )
-
-
-def dedup_lines(docs: DataFrame, removed_col: str = "removed_lines", window: int = WINDOW, long_words: int | None = None) -> DataFrame:
-    """Delete later copies of runs of LINES or more lines from the texts; add the deleted line numbers as `removed_col`.
-
-    Runs of LINES + window - 1 lines are always found, shorter ones by chance; `window` EVERY finds all. `long_words`
-    (LONG_WORDS, say) also deletes later copies of single lines of more words.
-    Blank lines don't count and stay. Documents with a null text or id pass unchanged; rows that repeat a doc_id get
-    the deletions found under it that fit their lines. Other columns pass through, one named `removed_col` is replaced.
+    prints = materialize(fingerprints(line_table(docs, long_words), lines))
+    repeated = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+    windows = prints.join(repeated, "print").select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.digest", "w.nos")
+    windows = materialize(windows)
+    place = F.struct("doc_id", F.get("nos", F.lit(0)).alias("no"))
+    first = windows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    again = windows.join(materialize(first), "digest").where(place > F.col("first"))
+    return again.select("doc_id", F.explode("nos").alias("no")).groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, removed_col: str = "removed_lines", lines: int = LINES, long_words: int = LONG_WORDS) -> DataFrame:
+    """Delete later copies of runs of `lines` or more lines, and of single lines of more than `long_words` words; add the deleted
+    line numbers as `removed_col`.
+
+    The earliest place (doc_id, then line) stays. Lines are compared byte by byte; blank ones (spaces only) don't count and
+    stay. A null text stays null, an empty one empty; rows with a null id pass unchanged. Rows that repeat a doc_id get the
+    deletions found under it that fit their lines, but don't delete each other's. Other columns pass through, one named
+    `removed_col` is replaced.
     """
     docs = docs.drop(removed_col)
-    name = fresh(docs, "gone")
-    gone = repeated_lines(docs.select("doc_id", "text"), window, long_words).withColumnRenamed("gone", name)
-    lines = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(name))
-    text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    return docs.join(gone, "doc_id", "left").select(
-        *[F.when(F.col(name).isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(name, F.array().cast("array<int>")).alias(removed_col),
-    )
+    name, split = fresh(docs, "gone"), fresh(docs, "lines")
+    gone = repeated_lines(docs.select("doc_id", "text"), lines, long_words).withColumnRenamed("gone", name)
+    # the lines are split before the join, so once, and stand for the text in it
+    cols = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    both = docs.select(*cols, F.split("text", "\n", -1).alias(split)).join(gone, "doc_id", "left")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(name)), lambda i: F.get(split, i))
+    text = F.array_join(F.when(F.col(name).isNull(), F.col(split)).otherwise(kept), "\n")
+    return both.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(name, F.array().cast("array<int>")).alias(removed_col))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -73,23 +73,12 @@ _JACCARD = f"""
 
 _LINE_DEDUP = f"""
     with l as ({_LINES}),
-    f as (select doc_id, no, row_number() over (partition by doc_id order by no) - 1 as pos, ('0x' || substr(md5(line), 1, 15))::BIGINT as code from l where trim(line) <> ''),
-    g as (
-        select doc_id, pos, ('0x' || substr(md5(code || ',' || c1 || ',' || c2), 1, 15))::BIGINT as gram from (
-            select *, lead(code, 1) over w as c1, lead(code, 2) over w as c2 from f window w as (partition by doc_id order by pos)) where c2 is not null),
-    size as (select doc_id, count(*) as n from g group by doc_id),
-    windows as (select doc_id, unnest(range(0, greatest(n - 3, 1))) as p from size),
-    prints as (
-        select distinct doc_id, pos, gram from (
-            select w.doc_id, w.p, g.pos, g.gram, row_number() over (partition by w.doc_id, w.p order by g.gram, g.pos desc) as r
-            from windows w join g on g.doc_id = w.doc_id and g.pos between w.p and w.p + 3) where r = 1),
-    first as (select gram, doc_id as src, pos as src_pos from (select *, row_number() over (partition by gram order by doc_id, pos) as r from prints) where r = 1),
-    links as (select distinct p.doc_id, s.src, p.pos - s.src_pos as shift from prints p join first s on s.gram = p.gram where (p.doc_id, p.pos) <> (s.src, s.src_pos)),
-    equal as (select k.doc_id, k.src, k.shift, a.pos from links k join f a on a.doc_id = k.doc_id join f b on b.doc_id = k.src and b.pos = a.pos - k.shift and b.code = a.code),
-    starts as (
-        select doc_id, pos from (select *, lead(pos, 1) over w as p1, lead(pos, 2) over w as p2 from equal window w as (partition by doc_id, src, shift order by pos))
-        where p1 = pos + 1 and p2 = pos + 2),
-    gone as (select distinct s.doc_id, f.no from (select doc_id, unnest([pos, pos + 1, pos + 2]) as pos from starts) s join f on f.doc_id = s.doc_id and f.pos = s.pos)
+    f as (select doc_id, no, md5(line) as m, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) > 50 as long from l where trim(line) <> ''),
+    w as (select *, lead(m, 1) over o as m1, lead(m, 2) over o as m2, lead(no, 1) over o as n1, lead(no, 2) over o as n2 from f window o as (partition by doc_id order by no)),
+    runs as (select *, row_number() over (partition by m, m1, m2 order by doc_id, no) as r from w where m2 is not null),
+    gone as (
+        select doc_id, unnest([no, n1, n2]) as no from runs where r > 1
+        union select doc_id, no from (select doc_id, no, row_number() over (partition by m order by doc_id, no) as r from f where long) where r > 1)
     select l.doc_id, count(*)::BIGINT as n_lines, count(gone.no)::BIGINT as n_removed, coalesce(string_agg(gone.no::VARCHAR, ',' order by gone.no), '') as removed_lines,
         sha256(coalesce(string_agg(line, chr(10) order by l.no) filter (gone.no is null), '')) as kept_sha256
     from l left join gone on gone.doc_id = l.doc_id and gone.no = l.no group by l.doc_id

@@ -173,56 +173,26 @@ def test_units_of_a_very_long_text(spark):
     assert got[0]["n_removed"] == 0 and got[1]["n_removed"] == 200 + 59_999
 
 
-def brute_lines(items):
-    code = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
-    codes, nos, prints = {}, {}, []
-    for doc, text in items.items():
-        full = [(n, x) for n, x in enumerate(text.split("\n")) if x.strip(" ")] if text is not None else []
-        codes[doc], nos[doc] = [code(x) for _, x in full], [n for n, _ in full]
-        grams = [code(",".join(map(str, codes[doc][k : k + 3]))) for k in range(len(full) - 2)]
-        chosen = {min((g, -j) for j, g in list(enumerate(grams))[k : k + 4]) for k in range(max(1, len(grams) - 3))} if grams else set()
-        prints += [(g, doc, -back) for g, back in chosen]
-    first = {}
-    for g, doc, pos in sorted(prints):
-        first.setdefault(g, (doc, pos))
-    gone = {}
-    for g, doc, pos in prints:
-        src, at = first[g]
-        if (src, at) != (doc, pos):
-            shift = pos - at
-            equal = [0 <= k - shift < len(codes[src]) and c == codes[src][k - shift] for k, c in enumerate(codes[doc])]
-            for k in range(len(equal) - 2):
-                if all(equal[k : k + 3]):
-                    gone.setdefault(doc, set()).update(nos[doc][k : k + 3])
-    return {d: sorted(gone.get(d, ())) for d in items}
-
-
-def test_lines(spark):
-    items = dict(enumerate(corpus.texts(9)))
-    want = brute_lines(items)
-    assert sum(map(len, want.values())) > 20
-    got = keyed(line_dedup.dedup_lines(corpus.frame(spark, list(items.values())), "gone"))
-    for doc, text in items.items():
-        assert got[doc]["gone"] == want[doc]
-        assert got[doc]["text"] == (text if not want[doc] else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in set(want[doc])))
-    assert got[0]["spans"] == "old"
-
-
-def earlier_runs(items, least):
-    """Brute force: the numbers of all lines in runs of `least` or more lines that an earlier place has."""
+def brute_lines(items, least=3, words=50):
+    """By result: the numbers of all lines in runs of `least` lines that an earlier place has, and of long lines that occurred."""
     seen, gone = set(), {}
     for doc, text in sorted(items.items()):
         full = [(n, x) for n, x in enumerate((text or "").split("\n")) if x.strip(" ")]
         gone[doc] = set()
+        for n, x in full:
+            if len(re.findall(r"[^\x20\x09-\x0D]+", x)) > words:
+                if x in seen:
+                    gone[doc].add(n)
+                seen.add(x)
         for k in range(len(full) - least + 1):
             run = tuple(x for _, x in full[k : k + least])
             if run in seen:
                 gone[doc].update(n for n, _ in full[k : k + least])
             seen.add(run)
-    return gone
+    return {d: sorted(x) for d, x in gone.items()}
 
 
-def headed(pairs=60):
+def headed(pairs=30):
     """A document of a header only, then pairs of documents that share header and passage, bare or between own lines, and short copies."""
     r = random.Random(21)
     new = lambda n: [corpus.line(r) for _ in range(n)]
@@ -235,37 +205,41 @@ def headed(pairs=60):
     return ["\n".join(x) for x in out]
 
 
-def test_lines_behind_a_common_header(spark):
-    items = dict(enumerate(headed()))
-    sure, most = earlier_runs(items, line_dedup.LINES + line_dedup.WINDOW - 1), earlier_runs(items, line_dedup.LINES)
-    got = {k: set(v["gone"]) for k, v in keyed(line_dedup.dedup_lines(corpus.frame(spark, list(items.values())), "gone")).items()}
-    assert sum(map(len, sure.values())) >= 360 and all(sure[d] <= got[d] <= most[d] for d in items)
-    assert all(len(got[d]) == 4 for d in list(items)[-1::-2][:15])  # exact copies shorter than a window
+def without_lines(text, gone):
+    return text if not gone else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in set(gone))
 
 
-def test_every_run_and_long_line(spark):
-    """The line stage of the pipeline finds what a brute force over earlier runs and lines finds, no more."""
-    import corpus_pipeline
-
+@pytest.mark.parametrize("least", [3, 1, 5])
+def test_lines(spark, least):
     r = random.Random(4)
     four, long, short = [corpus.line(r) for _ in range(4)], corpus.line(r, 60), corpus.line(r, 20)
-    items = headed(12) + corpus.texts(9) + ["\n".join([corpus.line(r), *four, corpus.line(r)]) for _ in range(8)]
+    items = corpus.texts(9) + headed() + ["\n".join([corpus.line(r), *four, corpus.line(r)]) for _ in range(8)]
     items += [f"{corpus.line(r)}\n{long}" for _ in range(3)] + [f"\t{short}\n{corpus.line(r)}" for _ in range(3)]
-    items = dict(enumerate(items))
-    want, seen = earlier_runs(items, line_dedup.LINES), set()
-    assert sum(map(len, want.values())) > sum(map(len, brute_lines(items).values()))
-    for doc, text in items.items():
-        for n, x in enumerate((text or "").split("\n")):
-            if len(x.split()) > 50:
-                if x in seen:
-                    want[doc].add(n)
-                seen.add(x)
-    docs = corpus.frame(spark, list(items.values()))
-    got = keyed(line_dedup.dedup_lines(docs, "gone", line_dedup.EVERY, line_dedup.LONG_WORDS))
-    assert {k: set(v["gone"]) for k, v in got.items()} == want
-    whole = lambda d: "\n".join(x for n, x in enumerate(items[d].split("\n")) if n not in want[d])
-    kept = {d: whole(d) for d in items if items[d] is not None and (not want[d] or whole(d).strip())}
-    assert {k: v["text"] for k, v in keyed(corpus_pipeline.line_stage(spark, docs, "")).items() if v["text"] is not None} == kept
+    items += ["\n".join(r.choices("abc", k=40)) for _ in range(6)]  # ties everywhere
+    ids = r.sample(range(-50, 5000), len(items))
+    items = dict(zip(ids, items, strict=True))
+    want = brute_lines(items, least)
+    assert sum(map(len, want.values())) > 200
+    got = keyed(line_dedup.dedup_lines(corpus.frame(spark, list(items.values()), ids), "gone", least))
+    assert {d: got[d]["gone"] for d in items} == want
+    assert all(got[d]["text"] == without_lines(x, want[d]) for d, x in items.items())
+    assert got[ids[0]]["spans"] == "old"
+
+
+def test_lines_of_a_run_longer_than_its_first_occurrence(spark):
+    """A has three lines, B those and three more, C all six of B: all of C goes, and A's of B."""
+    r = random.Random(6)
+    a, more = [corpus.line(r) for _ in range(3)], [corpus.line(r) for _ in range(3)]
+    got = keyed(line_dedup.dedup_lines(corpus.frame(spark, ["\n".join(x) for x in (a, a + more, a + more)])))
+    assert [got[k]["removed_lines"] for k in range(3)] == [[], [0, 1, 2], [0, 1, 2, 3, 4, 5]]
+
+
+def test_lines_of_very_long_texts(spark):
+    """Twenty thousand equal lines, as many different ones twice, and one line of megabytes."""
+    r = random.Random(7)
+    many = "\n".join(f"{k} {corpus.word(r)}" for k in range(20_000))
+    got = keyed(line_dedup.digests(corpus.frame(spark, ["\n".join(["the same"] * 20_000), many, many, "y " * 1_000_000])))
+    assert [got[k]["n_removed"] for k in range(4)] == [19_999, 0, 20_000, 0]
 
 
 def test_lines_edges(spark):
