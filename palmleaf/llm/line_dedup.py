@@ -86,7 +86,8 @@ def repeated_lines(docs: DataFrame, lines: int = LINES, long_words: int = LONG_W
     every run of `lines` lines that occurred before.
     """
     prints = materialize(fingerprints(line_table(docs, long_words), lines))
-    repeated = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+    # written, so that the join's own shuffle deals it out again and Spark may split a fingerprint that many places share
+    repeated = materialize(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"))
     windows = prints.join(repeated, "print").select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.digest", "w.nos")
     windows = materialize(windows)
     place = F.struct("doc_id", F.get("nos", F.lit(0)).alias("no"))
