@@ -46,13 +46,44 @@ def test_top_k(spark, monkeypatch, block):
             scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), k) for k, w in ints.items() if k != q)[:20]
             want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(scored)]
     assert sorted(tuple(r) for r in TK.top_k(frame(spark, rows)).collect()) == sorted(want)
+    walked = TK.walks(frame(spark, rows)).collect()
+    assert sum(r["rows"] for r in walked) == len(good) * len({q for q in ints if q % 20 == 0}) and all(r["seen"] <= r["rows"] for r in walked)
 
 
 def test_threshold_stops_early():
     rows = np.zeros((4096, 3))
     rows[:, 0] = np.arange(4096)
-    (ids, scores), = TK.threshold_search(rows, np.arange(4096), np.array([[2.0, 0, -1]]), np.array([-1]), 3)
+    ((ids, scores),), walks = TK.threshold_search(rows, np.arange(4096), np.array([[2.0, 0, -1]]), np.array([-1]), 3)
     assert ids.tolist() == [4095, 4094, 4093] and scores.tolist() == [8190, 8188, 8186]
+    assert walks[0, 2] == 1 and walks[0, 0] < 100
+
+
+def best(rows, ids, query, own, k):
+    return sorted((-float(r @ query), int(i)) for r, i in zip(rows, ids, strict=True) if i != own)[:k]
+
+
+@pytest.mark.parametrize(("decay", "share"), [(0.6, 0.3), (1.0, 1.0)])
+def test_threshold_walk(decay, share):
+    """Where few directions carry the vectors, turned as they may be, the bound ends every walk after a share of the rows; always the result is exact."""
+    r = np.random.default_rng(5)
+    turn = np.linalg.qr(r.normal(size=(24, 24)))[0]
+    rows = np.floor(64 * (r.normal(size=(4000, 24)) * decay ** np.arange(24)) @ turn)
+    ids = r.permutation(4000)
+    queries = rows[:40]
+    got, walks = TK.threshold_search(rows, ids, queries, ids[:40], 10)
+    for q, (who, scores) in enumerate(got):
+        assert list(zip((-scores).tolist(), who.tolist(), strict=True)) == best(rows, ids, queries[q], ids[q], 10)
+    assert walks[:, 0].mean() <= share * 4000
+    assert decay == 1 or walks[:, 2].all()
+
+
+def test_unseen_bound():
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        weight, edge, norm = np.abs(r.normal(size=(1, 5))), r.normal(size=(1, 5)), r.uniform(0.1, 3)
+        x = np.minimum(r.normal(size=(4000, 5)), edge)
+        x = x[np.sqrt((x * x).sum(1)) <= norm]
+        assert not len(x) or (x @ weight[0]).max() <= TK.unseen_bound(weight, edge, norm)[0] + 1e-9
 
 
 def test_top_k_ties_and_edges(spark):
