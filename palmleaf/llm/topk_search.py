@@ -63,22 +63,24 @@ def threshold_search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own
     seen, list entries read, and 1 where the bound ended it (0: every row had been seen).
 
     Rows and queries are turned to the rows' principal axes, where few lists carry most of a score, and every axis's list of
-    rows is sorted once. A query walks the lists from the end that its sign favours, in rounds that double the entries
-    read, and deals these out by what a list can add: its weight times its spread. Each row seen is scored in full, by the
+    rows is sorted once. A query walks the lists from the end that its sign favours, in rounds that each read four
+    times the entries, and deals these out by what a list can add: its weight times its spread. Each row seen is scored in full, by the
     numbers as they came. A row not seen yet is behind every list's last entry and no longer than the longest row, which
     bounds its score; the walk ends when the kth score exceeds that bound.
     """
     m, dims = rows.shape
     axes = rotation(rows)
     turned, weights = rows @ axes, queries @ axes
-    order = np.ascontiguousarray(np.argsort(turned, axis=0, kind="stable").T.astype(np.int32))
+    order = np.ascontiguousarray(np.argsort(turned, axis=0, kind="stable").T)
+    place = np.empty((dims, m), np.int16 if m < 1 << 15 else np.int64)  # of each row in each list
+    np.put_along_axis(place, order, np.arange(m, dtype=place.dtype)[None, :], 1)
     values = np.take_along_axis(turned.T, order, 1)
     norm = float(np.sqrt((rows * rows).sum(1)).max(initial=0)) * (1 + 1e-9)
     up, weight = weights > 0, np.abs(weights)
     # the share of each list in the entries that a round reads; lists that can add nothing are left alone
     share = weight * turned.std(0) + 1e-300
     share /= share.sum(1, keepdims=True)
-    budgets = [ROUND * dims << j for j in range(40) if j == 0 or ROUND * dims << (j - 1) < 2 * m * dims]
+    budgets = [ROUND * dims << 2 * j for j in range(20) if j == 0 or ROUND * dims << 2 * (j - 1) < 2 * m * dims]
     depths = [np.minimum(np.ceil(b * share).astype(np.int64), m) for b in budgets]
     slack = 1e-9 * (weight @ np.abs(values).max(1, initial=0))
     lists = np.arange(dims)
@@ -88,6 +90,7 @@ def threshold_search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own
         bounds.append(unseen_bound(weight, np.where(up, values[lists, at], -values[lists, at]), norm) + slack)
     exact = rows.astype(np.float32) if dims and dims * max(np.abs(rows).max(initial=0), np.abs(queries).max(initial=0)) ** 2 < 1 << 24 else rows
     out, walks = [], np.zeros((len(queries), 3), np.int64)
+    mark, some = np.zeros(m, bool), np.zeros(m, bool)
     for q in range(len(queries)):
         ask = queries[q].astype(exact.dtype)
         seen = np.zeros(m, bool)
@@ -95,18 +98,28 @@ def threshold_search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own
         before = np.zeros(dims, np.int64)
         for depth, bound in zip(depths, bounds, strict=True):
             now = depth[q]
-            walks[q, 1] += int((now - before).sum())
-            mark = np.zeros(m, bool)
-            mark[np.concatenate([order[i, m - b : m - a] if f else order[i, a:b] for i, (a, b, f) in enumerate(zip(before.tolist(), now.tolist(), up[q].tolist(), strict=True)) if b > a] or [order[0, :0]])] = True
+            read = int((now - before).sum())
+            walks[q, 1] += read
+            mark[:] = False
+            steps = zip(before.tolist(), now.tolist(), up[q].tolist(), strict=True)
+            if read < m:  # few entries: their rows one by one
+                for i, (a, b, f) in enumerate(steps):
+                    mark[order[i, m - b : m - a] if f else order[i, a:b]] = True
+            else:  # many: the rows whose places in a list it has read
+                for i, (a, b, f) in enumerate(steps):
+                    if b > a:
+                        mark |= np.greater_equal(place[i], m - b, out=some) if f else np.less(place[i], b, out=some)
             before = now
             mark &= ~seen
             seen |= mark
             new = np.flatnonzero(mark)
             # many rows are read in order and then picked, few one by one
             got = (exact @ ask)[new] if 4 * len(new) > m else exact[new] @ ask
-            new, got = new[ids[new] != own[q]], got[ids[new] != own[q]].astype(np.float64)
             if len(scores) == k:
-                new, got = new[got >= scores[-1]], got[got >= scores[-1]]
+                high = got >= scores[-1]
+                new, got = new[high], got[high]
+            other = ids[new] != own[q]
+            new, got = new[other], got[other].astype(np.float64)
             found, scores = np.concatenate([found, new]), np.concatenate([scores, got])
             if len(found) > 4 * k:
                 least = np.partition(scores, len(scores) - k)[len(scores) - k]
