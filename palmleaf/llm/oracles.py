@@ -1,6 +1,7 @@
 """DuckDB SQL for those training-data queries that SQL can express.
 
-A trained network or model, a tokenizer's merges and first-fit packing are beyond it; tests/llm holds those against brute force.
+A trained network or model, a tokenizer's merges and first-fit packing are beyond it; tests/llm holds those against brute
+force. Of op6 the base columns are held against SQL by `secret_base_spans`, the same plan without the models' columns.
 """
 
 from __future__ import annotations
@@ -84,9 +85,35 @@ _LINE_DEDUP = f"""
     from l left join gone on gone.doc_id = l.doc_id and gone.no = l.no group by l.doc_id
 """
 
+# The base patterns, with the group and the least length that count.
+_BASE = {
+    "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    "access": ("AKIA[A-Z0-9]+", 0, 16),
+    "hex": ("[0-9a-f]+", 0, 32),
+}
+
+
+def _base_kind(no: int, name: str) -> str:
+    pattern, group, least = _BASE[name]
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""select doc_id, {no} as k, '{name}' as kind, fin - n as a, fin as b from (
+        select *, length(whole) as n, (sum(length(piece) + coalesce(length(whole), 0)) over (partition by doc_id order by i))::BIGINT as fin from (
+            select doc_id, unnest(string_split_regex(t, {p})) as piece, unnest(regexp_extract_all(t, {p})) as whole, unnest(regexp_extract_all(t, {p}, {group})) as part,
+                generate_subscripts(string_split_regex(t, {p}), 1) as i from d)) where length(part) >= {least}"""
+
+
+_SECRETS = f"""
+    with d as (select doc_id, coalesce(text, '') as t from documents),
+    s as ({" union all ".join(_base_kind(no, name) for no, name in enumerate(_BASE))})
+    select d.doc_id, count(*) filter (k = 0)::BIGINT as n_assign, count(*) filter (k = 1)::BIGINT as n_access, count(*) filter (k = 2)::BIGINT as n_hex,
+        sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' order by a, k), '')) as base_sha256
+    from d left join s on s.doc_id = d.doc_id group by d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "secret_base_spans": _SECRETS,
         "op1_repeated_substrings": _REPEATS,
         "op2_topk_search": _TOP_K,
         "op4_range_join": _RANGE_JOIN,

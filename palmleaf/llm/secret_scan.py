@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh
-
 # The patterns of the base kinds and the least length of what counts of a match.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -25,32 +24,60 @@ RATIO_LEAST = 0.45
 #: Bounds of the training sample: about this many documents' words, and as many random strings.
 SAMPLE_DOCS, SAMPLE_RANDOM = 250, 2000
 
+#: The same for candidates of letters only, among which odd words and names are common.
+LETTERS_RATIO_LEAST = 0.9
+#: Random strings have at least so many different characters; repeats of a few are not keys.
+DISTINCT_LEAST = 8
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
+_BLOCK, _CHUNK = 64, 4096
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often it stands there, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+    """The running `join` (sum, greatest, least) of an array of ints without nulls.
+
+    An aggregate that gathers an array copies it at each step; here blocks are joined first, then their results in the same
+    way, and each entry is joined with those before it in its block and the blocks before that.
+    """
+    fold = lambda part, start: F.aggregate(part, start, lambda acc, x: F.coalesce(join(acc, x), x))
+    none = F.lit(None).cast("int")
 
+    def whole(v: Column) -> Column:
+        return F.transform(v, lambda x, i: fold(F.slice(v, 1, i + 1), none))
 
-def _found(text: Column, pattern: str, kind: int, least: int, group: int, likely: str) -> Column:
-    """Spans of a pattern's leftmost matches that don't overlap, as far as `group` has `least` characters.
+    def blocked(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(F.size(v) / _BLOCK).cast("int"))
+        done = running(F.transform(blocks, lambda j: F.coalesce(fold(F.slice(v, j * _BLOCK + 1, _BLOCK), none), F.lit(0))), join, levels - 1)
+        return _let(done, lambda d: F.transform(v, lambda x, i: fold(F.slice(v, i - i % _BLOCK + 1, i % _BLOCK + 1), F.get(d, F.floor(i / _BLOCK).cast("int") - 1))))
 
-    The pieces between the matches and the matches themselves alternate, so their lengths add up to the offsets.
+    return _let(values, lambda v: F.when(F.size(v) <= _BLOCK, whole(v)).otherwise(blocked(v)) if levels else whole(v))
+
+
+def _found(text: Column, pattern: str, kind: int, least: int, group: int, likely: str, ok: Callable[[Column], Column] | None = None) -> Column:
+    """Spans of a pattern's leftmost matches that don't overlap, as far as `group` has `least` characters and the match is `ok`.
+
+    The pieces between the matches and the matches themselves alternate, so their running lengths are the offsets.
     Texts that the (weaker, cheaper) pattern `likely` doesn't find are not looked at again.
     """
-    pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    rows = F.zip_with(
-        F.slice(pieces, 1, F.size(whole)),
-        F.zip_with(whole, part, lambda w, p: F.struct(F.length(w).alias("n"), (F.length(p) >= least).alias("ok"))),
-        lambda gap, m: F.struct(F.length(gap).alias("gap"), m["n"].alias("n"), m["ok"].alias("ok")),
-    )
-    none = F.lit(None).cast(_SPANS)
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast(_SPANS)).alias("out"))
+    fine = F.zip_with(whole, part, lambda w, p: F.struct(F.length(w).alias("n"), ((F.length(p) >= least) & (ok(w) if ok else F.lit(True))).alias("ok")))
+    rows = F.zip_with(F.split(text, pattern, -1), fine, lambda gap, m: F.struct((F.length(gap) + m["n"]).alias("step"), m["n"].alias("n"), m["ok"].alias("ok")))
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["gap"]
-        end = begin + m["n"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(m["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def spans(r: Column) -> Column:
+        ends = running(F.transform(r, lambda x: x["step"]), lambda x, y: x + y)
+        return F.transform(
+            F.filter(F.zip_with(r, ends, lambda x, e: F.struct((e - x["n"]).alias("start"), e.alias("end"), x["ok"].alias("ok"))), lambda x: x["ok"]),
+            lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")),
+        )
 
-    return F.when(text.rlike(likely), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
+    # the piece after the last match has no match beside it
+    some = F.filter(rows, lambda r: r["n"].isNotNull())
+    return F.when(text.rlike(likely), _let(some, spans)).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -107,53 +134,81 @@ def train(samples: DataFrame) -> list[float]:
     return [math.log(counts[True][k] / rows[True][k // n]) - math.log(counts[False][k] / rows[False][k // n]) for k in range(n * n)]
 
 
-def markov_spans(text: Column, ratios: list[float], least: float = RATIO_LEAST) -> Column:
-    """Spans of strings that the model of random strings explains better, by `least` nats a transition or more.
+def ratio(string: Column, ratios: list[float]) -> Column:
+    """Mean log-likelihood ratio of a string's transitions, random against ordinary; its characters must be of ALPHABET."""
+    n = len(ALPHABET)
+    table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
+    chars = F.filter(F.split(string, "", -1), lambda c: c != "")
+    codes = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    pairs = _let(codes, lambda v: F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.get(table, a * n + b)))
+    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / (F.length(string) - 1)
 
-    Strings without a letter or without a digit don't count: words, however odd, and numbers aren't keys.
-    """
+
+def random_like(string: Column, ratios: list[float], least: float = RATIO_LEAST, letters_least: float = LETTERS_RATIO_LEAST) -> Column:
+    """Whether the model of random strings explains a candidate better, by `least` nats a transition or more (`letters_least`
+    where it has no digit). Numbers and repeats of a few characters aren't keys, whatever their ratio."""
+    varied = F.size(F.array_distinct(F.split(string, "", -1))) >= DISTINCT_LEAST
+    bound = F.when(string.rlike("[0-9]"), F.lit(least)).otherwise(F.lit(letters_least))
+    return string.rlike("[A-Za-z]") & varied & (ratio(string, ratios) >= bound)
+
+
+def markov_spans(text: Column, ratios: list[float], least: float = RATIO_LEAST) -> Column:
+    """Spans of the runs of CANDIDATE_LEAST or more characters of ALPHABET that are `random_like`."""
     text = F.coalesce(text, F.lit(""))
     char = r"[A-Za-z0-9+/_-]"
     pattern = r"(?<!%s)%s{%d,}+" % (char, char, CANDIDATE_LEAST)
-    spans = _found(text, pattern, 3, CANDIDATE_LEAST, 0, pattern)
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    n = len(ALPHABET)
+    return _found(text, pattern, 3, CANDIDATE_LEAST, 0, pattern, lambda w: random_like(w, ratios, least))
 
-    def score(s: Column) -> Column:
-        code = lambda i: F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1))) - 1
-        total = F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, code(i) * n + code(i + 1)))
-        return total / (F.length(s) - 1)
 
-    def kept(x: Column) -> Column:
-        s = F.substring(text, x["start"] + 1, x["end"] - x["start"])
-        return s.rlike("[0-9]") & s.rlike("[A-Za-z]") & (score(s) >= least)
+def _free(fixed: Column, more: Column) -> Column:
+    """All of `fixed` and those of `more` that meet none of them, by start, then kind."""
 
-    return F.filter(spans, kept)
+    def kept(spans: Column) -> Column:
+        before = running(F.transform(spans, lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(-1)), F.greatest)
+        after = F.reverse(running(F.transform(F.reverse(spans), lambda s: F.when(s["kind"] < 3, s["start"]).otherwise(2**31 - 1)), F.least))
+        return _let(
+            F.struct(before.alias("b"), after.alias("a")),
+            lambda x: F.filter(spans, lambda s, i: (s["kind"] < 3) | ((F.get(x["b"], i) <= s["start"]) & (F.get(x["a"], i) >= s["end"]))),
+        )
+
+    return F.when(F.size(more) == 0, fixed).otherwise(_let(F.array_sort(F.concat(fixed, more)), kept))
 
 
 def scan(docs: DataFrame, ratios: list[float], spans_col: str = "spans") -> DataFrame:
     """Add `spans_col`: all spans by start, then kind. Base spans stay; spans of the models are added where they meet none.
 
-    A null text has no spans. Row by row, without a shuffle; extra columns pass through, one named `spans_col` is replaced.
+    A null text has no spans, nor has an empty one. Row by row, without a shuffle, so rows that repeat a doc_id are rows of
+    their own; the work follows a text's length. Extra columns pass through, one named
+    `spans_col` is replaced.
     """
     docs = docs.drop(spans_col)
-    fixed, more = fresh(docs, "fixed_spans"), fresh(docs, "more_spans")
-    base = docs.withColumns({fixed: base_spans(F.col("text")), more: markov_spans(F.col("text"), ratios)})
-    free = F.filter(more, lambda m: ~F.exists(fixed, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return base.withColumn(spans_col, F.array_sort(F.concat(fixed, free))).drop(fixed, more)
+    text = F.col("text")
+    found = _let(F.struct(base_spans(text).alias("fixed"), markov_spans(text, ratios).alias("more")), lambda x: _free(x["fixed"], x["more"]))
+    return docs.withColumn(spans_col, found)
 
 
 def redact(docs: DataFrame, spans_col: str = "spans", mask: str = "[SECRET]") -> DataFrame:
-    """Replace every span in the text by `mask`; spans that overlap become one. Null texts stay null."""
+    """Replace every span in the text by `mask`; spans that overlap become one. Null texts stay null.
+
+    What is between the spans is taken from chunks of the text, so that no piece is looked for from the start.
+    """
     text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
+    def piece(chunks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / _CHUNK).cast("int")
+        some = F.array_join(F.slice(chunks, first + 1, F.floor(b / _CHUNK).cast("int") - first + 1), "")
+        return F.substring(some, a % _CHUNK + 1, b - a)
+
+    def masked(x: Column) -> Column:
+        heads = F.filter(F.transform(x["s"], lambda s, i: F.struct(F.coalesce(F.get(x["m"], i - 1), F.lit(0)).alias("a"), s["start"].alias("b"))), lambda g: g["b"] >= g["a"])
+        last = F.array(F.struct(F.get(x["m"], F.size(x["m"]) - 1).alias("a"), F.length(text).alias("b")))
+        return F.array_join(F.transform(F.concat(heads, last), lambda g: piece(x["c"], g["a"], g["b"])), mask)
 
-    done = F.aggregate(F.col(spans_col), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return docs.withColumn("text", F.when(F.size(spans_col) > 0, done).otherwise(text))
+    parts = F.struct(
+        F.col(spans_col).alias("s"), running(F.transform(spans_col, lambda s: s["end"]), F.greatest).alias("m"),
+        F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _CHUNK), F.lit(0)).alias("c"),
+    )
+    return docs.withColumn("text", F.when(F.size(spans_col) > 0, _let(parts, masked)).otherwise(text))
 
 
 def joined(spans: Column) -> Column:

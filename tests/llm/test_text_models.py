@@ -100,6 +100,47 @@ def test_secrets(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_random_strings_are_told_from_identifiers(spark):
+    """Precision and recall of the Markov models on strings that they weren't trained on, from another generator and other documents."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    ratios = secret_scan.model(spark, docs)
+    r = random.Random(77)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = [letters + digits, letters + digits + "+/", letters + digits + "-_", letters, letters[26:] + digits, letters[:26] + digits, letters[26:]]
+    rows = [(True, "".join(r.choices(a, k=n))) for a in kinds for n in (20, 24, 32, 40, 64) for _ in range(60)]
+    words = [w.lower() for x in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() for w in re.findall("[A-Za-z]{2,}", x["text"] or "")]
+    for _ in range(3000):
+        w = r.sample(words, r.randint(3, 6))
+        rows.append((False, r.choice(["_".join(w), w[0] + "".join(x.capitalize() for x in w[1:]), "/".join(w), "-".join(w).upper(), f"{'_'.join(w)}{r.randint(0, 99)}", "".join(w)])))
+    rows = [x for x in rows if len(x[1]) >= secret_scan.CANDIDATE_LEAST]
+    df = spark.createDataFrame(rows, "random boolean, s string")
+    got = df.groupBy("random", secret_scan.random_like(F.col("s"), ratios).alias("hit")).count().collect()
+    n = {(x["random"], x["hit"]): x["count"] for x in got}
+    assert n[True, True] / (n[True, True] + n.get((True, False), 0)) >= 0.95
+    assert n[True, True] / (n[True, True] + n.get((False, True), 0)) >= 0.95
+
+
+def test_secrets_of_very_long_texts(spark):
+    """Thousands of matches of each kind in one text, a candidate of a megabyte, and rows that repeat a doc_id."""
+    r = random.Random(9)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    lines = [f"é {''.join(r.choices('0123456789abcdef', k=40))} token={k:08d} AKIA{k:012d} {''.join(r.choices(alnum, k=30))}" for k in range(5000)]
+    items = ["\n".join(lines), "A1b2" * 250_000, "token=abcdefgh", "token=abcdefgh", ""]
+    docs = corpus.frame(spark, items, [1, 2, 3, 3, 4])
+    ratios = secret_scan.model(spark, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    got = secret_scan.redact(secret_scan.scan(docs, ratios, "gone"), "gone").orderBy("doc_id").collect()
+    want = brute_spans(items[0])
+    assert [(x["start"], x["kind"], x["end"]) for x in got[0]["gone"] if x["kind"] < 3] == want and len(want) == 15_000
+    assert sum(x["kind"] == 3 for x in got[0]["gone"]) > 4900
+    out, at = [], 0
+    for x in got[0]["gone"]:
+        if x["start"] >= at:
+            out += [items[0][at : x["start"]], "[SECRET]"]
+        at = max(at, x["end"])
+    assert got[0]["text"] == "".join(out) + items[0][at:]
+    assert [x["text"] for x in got[2:]] == ["[SECRET]", "[SECRET]", ""] and len(got[1]["gone"]) <= 1
+
+
 def test_secrets_edges(spark):
     ratios = secret_scan.model(spark, corpus.empty(spark))
     assert secret_scan.report(corpus.empty(spark), ratios).count() == 0
