@@ -21,8 +21,9 @@ STRETCH_COUNT, LEAST_FREQUENT, MAX_FREQUENT = 3, 16, 1 << 20
 _STRETCH = 4_000_000
 #: Most rows of a table of ids that are broadcast; beyond it Spark joins by shuffling.
 MAX_BROADCAST_IDS = 500_000
-#: Entries of an index list that are skipped or compared together; sets of a cluster that a task compares.
-BLOCK, CLUSTER_BLOCK = 64, 1024
+#: Entries of an index list that are skipped or compared together; entries of a list, and sets of a cluster and the bytes of
+#: their shingles, of which a task gets two blocks at most.
+BLOCK, LIST_BLOCK, CLUSTER_BLOCK, CLUSTER_BYTES = 64, 512, 1024, 16 << 20
 _SLICE = 1 << 19
 
 
@@ -123,7 +124,7 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, items): the sets of the documents in `ids` (doc_id), their shingles as sorted 48-bit numbers."""
+    """(doc, items): the sets of the documents in `ids` (doc_id), their shingles as sorted 64-bit numbers."""
 
     schema = "doc long, items binary"
 
@@ -131,51 +132,67 @@ def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             for doc, owner, value in _sets(batch):
                 cut = np.searchsorted(owner, np.arange(len(doc) + 1))
-                items = [(value[i:j] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                items = [value[i:j].astype("<u8").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 yield _arrow(schema, doc=doc, items=items)
 
     return _keyed(docs.join(_small(ids), "doc_id")).mapInArrow(run, schema)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    x = np.zeros((len(data) // 6, 8), np.uint8)
-    x[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return x.view("<u8").ravel()
+    return np.frombuffer(data, "<u8")
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets with each other.
+def overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, sizes of the intersections of set k with every set), for all sets, the most similar ones after each other.
 
-    Items of few sets are counted pair by pair, those of many as products of 0/1 matrices.
+    An inverted index tells which sets hold an item. The answers of the hub, the set that shares most with all others, are
+    counted from it in full. Another set's come from the answers of the hub or of the set before, whichever differs less: plus the
+    sets of the items that it has more, minus those of the items that it lacks. So what near copies have in common is
+    counted once. A set that resembles neither is counted in full.
     """
     g = len(sets)
-    out = np.zeros((g, g), np.float32)
-    own = np.repeat(np.arange(g), [len(s) for s in sets])
-    _, item, count = np.unique(np.concatenate(sets) if g else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
+    own = np.repeat(np.arange(g), [len(x) for x in sets])
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(item, kind="stable")
-    own, item, few = own[order], item[order], 12
-    rare = count[item] <= few
-    o, t = own[rare], item[rare]
-    for k in range(1, few):
-        same = t[k:] == t[:-k]
-        np.add.at(out, (o[:-k][same], o[k:][same]), 1)
-    out += out.T
-    columns = np.flatnonzero(count > few)
-    o, t = own[~rare], np.searchsorted(columns, item[~rare])
-    cuts = np.searchsorted(t, np.arange(0, len(columns) + 4096, 4096))
-    for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if i < j:
-            m = np.zeros((g, min(4096, len(columns) - k * 4096)), np.float32)
-            m[o[i:j], t[i:j] - k * 4096] = 1
-            out += m @ m.T
-    return out
+    holders, ends = own[order], np.cumsum(np.bincount(item))
+    starts = ends - np.bincount(item)
+    parts = np.split(item, np.cumsum([len(x) for x in sets])[:-1])
+
+    def held(items: np.ndarray) -> np.ndarray:
+        count = ends[items] - starts[items]
+        at = np.repeat(starts[items] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.bincount(holders[at], minlength=g)
+
+    weight = np.bincount(own, weights=(ends - starts)[item], minlength=g)
+    hub = int(weight.argmax())
+    answers = held(parts[hub])
+    known = {hub: answers}
+    yield hub, answers
+    size = np.array([len(x) for x in sets])
+    near = np.argsort(-(answers / np.maximum(size + size[hub] - answers, 1)), kind="stable")
+    last = hub
+    for k in near.tolist():
+        if k == hub:
+            continue
+        base, change = None, len(parts[k])
+        for other in {hub, last}:
+            differ = size[k] + size[other] - 2 * int(known[other][k])
+            if differ < change:
+                base, change = other, differ
+        if base is None:
+            answers = held(parts[k])
+        else:
+            more, less = np.setdiff1d(parts[k], parts[base], assume_unique=True), np.setdiff1d(parts[base], parts[k], assume_unique=True)
+            answers = known[base] + held(more) - held(less)
+        known = {hub: known[hub], k: answers}
+        last = k
+        yield k, answers
 
 
 def _cluster_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spanning forests (a, b) of the links within clusters, from rows (cluster, x, y, doc, block, items) in order of the first three.
 
-    The intersections of a whole cluster come from its shared items at once: what one set has in common with the others is
-    not worked out again for the next one that hardly differs from it. Of two blocks, only links between them count.
+    Of two blocks, only links between them count.
     """
     rest = None
 
@@ -183,19 +200,21 @@ def _cluster_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = [_unpacked(x) for x in pdf["items"]]
         doc, block = pdf["doc"].to_numpy(), pdf["block"].to_numpy()
         n = np.array([len(s) for s in sets], np.int64)
+        apart = block.min() != block.max() or pdf["x"].iloc[0] != pdf["y"].iloc[0]
+        forest = Forest(len(sets))
         if len(sets) == 2:
-            both = np.zeros((2, 2))
-            both[0, 1] = both[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+            both = len(np.intersect1d(*sets, assume_unique=True))
+            found = [(0, np.array([0, both]))]
         else:
-            both = intersections(sets)
-        linked = 100 * both >= PERCENT * (n[:, None] + n[None, :] - both)
-        if block[0] != block[-1] or block.min() != block.max():
-            linked &= block[:, None] != block[None, :]
-        forest = Forest(len(sets))
-        for k in range(0, len(sets), 64):
-            i, j = np.nonzero(np.triu(linked[k : k + 64], k + 1))
-            if len(i):
-                forest.add(i + k, j)
+            found = overlaps(sets)
+        for k, both in found:
+            linked = 100 * both >= PERCENT * (n[k] + n - both)
+            linked[k] = False
+            if apart:
+                linked &= block != block[k]
+            other = np.flatnonzero(linked)
+            if len(other):
+                forest.add(np.full(len(other), k), other)
         edges = np.array(forest.edges, np.int64).reshape(-1, 2)
         return doc[edges[:, 0]], doc[edges[:, 1]]
 
@@ -227,19 +246,20 @@ def _clusters(lists: DataFrame) -> DataFrame:
     """
     degree = lists.groupBy("doc").agg(F.sum(F.col("size") - 1).alias("degree"))
     met = lists.select("token", "doc", "n").join(_small(materialize(degree)), "doc")
-    hub = F.max_by("doc", F.struct("degree", -F.col("doc"))).over(Window.partitionBy("token"))
-    votes = met.withColumn("hub", hub).groupBy("doc", "n", "hub").agg(F.count(F.lit(1)).alias("votes"))
+    hubs = materialize(met.groupBy("token").agg(F.max_by("doc", F.struct("degree", -F.col("doc"))).alias("hub")))
+    votes = lists.select("token", "doc", "n").join(hubs, "token").groupBy("doc", "n", "hub").agg(F.count(F.lit(1)).alias("votes"))
     enough = F.expr(f"10 * votes >= n - ceil({PERCENT} * n / 100.0) + 1")
-    best = votes.groupBy("doc").agg(F.max_by(F.when(enough, F.col("hub")).otherwise(F.col("doc")), F.struct("votes", -F.col("hub"))).alias("hub"))
+    best = votes.groupBy("doc", "n").agg(F.max_by(F.when(enough, F.col("hub")).otherwise(F.col("doc")), F.struct("votes", -F.col("hub"))).alias("hub"))
     best = materialize(best)
     onward = best.select(F.col("doc").alias("hub"), F.col("hub").alias("cluster"))
-    return materialize(best.join(onward, "hub").select("doc", "cluster"))
+    return materialize(best.join(onward, "hub").select("doc", "n", "cluster"))
 
 
 def _within_clusters(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     """Edges (a, b) that span the links between documents of the same cluster; large clusters are compared block by block."""
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(clusters.join(sizes, "cluster").withColumn("blocks", F.expr(f"(size + {CLUSTER_BLOCK - 1}) div {CLUSTER_BLOCK}")))
+    cut = F.greatest(F.ceil(F.col("size") / CLUSTER_BLOCK), F.ceil(8 * F.col("items") / CLUSTER_BYTES)).cast("long")
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items")).where("size > 1").select("cluster", cut.alias("blocks"))
+    members = materialize(clusters.select("doc", "cluster").join(sizes, "cluster"))
     sets = _packed(docs, members.select(F.col("doc").alias("doc_id")))
     placed = sets.join(_small(members), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -270,8 +290,8 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(members.join(hubs, "a").select("a", "b", "items_a", "items_b").mapInPandas(compare, "a long, b long"))
 
 
-def _blocks(n: np.ndarray, pos: np.ndarray, group: np.ndarray, cluster: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of entries of one index list, of different groups and clusters, whose sizes and positions allow a link.
+def _blocks(n: np.ndarray, pos: np.ndarray, group: np.ndarray, cluster: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of one index list, of different groups, clusters and (where given) sides, whose sizes and positions allow a link.
 
     The list is in order of size. Two blocks are skipped together where their extreme sizes, or the most that can still
     be shared after the positions of this shingle, rule out every pair.
@@ -287,14 +307,17 @@ def _blocks(n: np.ndarray, pos: np.ndarray, group: np.ndarray, cluster: np.ndarr
             a, b = np.arange(x * BLOCK, min(len(n), (x + 1) * BLOCK))[:, None], np.arange(y * BLOCK, min(len(n), (y + 1) * BLOCK))[None, :]
             most = np.minimum(pos[a], pos[b]) + 1 + np.minimum(left[a], left[b])
             ok = (a < b) & (group[a] != group[b]) & (cluster[a] != cluster[b]) & (100 * n[a] >= PERCENT * n[b]) & (most >= required(n[a], n[b]))
+            if side is not None:
+                ok &= side[a] != side[b]
             i, j = np.nonzero(ok)
             if len(i):
                 yield i + x * BLOCK, j + y * BLOCK
 
 
 def _cross_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of shared prefix shingles of pairs (a, b) of different groups and clusters, from rows in order of token, size and document."""
-    names = ["a", "b", "n_a", "n_b", "shared"]
+    """Counts of shared prefix shingles of pairs (a, b) of different groups and clusters, from rows in order of token, x, y, size and
+    document. x and y are the parts of a long list that meet; of two parts, only pairs between them count."""
+    names, keys = ["a", "b", "n_a", "n_b", "shared"], ["token", "x", "y"]
     held, total, rest = [], 0, None
 
     def flush() -> pd.DataFrame:
@@ -302,18 +325,18 @@ def _cross_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return all_.groupby(names[:4], sort=False).size().rename("shared").reset_index()
 
     def lists(pdf: pd.DataFrame) -> Iterator[np.ndarray]:
-        token = pdf["token"].to_numpy()
-        doc, n, pos, group, cluster = (pdf[c].to_numpy().astype(np.int64) for c in ("doc", "n", "pos", "grp", "cluster"))
-        cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+        key = pdf[keys].to_numpy()
+        doc, n, pos, group, cluster, side = (pdf[c].to_numpy().astype(np.int64) for c in ("doc", "n", "pos", "grp", "cluster", "side"))
+        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1), [True]]))
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            for x, y in _blocks(n[i:j], pos[i:j], group[i:j], cluster[i:j]):
+            for x, y in _blocks(n[i:j], pos[i:j], group[i:j], cluster[i:j], side[i:j] if key[i, 1] != key[i, 2] else None):
                 a, b = doc[i:j][x], doc[i:j][y]
                 swap = a > b
                 yield np.stack([np.where(swap, b, a), np.where(swap, a, b), np.where(swap, n[i:j][y], n[i:j][x]), np.where(swap, n[i:j][x], n[i:j][y])], 1)
 
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        open_ = pdf["token"].to_numpy() == pdf["token"].iloc[-1] if len(pdf) else np.empty(0, bool)
+        open_ = (pdf[keys].to_numpy() == pdf[keys].to_numpy()[-1]).all(1) if len(pdf) else np.empty(0, bool)
         rest = pdf[open_]
         for got in lists(pdf[~open_]) if (~open_).any() else ():
             held.append(got)
@@ -334,7 +357,8 @@ def join(docs: DataFrame) -> DataFrame:
     4. Within each list only sets of different groups and clusters are paired, as the answers for others are known, blocks being
     skipped by position; the exact count of shared prefix shingles bounds the intersection, and what passes is compared in
     full. So a group of near copies is never written out as pairs, and no link is lost. Frequent shingles come last in the
-    order, so no list holds all documents of a stock phrase.
+    order, so no list holds all documents of a stock phrase; a list that is long all the same is cut into parts, and each two
+    parts are a task.
 
     A null text, or one without words, has an empty set and links with nothing. Null ids keep null components. Extra columns
     are ignored; rows that repeat a doc_id must repeat its text.
@@ -361,10 +385,13 @@ def join(docs: DataFrame) -> DataFrame:
     release(spark)
     known = components(sure).select(F.col("node").alias("doc"), F.col("component_id").alias("grp"))
     state = materialize(clusters.join(known, "doc", "left").select("doc", "cluster", F.coalesce("grp", "doc").alias("grp")))
-    grouped = materialize(lists.select("token", "doc", "n", "pos").join(_small(state), "doc"))
+    grouped = materialize(lists.select("token", "doc", "n", "pos", "size").join(_small(state), "doc"))
     ends = [f(c).alias(f"{k}_{c}") for c in ("grp", "cluster") for k, f in (("low", F.min), ("high", F.max))]
     mixed = grouped.groupBy("token").agg(*ends).where("low_grp <> high_grp and low_cluster <> high_cluster").select("token")
-    open_ = grouped.join(_small(materialize(mixed)), "token").repartition("token").sortWithinPartitions("token", "n", "doc")
+    open_ = grouped.join(_small(materialize(mixed)), "token").withColumn("parts", F.ceil(F.col("size") / LIST_BLOCK))
+    open_ = open_.withColumn("side", F.pmod(F.xxhash64("doc"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    open_ = open_.select("token", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "n", "doc", "pos", "grp", "cluster", "side")
+    open_ = open_.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "doc")
     pairs = open_.mapInPandas(_cross_pairs, "a long, b long, n_a long, n_b long, shared long")
     total = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
     rest = F.greatest(*[F.expr(f"cast(ceil({PERCENT} * {n} / 100.0) as bigint) - 1") for n in ("n_a", "n_b")])

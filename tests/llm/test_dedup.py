@@ -295,9 +295,32 @@ def test_jaccard(spark, monkeypatch, block, frequent):
     assert got == want and len({c for _, c in want.values()}) < len(ids) - 30
 
 
+def test_overlaps_are_derived():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    base = r.choice(1 << 40, 300, replace=False)
+    sets = [np.unique(np.concatenate([np.delete(base, r.choice(300, k % 40)), r.choice(1 << 40, k % 25)])).astype(np.uint64) for k in range(60)]
+    sets += [np.unique(r.choice(1 << 40, 50)).astype(np.uint64), sets[3][:1], sets[5]]
+    got = dict(J.overlaps(sets))
+    assert all(got[i][j] == len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(len(sets)))
+
+
+def test_jaccard_in_small_parts(spark, monkeypatch):
+    """Clusters cut by bytes and lists cut into parts lose no link."""
+    for name, n in (("CLUSTER_BYTES", 2000), ("LIST_BLOCK", 3), ("BLOCK", 2), ("LEAST_FREQUENT", 1 << 40)):
+        monkeypatch.setattr(J, name, n)
+    items = dict(enumerate(corpus.texts(13, 30) + near_copies(5, 40) + near_copies(6, 20)))
+    got = {k: (v["n_shingles"], v["component_id"]) for k, v in keyed(J.join(corpus.frame(spark, list(items.values())))).items()}
+    assert got == brute_jaccard(items)
+    monkeypatch.setattr(J, "_clusters", lambda lists: lists.selectExpr("doc", "n", "doc as cluster").distinct())
+    got = {k: (v["n_shingles"], v["component_id"]) for k, v in keyed(J.join(corpus.frame(spark, list(items.values())))).items()}
+    assert got == brute_jaccard(items)
+
+
 def test_jaccard_without_clusters(spark, monkeypatch):
     """All links have to come from the index lists alone where no cluster forms."""
-    monkeypatch.setattr(J, "_clusters", lambda lists: lists.selectExpr("doc", "doc as cluster").distinct())
+    monkeypatch.setattr(J, "_clusters", lambda lists: lists.selectExpr("doc", "n", "doc as cluster").distinct())
     items = dict(enumerate(corpus.texts(12, 30) + near_copies(4, 30)))
     got = {k: (v["n_shingles"], v["component_id"]) for k, v in keyed(J.join(corpus.frame(spark, list(items.values())))).items()}
     assert got == brute_jaccard(items)
