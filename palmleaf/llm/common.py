@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one in the warehouse, which they
+    share too; only a local session, whose driver and executor are one process, gets a temporary one."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
-        found = tempfile.mkdtemp(prefix="palmleaf-")
+        local = re.fullmatch(r"local(\[.*\])?", sc.master)
+        found = tempfile.mkdtemp(prefix="palmleaf-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/palmleaf-checkpoints"
         sc.setCheckpointDir(found)
     return str(found).rstrip("/")
 

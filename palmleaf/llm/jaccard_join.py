@@ -23,7 +23,7 @@ _STRETCH = 4_000_000
 MAX_BROADCAST_IDS = 500_000
 #: Entries of an index list that are skipped or compared together; entries of a list, and sets of a cluster and the bytes of
 #: their shingles, of which a task gets two blocks at most.
-BLOCK, LIST_BLOCK, CLUSTER_BLOCK, CLUSTER_BYTES = 64, 512, 1024, 16 << 20
+BLOCK, LIST_BLOCK, CLUSTER_BLOCK, CLUSTER_BYTES = 64, 256, 1024, 16 << 20
 _SLICE = 1 << 19
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -273,7 +274,8 @@ def removals(docs: DataFrame) -> DataFrame:
     hash, and those that occur once vanish. 3. Anchors with equal surroundings are classes: all but the first are repeats.
     4. The classes' first members, with their bytes, form a sparse suffix array for each anchor, a prefix bucket of the
     corpus's suffix array; its interval tree gives the maximal repeat groups, and all but a group's first occurrence go.
-    5. Anchors with more than LIMIT different surroundings are split into windows, which an aggregation resolves.
+    5. An anchor with more than LIMIT different surroundings would be one task's list: its members' windows are hashed instead,
+    and an aggregation that combines map-side finds the first of each.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
@@ -308,8 +310,10 @@ def removals(docs: DataFrame) -> DataFrame:
     release(spark)
     sure = lists.where("kind = 1 or later").select("doc", (F.col("at") - F.col("back")).alias("start"), (F.col("at") + F.col("fore")).alias("finish"))
 
-    firsts = lists.where(f"kind = 0 and not later and low <> high and n <= {LIMIT}")
-    wanted = firsts.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "at", "back", "fore")).alias("w"))
+    firsts = lists.where("kind = 0 and not later and low <> high")
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "at", "back", "fore")).alias("w"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -322,49 +326,35 @@ def removals(docs: DataFrame) -> DataFrame:
                     out = []
             yield pd.DataFrame(out, columns=["anchor", "doc", "at", "back", "span"])
 
-    spans = materialize(texts.join(wanted, "doc_id").mapInPandas(cut, "anchor long, doc long, at long, back short, span binary"))
+    spans = materialize(texts.join(wanted(firsts.where(f"n <= {LIMIT}")), "doc_id").mapInPandas(cut, "anchor long, doc long, at long, back short, span binary"))
     release(spark)
     found = spans.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_removals_of_lists, "doc long, start long, finish long")
     found = materialize(found)
     release(spark)
     out = whole.union(sure).union(found)
 
-    hot = lists.where(f"kind = 0 and low <> high and n > {LIMIT}").select("anchor").distinct()
-    hot = np.sort(hot.toPandas()["anchor"].to_numpy(np.int64))  # at most one in LIMIT rows
-    if len(hot):
-        windows = materialize(_windows(alone, hot))
-        best = materialize(
-            windows.groupBy("anchor", "code").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "code", "first")
-        )
-        again = windows.join(best, ["anchor", "code"]).where(F.struct("doc", "at") > F.col("first"))
+    hot = firsts.where(f"n > {LIMIT}")
+    if not hot.isEmpty():
+        windows = materialize(texts.join(wanted(hot), "doc_id").mapInPandas(_windows, "code binary, doc long, at long"))
+        best = windows.groupBy("code").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("code", "first")
+        again = windows.join(materialize(best), "code").where(F.struct("doc", "at") > F.col("first"))
         out = out.union(again.select("doc", F.col("at").alias("start"), (F.col("at") + LEAST).alias("finish")))
     return out
 
 
-def _windows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(anchor, code, doc, at) of every window that an anchor in `hot` owns."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    schema = pa.schema([(c, pa.int64()) for c in ("anchor", "code", "doc", "at")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value
-        for batch in batches:
-            for ids, texts in _slices(batch):
-                own, _, first, last, anchor, _ = anchors(texts)
-                pick = np.isin(anchor.view(np.int64), keys)
-                own, first, last, anchor = own[pick], first[pick], last[pick], anchor[pick]
-                if not len(own):
-                    continue
-                count = last - first + 1
-                at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                base = np.cumsum([0, *map(len, texts)])[np.repeat(own, count)] + at
-                total = prefix_hash(np.frombuffer(b"".join(texts), np.uint8))
-                _, down = powers(len(total))
-                code = mix((total[base + LEAST] - total[base]) * down[base])
-                rows = pd.DataFrame({"anchor": np.repeat(anchor, count).view(np.int64), "code": code.view(np.int64), "doc": ids[np.repeat(own, count)], "at": at})
-                yield _batch(rows, schema)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, code long, doc long, at long")
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(code, doc, at) of every window of LEAST bytes that the anchors w of a document own, from rows (doc_id, text, w)."""
+    names = ["code", "doc", "at"]
+    for pdf in batches:
+        out = []
+        for doc, text, w in zip(pdf["doc_id"], pdf["text"], pdf["w"], strict=True):
+            data = text.encode()
+            for x in w:
+                out += [(hashlib.md5(data[p : p + LEAST]).digest(), doc, p) for p in range(x["at"] - x["back"], x["at"] + x["fore"] - LEAST + 1)]
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        yield pd.DataFrame(out, columns=names)
 
 
 def merged(ranges) -> list[tuple[int, int]]:
