@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +17,7 @@ from palmleaf.functions.text import is_blank, strip
 PROMPT_HEAD = "Dựa vào các đoạn văn sau, hãy trả lời câu hỏi: '"
 PROMPT_RULES = (
     "'. Nếu câu trả lời không thể tìm thấy trực tiếp hoặc suy luận rõ ràng từ các đoạn văn được cung cấp, "
-    "hãy nói chính xác: 'Xin lỗi, tôi không tìm thấy thông tin đủ chi tiết trong các Kinh đã được cung cấp để trả lời câu hỏi này.' "
+    f"hãy nói chính xác: '{P.NO_INFO}' "
     "Không suy diễn thông tin từ kiến thức chung của bạn. \n\nCác đoạn văn được cung cấp:\n"
 )
 CITATION_LABELS = [("Bộ", "Bộ"), ("Tên Kinh Đầy Đủ", "Kinh"), ("Việt Dịch", "Dịch"), ("Số Phẩm", "Phần"), ("Tên Kinh Nhỏ", "Kinh")]
@@ -37,10 +39,34 @@ def prompt(question: Column, context: Column) -> Column:
     return F.when(is_blank(context), question).otherwise(full)
 
 
+def limited(fn: Callable[[str], str], seconds: float) -> Callable[[str], str]:
+    """`fn` with a time limit for each call; what takes longer raises TimeoutError, and its thread is left to end by itself."""
+
+    def call(x: str) -> str:
+        got: queue.SimpleQueue = queue.SimpleQueue()
+
+        def run() -> None:
+            try:
+                got.put((fn(x), None))
+            except Exception as e:  # raised again by the caller
+                got.put((None, e))
+
+        threading.Thread(target=run, daemon=True).start()
+        try:
+            answer, error = got.get(timeout=seconds)
+        except queue.Empty:
+            raise TimeoutError(f"no answer within {seconds:g} s") from None
+        if error is not None:
+            raise error
+        return answer
+
+    return call
+
+
 def answered(rows: DataFrame, answer_fn: Callable[[str], str], prompt_col: str = "prompt", out: str = "answer") -> DataFrame:
     """Answers from an injected model, called on the executors; its exceptions become error answers.
 
-    Time limits, retries and rates are the function's own affair.
+    Retries are the function's own affair; `limited` gives it a time limit and `throttled` a rate.
     """
 
     @F.pandas_udf("string")

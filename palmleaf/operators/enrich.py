@@ -39,22 +39,27 @@ def with_metadata(rows: DataFrame, name_col: str, index: DataFrame, key: Callabl
     return joined.withColumn(out, fill_template(F.col("__meta"), keys)).drop("__key", "__meta")
 
 
-def enrich_misses(rows: DataFrame, name_col: str, cache: DataFrame, enrich_fn: Callable[[str], dict | None], key: Callable[[Column], Column] = match_key_a) -> DataFrame:
+def enrich_misses(rows: DataFrame, name_col: str, cache: DataFrame, enrich_fn: Callable[[str], dict | None], key: Callable[[Column], Column] = match_key_a, per_minute: float | None = None, workers: int = 4) -> DataFrame:
     """The cache (name, meta) with an entry for each name of `rows` that it lacks.
 
     Distinct misses only reach `enrich_fn`, in batches on the executors; what fails or is no mapping gets the template's
-    defaults. The result replaces the cache.
+    defaults. The result replaces the cache. With `per_minute` the misses are dealt to `workers` tasks, each of which calls at
+    its share of that rate, so all together never exceed it.
     """
     known = cache.select(key(F.col("name")).alias("__key")).distinct()
     names = rows.select(F.col(name_col).alias("name")).where("name is not null").withColumn("__key", key(F.col("name")))
     misses = names.groupBy("__key").agg(F.min("name").alias("name")).join(known, "__key", "left_anti").select("name")
 
+    if per_minute is not None:
+        misses = misses.repartition(workers)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = enrich_fn if per_minute is None else throttled(enrich_fn, per_minute / workers)
         for pdf in batches:
             out = []
             for name in pdf["name"]:
                 try:
-                    got = enrich_fn(name)
+                    got = ask(name)
                 except Exception:  # a failing service is a miss, as an unknown book is
                     got = None
                 got = got if isinstance(got, dict) else {}

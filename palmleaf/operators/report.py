@@ -29,7 +29,10 @@ def html_lines(rows: DataFrame, escape: bool = True) -> DataFrame:
     return rows.select(F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), cell(c), F.lit("</td>")) for c in rows.columns], F.lit("</tr>")).alias("line"))
 
 
-def html_table(rows: DataFrame, escape: bool = True) -> str:
-    """The whole table as one HTML text, for a page; the log of flags is small, and its rows are ordered on the way here."""
+def html_table(rows: DataFrame, escape: bool = True, most: int = 20_000) -> str:
+    """The whole table as one HTML text, for a page; its rows are ordered on the way here. More than `most` rows are an error:
+    write `html_lines` out instead."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows are too many for one page")
     head = "".join(f"<th>{c}</th>" for c in rows.columns)
     return "\n".join([f'<table border="1"><thead><tr>{head}</tr></thead><tbody>', *(r["line"] for r in html_lines(rows, escape).collect()), "</tbody></table>"])

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 #: Most queries whose vectors are broadcast; more are dealt into blocks that meet blocks of candidates.
 BROADCAST_QUERIES, BLOCK_ROWS = 1024, 8192
-_HITS = "query_id long, id long, distance double"
 
 
 def _stack(x: pd.Series) -> np.ndarray:
@@ -39,22 +38,27 @@ def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int
         best = np.argsort(d, axis=1, kind="stable")[:, :k]
         near = np.take_along_axis(d, best, 1)
         out.append(pd.DataFrame({"query_id": np.repeat(qid[s : s + 256], best.shape[1]), "id": ids[best].ravel(), "distance": near.ravel()}))
-    got = pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "distance": []})
-    return got[np.isfinite(got["distance"].astype(float))].astype({"query_id": "int64", "id": "int64", "distance": "float64"})
+    got = pd.concat(out) if out else _none()
+    return got[np.isfinite(got["distance"].astype(float))]
+
+
+def _none() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": [], "id": [], "distance": []}, dtype=object)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", skip_self: bool = False) -> DataFrame:
     """(query_id, rank, id, distance): each query's k nearest rows of `vectors` (id, embedding), ties to the smaller id.
 
     metric is l2 (squared), cosine or ip; distances are in double precision, rounded at 12 digits. Null vectors don't count;
-    all vectors have one length. Few queries are broadcast, and every Arrow batch keeps its own k best; many are
+    all vectors have one length; ids are numbers or strings. Few queries are broadcast, and every Arrow batch keeps its own k best; many are
     dealt into blocks. Either way the shuffle carries k rows for a query and block. Filter `vectors` first to search a part.
     """
     rows = vectors.select("id", "embedding").where("id is not null and embedding is not null")
     asks = queries.select("query_id", F.col("embedding").alias("q")).where("query_id is not null and q is not null")
+    out = f"query_id {asks.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, distance double"
     some = asks.limit(BROADCAST_QUERIES + 1).toPandas()
     if len(some) <= BROADCAST_QUERIES:
-        qid, q = some["query_id"].to_numpy(np.int64), _stack(some["q"]) if len(some) else np.empty((0, 1))
+        qid, q = some["query_id"].to_numpy(), _stack(some["q"]) if len(some) else np.empty((0, 1))
         shared = rows.sparkSession.sparkContext.broadcast((qid, q))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,7 +66,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l
                 if len(pdf):
                     yield _best(*shared.value, pdf["id"].to_numpy(), _stack(pdf["embedding"]), k, metric, skip_self)
 
-        hits = rows.mapInPandas(scan, _HITS)
+        hits = rows.mapInPandas(scan, out)
     else:
         blocks, groups = (max(1, -(-n // BLOCK_ROWS)) for n in (rows.count(), asks.count()))
         deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
@@ -72,10 +76,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l
 
         def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             if not len(x) or not len(y):
-                return pd.DataFrame({"query_id": [], "id": [], "distance": []}).astype({"query_id": "int64", "id": "int64"})
+                return _none()
             return _best(y["query_id"].to_numpy(), _stack(y["q"]), x["id"].to_numpy(), _stack(x["embedding"]), k, metric, skip_self)
 
-        hits = left.groupBy("block", "ask").cogroup(right.groupBy("block_", "ask_")).applyInPandas(meet, _HITS)
+        hits = left.groupBy("block", "ask").cogroup(right.groupBy("block_", "ask_")).applyInPandas(meet, out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 

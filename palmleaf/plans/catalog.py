@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -318,8 +317,7 @@ def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all documents arrive as a stream and are merged into a vector table; its final state. The model is a stand-in."""
     from palmleaf.streaming.sync_stream import stream_sync as start
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="palmleaf-")
-    folder = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{writers.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     docs = chunk.chunk_rows(_t(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = docs.select(
         F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("id"), "content",

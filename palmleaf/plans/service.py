@@ -40,12 +40,13 @@ def chunk(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def sync_vectors(chunks: DataFrame, table: writers.VersionedTable, embed_fn: Callable, settings: Settings = Settings(), deletes: bool = False) -> DataFrame:
     """Embed what is new or newer, write the table's next version, and return the counts by action.
 
-    Vectors: (id, embedding, document, metadata, last_updated). Only changed rows reach the model.
+    Vectors: (id, embedding, document, metadata, last_updated). Only changed rows reach the model. What is to be done is worked
+    out once and written beside the versions; of those the newest two stay, the one that readers may have open and its successor.
     """
     spark = chunks.sparkSession
     old = table.read()
     times = old.select("id", "last_updated") if old is not None else spark.createDataFrame([], "id string, last_updated timestamp")
-    actions = sync.diff(chunks, times, deletes)
+    actions = table.set_aside(sync.diff(chunks, times, deletes))
     todo = chunks.join(actions.where("action in ('add', 'update')").select("id"), "id", "left_semi")
     fresh = sync.embed(todo, embed_fn, "content", "embedding", settings.batch_rows).select(
         "id", "embedding", F.col("content").alias("document"), enrich.scalar_metadata(F.col("metadata"), F.col("last_updated").cast("string")).alias("metadata"), "last_updated"
@@ -54,27 +55,27 @@ def sync_vectors(chunks: DataFrame, table: writers.VersionedTable, embed_fn: Cal
     kept = old.join(gone, "id", "left_anti").select(*fresh.columns) if old is not None else None
     summary = spark.createDataFrame([(r["action"], r["count"]) for r in actions.groupBy("action").count().collect()], "action string, n long")
     table.replace(fresh if kept is None else kept.unionByName(fresh))
+    table.vacuum()
     return summary
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2") -> DataFrame:
     """(query_id, rank, id, distance, document, metadata) of the k nearest vectors; ids may be any strings."""
-    keyed = vectors.withColumn("__key", F.xxhash64("id"))
-    hits = nearest(keyed.select(F.col("__key").alias("id"), "embedding"), queries, k, metric).withColumnRenamed("id", "__key")
-    return hits.join(keyed.select("__key", "id", "document", "metadata"), "__key").select("query_id", "rank", "id", "distance", "document", "metadata")
+    hits = nearest(vectors.select("id", "embedding"), queries, k, metric)
+    return hits.join(vectors.select("id", "document", "metadata"), "id").select("query_id", "rank", "id", "distance", "document", "metadata")
 
 
-def answer(questions: DataFrame, vectors: DataFrame, embed_fn: Callable, answer_fn: Callable[[str], str], k: int = 5) -> DataFrame:
+def answer(questions: DataFrame, vectors: DataFrame, embed_fn: Callable, answer_fn: Callable[[str], str], k: int = 5, settings: Settings = Settings()) -> DataFrame:
     """(query_id, question, answer, citations, page) of (query_id, question): retrieve, prompt, ask, classify, cite.
 
-    A question without any passage gets the no-information answer; a blank one the request to ask.
+    A call that takes longer than `answer_timeout_s` is an error answer. A question without any passage gets the no-information answer; a blank one the request to ask.
     """
     asks = sync.embed(questions, embed_fn, "question")
     hits = search(vectors, asks.select("query_id", "embedding"), k)
     context, cites = A.contexts(hits), A.citations(hits)
     rows = questions.join(context, "query_id", "left").join(cites, "query_id", "left")
     asked = rows.withColumn("prompt", A.prompt(F.coalesce("question", F.lit("")), F.coalesce("context", F.lit(""))))
-    got = A.answered(asked, answer_fn)
+    got = A.answered(asked, A.limited(answer_fn, settings.answer_timeout_s))
     reply = F.when(F.col("documents").isNull(), F.lit(A.P.NO_INFO)).otherwise(F.col("answer"))
     cited = F.coalesce("citations", F.array().cast("array<string>"))
     return got.select("query_id", "question", reply.alias("answer"), cited.alias("citations"), A.page(F.col("question"), reply, cited).alias("page"))

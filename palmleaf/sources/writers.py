@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import logging
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +64,16 @@ def write_cache(entries: DataFrame, path: str) -> None:
     VersionedTable(entries.sparkSession, path).replace(entries)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse; a temporary one only for a
+    local session, which is one process."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        found = tempfile.mkdtemp(prefix="palmleaf-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/palmleaf"
+    return found.rstrip("/")
+
+
 class VersionedTable:
     """A Parquet table that is replaced as a whole: each version is a folder of its own, and the newest complete one counts.
 
@@ -88,11 +101,20 @@ class VersionedTable:
         found = self._versions()
         rows.write.mode("overwrite").parquet(f"{self.path}/v={(found[-1] if found else 0) + 1:09d}")
 
+    def set_aside(self, rows: DataFrame) -> DataFrame:
+        """Rows written beside the versions and read again, so that they are worked out once; the next `vacuum` deletes them."""
+        path = f"{self.path}/_aside-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def vacuum(self, keep: int = 2) -> None:
-        """Delete all but the newest `keep` versions."""
+        """Delete all but the newest `keep` versions, and what was set aside."""
         fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
         for v in self._versions()[:-keep]:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v:09d}"), True)
+        for s in fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(self.path)):
+            if s.getPath().getName().startswith("_aside-"):
+                fs.delete(s.getPath(), True)
 
 
 def counts(rows: DataFrame, keys: list[str], out: str = "n") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 
 import numpy as np
 import pytest
@@ -176,6 +177,42 @@ def test_search(spark, metric, limit, monkeypatch):
     assert got == {k: sorted(range(60), key=lambda j: (d[k, j], j))[:4] for k in range(60)}
 
 
+def test_search_by_string_ids(spark):
+    """Ids are any strings; ties go to the smaller one, and queries may have string ids too."""
+    from palmleaf.plans import service
+
+    rows = [("b", [0.0, 1.0], "x", {"k": "v"}), ("a", [0.0, 1.0], "y", None), ("é", [3.0, 0.0], "z", None), ("10", [0.0, 2.0], "w", None)]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<double>, document string, metadata map<string,string>")
+    asks = spark.createDataFrame([("q", [0.0, 1.0])], "query_id string, embedding array<double>")
+    got = service.search(vectors, asks, 3).orderBy("rank").collect()
+    assert [(r["query_id"], r["id"], r["document"], r["distance"]) for r in got] == [("q", "a", "y", 0.0), ("q", "b", "x", 0.0), ("q", "10", "w", 1.0)]
+    assert service.search(vectors.limit(0), asks, 3).count() == 0
+
+
+def test_limits_of_injected_functions(spark):
+    """A slow call is an error answer; misses are looked up at no more than the rate in all."""
+    rows = spark.createDataFrame([("slow",), ("fast",)], "prompt string")
+
+    def reply(x):
+        if x == "slow":
+            time.sleep(5)
+        return f"said {x}"
+
+    began = time.time()
+    got = {r["prompt"]: r["answer"] for r in A.answered(rows, A.limited(reply, 1)).collect()}
+    assert got["fast"] == "said fast" and "within 1 s" in got["slow"] and time.time() - began < 30
+    cache = spark.createDataFrame([], "name string, meta map<string,string>")
+    books = spark.createDataFrame([(f"book {k}",) for k in range(6)], "book string")
+    stamps = [float(r["t"]) for r in enrich.enrich_misses(books, "book", cache, lambda n: {"STT": str(time.time())}, per_minute=120, workers=2).select(F.col("meta")["STT"].alias("t")).collect()]
+    assert len(stamps) == 6 and max(stamps) - min(stamps) >= 1
+
+
+def test_a_page_has_bounded_rows(spark):
+    with pytest.raises(ValueError, match="too many"):
+        report.html_table(spark.range(5), most=4)
+    assert report.html_table(spark.range(3), most=4).count("<td>") == 3
+
+
 def test_search_approximate(spark):
     v = spark.createDataFrame([(k, [float(k), 0.0]) for k in range(20)], "id long, embedding array<double>")
     got = nearest_approximate(v, v.withColumnRenamed("id", "query_id"), 2, within=1.5)
