@@ -259,6 +259,7 @@ def _within_clusters(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     """Edges (a, b) that span the links between documents of the same cluster; large clusters are compared block by block."""
     cut = F.greatest(F.ceil(F.col("size") / CLUSTER_BLOCK), F.ceil(8 * F.col("items") / CLUSTER_BYTES)).cast("long")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items")).where("size > 1").select("cluster", cut.alias("blocks"))
+    sizes = materialize(sizes)  # so that the join deals clusters out again, and Spark may split a large one
     members = materialize(clusters.select("doc", "cluster").join(sizes, "cluster"))
     sets = _packed(docs, members.select(F.col("doc").alias("doc_id")))
     placed = sets.join(_small(members), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
