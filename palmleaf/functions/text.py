@@ -52,9 +52,13 @@ def is_blank(x: Column) -> Column:
     return F.coalesce(strip(x) == "", F.lit(True))
 
 
+#: Fixed value: the characters that names of files can't have.
+NOT_IN_NAMES = r'[\\/:*?"<>|]'
+
+
 def safe_name(x: Column, chars: int) -> Column:
     """Characters that file names can't have become underscores; at most `chars` characters."""
-    return F.left(F.regexp_replace(x, r'[\\/:*?"<>|]', "_"), F.lit(chars))
+    return F.left(F.regexp_replace(x, NOT_IN_NAMES, "_"), F.lit(chars))
 
 
 def base_name(x: Column, hyphens: bool = False) -> Column:
@@ -71,7 +75,7 @@ def known_name(x: Column, names: dict[str, str]) -> Column:
 
 
 def segment_name_v1(base: Column, chapter: Column, number: Column, title: Column, chars: int = 50) -> Column:
-    return F.format_string("%s_pham_%02d_kinh_%03d_%s.json", base, chapter, number, F.left(F.regexp_replace(title, r'[\\/:*?"<>|]', "_"), F.lit(chars)))
+    return F.format_string("%s_pham_%02d_kinh_%03d_%s.json", base, chapter, number, safe_name(title, chars))
 
 
 def segment_name_v2(base: Column, chapter: Column, chapter_slug: Column, number: Column, slug: Column, chars: int = 200) -> Column:

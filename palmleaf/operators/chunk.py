@@ -1,7 +1,8 @@
-"""Sentence splitting and greedy packing of sentences into chunks, JVM-side."""
+"""Sentence splitting and greedy packing of sentences into chunks."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,22 +10,37 @@ from palmleaf.functions.patterns import sentences
 from palmleaf.functions.text import strip
 
 
+def pack(parts: list[str], most: int) -> list[str]:
+    """Sentences packed greedily, each with a blank after it, into stripped chunks of at most `most` characters; a longer sentence stands alone."""
+    out, cur, size = [], [], 0
+    for s in parts:
+        if cur and size + len(s) + 1 > most:
+            out.append(" ".join(cur).strip())
+            cur, size = [], 0
+        cur.append(s)
+        size += len(s) + 1
+    return [*out, " ".join(cur).strip()]
+
+
 def chunks(text: Column, most: int = 512) -> Column:
-    """Sentences packed greedily, each with a blank after it, into chunks of at most `most` characters; a longer sentence stands alone."""
-    start = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
+    """The chunks of a text; null stays null.
+
+    Sentences are split in the JVM. They are packed in Arrow batches, in linear time: `aggregate` copies what it has gathered
+    at every step, which a text of some megabytes doesn't survive.
+    """
 
-    def step(acc: Column, s: Column) -> Column:
-        fits = F.length(acc["cur"]) + F.length(s) + 1 <= most
-        done = F.when(fits | (acc["cur"] == ""), acc["out"]).otherwise(F.concat(acc["out"], F.array(strip(acc["cur"]))))
-        return F.struct(F.when(fits, F.concat(acc["cur"], s, F.lit(" "))).otherwise(F.concat(s, F.lit(" "))).alias("cur"), done.alias("out"))
+    @F.pandas_udf("array<string>")
+    def packed(x: pd.Series) -> pd.Series:
+        return x.map(lambda parts: None if parts is None else pack(parts, most))
 
-    return F.aggregate(sentences(text), start, step, lambda acc: F.concat(acc["out"], F.array(strip(acc["cur"]))))
+    return packed(sentences(text))
 
 
 def chunk_rows(rows: DataFrame, text_col: str = "text", most: int = 512, chunk_col: str = "content") -> DataFrame:
-    """One row per chunk: the input's columns, `chunk_no` (from 0) and the chunk. Null and blank texts give none."""
+    """One row per chunk: the input's columns without the text, `chunk_no` (from 0) and the chunk. Null and blank texts give none."""
     full = rows.where(strip(F.col(text_col)) != "")
-    return full.select("*", F.posexplode(chunks(F.col(text_col), most)).alias("chunk_no", chunk_col))
+    rest = [F.col(f"`{c}`") for c in rows.columns if c != text_col]
+    return full.select(*rest, F.posexplode(chunks(F.col(text_col), most)).alias("chunk_no", chunk_col))
 
 
 def number_chunks(rows: DataFrame, file_col: str = "source_file", order: tuple[str, ...] = ("pos", "chunk_no"), out: str = "doan_so") -> DataFrame:

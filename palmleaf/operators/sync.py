@@ -43,16 +43,23 @@ def apply_changes(source: DataFrame, target: DataFrame, deletes: bool = False) -
     return both.select(F.when(newer, F.col("s")).otherwise(F.col("t")).alias("row")).select("row.*")
 
 
+#: Buckets whose counts are summed together before the sums over all of them.
+BUCKETS = 4096
+
+
 def batch_numbers(rows: DataFrame, order: Column, bucket: Column, size: int = 100, out: str = "batch") -> DataFrame:
     """Batches of exactly `size` rows (the last may be short), from 0, in order of (bucket, order).
 
     A global row number without a global sort: rows are numbered within buckets, and the bucket counts, summed up, give each
-    bucket its offset. `bucket` should be a coarse form of `order` of some thousand rows each.
+    bucket its offset: first within stretches of BUCKETS buckets, then over the stretches, of which some thousand rows times BUCKETS make
+    one. `bucket` is an integer, a coarse form of `order` of some thousand rows each.
     """
     dealt = rows.withColumn("__bucket", bucket)
-    counts = dealt.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("__bucket", F.coalesce(before, F.lit(0)).alias("__offset"))
+    counts = dealt.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("__stretch", F.floor(F.col("__bucket") / BUCKETS))
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = counts.groupBy("__stretch").agg(F.sum("n").alias("m")).select("__stretch", before("m", Window.orderBy("__stretch")).alias("__base"))
+    inside = counts.withColumn("__inside", before("n", Window.partitionBy("__stretch").orderBy("__bucket")))
+    offsets = inside.join(stretches, "__stretch").select("__bucket", (F.col("__base") + F.col("__inside")).alias("__offset"))
     place = F.row_number().over(Window.partitionBy("__bucket").orderBy(order)) - 1
     numbered = dealt.withColumn("__place", place).join(offsets, "__bucket")
     return numbered.withColumn(out, F.expr(f"cast((__offset + __place) div {size} as bigint)")).drop("__bucket", "__place", "__offset")

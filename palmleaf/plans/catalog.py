@@ -12,8 +12,9 @@ from palmleaf.functions import text as T
 from palmleaf.operators import answer as A
 from palmleaf.operators import chunk, enrich, flatten, report, segment, sync
 from palmleaf.operators.search import nearest
+from palmleaf.plans import service
 from palmleaf.plans.oracles import oracle_sql
-from palmleaf.sources import writers
+from palmleaf.sources import readers, writers
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -203,6 +204,72 @@ def structure_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.groupBy("doc_id").agg(segment.structure_label(F.bool_or("is_chapter"), F.bool_or("is_sutra")).alias("label"))
 
 
+def _book_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of books named like conversations, from documents; those in German are missing from it."""
+    d = _t(spark, sf_dir, "documents").where("lang <> 'de'")
+    return d.select(F.col("doc_id").cast("string").alias("name"), F.create_map(F.lit("Bộ"), F.col("source"), F.lit("Tên Kinh Đầy Đủ"), F.col("lang")).alias("meta"))
+
+
+def _record_columns(records: DataFrame) -> DataFrame:
+    value = lambda k: F.try_element_at("metadata", F.lit(k))
+    return records.select(
+        "file_name", value("Bộ").alias("bo"), value("Số Phẩm").alias("chapter"), value("Tên Kinh Nhỏ").alias("sutra"), value("Chia Đoạn").alias("label"),
+        F.size("metadata").cast("long").alias("n_keys"), F.size("noi_dung").cast("long").alias("n_lines"), F.md5(F.array_join("noi_dung", "\n")).alias("lines_md5"),
+    )
+
+
+@_query
+def ingest_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment records of the first strategy, with names, book metadata and labels."""
+    return _record_columns(service.ingest(_stream_v1(spark, sf_dir), _book_index(spark, sf_dir), strategy=1))
+
+
+@_query
+def ingest_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment records of the second strategy; some lines are delimiters too short to cut, which only saving drops."""
+    c = _stream_v2(spark, sf_dir)
+    short = (F.col("para_no") % 5 == 1) & F.col("text").startswith("- ")
+    return _record_columns(service.ingest(c.withColumn("text", F.when(short, "--o0o--").otherwise(F.col("text"))), _book_index(spark, sf_dir)))
+
+
+@_query
+def chapter_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapter numbers under the second strategy where some headings have words, which count on from the chapter before."""
+    c = _t(spark, sf_dir, "conversations")
+    number = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.col("turn").cast("string")).otherwise("Nhất")
+    text = F.when(F.col("turn") == 0, "---o0o---").when(F.col("role") == "user", F.concat(F.lit("CHƯƠNG THỨ "), number)).otherwise(F.concat(F.lit("- "), F.col("text")))
+    rows = segment.running_v2(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("para_no"), text.alias("text")))
+    return rows.select("doc_id", "para_no", F.col("chapter_no").cast("long").alias("chapter_no"), "chapter_title")
+
+
+@_query
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-document records with book metadata, written out and read again."""
+    books = enrich.with_metadata(segment.whole_documents(_lines(spark, sf_dir)).withColumn("__book", F.col("doc_id").cast("string")), "__book", _book_index(spark, sf_dir))
+    folder = f"{writers.shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    writers.write_records(writers.whole_document_records(books), folder, as_json=False)
+    value = lambda k: F.try_element_at("metadata", F.lit(k))
+    return spark.read.parquet(folder).select("file_name", value("Bộ").alias("bo"), value("Chia Đoạn").alias("label"), F.md5("noi_dung_full_doc").alias("body_md5"))
+
+
+@_query
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON file for each region, with its nations as lines; read as segment records."""
+    n = _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("noi_dung"))
+    r = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.create_map(F.lit("Bộ"), F.col("r_name")).alias("metadata"))
+    folder = f"{writers.shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    n.join(r, "n_regionkey").repartition("n_regionkey").write.partitionBy("n_regionkey").json(folder)
+    return readers.read_segments(spark, folder).select(F.try_element_at("metadata", F.lit("Bộ")).alias("bo"), F.array_join("noi_dung", ",").alias("lines"))
+
+
+@_query
+def normalized_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decomposed texts, written in normal form C and read again."""
+    folder = f"{writers.shared_dir(spark)}/nfc-{uuid.uuid4().hex}"
+    writers.write_normalized(_t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), T.nfd("text").alias("value")), folder)
+    return spark.read.parquet(folder).select("source_file", F.md5("value").alias("value_md5"))
+
+
 # ---- trees and metadata
 
 
@@ -251,6 +318,28 @@ def metadata_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", F.size(got).cast("long").alias("n"), F.try_element_at(got, F.lit("k")).alias("k"), F.try_element_at(got, F.lit("last_updated")).alias("last_updated"))
 
 
+def ask_about(name: str) -> dict | None:
+    """A stand-in for a metadata service: it knows books with even numbers, fails at multiples of three and finds no other."""
+    number = int(name.rsplit("-", 1)[1])
+    if number % 3 == 0:
+        raise ConnectionError("no answer")
+    return {"Bộ": f"asked {number}", "Ghi chú": ""} if number % 2 == 0 else None
+
+
+@_query
+def enrich_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after its misses were asked for, as written and read again; nations of one region are missing from it."""
+    r = _t(spark, sf_dir, "region")
+    cache = _t(spark, sf_dir, "nation").join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).where("r_name <> 'ASIA'").select(
+        F.col("n_name").alias("name"), F.create_map(F.lit("Bộ"), F.col("r_name")).alias("meta")
+    )
+    books = _t(spark, sf_dir, "customer").select(F.concat(F.lit("Nátiòn-"), F.col("c_nationkey").cast("string")).alias("book"))
+    folder = f"{writers.shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    writers.write_cache(enrich.enrich_misses(books, "book", cache, ask_about), folder)
+    value = lambda k: F.try_element_at("meta", F.lit(k))
+    return writers.VersionedTable(spark, folder).read().select("name", value("Bộ").alias("bo"), value("Ghi chú").alias("ghi_chu"), F.size("meta").cast("long").alias("n_keys"))
+
+
 # ---- sync
 
 
@@ -271,6 +360,17 @@ def sync_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.apply_changes(*_sides(spark, sf_dir)).select("id", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated"), "n")
 
 
+@_query
+def sync_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The difference where times are text, some of it missing or malformed on either side; ids that only the target has are deletes."""
+    e = _t(spark, sf_dir, "events")
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    late = F.date_format(F.col("ts") + F.expr("interval 1 day"), "yyyy-MM-dd HH:mm:ss")
+    source = e.where("event_type <> 'view'").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "no time").when(F.col("value") > 80, F.lit(None)).otherwise(at).alias("last_updated"))
+    target = e.where("value > 20").select(F.col("event_id").alias("id"), F.when(F.col("value") < 40, "").when(F.col("value") < 60, late).otherwise(at).alias("last_updated"))
+    return sync.diff(source, target, deletes=True)
+
+
 @_query
 def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "events").select("event_id")
@@ -295,6 +395,40 @@ def answer_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.md5(A.page(F.when(F.col("turn") > 0, "q").otherwise(" "), A.settled(said), cites)).alias("page_md5"))
 
 
+def count_model(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding model: counts of a few letters, whole numbers, so distances are exact."""
+    return [[float(t.count(c)) for c in "aeio"] for t in texts]
+
+
+def reply_model(prompt: str) -> str:
+    """A stand-in for a language model: the prompt's end, or an error, or that it found nothing, by the prompt's length."""
+    if len(prompt) % 7 == 0:
+        raise ValueError("too busy")
+    return "Tôi không tìm thấy thông tin." if len(prompt) % 5 == 0 else "A: " + prompt[-60:]
+
+
+@_query
+def answer_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations as a question to the documents: embedded, retrieved, prompted, answered, cited; first turns are blank."""
+    c = _t(spark, sf_dir, "conversations")
+    asks = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.when(F.col("turn") == 0, " ").otherwise(F.col("text")).alias("question"))
+    meta = F.create_map(F.lit("Bộ"), F.col("source"), F.lit("Tên Kinh Đầy Đủ"), F.col("lang"))
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document"), meta.alias("metadata"))
+    got = service.answer(asks, sync.embed(docs, count_model, "document"), count_model, reply_model)
+    return got.select("query_id", F.md5("answer").alias("answer_md5"), F.array_join("citations", " | ").alias("citations"), F.md5("page").alias("page_md5"))
+
+
+@_query
+def flag_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two flag logs, of regions and of nations, one file each; the newer is read and reported, rows without a time left out."""
+    folder = f"{writers.shared_dir(spark)}/flags-{uuid.uuid4().hex}"
+    for table, name, key in (("region", "r_name", "r_regionkey"), ("nation", "n_name", "n_regionkey")):
+        stamp = F.when(F.col(key) == 3, "no time").otherwise(F.concat(F.lit("2025-05-2"), F.col(key).cast("string"), F.lit(" 16:21:55.588567")))
+        log = _t(spark, sf_dir, table).select(F.concat(F.lit('<h3>"'), F.col(name), F.lit('",\n</h3>')).alias("text"), stamp.alias("timestamp"))
+        log.coalesce(1).write.mode("append").csv(folder, header=True, escape='"')
+    return report.flag_rows(readers.read_flags(spark, folder, "part-*.csv"))
+
+
 @_query
 def flag_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from palmleaf.config import BY_CHAPTER, BY_CHAPTER_AND_SUTRA, BY_SUTRA, META_KEYS, UNKNOWN
 from palmleaf.functions.patterns import ASK_AGAIN, ERROR_PREFIX, NO_INFO
 from palmleaf.operators.answer import ANSWER_HEAD, NO_SOURCES, PROMPT_HEAD, PROMPT_RULES, SOURCES_HEAD, SOURCES_HIDDEN
 
@@ -44,7 +45,10 @@ _CHUNKS = f"""
 """
 _SLUG = "left(regexp_replace(strip_accents(lower(p_name)), '[^a-z0-9]', '', 'g'), 50)"
 
-_V1 = """
+_LABEL = f"""case when any_chapter and any_sutra then {_text(BY_CHAPTER_AND_SUTRA)} when any_chapter then {_text(BY_CHAPTER)}
+            when any_sutra then {_text(BY_SUTRA)} else {_text(UNKNOWN)} end"""
+
+_V1 = f"""
     with x as (
         select conv_id as doc_id, turn as para_no, role,
             case role when 'system' then turn || '. PHẨM system' when 'user' then turn || '. KINH ' || turn else regexp_replace(text, '^\\s+|\\s+$', '', 'g') end as text,
@@ -63,7 +67,7 @@ _V1 = """
         select doc_id, para_no, text, chapter, sutra, segment::BIGINT as segment, chapter_no::BIGINT as chapter_no, coalesce(chapter_title, 'Không xác định') as chapter_title,
             case when segment = 0 and whole then doc_id || '_full' else coalesce(own, 'Không xác định') end as title,
             (sum(sutra::INT) over (partition by doc_id, chapter_no order by para_no rows unbounded preceding) + case when whole and chapter_no = 0 then 1 else 0 end)::BIGINT as number,
-            case when any_chapter and any_sutra then 'Theo phẩm, theo kinh nhỏ' when any_chapter then 'Theo phẩm' when any_sutra then 'Theo kinh nhỏ' else 'Không xác định' end as label
+            {_LABEL} as label
         from s)
 """
 
@@ -90,8 +94,62 @@ _SIDES = """
 """
 
 
+_BOOKS = "(select doc_id as book, source, lang from documents where lang <> 'de')"
+_COUNTS = "list_transform(['a', 'e', 'i', 'o'], lambda c: (length({0}) - length(replace({0}, c, '')))::DOUBLE)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "ingest_running": _V1 + f"""
+            select printf('%s_pham_%02d_kinh_%03d_%s.json', doc_id::VARCHAR, chapter_no, number, left(title, 50)) as file_name, coalesce(any_value(source), 'Not_Available') as bo,
+                chapter_title as chapter, title as sutra, label, 21::BIGINT as n_keys, count(*)::BIGINT as n_lines, md5(string_agg(text, chr(10) order by para_no)) as lines_md5
+            from state left join {_BOOKS} on book = doc_id where not chapter and not sutra and title <> 'Không xác định' group by doc_id, segment, chapter_no, number, chapter_title, title, label""",
+        "ingest_delimited": _V2 + f"""
+            , marked as (select *, not cut and not chapter and not sutra and turn % 5 = 1 as short, bool_or(chapter) over (partition by doc_id) as any_chapter, bool_or(sutra) over (partition by doc_id) as any_sutra from state),
+            parts as (
+                select doc_id, segment, {_LABEL} as label, coalesce(arg_max(chapter_no, para_no) filter (chapter_no is not null), 0) as c, max_by(coalesce(chapter_title, 'Not_Available'), para_no) as chapter,
+                    max_by(number, para_no) as n, max_by(coalesce(title, 'Not_Available'), para_no) as sutra, count(*) filter (not short) as n_lines, string_agg(text, chr(10) order by para_no) filter (not short) as lines
+                from marked where not cut group by doc_id, segment, label)
+            select doc_id::VARCHAR || case when c > 0 then printf('_pham_%02d_phan%dname', c, c) else '' end || case when n > 0 then printf('_kinh_%03d_', n::BIGINT) || lower(replace(sutra, ' ', '')) else '' end || '.json' as file_name,
+                coalesce(source, 'Not_Available') as bo, chapter, sutra, label, 21::BIGINT as n_keys, n_lines::BIGINT as n_lines, md5(lines) as lines_md5
+            from parts left join {_BOOKS} on book = doc_id where n_lines > 0""",
+        "chapter_words": """
+            with x as (select conv_id as doc_id, turn as para_no, turn, turn > 0 and role = 'user' as chapter, (conv_id + turn) % 3 = 0 as counted, sum((turn = 0)::INT) over (partition by conv_id order by turn) as started from conversations),
+            y as (select *, sum((chapter and counted)::INT) over w as epoch, last_value(case when chapter then 'CHƯƠNG ' || case when counted then turn::VARCHAR else 'NHẤT' end end ignore nulls) over w as chapter_title
+                from x where started > 0 window w as (partition by doc_id order by para_no rows unbounded preceding)),
+            z as (select *, coalesce(max(case when chapter and counted then turn end) over (partition by doc_id, epoch), 0)
+                + sum((chapter and not counted)::INT) over (partition by doc_id, epoch order by para_no rows unbounded preceding) as no from y)
+            select doc_id, para_no, no::BIGINT as chapter_no, coalesce(chapter_title, 'Không xác định') as chapter_title from z""",
+        "document_records": f"""
+            select doc_id || '.json' as file_name, coalesce(any_value(source), 'Not_Available') as bo, 'Toàn bộ tài liệu' as label, md5(string_agg({_CLEAN}, chr(10) order by para_no)) as body_md5
+            from {_LINES} left join {_BOOKS} on book = doc_id group by doc_id""",
+        "json_records": "select r_name as bo, string_agg(n_name, ',' order by n_name) as lines from nation join region on n_regionkey = r_regionkey group by r_name",
+        "normalized_copy": "select doc_id::VARCHAR as source_file, md5(nfc_normalize(text)) as value_md5 from documents",
+        "enrich_cache": """
+            with n as (select n_name, n_nationkey as k, r_name from nation join region on n_regionkey = r_regionkey)
+            select n_name as name, r_name as bo, null::VARCHAR as ghi_chu, 1::BIGINT as n_keys from n where r_name <> 'ASIA'
+            union all select 'Nátiòn-' || k, case when k % 3 <> 0 and k % 2 = 0 then 'asked ' || k else 'Not_Available' end, 'Not_Available', 21
+            from n where r_name = 'ASIA' and k in (select c_nationkey from customer)""",
+        "sync_rejects": """
+            with s as (select event_id as id, case when event_type = 'error' or value > 80 then '0001-01-01'::TIMESTAMP else date_trunc('second', ts) end as at from events where event_type <> 'view'),
+            t as (select event_id as id, case when value < 40 then '0001-01-01'::TIMESTAMP when value < 60 then date_trunc('second', ts) + interval 1 day else date_trunc('second', ts) end as at from events where value > 20)
+            select coalesce(s.id, t.id)::VARCHAR as id, case when t.id is null then 'add' when s.id is null then 'delete' when s.at > t.at then 'update' else 'unchanged' end as action
+            from s full join t on s.id = t.id""",
+        "answer_flow": f"""
+            with q as (select conv_id * 1000 + turn as query_id, case when turn = 0 then ' ' else text end as question from conversations),
+            v as (select doc_id::VARCHAR as id, text as document, source, lang, {_COUNTS.format("text")} as x from documents),
+            w as (select *, {_COUNTS.format("question")} as y from q),
+            hits as (select query_id, question, id, row_number() over (partition by query_id order by list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), id) as rank from w, v),
+            found as (
+                select query_id, question, string_agg(document, chr(10) order by rank) as context, list_aggregate(list_sort(list_distinct(list('Bộ: ' || source || ', Kinh: ' || lang))), 'string_agg', ' | ') as citations
+                from hits join v using (id) where rank <= 5 group by query_id, question),
+            asked as (select *, {_text(PROMPT_HEAD)} || question || {_text(PROMPT_RULES)} || '''''''' || chr(10) || {_CLEAN.replace("line", "context")} || chr(10) || '''''''' as prompt from found),
+            said as (select *, case when length(prompt) % 7 = 0 then {_text(ERROR_PREFIX + "too busy")} when length(prompt) % 5 = 0 then {_text(NO_INFO)} else 'A: ' || right(prompt, 60) end as answer from asked)
+            select query_id, md5(answer) as answer_md5, citations, md5(case when question = ' ' then {_text(ASK_AGAIN)} else {_text(ANSWER_HEAD)} || answer || chr(10) || chr(10)
+                || case when length(prompt) % 7 = 0 or length(prompt) % 5 = 0 then {_text(SOURCES_HIDDEN)} else {_text(SOURCES_HEAD)}
+                    || '_ ' || replace(citations, ' | ', '_' || chr(10) || '_ ') || '_' end end) as page_md5 from said""",
+        "flag_newest": """
+            select '<h3>"' || n_name || '",' || chr(10) || '</h3>' as text, '2025-05-2' || n_regionkey || ' 16:21:55' as timestamp from nation where n_regionkey <> 3""",
         "vector_topk": _topk("l2"),
         "vector_topk_cosine": _topk("cosine"),
         "rag_context": _PASSAGES + f"""
@@ -137,10 +195,8 @@ def oracle_sql() -> dict[str, str]:
         "metadata_enrich": """
             select c_custkey, coalesce(r_name, 'Not_Available') as bo, 'Not_Available' as ghi_chu, 21::BIGINT as n_keys
             from customer left join (select n_nationkey, r_name from nation join region on n_regionkey = r_regionkey where r_name <> 'ASIA') on c_nationkey = n_nationkey""",
-        "template_fill": """
-            select r_regionkey, list_aggregate(list_sort(list_transform(['STT', 'Tên Tạng', 'Bộ', 'Tập Số (Đại Chánh)', 'Số Hiệu (Đại Chánh)', 'Việt Dịch (Số tập)', 'Tên Kinh Đầy Đủ', 'Tên Tiếng Hán',
-                'Tên Kinh rút gọn', 'Hán Dịch', 'Việt Dịch', 'Khảo Dịch - Hiệu đính', 'Năm xuất bản', 'Số Quyển', 'Chủ đề chính', 'Từ khóa liên quan', 'ONIX tương ứng (gợi ý)', 'Ghi chú', 'Tên Kinh Nhỏ', 'Số Phẩm', 'Chia Đoạn'],
-                lambda k: k || '=' || case k when 'Bộ' then r_name when 'Số Phẩm' then r_regionkey::VARCHAR else 'Not_Available' end)), 'string_agg', ';') as filled from region""",
+        "template_fill": f"""
+            select r_regionkey, list_aggregate(list_sort(list_transform([{', '.join(map(_text, META_KEYS))}], lambda k: k || '=' || case k when 'Bộ' then r_name when 'Số Phẩm' then r_regionkey::VARCHAR else 'Not_Available' end)), 'string_agg', ';') as filled from region""",
         "metadata_scalars": "select event_id, 2::BIGINT as n, json_extract_string(props, '$.k') as k, strftime(ts, '%Y-%m-%d %H:%M:%S') as last_updated from events",
         "sync_diff": _SIDES + "select s.id, case when t.id is null then 'add' when s.ts > t.ts then 'update' else 'unchanged' end as action from s left join t on s.id = t.id",
         "sync_apply": _SIDES + """

@@ -246,3 +246,16 @@ def test_flag_report(spark):
     assert [(r["t"], r["timestamp"]) for r in rows.collect()] == [(None, "2025-05-21 00:00:00"), ("<b>", "2025-05-20 16:21:55")]
     assert "<td>&lt;b&gt;</td>" in report.html_table(rows) and "<td><b></td>" in report.html_table(rows, escape=False)
     assert report.flag_rows(df.drop("timestamp")).count() == 3
+
+
+def test_chunks_of_a_very_long_text(spark):
+    df = spark.range(1).select(F.expr("repeat('Abc đef. ', 400000)").alias("text"))
+    got = [r["content"] for r in chunk.chunk_rows(df).orderBy("chunk_no").collect()]
+    assert " ".join(got) == ("Abc đef. " * 400000).strip() and {len(c) for c in got[:-1]} == {56 * 9 - 1}
+
+
+def test_batch_numbers_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(sync, "BUCKETS", 3)
+    rows = spark.range(-50, 150)
+    got = {r["id"]: r["batch"] for r in sync.batch_numbers(rows, F.col("id"), F.floor(F.col("id") / 7), 9).collect()}
+    assert got == {k: (k + 50) // 9 for k in range(-50, 150)}
