@@ -41,6 +41,15 @@ def test_bpe_is_the_librarys(spark, encoding):
     assert bpe.round_trip_digests(corpus.empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_very_long_texts_and_repeated_ids(spark, encoding):
+    items = ["don't été 12 " * 40_000, "z" * 50_000, "one text"]
+    df = corpus.frame(spark, items)
+    rows = bpe.encode(df.unionByName(df), RANKS, public_tokenizers.PATTERN).select("doc_id", "ids").collect()
+    want = [encoding.encode_ordinary(t) for t in items]
+    assert sorted(r["doc_id"] for r in rows) == [0, 0, 1, 1, 2, 2]
+    assert all(np.frombuffer(r["ids"], "<u4").tolist() == want[r["doc_id"]] for r in rows)
+
+
 def test_merges_are_leftmost_and_lowest():
     ranks = {bytes([c]): c for c in range(256)} | {b"aa": 300, b"ab": 299, b"aaa": 301, b"aaaa": 302}
     assert bpe.merge_piece(b"aaab", ranks) == [300, 299]
