@@ -6,7 +6,9 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -17,6 +19,10 @@ from pyspark.sql import types as T
 _NONE = 1 << 62
 #: Pieces a worker remembers; beyond that the newer half goes, as the frequent ones come first. Changes no result.
 CACHE_PIECES = 300_000
+#: Longer pieces aren't remembered, so the memory is bounded in bytes too.
+CACHE_CHARS = 64
+#: Characters of texts that are split before their new pieces are merged together.
+GROUP_CHARS = 500_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -83,26 +89,99 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class _Pieces(dict):
-    """Packed ids by piece of text; a missing piece is merged on first use."""
+class Merger:
+    """Encodes many pieces at once: their segment trees are rows of one matrix, and each step takes one merge in every piece
+    that has one left. Results are those of `merge_piece`, which long pieces go through one by one."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        get = ranks.get
         self.ranks = ranks
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = merge_piece(piece.encode(), self.ranks)
-        self[piece] = packed = struct.pack(f"<{len(ids)}I", *ids)
-        return packed
+        self.single = np.array([get(bytes([b]), -1) for b in range(256)], np.int64)
+        pairs = sorted(
+            (left << 32 | right, rank)
+            for token, rank in ranks.items()
+            for at in range(1, len(token))
+            if (left := get(token[:at])) is not None and (right := get(token[at:])) is not None
+        )
+        table = np.array([*pairs, (_NONE, -1)], np.int64)
+        self.keys, self.values = table[:, 0].copy(), table[:, 1].copy()
+
+    def keys_at(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The leaves of pairs of symbols that start at `at`: rank and place in one number, so a minimum is the leftmost of its rank."""
+        pair = left << 32 | right
+        found = np.searchsorted(self.keys, pair)
+        return np.where(self.keys[found] == pair, self.values[found] << 6 | at, _NONE)
+
+    def encode(self, pieces: list[str]) -> dict[str, bytes]:
+        """Packed ids by piece."""
+        out, classes = {}, {8: [], 16: [], 32: [], 64: []}
+        for piece in pieces:
+            data = piece.encode()
+            whole = self.ranks.get(data)
+            if whole is not None:
+                out[piece] = struct.pack("<I", whole)
+            elif len(data) > 64 or self.single.min() < 0:
+                ids = merge_piece(data, self.ranks)
+                out[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                classes[max(8, 1 << (len(data) - 1).bit_length())].append((piece, data))
+        for size, part in classes.items():
+            for k in range(0, len(part), 4096):
+                some = part[k : k + 4096]
+                out.update(zip([x for x, _ in some], self._merge([d for _, d in some], size), strict=True))
+        return out
+
+    def _merge(self, pieces: list[bytes], size: int) -> list[bytes]:
+        m, place = len(pieces), np.arange(size)
+        length = np.array([len(p) for p in pieces], np.int64)
+        symbols = self.single[np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8)].reshape(m, size)
+        live = place < length[:, None]
+        tree = np.full((m, 2 * size), _NONE, np.int64)
+        tree[:, size:-1] = np.where(live[:, 1:], self.keys_at(symbols[:, :-1], symbols[:, 1:], place[:-1]), _NONE)
+        level = size // 2
+        while level:
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+            level //= 2
+        after, before = np.tile(place + 1, (m, 1)), np.tile(place - 1, (m, 1))
+        rows = np.flatnonzero(tree[:, 1] != _NONE)
+        tree, flat, alive, after, before = tree.ravel(), symbols.ravel(), live.ravel(), after.ravel(), before.ravel()
+        while len(rows):
+            row, best = rows * size, tree[2 * size * rows + 1]
+            at = best & 63
+            gone = after[row + at]
+            end, prev = after[row + gone], before[row + at]
+            flat[row + at] = best >> 6
+            alive[row + gone] = False
+            after[row + at] = end
+            more = end < length[rows]
+            before[(row + end)[more]] = at[more]
+            right, left = np.where(more, end, 0), np.maximum(prev, 0)
+            here = np.where(more, self.keys_at(flat[row + at], flat[row + right], at), _NONE)
+            root = 2 * row + size
+            tree[root + gone] = _NONE
+            tree[(root + prev)[prev >= 0]] = self.keys_at(flat[row + left], flat[row + at], left)[prev >= 0]
+            tree[root + at] = here
+            base = np.concatenate([2 * row] * 3)
+            node = np.concatenate([gone, at, left]) + size
+            while node[0] > 1:
+                node >>= 1
+                below = base + 2 * node
+                tree[base + node] = np.minimum(tree[below], tree[below + 1])
+            rows = rows[tree[2 * size * rows + 1] != _NONE]
+        data = flat[alive].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(alive.reshape(m, size).sum(1))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 _loaded: dict[str, tuple] = {}
 
 
 def _vocabulary(data: bytes) -> tuple:
+    """The merger, the worker's memory of pieces, and the bytes of each id."""
     key = hashlib.sha256(data).hexdigest()
     if key not in _loaded:
         ranks = load_ranks(data)
-        _loaded[key] = (_Pieces(ranks), {v: k for k, v in ranks.items()})
+        _loaded[key] = (Merger(ranks), {}, {v: k for k, v in ranks.items()})
     return _loaded[key]
 
 
@@ -110,10 +189,30 @@ def _with(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(column, kind)])
 
 
-def _encoded(texts: list, pieces: _Pieces, find) -> list[bytes]:
-    get, out = pieces.__getitem__, []
+def _groups(texts: list) -> Iterator[list[str]]:
+    """Texts in order, together up to GROUP_CHARS characters; a longer one stands alone. Nulls are empty texts."""
+    group, size = [], 0
     for text in texts:
-        out.append(b"".join(map(get, find(text))) if isinstance(text, str) else b"")
+        text = text if isinstance(text, str) else ""
+        if group and size + len(text) > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
+
+
+def _encoded(texts: list, merger: Merger, pieces: dict[str, bytes], find) -> list[bytes]:
+    get, out = pieces.__getitem__, []
+    for group in _groups(texts):
+        split = [find(text) for text in group]
+        fresh = set(chain.from_iterable(split)).difference(pieces)
+        pieces.update(merger.encode(list(fresh)))
+        out += [b"".join(map(get, part)) for part in split]
+        for piece in fresh:
+            if len(piece) > CACHE_CHARS:
+                del pieces[piece]
         if len(pieces) > CACHE_PIECES:
             for piece in list(pieces)[CACHE_PIECES // 2 :]:
                 del pieces[piece]
@@ -136,10 +235,10 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", id
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, _ = _vocabulary(shared.value)
+        merger, pieces, _ = _vocabulary(shared.value)
         find = regex.compile(pattern).findall
         for pdf in batches:
-            yield pdf.assign(**{ids_col: pd.Series(_encoded(pdf[text_col].tolist(), pieces, find), index=pdf.index, dtype=object)})
+            yield pdf.assign(**{ids_col: pd.Series(_encoded(pdf[text_col].tolist(), merger, pieces, find), index=pdf.index, dtype=object)})
 
     return df.mapInPandas(run, _with(df, ids_col, T.BinaryType()))
 
@@ -154,7 +253,7 @@ def decode(df: DataFrame, ranks: bytes, ids_col: str = "ids", bytes_col: str = "
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, tokens = _vocabulary(shared.value)
+        _, _, tokens = _vocabulary(shared.value)
         for pdf in batches:
             yield pdf.assign(**{bytes_col: pd.Series(_decoded(pdf[ids_col].tolist(), tokens), index=pdf.index, dtype=object)})
 
@@ -167,12 +266,12 @@ def round_trip_digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, tokens = _vocabulary(shared.value)
+        merger, pieces, tokens = _vocabulary(shared.value)
         find = regex.compile(pattern).findall
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                ids = _encoded(part.column(1).to_pylist(), pieces, find)
+                ids = _encoded(part.column(1).to_pylist(), merger, pieces, find)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),

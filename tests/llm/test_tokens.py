@@ -2,6 +2,7 @@
 
 import base64
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -57,6 +58,17 @@ def test_merges_are_leftmost_and_lowest():
     assert bpe.merge_piece(b"", ranks) == []
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh ", "aé日😀\0 "])
+def test_merger_equals_single_pieces(alphabet):
+    """Many pieces merged together, of all size classes, give what each gives alone."""
+    ranks = bpe.load_ranks(RANKS)
+    rng = random.Random(5)
+    pieces = ["".join(rng.choices(alphabet, k=n)) for n in range(1, 90) for _ in range(5)]
+    for piece, packed in bpe.Merger(ranks).encode(pieces).items():
+        ids = bpe.merge_piece(piece.encode(), ranks)
+        assert packed == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_pack_lengths():
     r = random.Random(2)
     for _ in range(60):
