@@ -27,6 +27,8 @@ _WORDS = re.compile(r"[^ \n\t\r]+").findall
 #: What Python takes for blanks and the tokenizer does not.
 _ODD_BLANKS = re.compile("[\x1c-\x1f]").search
 _PLAIN = re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+").fullmatch
+# Fixed value: how the tokenizers split that may be applied word by word; see _by_words.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _loaded: dict[str, tuple] = {}
 
 
@@ -40,10 +42,25 @@ def _tokenizer(data: str) -> tuple:
         suffix = json.loads(data)["model"].get("end_of_word_suffix") or "\0"
         last = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
         last[[v for k, v in tokenizer.get_vocab().items() if k.endswith(suffix)]] = True
-        _loaded[key] = (tokenizer, {}, last)
+        _loaded[key] = (tokenizer, {} if _by_words(json.loads(data)) else None, last)
     return _loaded[key]
 
 
+def _by_words(data: dict) -> bool:
+    """Whether a tokenizer is of the kind whose ids of a text are those of its words, and of a word those of its chunks: it
+    lower-cases, makes white space one, drops it between pieces that hold letters or marks only, and puts nothing around a text."""
+    parts = ((data.get("normalizer") or {}).get("normalizers"), (data.get("pre_tokenizer") or {}).get("pretokenizers"))
+    if data.get("post_processor") is not None or data.get("truncation") is not None or not all(parts):
+        return False
+    normal, cut = parts
+    return (
+        [x["type"] for x in normal] == ["NFC", "Replace", "Lowercase"] and normal[1]["pattern"] == {"Regex": r"\s+"} and normal[1]["content"] == " "
+        and [x["type"] for x in cut] == ["Split", "ByteLevel"] and cut[0]["behavior"] == "Removed" and cut[0]["invert"]
+        and cut[0]["pattern"] == {"Regex": _SPLIT} and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
+        and data["model"]["type"] == "BPE" and bool(data["model"].get("end_of_word_suffix"))
+    )
+
+
 def _is_latin(x: str) -> bool:
     try:
         x.encode("latin-1")
@@ -83,13 +100,15 @@ def _holes(ids: list) -> list[int]:
         return out
 
 
-def _ids(texts: list[str], tokenizer, words: dict[str, bytes], last: np.ndarray, end: bytes) -> list[bytes]:
-    """The ids of each text and the closing id, as packed 32-bit integers.
+def _ids(texts: list[str], tokenizer, words: dict[str, bytes] | None, last: np.ndarray, end: bytes) -> list[bytes]:
+    """The ids of each text and the closing id, as packed 32-bit integers. Without `words`, whole texts go to the tokenizer.
 
-    The tokenizer lower-cases, drops white space, and lets no token cross it or the border between a run of Latin letters
+    Otherwise it lower-cases, drops white space, and lets no token cross it or the border between a run of Latin letters
     and an ASCII mark. So a text's ids are those of its words in order, a word's those of its chunks, and each distinct one
     is encoded once.
     """
+    if words is None:
+        return [np.asarray(got.ids, "<u4").tobytes() + end for got in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     split = []
     for x in texts:
         # Latin-1 text has no characters that combine and lower-cases character by character
@@ -196,7 +215,8 @@ def pack(docs: DataFrame, tokenizer_json: str, max_tokens: int = 4096, end_id: i
     Stretches of `max_tokens` from a document's start become sequences of their own map-side; only the remainders
     meet, in groups of about `docs_per_group` documents dealt by a hash of doc_id (the group count follows the
     number of documents, so a group's size does not grow with the corpus). Extra columns are ignored; repeated
-    doc_ids are packed like other documents; an empty table gives no rows. The tokenizer is broadcast.
+    doc_ids are packed like other documents; an empty table gives no rows. The tokenizer is broadcast. One of the kind that
+    `_by_words` knows is applied to distinct words, any other to whole texts.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_json)
@@ -246,4 +266,7 @@ def pack(docs: DataFrame, tokenizer_json: str, max_tokens: int = 4096, end_id: i
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("grp"))
     rows = dealt.mapInArrow(tokens, "grp long, doc_id long, start long, length long, crc long, doc_tokens long, ids binary")
+    # about 64 groups a task, however many there are
+    if groups > 64 * int(spark.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(-(-groups // 64), "grp")
     return rows.groupBy("grp").applyInPandas(fill, PIECES)

@@ -1,6 +1,7 @@
 """Byte-level BPE and packing against the tokenizer libraries."""
 
 import base64
+import json
 import random
 import struct
 import zlib
@@ -114,3 +115,16 @@ def test_pack_edges(spark):
     assert packing.pack(corpus.empty(spark), words).count() == 0
     got = packing.pack(corpus.frame(spark, ["a b", "a b", None], [1, 1, None]), words).collect()
     assert sum(r["length"] for r in got) == 7
+
+
+def test_pack_by_another_tokenizer(spark):
+    """One that keeps case is applied to whole texts."""
+    data = json.loads(Q.vocabulary(Q.WORDS))
+    assert packing._by_words(data)
+    data["normalizer"]["normalizers"] = [n for n in data["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    assert not packing._by_words(data)
+    words, items = json.dumps(data), ["One Two's three", None, "EIN Wort, zwei"]
+    tokenizer = Tokenizer.from_str(words)
+    got = packing.pack(corpus.frame(spark, items), words).collect()
+    totals = {r["doc_id"]: r["doc_tokens"] for r in got}
+    assert totals == {k: len(tokenizer.encode(x or "", add_special_tokens=False).ids) + 1 for k, x in enumerate(items)}
