@@ -43,6 +43,21 @@ def chunk_rows(rows: DataFrame, text_col: str = "text", most: int = 512, chunk_c
     return full.select(*rest, F.posexplode(chunks(F.col(text_col), most)).alias("chunk_no", chunk_col))
 
 
+#: Values of the first order column whose rows are numbered in one task.
+STRETCH = 1024
+
+
 def number_chunks(rows: DataFrame, file_col: str = "source_file", order: tuple[str, ...] = ("pos", "chunk_no"), out: str = "doan_so") -> DataFrame:
-    """Ordinals from 1 for each file, in order of node and chunk."""
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(file_col).orderBy(*order)))
+    """Ordinals from 1 for each file, in order of node and chunk; the first order column is a number.
+
+    A file may hold most of the rows, so it is numbered in stretches of STRETCH nodes, each from the count of the stretches
+    before it. Only those counts meet in a file's window. The rows are worked out twice, once for the counts.
+    """
+    stretch = F.floor(F.col(order[0]) / STRETCH)
+    counts = rows.groupBy(F.col(file_col).alias("__file"), stretch.alias("__stretch")).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__file").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__file", "__stretch", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    place = F.row_number().over(Window.partitionBy(file_col, "__at").orderBy(*order))
+    numbered = rows.withColumn("__at", stretch).withColumn("__place", place)
+    both = numbered.join(offsets, F.col(file_col).eqNullSafe(F.col("__file")) & F.col("__at").eqNullSafe(F.col("__stretch")))
+    return both.select(*[F.col(f"`{c}`") for c in rows.columns if c != out], (F.col("__offset") + F.col("__place")).alias(out))

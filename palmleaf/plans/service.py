@@ -38,25 +38,25 @@ def chunk(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def sync_vectors(chunks: DataFrame, table: writers.VersionedTable, embed_fn: Callable, settings: Settings = Settings(), deletes: bool = False) -> DataFrame:
-    """Embed what is new or newer, write the table's next version, and return the counts by action.
+    """Embed what is new or newer, merge it into the table, and return the counts by action.
 
-    Vectors: (id, embedding, document, metadata, last_updated). Only changed rows reach the model. What is to be done is worked
-    out once and written beside the versions; of those the newest two stay, the one that readers may have open and its successor.
+    Vectors: (id, embedding, document, metadata, last_updated). Only changed rows reach the model and are written; of the table
+    ids and times are read. What is to be done is worked out once and written beside the versions; of those the newest two
+    stay, the one that readers may have open and its successor. A sync without changes writes nothing.
     """
     spark = chunks.sparkSession
     old = table.read()
     times = old.select("id", "last_updated") if old is not None else spark.createDataFrame([], "id string, last_updated timestamp")
     actions = table.set_aside(sync.diff(chunks, times, deletes))
+    n = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
     todo = chunks.join(actions.where("action in ('add', 'update')").select("id"), "id", "left_semi")
     fresh = sync.embed(todo, embed_fn, "content", "embedding", settings.batch_rows).select(
         "id", "embedding", F.col("content").alias("document"), enrich.scalar_metadata(F.col("metadata"), F.col("last_updated").cast("string")).alias("metadata"), "last_updated"
     )
-    gone = actions.where("action in ('update', 'delete')").select("id")
-    kept = old.join(gone, "id", "left_anti").select(*fresh.columns) if old is not None else None
-    summary = spark.createDataFrame([(r["action"], r["count"]) for r in actions.groupBy("action").count().collect()], "action string, n long")
-    table.replace(fresh if kept is None else kept.unionByName(fresh))
+    if old is None or set(n) - {"unchanged"}:
+        table.merge(fresh, actions.where("action = 'delete'").select("id") if "delete" in n else None)
     table.vacuum()
-    return summary
+    return spark.createDataFrame(list(n.items()), "action string, n long")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2") -> DataFrame:

@@ -6,6 +6,7 @@ import logging
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,27 +76,62 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class VersionedTable:
-    """A Parquet table that is replaced as a whole: each version is a folder of its own, and the newest complete one counts.
+    """A Parquet table of versions and changes: each version `v=` is a folder of its own, the newest complete one counts, and
+    the changes `d=` made to it since are folders beside it, which readers lay over it.
 
-    So a table can be read while its successor is computed from it, and a failed write changes nothing.
+    So a table can be read while its successor is computed from it, a failed write changes nothing, and a small change costs
+    what it writes. `merge` writes a new version when the changes have become COMPACT_SHARE of it or COMPACT_FOLDERS folders.
     """
 
+    COMPACT_SHARE, COMPACT_FOLDERS = 0.25, 50
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
+    def _complete(self, prefix: str) -> list[str]:
+        """Names of the folders that begin with `prefix` and were written to their end, in order."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = at(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at(self.path)):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        done = [n for n in names if n.startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
+        names = [s.getPath().getName() for s in fs.listStatus(at(self.path))]
+        return sorted(n for n in names if n.startswith(prefix) and fs.exists(at(f"{self.path}/{n}/_SUCCESS")))
+
+    def _versions(self) -> list[int]:
+        return [int(n[2:]) for n in self._complete("v=")]
+
+    def _changes(self, version: int) -> list[str]:
+        return self._complete(f"d={version:09d}-")
 
     def read(self) -> DataFrame | None:
-        """The newest version, or None."""
+        """The newest version under its changes, or None. The changes meet the version in one anti-join, on id."""
+        found = self._versions()
+        if not found:
+            return None
+        base = self.spark.read.parquet(f"{self.path}/v={found[-1]:09d}")
+        changes = self._changes(found[-1])
+        if not changes:
+            return base
+        parts = [self.spark.read.parquet(f"{self.path}/{n}").withColumn("__no", F.lit(k)) for k, n in enumerate(changes)]
+        rows = reduce(DataFrame.unionByName, parts)
+        newest = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("id", "__no")]), "__no").alias("r")).select("id", "r.*")
+        return base.join(newest.select("id"), "id", "left_anti").select(*base.columns).unionByName(newest.where("not __gone").select(*base.columns))
+
+    def merge(self, rows: DataFrame, gone: DataFrame | None = None) -> None:
+        """Rows that replace those of their `id` or are new, one an id, and the `id`s in `gone` that go. An empty table becomes `rows`."""
         found = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v={found[-1]:09d}") if found else None
+        if not found:
+            return self.replace(rows)
+        marked = rows.withColumn("__gone", F.lit(False))
+        if gone is not None:
+            marked = marked.unionByName(gone.select("id", F.lit(True).alias("__gone")), allowMissingColumns=True)
+        before = self._changes(found[-1])
+        number = int(before[-1].split("-")[1]) + 1 if before else 1
+        marked.write.mode("overwrite").parquet(f"{self.path}/d={found[-1]:09d}-{number:09d}")
+        changes = self._changes(found[-1])
+        size = lambda names: self.spark.read.parquet(*[f"{self.path}/{n}" for n in names]).count()
+        if len(changes) >= self.COMPACT_FOLDERS or size(changes) > self.COMPACT_SHARE * size([f"v={found[-1]:09d}"]):
+            self.replace(self.read())
 
     def replace(self, rows: DataFrame) -> None:
         found = self._versions()
@@ -108,12 +144,13 @@ class VersionedTable:
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def vacuum(self, keep: int = 2) -> None:
-        """Delete all but the newest `keep` versions, and what was set aside."""
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for v in self._versions()[:-keep]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v:09d}"), True)
-        for s in fs.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(self.path)):
-            if s.getPath().getName().startswith("_aside-"):
+        """Delete all but the newest `keep` versions with their changes, and what was set aside."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = at(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = self._versions()[:-keep]
+        prefixes = ["_aside-", *[f"v={v:09d}" for v in old], *[f"d={v:09d}-" for v in old]]
+        for s in fs.listStatus(at(self.path)):
+            if s.getPath().getName().startswith(tuple(prefixes)):
                 fs.delete(s.getPath(), True)
 
 

@@ -103,6 +103,17 @@ def test_chunk_bounds_and_numbers(spark):
     assert got == [(k, n + 1, c) for n, (k, c) in enumerate([(k, c) for k, x in enumerate(texts) if x and x.strip() for c in greedy(x)])]
 
 
+def test_ordinals_run_through_stretches(spark):
+    """More nodes than one stretch has, some without chunks, files and extra columns apart."""
+    rows = spark.range(2 * chunk.STRETCH + 50).where("id % 7 <> 0").selectExpr("if(id % 3 = 0, 'a', null) as source_file", "id as pos", "0 as chunk_no", "id as doan_so", "id as extra")
+    got = chunk.number_chunks(rows).orderBy("pos").collect()
+    n = {}
+    for r in got:
+        n[r["source_file"]] = n.get(r["source_file"], 0) + 1
+        assert r["doan_so"] == n[r["source_file"]] and r["extra"] == r["pos"]
+    assert len(got) == rows.count()
+
+
 def test_trees(spark):
     files = {
         "root_list": [{"type": "paragraph", "text": "a", "n": 1, "none": None}, "skipped", {"type": "x", "text": "no", "content": [{"type": "tụng", "tieu_de": " b ", "n": True}]}],

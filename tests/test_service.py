@@ -82,6 +82,22 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert [(r["id"], r["document"]) for r in table.read().collect()] == [("1", "b")]
 
 
+def test_merge_lays_changes_over_a_version(spark, tmp_path):
+    table = writers.VersionedTable(spark, str(tmp_path / "t"))
+    rows = lambda ids, x: spark.createDataFrame([(str(k), x) for k in ids], "id string, x string")
+    table.merge(rows(range(100), "a"))
+    table.merge(rows([3, 4, 200], "b"), rows([7], None).select("id"))
+    table.merge(rows([4, 7], "c"), rows([200, 999], None).select("id"))
+    want = {str(k): "a" for k in range(100)} | {"3": "b", "4": "c", "7": "c"}
+    assert {r["id"]: r["x"] for r in table.read().collect()} == want and table.read().count() == 100
+    assert table._versions() == [1] and len(table._changes(1)) == 2
+    table.merge(rows(range(50), "d"))
+    assert table._versions() == [1, 2] and not table._changes(2)
+    assert {r["id"]: r["x"] for r in table.read().collect()} == want | {str(k): "d" for k in range(50)}
+    table.vacuum(1)
+    assert sorted(x.name for x in (tmp_path / "t").iterdir()) == ["v=000000002"]
+
+
 def test_flags(spark, tmp_path):
     assert service.flag_report(spark, str(tmp_path / "none")) == "<h3>no flags</h3>"
     (tmp_path / "dataset1.csv").write_bytes('r,timestamp\r\n"<h3>a\nb""c</h3>",2025-05-20 16:22:25.648525\n,2025-05-20 16:28:07.1\n'.encode())
