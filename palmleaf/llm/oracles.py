@@ -111,6 +111,63 @@ _SECRETS = f"""
 """
 
 
+def _merkle(levels: int = 8, upper: int = 4) -> str:
+    """Levels are written out: up to 8 ** levels documents a language and 8 ** upper languages."""
+    number = "row_number() over (partition by lang order by doc_id nulls first, leaf) - 1"
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    # crc32 bit by bit: 4294967295 and 3988292384 are its start and its polynomial
+    crc = """xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b:
+        list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)), xor(c, b)), 4294967295::BIGINT))"""
+    parts = [
+        f"""l as materialized (select doc_id, coalesce('1' || lang, '0') as t, {leaf('text')} as leaf, {number} as place,
+            case when {crc} % 3 = 0 then {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as altered from documents)""",
+        "p0 as materialized (select doc_id, t, leaf, place as pos, place, leaf as node, coalesce(altered, leaf) as folded, '' as proof from l)",
+        "n0 as materialized (select t, place as pos, leaf as node from l)",
+    ]
+    for k in range(levels + upper):
+        if k == levels:
+            parts += [
+                f"s as materialized (select t, node as subroot, row_number() over (order by t) - 1 as pos from n{k})",
+                f"q as materialized (select p.*, s.subroot, s.pos as above from p{k} p join s on s.t = p.t)",
+                f"p{k}u as materialized (select doc_id, t, leaf, above as pos, place, node, folded, proof, subroot from q)",
+                f"n{k}u as materialized (select '' as t, pos, subroot as node from s)",
+            ]
+        u, more, key = ("", "", "p.t") if k < levels else ("u", ", p.subroot", "''")
+        v = "" if k + 1 < levels or k + 1 == levels else "u"
+        parts += [
+            f"g{k} as materialized (select *, count(*) over (partition by t) > 1 as many, string_agg(node, '') over (partition by t, pos // 8 order by pos rows between unbounded preceding and 1 preceding) as a,"
+            f" string_agg(node, '') over (partition by t, pos // 8 order by pos rows between 1 following and unbounded following) as b from n{k}{u})",
+            f"n{k + 1}{v} as materialized (select t, pos // 8 as pos, case when any_value(many) then sha256(string_agg(node, '' order by pos)) else any_value(node) end as node from g{k} group by t, pos // 8)",
+            f"p{k + 1}{v} as materialized (select p.doc_id, p.t, p.leaf, p.pos // 8 as pos, p.place, g.node, case when many then sha256(coalesce(a, '') || p.folded || coalesce(b, '')) else p.folded end as folded,"
+            f" case when many then p.proof || coalesce(a, '') || coalesce(b, '') else p.proof end as proof{more} from p{k}{u} p join g{k} g on g.t = {key} and g.pos = p.pos)",
+        ]
+    return f"""with {", ".join(parts)}
+        select doc_id, leaf, subroot, (select node from n{levels + upper}u) as root, sha256(proof) as proof_sha256, folded as folded_root, folded = (select node from n{levels + upper}u) as verified from p{levels + upper}u"""
+
+
+def _centroids(k: int = 40, rounds: int = 5) -> str:
+    parts = [
+        """v as materialized (select vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) as e from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)""",
+        f"c0 as materialized (select row_number() over (order by h) - 1 as c, e from (select sha256('2:' || vec_id) as h, e from v order by h limit {k}))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""a{r} as materialized (select * from (select vec_id, v.e, c, (list_dot_product(v.e, v.e) - 2 * list_dot_product(v.e, m.e) + list_dot_product(m.e, m.e))::BIGINT as d
+                from v, c{r} m) qualify row_number() over (partition by vec_id order by d, c) = 1)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""c{r + 1} as materialized (select o.c, coalesce(m.e, o.e) as e from c{r} o left join (select c, list(x order by i) as e from (
+                    select c, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::DOUBLE as x from (
+                        select c, unnest(e)::BIGINT as x, generate_subscripts(e, 1) as i from a{r}) group by c, i) group by c) m on m.c = o.c)"""
+            )
+    return f"""with {", ".join(parts)}
+        select vec_id, a.c::INT as cluster, d as distance, (sum(d) over (partition by a.c))::BIGINT as cluster_inertia, (sum(d) over ())::BIGINT as inertia,
+            sha256(array_to_string(list_transform(m.e, lambda x: x::BIGINT::VARCHAR), ',')) as centroid_sha256 from a{rounds} a join c{rounds} m on m.c = a.c"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "secret_base_spans": _SECRETS,
@@ -120,4 +177,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_unit_dedup": _UNITS,
         "op9_jaccard_join": _JACCARD,
         "op10_line_dedup": _LINE_DEDUP,
+        "op12_merkle_manifest": _merkle(),
+        "op13_centroids": _centroids(),
     }
