@@ -1,7 +1,8 @@
 """DuckDB SQL for those training-data queries that SQL can express.
 
 A trained network or model, a tokenizer's merges and first-fit packing are beyond it; tests/llm holds those against brute
-force. Of op6 the base columns are held against SQL by `secret_base_spans`, the same plan without the models' columns.
+force. Of op6 and op11 the base columns are held against SQL by
+`secret_base_spans` and `quality_base_counts`, the same counts without the models' and vocabularies' columns.
 """
 
 from __future__ import annotations
@@ -111,6 +112,20 @@ _SECRETS = f"""
 """
 
 
+_QUALITY = """
+    with d as (select doc_id, coalesce(text, '') as t from documents),
+    w as (select doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from d),
+    g as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as n from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+    r as (select doc_id, count(distinct p)::BIGINT as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from g where n > 1) group by doc_id),
+    l as (select doc_id, (count(*) - count(distinct line))::BIGINT as n from (select doc_id, unnest(string_split(t, chr(10))) as line from d)
+        where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by doc_id)
+    select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from (
+        select w.doc_id, len(w)::BIGINT as n_words, length(array_to_string(w, ''))::BIGINT as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT as n_symbols,
+            coalesce(l.n, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words
+        from w left join r on r.doc_id = w.doc_id left join l on l.doc_id = w.doc_id)
+"""
+
+
 def _merkle(levels: int = 8, upper: int = 4) -> str:
     """Levels are written out: up to 8 ** levels documents a language and 8 ** upper languages."""
     number = "row_number() over (partition by lang order by doc_id nulls first, leaf) - 1"
@@ -171,6 +186,7 @@ def _centroids(k: int = 40, rounds: int = 5) -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "secret_base_spans": _SECRETS,
+        "quality_base_counts": _QUALITY,
         "op1_repeated_substrings": _REPEATS,
         "op2_topk_search": _TOP_K,
         "op4_range_join": _RANGE_JOIN,

@@ -7,11 +7,11 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, centroids, jaccard_join, langid, line_dedup, merkle, packing, range_join, repeats, secret_scan, topk_search, unit_dedup
+from . import bpe, centroids, jaccard_join, langid, line_dedup, merkle, packing, quality_rules, range_join, repeats, secret_scan, topk_search, unit_dedup
 from .common import table
 
 #: Vocabulary files are parameters; these are the ones the registered queries use.
-RANKS, WORDS = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
+RANKS, WORDS, PIECES = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> bytes:
@@ -64,6 +64,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return quality_rules.report(docs, [quality_rules.Vocabulary("piece", vocabulary(PIECES)), quality_rules.Vocabulary("byte", vocabulary(RANKS), public_tokenizers.PATTERN)])
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op11 that don't depend on a vocabulary."""
+    counted = quality_rules.measure(table(spark, sf_dir, "documents", "doc_id", "text"), [])
+    return counted.drop("text", "script").withColumn("base_failed", quality_rules.base_failed())
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_proofs(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"))
 
@@ -73,4 +84,4 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"secret_base_spans": secret_base_spans}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"secret_base_spans": secret_base_spans, "quality_base_counts": quality_base_counts}
