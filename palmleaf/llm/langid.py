@@ -67,8 +67,34 @@ def probabilities(x: np.ndarray, m: Model) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
+def gradients(x: np.ndarray, y: np.ndarray, m: Model) -> list[np.ndarray]:
+    """The gradients of the mean cross entropy by tables, bias, output layer and its bias. Only the position that wins the max
+    pooling passes one on to its bytes' rows."""
+    total = FILTERS * len(WIDTHS)
+    conv = convolve(x, m)
+    best = conv.argmax(1)
+    raw = np.take_along_axis(conv, best[:, None, :], 1)[:, 0] + m.bias
+    act = np.maximum(raw, 0)
+    z = act @ m.out + m.out_bias
+    z = np.exp(z - z.max(1, keepdims=True))
+    d = z / z.sum(1, keepdims=True)
+    d[np.arange(len(y)), y] -= 1
+    d /= len(y)
+    back = (d @ m.out.T) * (raw > 0)
+    grads = []
+    wide = np.zeros((len(x), WINDOW + max(WIDTHS) - 1), np.uint8)
+    wide[:, :WINDOW] = x
+    rows = np.arange(len(x))[:, None]
+    for j, t in enumerate(m.tables):
+        s = _starts(j)
+        g = np.zeros_like(t)
+        np.add.at(g, (wide[rows, best[:, s:] + j], np.arange(total - s)[None, :]), back[:, s:])
+        grads.append(g)
+    return [*grads, back.sum(0), act.T @ d, d.sum(0)]
+
+
 def train(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 12, rate: float = 0.01, seed: int = 7) -> Model:
-    """Adam on cross entropy. Only the position that wins the max pooling passes a gradient on to its bytes' rows."""
+    """Adam on cross entropy."""
     rng = np.random.default_rng(seed)
     total = FILTERS * len(WIDTHS)
     tables = [rng.normal(0, 0.1, (256, total - _starts(j))).astype(np.float32) for j in range(max(WIDTHS))]
@@ -78,30 +104,8 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 12, rat
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for k in range(0, len(x), 64):
-            pick = order[k : k + 64]
-            xb, yb = x[pick], y[pick]
-            conv = convolve(xb, m)
-            best = conv.argmax(1)
-            raw = np.take_along_axis(conv, best[:, None, :], 1)[:, 0] + m.bias
-            act = np.maximum(raw, 0)
-            z = act @ m.out + m.out_bias
-            z = np.exp(z - z.max(1, keepdims=True))
-            d = z / z.sum(1, keepdims=True)
-            d[np.arange(len(yb)), yb] -= 1
-            d /= len(yb)
-            back = (d @ m.out.T) * (raw > 0)
-            grads = []
-            wide = np.zeros((len(xb), WINDOW + max(WIDTHS) - 1), np.uint8)
-            wide[:, :WINDOW] = xb
-            rows = np.arange(len(xb))[:, None]
-            for j, t in enumerate(m.tables):
-                s = _starts(j)
-                g = np.zeros_like(t)
-                np.add.at(g, (wide[rows, best[:, s:] + j], np.arange(total - s)[None, :]), back[:, s:])
-                grads.append(g)
-            grads += [back.sum(0), act.T @ d, d.sum(0)]
             step += 1
-            for p, g, a, b in zip(params, grads, first, second, strict=True):
+            for p, g, a, b in zip(params, gradients(x[order[k : k + 64]], y[order[k : k + 64]], m), first, second, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
@@ -113,19 +117,20 @@ def fit(labelled: DataFrame) -> Model | None:
     language, up to WINDOWS_PER_DOC evenly spaced windows of each. With more than MAX_LANGS languages each gets fewer documents,
     so that the sample stays bounded; so many that fewer than LEAST_DOCS are left for each are refused, none is dropped.
 
-    Rows with null text or language don't count; without any there is no model. The sample goes by a hash of doc_id,
-    so it is the same on every run; the languages are counted over all rows.
+    Rows with null text or language don't count; without any there is no model. The sample goes by a hash of doc_id and text,
+    so it is the same on every run; the languages are counted over all rows. Equal rows, however many, are one row of the sample.
     """
     seen = labelled.where("text is not null and lang is not null and doc_id is not null")
-    counts = seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(DOCS_PER_LANG * MAX_LANGS // LEAST_DOCS + 1).collect()
+    # by id and text, so that rows of one id are drawn apart; a language's least draw is always in, so none is without a sample
+    lot = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 30))
+    counts = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(lot).alias("least")).orderBy(F.desc("count"), "lang").limit(DOCS_PER_LANG * MAX_LANGS // LEAST_DOCS + 1).collect()
     if not counts:
         return None
     each = DOCS_PER_LANG * min(1.0, MAX_LANGS / len(counts))
     if each < LEAST_DOCS:
         raise ValueError(f"more than {len(counts) - 1} languages leave fewer than {LEAST_DOCS} documents for each")
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
-    lot = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / (1 << 30)
-    chosen = seen.where(lot < F.coalesce(F.try_element_at(share, "lang"), F.lit(0.0)))
+    upto = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], max(r["least"], int(min(1.0, each / r["count"]) * (1 << 30))))])
+    chosen = seen.where(lot <= F.try_element_at(upto, "lang"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -136,9 +141,9 @@ def fit(labelled: DataFrame) -> Model | None:
                     rows.append((key, w[k].tobytes(), lang))
             yield pd.DataFrame(rows, columns=["key", "w", "lang"])
 
-    cuts = chosen.select(F.xxhash64("doc_id", F.lit("order")).alias("key"), "text", "lang").mapInPandas(cut, "key long, w binary, lang string")
-    # the share gives the expected size; the limit holds where one doc_id stands for very many rows
-    got = cuts.orderBy("key", "w", "lang").limit(int(2 * WINDOWS_PER_DOC * each * len(counts))).collect()
+    cuts = chosen.select(F.xxhash64("doc_id", "text", F.lit("order")).alias("key"), "text", "lang").mapInPandas(cut, "key long, w binary, lang string")
+    # the share gives the expected size; equal rows count once, and the limit holds where they differ a little
+    got = cuts.distinct().orderBy("key", "w", "lang").limit(int(2 * WINDOWS_PER_DOC * each * len(counts))).collect()
     labels = sorted({r["lang"] for r in got})
     got.sort(key=lambda r: (bytes(r["w"]), r["lang"]))
     x = np.frombuffer(b"".join(bytes(r["w"]) for r in got), np.uint8).reshape(-1, WINDOW)

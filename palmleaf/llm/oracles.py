@@ -45,18 +45,35 @@ _RANGE_JOIN = f"""
     select id as vec_id, (select count(*) from links where a = id)::BIGINT as n_links, component_id, id = component_id as kept from found
 """
 
-_UNITS = """
-    with p as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?][ \\t\\n\\v\\f\\r]+|\\n[ \\t\\n\\v\\f\\r]*)', '\\1' || chr(1), 'g'), chr(1)) as parts from documents),
+_BLANK = " \\t\\n\\v\\f\\r"
+_COMMON = """case when {x} is null or {y} is null then 0 else coalesce(list_position(list_transform(range(1, least(len({x}), len({y}), 200) + 1), lambda i: {x}[i] = {y}[i]), false) - 1,
+    least(len({x}), len({y}), 200)) end"""
+_UNITS = f"""
+    with p as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?][{_BLANK}]+|\\n[{_BLANK}]*)', '\\1' || chr(1), 'g'), chr(1)) as parts from documents),
     l as (select doc_id, unnest(parts) as unit, generate_subscripts(parts, 1) as no from p),
-    o as (select *, lower(trim(regexp_replace(unit, '[ \\t\\n\\v\\f\\r]+', ' ', 'g'))) as form, (sum(length(unit)) over (partition by doc_id order by no))::BIGINT as finish from l),
-    r as (select *, form <> '' and row_number() over (partition by form order by doc_id, no) > 1 as again, case when form = '' then 0 else length(form) - length(replace(form, ' ', '')) + 1 end as words from o),
+    o as materialized (select *, lower(trim(regexp_replace(unit, '[{_BLANK}]+', ' ', 'g'))) as form, (sum(length(unit)) over (partition by doc_id order by no))::BIGINT as finish from l),
+    r as (select *, form <> '' and row_number() over (partition by form order by doc_id, no) > 1 as again, first_value([doc_id, no]) over (partition by form order by doc_id, no) as f,
+        case when form = '' then 0 else length(form) - length(replace(form, ' ', '')) + 1 end as words from o),
     i as (select *, no - row_number() over (partition by doc_id, again order by no) as run from r),
-    g as (select *, again and sum(words) over (partition by doc_id, again, run) >= 25 as gone from i),
-    runs as (select doc_id, min(finish - length(unit)) as a, max(finish) as b from g where gone group by doc_id, run),
-    spans as (select doc_id, string_agg(a || ':' || b, ',' order by a) as removed, sum(b - a)::BIGINT as n from runs group by doc_id)
-    select g.doc_id, max(finish) as n_chars, count(*) filter (gone)::BIGINT as n_removed, coalesce(any_value(n), 0) as n_removed_chars, coalesce(any_value(removed), '') as removed,
-        sha256(coalesce(string_agg(unit, '' order by no) filter (not gone), '')) as kept_sha256
-    from g left join spans on spans.doc_id = g.doc_id group by g.doc_id
+    g as materialized (select doc_id, min(no) as a, max(no) as b, sum(words) as words, count(*) as n, min(finish - length(unit)) as start, max(finish) as finish, arg_max(f, words * 1000000 - no) as f, arg_max(no, words * 1000000 - no) as own
+        from i where again group by doc_id, run having sum(words) >= 8),
+    w as materialized (select doc_id, no, string_split(form, ' ') as x, list_reverse(string_split(form, ' ')) as y, regexp_extract_all(unit, '[^{_BLANK}]+[{_BLANK}]*') as parts from o where form <> ''),
+    e as (select g.*, {_COMMON.format(x="lb.y", y="la.y")} as more_left, {_COMMON.format(x="rb.x", y="ra.x")} as more_right, lb.parts as pl, rb.parts as pr
+        from g left join w lb on lb.doc_id = g.doc_id and lb.no = g.a - 1 left join w la on la.doc_id = g.f[1] and la.no = g.f[2] - g.own + g.a - 1
+        left join w rb on rb.doc_id = g.doc_id and rb.no = g.b + 1 left join w ra on ra.doc_id = g.f[1] and ra.no = g.f[2] - g.own + g.b + 1),
+    s as (select doc_id, n, start - length(array_to_string(pl[len(pl) - more_left + 1 :], '')) * (more_left > 0)::INT as a, finish + length(array_to_string(pr[: more_right], '')) * (more_right > 0)::INT as b
+        from (select * replace (coalesce(pl, []) as pl, coalesce(pr, []) as pr) from e) where words + more_left + more_right >= 25),
+    m as (select *, sum(fresh) over (partition by doc_id order by a, b) as grp from (
+        select *, case when a <= max(b) over (partition by doc_id order by a, b rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from s)),
+    runs as materialized (select doc_id, min(a)::BIGINT as a, max(b)::BIGINT as b, sum(n) as n from m group by doc_id, grp),
+    t as (select doc_id, coalesce(text, '') as t from documents),
+    gaps as (
+        select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as a, a as b from runs
+        union all select t.doc_id, coalesce(max(r.b), 0), any_value(length(t.t)) from t left join runs r on r.doc_id = t.doc_id group by t.doc_id),
+    kept as (select g.doc_id, sha256(string_agg(substr(t, (g.a + 1)::INT, (g.b - g.a)::INT), '' order by g.a)) as kept_sha256 from gaps g join t on t.doc_id = g.doc_id group by g.doc_id),
+    spans as (select doc_id, string_agg(a || ':' || b, ',' order by a) as removed, sum(b - a)::BIGINT as chars, sum(n)::BIGINT as n from runs group by doc_id)
+    select t.doc_id, length(t)::BIGINT as n_chars, coalesce(n, 0) as n_removed, coalesce(chars, 0) as n_removed_chars, coalesce(removed, '') as removed, kept_sha256
+    from t join kept on kept.doc_id = t.doc_id left join spans on spans.doc_id = t.doc_id
 """
 
 _JACCARD = f"""

@@ -80,38 +80,76 @@ def test_maximal_repeat_groups():
 BLANK = " \t\n\x0b\f\r"
 
 
+def brute_cut(text, unit):
+    """Character by character: where units begin and end."""
+    units, at, k = [], 0, 0
+    while k < len(text):
+        end = k + 1
+        if unit == "line" and (text[k] == "\n" or text[k] in ".!?" and text[k + 1 : k + 2] in set(BLANK)):
+            while end < len(text) and text[end] in BLANK:
+                end += 1
+        elif unit == "paragraph" and text[k] == "\n" and (m := re.match(r"[ \t]*\n", text[k + 1 :])):
+            end += m.end()
+            while end < len(text) and text[end] in BLANK:
+                end += 1
+        else:
+            k = end
+            continue
+        units.append((at, end))
+        at = k = end
+    return [*units, (at, len(text))]
+
+
+def brute_words(text):
+    """(lower-cased word, start, end with the blanks behind it)."""
+    found = [(m.start(), m.end()) for m in re.finditer(f"[^{BLANK}]+", text)]
+    ends = [a for a, _ in found[1:]] + [len(text)]
+    return [(text[a:b].lower(), a, e) for (a, b), e in zip(found, ends, strict=False)]
+
+
 def brute_units(items, unit, least):
-    """Character by character: units, those seen before, and their runs of `least` words or more as (start, finish)."""
-    seen, out = set(), {}
-    for doc, text in sorted(items.items()):
-        text, units, at, k = text or "", [], 0, 0
-        while k < len(text):
-            end = k + 1
-            if unit == "line" and (text[k] == "\n" or text[k] in ".!?" and text[k + 1 : k + 2] in set(BLANK)):
-                while end < len(text) and text[end] in BLANK:
-                    end += 1
-            elif unit == "paragraph" and text[k] == "\n" and (m := re.match(r"[ \t]*\n", text[k + 1 :])):
-                end += m.end()
-                while end < len(text) and text[end] in BLANK:
-                    end += 1
-            else:
-                k = end
-                continue
-            units.append((at, end))
-            at = k = end
-        units.append((at, len(text)))
-        run, spans = [], []
-        for a, b in [*units, (0, 0)]:
-            form = " ".join(text[a:b].lower().translate(dict.fromkeys(map(ord, BLANK), " ")).split(" ")).split(" ")
-            form = " ".join(x for x in form if x)
+    """The removed spans: runs of units seen before, grown into their neighbours as far as the first occurrence of the longest unit agrees."""
+    cut = {doc: brute_cut(text or "", unit) for doc, text in items.items()}
+    of = lambda doc, no: brute_words(items[doc][cut[doc][no][0] : cut[doc][no][1]]) if 0 <= no < len(cut[doc]) and items[doc] else []
+    seen, out = {}, {}
+    for doc in sorted(items):
+        again = {}
+        for no in range(len(cut[doc])):
+            form = tuple(w for w, *_ in of(doc, no))
             if form and form in seen:
-                run.append((a, b, len(form.split(" "))))
-            else:
-                if run and sum(n for *_, n in run) >= least:
-                    spans.append((run[0][0], run[-1][1]))
-                run = []
-            if form:
-                seen.add(form)
+                again[no] = (len(form), seen[form])
+            elif form:
+                seen[form] = (doc, no)
+        spans, no = [], 0
+        while no < len(cut[doc]):
+            if no not in again:
+                no += 1
+                continue
+            last = no
+            while last + 1 in again:
+                last += 1
+            words = sum(again[k][0] for k in range(no, last + 1))
+            if words >= min(unit_dedup.SEED_WORDS, least):
+                top = max(range(no, last + 1), key=lambda k: (again[k][0], -k))
+                source, shift = again[top][1][0], again[top][1][1] - top
+                a, b = cut[doc][no][0], cut[doc][last][1]
+                mine, other = of(doc, no - 1), of(source, no + shift - 1)
+                n = 0
+                while n < min(len(mine), len(other), unit_dedup.GROW_WORDS) and mine[-1 - n][0] == other[-1 - n][0]:
+                    n += 1
+                if n:
+                    a = cut[doc][no - 1][0] + mine[-n][1]
+                mine, other = of(doc, last + 1), of(source, last + shift + 1)
+                m = 0
+                while m < min(len(mine), len(other), unit_dedup.GROW_WORDS) and mine[m][0] == other[m][0]:
+                    m += 1
+                if m:
+                    b = cut[doc][last + 1][0] + mine[m - 1][2]
+                if words + n + m >= least:
+                    if spans and a <= spans[-1][1]:
+                        a, b = spans[-1][0], max(b, spans.pop()[1])
+                    spans.append((a, b))
+            no = last + 1
         out[doc] = spans
     return out
 
@@ -137,8 +175,9 @@ def pasted(seed=3):
     return [*out, *passages]
 
 
-@pytest.mark.parametrize(("unit", "least"), [("line", 25), ("line", 1), ("paragraph", 8)])
-def test_units(spark, unit, least):
+@pytest.mark.parametrize(("unit", "least", "grow"), [("line", 25, 200), ("line", 1, 200), ("paragraph", 8, 200), ("line", 40, 3)])
+def test_units(spark, monkeypatch, unit, least, grow):
+    monkeypatch.setattr(unit_dedup, "GROW_WORDS", grow)
     items = corpus.texts(8) + pasted()
     items += ["\n \n".join(x.split("\n")) for x in items[:20] * 2 if x] + ["\r\n a b.\n\n\t\n c. d"] * 2
     items = dict(enumerate(items))
@@ -151,11 +190,23 @@ def test_units(spark, unit, least):
 
 
 def test_units_catch_pasted_passages(spark):
-    """Every later copy of a passage goes but for its first and last sentence, wherever it was pasted; own text stays."""
+    """Every later copy of a passage goes, first and last sentence too, wherever it was pasted; own text stays."""
     items = pasted()
     got = keyed(unit_dedup.dedup_units(corpus.frame(spark, items)))
     assert all(got[k]["removed"] for k in range(4, len(items))) and not any(got[k]["removed"] for k in range(4))
     assert all("See below." in got[k]["text"] for k in range(24))
+    # of a later document that had a passage pasted in, its own words are left
+    for k in range(4, 24):
+        passage = [w.lower() for w in items[24 + k % 4].split()]
+        words = [w.lower() for w in items[k].split()]
+        at = next(j for j in range(len(words)) if words[j : j + len(passage)] == passage)
+        assert got[k]["text"].lower().split() == words[:at] + words[at + len(passage) :]
+
+
+def test_runs_of():
+    unit = lambda no, words, doc, at: {"no": no, "words": words, "first": {"doc_id": doc, "no": at}}
+    got = unit_dedup.runs_of([unit(2, 3, 1, 9), unit(3, 8, 5, 4), unit(4, 8, 6, 0), unit(7, 1, 1, 0)])
+    assert got == [(2, 4, 19, 5, 2, 6), (7, 7, 1, 1, -1, 1)]
 
 
 def test_units_edges(spark):

@@ -1,11 +1,13 @@
 """Language ID, secret scans and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,65 @@ def test_language_id_edges(spark):
     assert told[0]["lang"] == "und" and told[0]["spans"] == "old"
 
 
+@pytest.mark.parametrize("doc", [0, 1, 3, 5, 8, 13])
+def test_language_of_repeated_rows(spark, doc):
+    """A thousand rows of one id, equal or not, are a sample like others; with one label everything gets it."""
+    texts = ["ta re mi on"] * 500 + [f"re mi {k} on lo" for k in range(500)]
+    df = spark.createDataFrame([(doc, t, "aa") for t in texts] + [(doc + 1000, "kü sch der ung", "bb")] * 3, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.labels == ["aa", "bb"]
+    got = langid.language_ids(df).collect()
+    assert len(got) == 1003 and {r["lang_pred"] for r in got} <= {"aa", "bb", "und"}
+
+
+def plain_network(x, m):
+    """Filter responses at every position, their maxima, and the softmax, by loops."""
+    out = []
+    for row in x:
+        row = [*row, *[0] * (max(langid.WIDTHS) - 1)]
+        pooled = []
+        for f in range(langid.FILTERS * len(langid.WIDTHS)):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            pooled.append(max(sum(float(m.tables[j][row[p + j], f - langid._starts(j)]) for j in range(width)) for p in range(langid.WINDOW)))
+        act = [max(p + float(b), 0) for p, b in zip(pooled, m.bias, strict=True)]
+        z = [sum(a * float(w) for a, w in zip(act, m.out[:, k], strict=True)) + float(m.out_bias[k]) for k in range(len(m.labels))]
+        e = [math.exp(v - max(z)) for v in z]
+        out.append([v / sum(e) for v in e])
+    return out
+
+
+def tiny_model(seed=3):
+    r = np.random.default_rng(seed)
+    total = langid.FILTERS * len(langid.WIDTHS)
+    tables = [r.normal(0, 0.5, (256, total - langid._starts(j))) for j in range(max(langid.WIDTHS))]
+    return langid.Model(["a", "b", "c"], tables, r.normal(0, 0.1, total), r.normal(0, 0.5, (total, 3)), r.normal(0, 0.1, 3))
+
+
+def test_network_against_loops():
+    x = np.concatenate([langid.windows(t.encode()) for t in ("Ta re mi on.", "k\u00fc sch " * 40, "")])
+    m = tiny_model()
+    assert np.allclose(langid.probabilities(x, m), plain_network(x.tolist(), m), atol=1e-9)
+
+
+def test_gradients_by_differences():
+    """Every gradient is the slope of the loss when one number is moved."""
+    r = np.random.default_rng(8)
+    x, y, m = r.integers(97, 110, (5, langid.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 1, 0]), tiny_model()
+    loss = lambda: -np.log(langid.probabilities(x, m)[np.arange(5), y]).mean()
+    checked = 0
+    for p, g in zip([*m.tables, m.bias, m.out, m.out_bias], langid.gradients(x, y, m), strict=True):
+        for at in [np.unravel_index(k, p.shape) for k in [*np.argsort(-np.abs(g), axis=None)[:6], *r.integers(0, p.size, 4)]]:
+            old, h = p[at], 1e-6
+            p[at] = old + h
+            up = loss()
+            p[at] = old - h
+            slope = (up - loss()) / (2 * h)
+            p[at] = old
+            assert abs(slope - g[at]) < 1e-6
+            checked += 1
+    assert checked > 50
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     """More languages than the sample's bound share it; none is left out, and too many are refused."""
     df = spark.createDataFrame(labelled(), "doc_id long, text string, lang string").where("doc_id < 240")
