@@ -62,7 +62,7 @@ _UNITS = f"""
         from g left join w lb on lb.doc_id = g.doc_id and lb.no = g.a - 1 left join w la on la.doc_id = g.f[1] and la.no = g.f[2] - g.own + g.a - 1
         left join w rb on rb.doc_id = g.doc_id and rb.no = g.b + 1 left join w ra on ra.doc_id = g.f[1] and ra.no = g.f[2] - g.own + g.b + 1),
     s as (select doc_id, n, start - length(array_to_string(pl[len(pl) - more_left + 1 :], '')) * (more_left > 0)::INT as a, finish + length(array_to_string(pr[: more_right], '')) * (more_right > 0)::INT as b
-        from (select * replace (coalesce(pl, []) as pl, coalesce(pr, []) as pr) from e) where words + more_left + more_right >= 25),
+        from (select * replace (coalesce(pl, []) as pl, coalesce(pr, []) as pr) from e) where words + more_left + more_right >= 40),
     m as (select *, sum(fresh) over (partition by doc_id order by a, b) as grp from (
         select *, case when a <= max(b) over (partition by doc_id order by a, b rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from s)),
     runs as materialized (select doc_id, min(a)::BIGINT as a, max(b)::BIGINT as b, sum(n) as n from m group by doc_id, grp),

@@ -14,7 +14,7 @@ from .common import fresh, materialize
 
 #: A run of successive repeated units goes where, grown, it has this many words; shorter ones are stock phrases, not passages.
 #: A run of fewer than SEED_WORDS words isn't grown, and on either side it grows by no more than GROW_WORDS words.
-LEAST_WORDS, SEED_WORDS, GROW_WORDS = 25, 8, 200
+LEAST_WORDS, SEED_WORDS, GROW_WORDS = 40, 8, 200
 # Where a unit ends: after the match. A line ends at a line break and, as passages are pasted into lines of any width, at a
 # sentence's end too; a paragraph ends at an empty line.
 _BLANK = r"[ \t\n\x0b\f\r]"
@@ -104,13 +104,13 @@ def repeated_runs(docs: DataFrame, unit: str, seed_words: int) -> DataFrame:
     return materialize(found.mapInArrow(cut, _RUN))
 
 
-def word_prints(text: str, back: bool) -> list[bytes]:
-    """Eight bytes of a hash of each of the first GROW_WORDS words of a unit, or, last one first, of its last."""
+def word_prints(text: str, back: bool, most: int) -> list[bytes]:
+    """Eight bytes of a hash of each of the first `most` words of a unit, or, last one first, of its last."""
     words = text.lower().encode().split()
-    return [hashlib.blake2b(w, digest_size=8).digest() for w in (words[::-1] if back else words)[:GROW_WORDS]]
+    return [hashlib.blake2b(w, digest_size=8).digest() for w in (words[::-1] if back else words)[:most]]
 
 
-def _edges(docs: DataFrame, runs: DataFrame, unit: str) -> DataFrame:
+def _edges(docs: DataFrame, runs: DataFrame, unit: str, grow_words: int) -> DataFrame:
     """(source, no, back, prints): the words next to the runs' first occurrences, as hashes, one row for each place and side."""
     sides = F.explode(F.array(F.struct(F.col("before").alias("no"), F.lit(True).alias("back")), F.struct(F.col("after").alias("no"), F.lit(False).alias("back"))))
     places = runs.select(F.col("source").alias("doc_id"), sides.alias("p")).where("p.no >= 0").distinct()
@@ -122,7 +122,7 @@ def _edges(docs: DataFrame, runs: DataFrame, unit: str) -> DataFrame:
             for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = text.as_py()
                 ends = [0, *cuts(text, unit)]
-                rows += [(doc, p["no"], p["back"], b"".join(word_prints(text[ends[p["no"]] : ends[p["no"] + 1]], p["back"]))) for p in places if p["no"] + 1 < len(ends)]
+                rows += [(doc, p["no"], p["back"], b"".join(word_prints(text[ends[p["no"]] : ends[p["no"] + 1]], p["back"], grow_words))) for p in places if p["no"] + 1 < len(ends)]
             kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["source", "no", "back", "prints"])
 
@@ -132,11 +132,11 @@ def _edges(docs: DataFrame, runs: DataFrame, unit: str) -> DataFrame:
     return materialize(edges.groupBy("source", "no", "back").agg(F.min("prints").alias("prints")))
 
 
-def grown_runs(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
+def grown_runs(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, grow_words: int = GROW_WORDS) -> DataFrame:
     """(doc_id, runs): for each document with repeated runs their first and last unit, words, and the words next to their
     first occurrence on either side, as hashes."""
     runs = repeated_runs(docs, unit, min(SEED_WORDS, least_words))
-    edges = _edges(docs, runs, unit)
+    edges = _edges(docs, runs, unit, grow_words)
     side = lambda back, place, name: edges.where(F.col("back") == back).select("source", F.col("no").alias(place), F.col("prints").alias(name))
     both = runs.join(side(True, "before", "left"), ["source", "before"], "left").join(side(False, "after", "right"), ["source", "after"], "left")
     return both.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last", "words", "left", "right"))).alias("runs"))
@@ -150,7 +150,7 @@ def _common(words: list[bytes], prints: bytes | None) -> int:
     return n
 
 
-def spans_of(text: str, runs: list, unit: str, least_words: int) -> tuple[list[tuple[int, int]], int]:
+def spans_of(text: str, runs: list, unit: str, least_words: int, grow_words: int) -> tuple[list[tuple[int, int]], int]:
     """(start, finish) in code points of the runs that have `least_words` words when they have grown, word by word, into the units
     next to them as far as these agree with those next to their first occurrence; and how many units those runs have."""
     ends = [0, *cuts(text, unit)]
@@ -161,11 +161,11 @@ def spans_of(text: str, runs: list, unit: str, least_words: int) -> tuple[list[t
         start, finish, words = ends[r["first"]], ends[r["last"] + 1], r["words"]
         if r["first"] and r["left"]:
             before = text[ends[r["first"] - 1] : start]
-            n = _common(word_prints(before, True), r["left"])
+            n = _common(word_prints(before, True, grow_words), r["left"])
             words, start = words + n, start - (len(before) - [m.start() for m in _WORD.finditer(before)][-n] if n else 0)
         if r["last"] + 2 < len(ends) and r["right"]:
             after = text[finish : ends[r["last"] + 2]]
-            n = _common(word_prints(after, False), r["right"])
+            n = _common(word_prints(after, False, grow_words), r["right"])
             words, finish = words + n, finish + ([m.end() for m in _WORD.finditer(after)][n - 1] if n else 0)
         if words >= least_words:
             units += r["last"] + 1 - r["first"]
@@ -176,13 +176,13 @@ def spans_of(text: str, runs: list, unit: str, least_words: int) -> tuple[list[t
     return spans, units
 
 
-def dedup_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, removed_col: str = "removed", count_col: str = "removed_units") -> DataFrame:
+def dedup_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, removed_col: str = "removed", count_col: str = "removed_units", grow_words: int = GROW_WORDS) -> DataFrame:
     """Remove from the texts every repeated passage; add its spans, in the original text's code points, and the number of units.
 
     The unit hashed is the line, which ends at a line break or at a sentence's end, or the paragraph between empty lines.
     Normalised units are grouped by digest over all documents; the earliest occurrence (doc_id, then position) stays. Successive
     repeated units form a run. A run of SEED_WORDS words or more grows word by word into the units beside it, as far as their
-    words are those beside the first occurrence of its longest unit, by GROW_WORDS words a side at most; so a passage's first and
+    words are those beside the first occurrence of its longest unit, by `grow_words` words a side at most; so a passage's first and
     last sentence go too, wherever it was pasted. Runs of `least_words` words or more go (1: every repeated unit).
     A unit or word goes with the blanks behind it, and what is kept is joined as it stands. Documents with a null text or id pass
     unchanged; rows that repeat a doc_id lose what was found under it and fits their text, but never each other's units.
@@ -190,14 +190,14 @@ def dedup_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WO
     """
     docs = docs.drop(removed_col, count_col)
     name, new = fresh(docs, "runs"), fresh(docs, "new")
-    found = grown_runs(docs, unit, least_words).withColumnRenamed("runs", name)
+    found = grown_runs(docs, unit, least_words, grow_words).withColumnRenamed("runs", name)
     empty = F.array().cast(found.schema[name].dataType)
 
     def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
         out = []
         for text, own in zip(texts, runs, strict=True):
             text = text.as_py()
-            spans, units = spans_of(text, own.as_py(), unit, least_words)
+            spans, units = spans_of(text, own.as_py(), unit, least_words, grow_words)
             at, kept = 0, []
             for start, finish in spans:
                 kept.append(text[at:start])

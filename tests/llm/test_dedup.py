@@ -107,7 +107,7 @@ def brute_words(text):
     return [(text[a:b].lower(), a, e) for (a, b), e in zip(found, ends, strict=False)]
 
 
-def brute_units(items, unit, least):
+def brute_units(items, unit, least, grow):
     """The removed spans: runs of units seen before, grown into their neighbours as far as the first occurrence of the longest unit agrees."""
     cut = {doc: brute_cut(text or "", unit) for doc, text in items.items()}
     of = lambda doc, no: brute_words(items[doc][cut[doc][no][0] : cut[doc][no][1]]) if 0 <= no < len(cut[doc]) and items[doc] else []
@@ -135,13 +135,13 @@ def brute_units(items, unit, least):
                 a, b = cut[doc][no][0], cut[doc][last][1]
                 mine, other = of(doc, no - 1), of(source, no + shift - 1)
                 n = 0
-                while n < min(len(mine), len(other), unit_dedup.GROW_WORDS) and mine[-1 - n][0] == other[-1 - n][0]:
+                while n < min(len(mine), len(other), grow) and mine[-1 - n][0] == other[-1 - n][0]:
                     n += 1
                 if n:
                     a = cut[doc][no - 1][0] + mine[-n][1]
                 mine, other = of(doc, last + 1), of(source, last + shift + 1)
                 m = 0
-                while m < min(len(mine), len(other), unit_dedup.GROW_WORDS) and mine[m][0] == other[m][0]:
+                while m < min(len(mine), len(other), grow) and mine[m][0] == other[m][0]:
                     m += 1
                 if m:
                     b = cut[doc][last + 1][0] + mine[m - 1][2]
@@ -176,14 +176,13 @@ def pasted(seed=3):
 
 
 @pytest.mark.parametrize(("unit", "least", "grow"), [("line", 25, 200), ("line", 1, 200), ("paragraph", 8, 200), ("line", 40, 3)])
-def test_units(spark, monkeypatch, unit, least, grow):
-    monkeypatch.setattr(unit_dedup, "GROW_WORDS", grow)
+def test_units(spark, unit, least, grow):
     items = corpus.texts(8) + pasted()
     items += ["\n \n".join(x.split("\n")) for x in items[:20] * 2 if x] + ["\r\n a b.\n\n\t\n c. d"] * 2
     items = dict(enumerate(items))
-    want = brute_units(items, unit, least)
+    want = brute_units(items, unit, least, grow)
     assert sum(map(len, want.values())) > 20
-    got = keyed(unit_dedup.dedup_units(corpus.frame(spark, list(items.values())), unit, least, removed_col="gone", count_col="score"))
+    got = keyed(unit_dedup.dedup_units(corpus.frame(spark, list(items.values())), unit, least, removed_col="gone", count_col="score", grow_words=grow))
     assert {k: [(x["start"], x["finish"]) for x in v["gone"]] for k, v in got.items()} == want
     assert all(v["text"] == (items[k] if items[k] is None else without(items[k], want[k])) for k, v in got.items())
     assert got[0]["ids"] == "old"
@@ -211,7 +210,7 @@ def test_runs_of():
 
 def test_units_edges(spark):
     assert unit_dedup.digests(corpus.empty(spark)).count() == 0
-    text = "a line that is long enough to go, one word after another, and another, till it has as many as are asked for or more."
+    text = "a line that is long enough to go, one word after another, and another, till it has as many as are asked for or more, which takes a clause like this one and then one more like it, so that nobody is left in doubt."
     got = unit_dedup.digests(corpus.frame(spark, [text] * 3 + [None, text], [1, 1, None, 2, 3])).collect()
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 1)]
 
