@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palmleaf.operators.balls import nearest_by_balls
+
 #: Most queries whose vectors are broadcast; more are dealt into blocks that meet blocks of candidates.
 BROADCAST_QUERIES, BLOCK_ROWS = 1024, 8192
 
@@ -27,15 +29,28 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum(nq[:, None] + nx[None, :] - 2 * dot, 0.0)
 
 
+def _smallest(d: np.ndarray, k: int) -> np.ndarray:
+    """The places of each row's k smallest, ascending, the first of equals first."""
+    if d.shape[1] <= 4 * k:
+        return np.argsort(d, axis=1, kind="stable")[:, :k]
+    # of those at the kth value the first ones count, which a partition doesn't tell
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    below, at = d < edge, d == edge
+    keep = below | (at & (np.cumsum(at, axis=1) <= k - below.sum(1, keepdims=True)))
+    few = np.nonzero(keep)[1].reshape(len(d), k)
+    return np.take_along_axis(few, np.argsort(np.take_along_axis(d, few, 1), axis=1, kind="stable"), 1)
+
+
 def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str, skip_self: bool) -> pd.DataFrame:
     out = []
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     for s in range(0, len(q), 256):
         d = np.round(_distances(q[s : s + 256], x, metric), 12)
+        d[np.isnan(d)] = np.inf
         if skip_self:
             d[qid[s : s + 256, None] == ids[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        best = _smallest(d, k)
         near = np.take_along_axis(d, best, 1)
         out.append(pd.DataFrame({"query_id": np.repeat(qid[s : s + 256], best.shape[1]), "id": ids[best].ravel(), "distance": near.ravel()}))
     got = pd.concat(out) if out else _none()
@@ -50,13 +65,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l
     """(query_id, rank, id, distance): each query's k nearest rows of `vectors` (id, embedding), ties to the smaller id.
 
     metric is l2 (squared), cosine or ip; distances are in double precision, rounded at 12 digits. Null vectors don't count;
-    all vectors have one length; ids are numbers or strings. Few queries are broadcast, and every Arrow batch keeps its own k best; many are
-    dealt into blocks. Either way the shuffle carries k rows for a query and block. Filter `vectors` first to search a part.
+    all vectors have one length; ids are numbers or strings. Few queries are broadcast, and every Arrow batch keeps its own k best; many go
+    to the balls that they have to visit (see `balls`), or under ip, which is no metric, are dealt into blocks. Either way the shuffle carries
+    k rows for a query and block. Filter `vectors` first to search a part.
     """
     rows = vectors.select("id", "embedding").where("id is not null and embedding is not null")
     asks = queries.select("query_id", F.col("embedding").alias("q")).where("query_id is not null and q is not null")
     out = f"query_id {asks.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, distance double"
     some = asks.limit(BROADCAST_QUERIES + 1).toPandas()
+    if len(some) > BROADCAST_QUERIES and metric != "ip":
+        best = lambda qid, q, ids, x: _best(qid, q, ids, x, k, metric, skip_self)
+        return nearest_by_balls(rows, asks, best, out, k, metric, skip_self)
     if len(some) <= BROADCAST_QUERIES:
         qid, q = some["query_id"].to_numpy(), _stack(some["q"]) if len(some) else np.empty((0, 1))
         shared = rows.sparkSession.sparkContext.broadcast((qid, q))

@@ -1,26 +1,21 @@
-"""Segmentation of paragraph streams with running windows; two strategies."""
+"""Segmentation of paragraph streams by running state; two strategies."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palmleaf.config import BY_CHAPTER, BY_CHAPTER_AND_SUTRA, BY_SUTRA, UNKNOWN
 from palmleaf.functions import patterns as P
 from palmleaf.functions.text import strip
+from palmleaf.operators.scan import scan
 
 
-def _run(*keys: str):
-    """Rows of a document (and more keys) up to the current one."""
-    return Window.partitionBy("doc_id", *keys).orderBy("para_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def _doc():
-    return Window.partitionBy("doc_id")
-
-
-def _sum(flag: Column) -> Column:
-    return F.sum(flag.cast("int")).over(_run())
+def _facts(rows: DataFrame, **facts: Column) -> DataFrame:
+    """`rows` with facts of their whole document, which are aggregated before anything is shuffled."""
+    own = F.struct("doc_id")
+    found = rows.groupBy(own.alias("__doc")).agg(*[c.alias(k) for k, c in facts.items()])
+    return rows.join(found, own == F.col("__doc")).drop("__doc")
 
 
 def structure_label(chapters: Column, sutras: Column) -> Column:
@@ -42,27 +37,26 @@ def running_v1(paragraphs: DataFrame) -> DataFrame:
     chapter heading; two or more paragraphs before the first heading count as a sutra `<doc>_full`, numbered 1, whose number
     the next sutra continues unless a chapter comes between.
     """
-    x = F.col("text")
-    flags = clean_paragraphs(paragraphs).withColumns(
-        {"is_chapter": P.is_chapter_v1(x), "is_sutra": P.is_sutra_v1(x), "is_delimiter": P.is_delimiter_v1(x)}
+    x, chapter, sutra = F.col("text"), F.col("is_chapter"), F.col("is_sutra")
+    flags = clean_paragraphs(paragraphs).withColumns({"is_chapter": P.is_chapter_v1(x), "is_sutra": P.is_sutra_v1(x), "is_delimiter": P.is_delimiter_v1(x)})
+    head = chapter | sutra
+    steps = scan(
+        flags, "doc_id", "para_no", {"segment": head.cast("int"), "chapter_no": chapter.cast("int"), "sutras": sutra.cast("int")},
+        # a segment's title is that of the heading it begins with
+        {"chapter_title": F.when(chapter, x), "head": F.when(head, F.struct(F.when(sutra, x).alias("title")))},
     )
-    head = F.col("is_chapter") | F.col("is_sutra")
-    steps = flags.withColumns({"segment": _sum(head), "chapter_no": _sum(F.col("is_chapter"))})
+    steps = scan(steps, "doc_id", "para_no", carries={"earlier": F.when(chapter, F.col("sutras") - sutra.cast("int"))})
     content = ~head & ~F.col("is_delimiter")
-    front = F.sum((content & (F.col("segment") == 0)).cast("int")).over(_doc())
-    heads = F.max("segment").over(_doc())
-    steps = steps.withColumn("full", (front >= 2) | ((heads == 0) & (front > 0)))
-    by_chapter = _run("chapter_no")
-    in_segment = Window.partitionBy("doc_id", "segment")
-    title = F.max(F.when(F.col("is_sutra"), x)).over(in_segment)
+    steps = _facts(steps, front=F.count_if(content & (F.col("segment") == 0)), heads=F.max("segment"))
+    full = (F.col("front") >= 2) | ((F.col("heads") == 0) & (F.col("front") > 0))
     return steps.withColumns(
         {
-            "chapter_title": F.coalesce(F.last(F.when(F.col("is_chapter"), x), ignorenulls=True).over(_run()), F.lit(UNKNOWN)),
-            "title": F.when((F.col("segment") == 0) & F.col("full"), F.concat(F.col("doc_id").cast("string"), F.lit("_full"))).otherwise(F.coalesce(title, F.lit(UNKNOWN))),
-            "number": (F.sum(F.col("is_sutra").cast("int")).over(by_chapter) + F.when(F.col("full") & (F.col("chapter_no") == 0), 1).otherwise(0)).cast("int"),
+            "full": full, "chapter_title": F.coalesce("chapter_title", F.lit(UNKNOWN)),
+            "title": F.when((F.col("segment") == 0) & full, F.concat(F.col("doc_id").cast("string"), F.lit("_full"))).otherwise(F.coalesce("head.title", F.lit(UNKNOWN))),
+            "number": (F.col("sutras") - F.coalesce("earlier", F.lit(0)) + F.when(full & (F.col("chapter_no") == 0), 1).otherwise(0)).cast("int"),
             "content": content,
         }
-    )
+    ).drop("sutras", "head", "earlier", "front", "heads")
 
 
 def segments_v1(paragraphs: DataFrame, literal_labels: bool = False) -> DataFrame:
@@ -72,8 +66,8 @@ def segments_v1(paragraphs: DataFrame, literal_labels: bool = False) -> DataFram
     has it and earlier ones are unknown, as in a single pass that labels at its end.
     """
     state = running_v1(paragraphs)
-    label = structure_label(F.bool_or("is_chapter").over(_doc()), F.bool_or("is_sutra").over(_doc()))
-    rows = state.withColumns({"label": label, "last_segment": F.max("segment").over(_doc())}).where(F.col("content") & (F.col("title") != UNKNOWN))
+    state = _facts(state, label=structure_label(F.bool_or("is_chapter"), F.bool_or("is_sutra")), last_segment=F.max("segment"))
+    rows = state.where(F.col("content") & (F.col("title") != UNKNOWN))
     keys = ["doc_id", "segment", "chapter_no", "chapter_title", "number", "title", "label", "last_segment"]
     out = rows.groupBy(*keys).agg(ordered_lines().alias("lines"))
     if literal_labels:
@@ -92,29 +86,35 @@ def running_v2(paragraphs: DataFrame) -> DataFrame:
     Adds is_delimiter, is_chapter, is_sutra, segment, chapter_no, chapter_title, title, number. A chapter's number is parsed, or one more
     than the chapter before where it is a word. Titles carry on across delimiters; a chapter resets the sutra's.
     """
-    x = F.col("text")
+    x, chapter, sutra = F.col("text"), F.col("is_chapter"), F.col("is_sutra")
     flags = clean_paragraphs(paragraphs).withColumns({"is_delimiter": P.is_delimiter_v2(x), "is_chapter": P.is_chapter_v2(x), "is_sutra": P.is_sutra_v2(x)})
-    flags = flags.withColumn("segment", _sum(F.col("is_delimiter"))).where("segment > 0")
-    parsed = F.when(F.col("is_chapter"), P.chapter_number(F.regexp_extract(x, P.CHAPTER_V2, 3)))
-    steps = flags.withColumn("parsed", parsed).withColumns(
-        {"epoch": _sum(F.col("is_chapter")), "parses": F.count("parsed").over(_run()), "base": F.coalesce(F.last("parsed", ignorenulls=True).over(_run()), F.lit(0))}
+    flags = scan(flags, "doc_id", "para_no", {"segment": F.col("is_delimiter").cast("int")}).where("segment > 0")
+    steps = flags.withColumn("parsed", F.when(chapter, P.chapter_number(F.regexp_extract(x, P.CHAPTER_V2, 3))))
+    steps = scan(
+        steps, "doc_id", "para_no", {"epoch": chapter.cast("int"), "words": (chapter & F.col("parsed").isNull()).cast("int"), "sutras": sutra.cast("int")},
+        {"base": F.col("parsed"), "chapter_title": F.when(chapter, P.chapter_title_v2(x))},
+    )
+    # what had been counted where the last numbered chapter, and the last chapter, began; and the last sutra with the chapter it is in
+    steps = scan(
+        steps, "doc_id", "para_no",
+        carries={
+            "counted": F.when(F.col("parsed").isNotNull(), F.col("words")), "earlier": F.when(chapter, F.col("sutras") - sutra.cast("int")),
+            "under": F.when(sutra, F.struct("epoch", F.col("text").alias("title"))),
+        },
     )
-    since = _run("parses")
-    by_chapter = _run("epoch")
+    since = lambda c, before: F.col(c) - F.coalesce(before, F.lit(0))
     return steps.withColumns(
         {
-            "chapter_no": (F.col("base") + F.sum((F.col("is_chapter") & F.col("parsed").isNull()).cast("int")).over(since)).cast("int"),
-            "chapter_title": F.coalesce(F.last(F.when(F.col("is_chapter"), P.chapter_title_v2(x)), ignorenulls=True).over(_run()), F.lit(UNKNOWN)),
-            "title": F.coalesce(F.last(F.when(F.col("is_sutra"), x), ignorenulls=True).over(by_chapter), F.lit(UNKNOWN)),
-            "number": F.sum(F.col("is_sutra").cast("int")).over(by_chapter).cast("int"),
+            "chapter_no": (F.coalesce("base", F.lit(0)) + since("words", "counted")).cast("int"), "chapter_title": F.coalesce("chapter_title", F.lit(UNKNOWN)),
+            "title": F.when(F.col("under.epoch") == F.col("epoch"), F.col("under.title")).otherwise(UNKNOWN), "number": since("sutras", "earlier").cast("int"),
         }
-    ).drop("parsed", "epoch", "parses", "base")
+    ).drop("parsed", "epoch", "words", "sutras", "base", "counted", "earlier", "under")
 
 
 def segments_v2(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, segment, chapter_no, chapter_title, number, title, label, lines) under strategy 2; a segment bears the state at its end."""
     state = running_v2(paragraphs)
-    state = state.withColumn("label", structure_label(F.bool_or("is_chapter").over(_doc()), F.bool_or("is_sutra").over(_doc()))).where("not is_delimiter")
+    state = _facts(state, label=structure_label(F.bool_or("is_chapter"), F.bool_or("is_sutra"))).where("not is_delimiter")
     last = lambda c: F.max_by(c, "para_no").alias(c)
     return state.groupBy("doc_id", "segment", "label").agg(
         last("chapter_no"), last("chapter_title"), last("number"), last("title"), ordered_lines().alias("lines")
