@@ -15,6 +15,8 @@ from .common import fresh, materialize
 #: A run of successive repeated units goes where, grown, it has this many words; shorter ones are stock phrases, not passages.
 #: A run of fewer than SEED_WORDS words isn't grown, and on either side it grows by no more than GROW_WORDS words.
 LEAST_WORDS, SEED_WORDS, GROW_WORDS = 40, 8, 200
+#: Most ids of documents that are broadcast; beyond that Spark shuffles.
+MAX_BROADCAST_IDS = 1 << 21
 # Where a unit ends: after the match. A line ends at a line break and, as passages are pasted into lines of any width, at a
 # sentence's end too; a paragraph ends at an empty line.
 _BLANK = r"[ \t\n\x0b\f\r]"
@@ -32,39 +34,49 @@ def cuts(text: str | bytes, unit: str = "line") -> list[int]:
 
 
 def unit_table(docs: DataFrame, unit: str = "line") -> DataFrame:
-    """(doc_id, no, words, digest) of each unit that isn't blank; units count from 0.
+    """(doc_id, no, words, ends, digest) of each unit that isn't blank; units count from 0.
 
-    The digest is the MD5 of the normal form: lower case, white space collapsed to single blanks, none at the ends.
+    The digest is the MD5 of the normal form: lower case, white space collapsed to single blanks, none at the ends. `ends` is 1 for a
+    text's first such unit, 2 for its last, 3 for its only one, else 0.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("no", pa.int32()), ("words", pa.int32()), ("digest", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("no", pa.int32()), ("words", pa.int32()), ("ends", pa.int32()), ("digest", pa.binary())])
+    names = list(schema.names)
+
+    def rows_of(doc: int, data: bytes) -> list[list]:
+        rows, at = [], 0
+        for no, end in enumerate(cuts(data, unit)):
+            parts = data[at:end].split()
+            at = end
+            if parts:
+                rows.append([doc, no, len(parts), 0, hashlib.md5(b" ".join(parts)).digest()])
+        if rows:
+            rows[0][3] += 1
+            rows[-1][3] += 2
+        return rows
+
+    def packed(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_, nos, words, digests = [], [], [], []
+        rows: list[list] = []
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, at = text.as_py().lower().encode(), 0
-                for no, end in enumerate(cuts(data, unit)):
-                    parts = data[at:end].split()
-                    at = end
-                    if parts:
-                        docs_.append(doc)
-                        nos.append(no)
-                        words.append(len(parts))
-                        digests.append(hashlib.md5(b" ".join(parts)).digest())
-                    if len(docs_) >= _FLUSH:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((docs_, nos, words, digests), schema, strict=True)], schema=schema)
-                        docs_, nos, words, digests = [], [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((docs_, nos, words, digests), schema, strict=True)], schema=schema)
+                rows += rows_of(doc, text.as_py().lower().encode())
+                while len(rows) >= _FLUSH:
+                    yield packed(rows[:_FLUSH])
+                    rows = rows[_FLUSH:]
+        if rows:
+            yield packed(rows)
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, no int, words int, digest binary")
+    return rows.mapInArrow(run, "doc_id long, no int, words int, ends int, digest binary")
 
 
 def runs_of(units: list) -> list[tuple]:
-    """The runs of successive numbers in `units` (no, words, first), by no: (first, last, words, source, before, after).
+    """The runs of successive numbers in `units` (no, words, ends, first), by no: (first, last, words, source, before, after).
 
     Source is the document of the first occurrence of the run's longest unit, the first of equals; before and after are the
-    units there that stand where the run's neighbours stand here.
+    units there that stand where the run's neighbours stand here, -1 where the run has none.
     """
     out, k = [], 0
     while k < len(units):
@@ -73,7 +85,9 @@ def runs_of(units: list) -> list[tuple]:
             j += 1
         top = max(units[k : j + 1], key=lambda u: (u["words"], -u["no"]))
         shift = top["first"]["no"] - top["no"]
-        out.append((units[k]["no"], units[j]["no"], sum(u["words"] for u in units[k : j + 1]), top["first"]["doc_id"], units[k]["no"] + shift - 1, units[j]["no"] + shift + 1))
+        before = -1 if units[k]["ends"] & 1 else max(units[k]["no"] + shift - 1, -1)
+        after = -1 if units[j]["ends"] & 2 else units[j]["no"] + shift + 1
+        out.append((units[k]["no"], units[j]["no"], sum(u["words"] for u in units[k : j + 1]), top["first"]["doc_id"], before, after))
         k = j + 1
     return out
 
@@ -90,7 +104,7 @@ def repeated_runs(docs: DataFrame, unit: str, seed_words: int) -> DataFrame:
     )
     again = units.join(first, "digest").where(F.struct("doc_id", "no") > F.col("first"))
     # rows that repeat a doc_id may name a unit twice
-    found = again.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("no", "words", "first"))).alias("units"))
+    found = again.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("no", "words", "ends", "first"))).alias("units"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +140,11 @@ def _edges(docs: DataFrame, runs: DataFrame, unit: str, grow_words: int) -> Data
             kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["source", "no", "back", "prints"])
 
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # few documents are first occurrences, so few texts need to be dealt out by their id
+    if wanted.count() <= MAX_BROADCAST_IDS:
+        texts = texts.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")
+    texts = texts.join(wanted, "doc_id")
     edges = texts.mapInArrow(read, "source long, no int, back boolean, prints binary")
     # rows that repeat a doc_id: one of their edges
     return materialize(edges.groupBy("source", "no", "back").agg(F.min("prints").alias("prints")))

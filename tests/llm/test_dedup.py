@@ -203,9 +203,11 @@ def test_units_catch_pasted_passages(spark):
 
 
 def test_runs_of():
-    unit = lambda no, words, doc, at: {"no": no, "words": words, "first": {"doc_id": doc, "no": at}}
+    unit = lambda no, words, doc, at, ends=0: {"no": no, "words": words, "ends": ends, "first": {"doc_id": doc, "no": at}}
     got = unit_dedup.runs_of([unit(2, 3, 1, 9), unit(3, 8, 5, 4), unit(4, 8, 6, 0), unit(7, 1, 1, 0)])
     assert got == [(2, 4, 19, 5, 2, 6), (7, 7, 1, 1, -1, 1)]
+    # nothing stands before a text's first unit or behind its last
+    assert unit_dedup.runs_of([unit(1, 3, 1, 9, 1), unit(2, 2, 1, 10, 2)]) == [(1, 2, 5, 1, -1, -1)]
 
 
 def test_units_edges(spark):
