@@ -16,12 +16,20 @@ def as_time(x: Column) -> Column:
     return F.coalesce(x.try_cast("timestamp"), F.lit(_OLDEST).cast("timestamp"))
 
 
+def newest(rows: DataFrame) -> DataFrame:
+    """One row an id: the newest, of equally old ones the one with the greatest digest, so that it is the same on every run. Null ids go."""
+    rest = [c for c in rows.columns if c != "id"]
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest])), 256)
+    row = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(as_time(F.col("last_updated")), digest)).alias("r")
+    return rows.where("id is not null").groupBy("id").agg(row).select("id", "r.*").select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def diff(source: DataFrame, target: DataFrame, deletes: bool = False) -> DataFrame:
     """(id, action): add, update where the source is strictly newer, unchanged; delete for ids only in the target, if asked.
 
-    One join on id, of ids and times only.
+    One join on id, of ids and times only. A source that repeats an id counts with the newest time; null ids don't count.
     """
-    s = source.select(F.col("id").cast("string").alias("id"), as_time(F.col("last_updated")).alias("s"))
+    s = source.where("id is not null").groupBy(F.col("id").cast("string").alias("id")).agg(F.max(as_time(F.col("last_updated"))).alias("s"))
     t = target.select(F.col("id").cast("string").alias("id"), as_time(F.col("last_updated")).alias("t"))
     both = s.join(t, "id", "full" if deletes else "left")
     action = F.when(F.col("t").isNull(), "add").when(F.col("s").isNull(), "delete").when(F.col("s") > F.col("t"), "update").otherwise("unchanged")
@@ -31,10 +39,11 @@ def diff(source: DataFrame, target: DataFrame, deletes: bool = False) -> DataFra
 def apply_changes(source: DataFrame, target: DataFrame, deletes: bool = False) -> DataFrame:
     """The target after the sync: added and updated rows are the source's, others stay; deletes go if asked.
 
-    Rows of source and target share their columns (id, last_updated, ...). Both sides meet once, on id.
+    Rows of source and target share their columns (id, last_updated, ...). Both sides meet once, on id. Of source rows that repeat an
+    id the newest counts; rows with a null id are no changes.
     """
     cols = source.columns
-    s = source.select(F.col("id").cast("string").alias("id"), F.struct(*cols).alias("s"))
+    s = newest(source).select(F.col("id").cast("string").alias("id"), F.struct(*cols).alias("s"))
     t = target.select(F.col("id").cast("string").alias("id"), F.struct(*cols).alias("t"))
     both = s.join(t, "id", "full")
     newer = F.col("t").isNull() | (F.col("s").isNotNull() & (as_time(F.col("s.last_updated")) > as_time(F.col("t.last_updated"))))

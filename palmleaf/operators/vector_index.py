@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palmleaf.operators.search import nearest
+
 #: Most rows, and bytes of their vectors, that the centroids are trained on; they are chosen by a hash of the id.
 SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 64 << 20
 #: Rows of a cell that one file holds and one search task scans; queries that a task takes along.
@@ -238,6 +240,26 @@ class VectorIndex:
         return full.select("query_id", "id", F.round(apart, 12).alias("distance")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
+    def probes_for(self, target: float = 0.95, k: int = 5, sample: int = 256) -> int:
+        """The fewest probes that find the share `target` of the k true neighbours of up to `sample` indexed rows.
+
+        The rows are chosen by a hash of their id and compared with all; where a true neighbour's cell stands among the cells nearest to its
+        row tells how many probes reach it. What codes lose comes on top. Vectors without clusters need many probes.
+        """
+        rows = self.lists().select("id", "embedding", "cell")
+        some = rows.orderBy(F.xxhash64("id", F.lit("tune")), "id").limit(sample).select(F.col("id").alias("query_id"), "embedding")
+        asks = some.toPandas()
+        if not len(asks):
+            return 1
+        place = np.empty((len(asks), len(self.book.cells)), np.int64)
+        np.put_along_axis(place, self.book.nearest_cells(_matrix(asks["embedding"]), place.shape[1]), np.arange(place.shape[1])[None, :], 1)
+        near = nearest(rows.select("id", "embedding"), some, k, skip_self=True).select("query_id", "id")
+        at = {q: k for k, q in enumerate(asks["query_id"])}
+        # at most sample * k rows
+        needed = sorted(place[at[r["query_id"]], r["cell"]] + 1 for r in near.join(rows.select("id", "cell"), "id").collect())
+        return int(needed[max(0, -(-int(1e6 * target) * len(needed) // 10**6) - 1)]) if needed else 1
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(wanted, found): how many rows of `exact` (query_id, id) there are, and how many of them are in `found`."""
     hit = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +10,10 @@ from palmleaf.functions import text as T
 from palmleaf.operators import answer as A
 from palmleaf.operators import chunk, enrich, flatten, report, segment, sync
 from palmleaf.operators.search import nearest
+from palmleaf.operators.vector_index import VectorIndex, recall
 from palmleaf.plans import service
 from palmleaf.plans.oracles import oracle_sql
+from palmleaf.shared import materialize, scratch
 from palmleaf.sources import readers, writers
 
 __all__ = ["oracle_sql", "queries"]
@@ -53,6 +53,20 @@ def vector_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir, "cosine").withColumn("distance", F.round("distance", 6))
 
 
+@_query
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of every twentieth vector in an index of all of them, and whether nine tenths of the true neighbours are among all hits."""
+    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asks = v.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    index = VectorIndex.build(v, scratch(spark, "index"))
+    found = materialize(index.search(asks, 5, probes=index.probes_for(0.95), skip_self=True))
+    share = recall(found, nearest(v, asks, 5, skip_self=True)).select((F.col("found") >= 0.9 * F.col("wanted")).alias("recall_ok"))
+    hits = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    indexed = index.lists().agg(F.count(F.lit(1)).alias("indexed"))
+    # both are one row
+    return hits.withColumn("recall_ok", F.lit(share.first()["recall_ok"])).withColumn("indexed", F.lit(indexed.first()["indexed"]))
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, rank, id, document, metadata): the five nearest of the vectors that have a document, for each of them."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "lang", "source")
@@ -246,7 +260,7 @@ def chapter_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-document records with book metadata, written out and read again."""
     books = enrich.with_metadata(segment.whole_documents(_lines(spark, sf_dir)).withColumn("__book", F.col("doc_id").cast("string")), "__book", _book_index(spark, sf_dir))
-    folder = f"{writers.shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    folder = scratch(spark, "records")
     writers.write_records(writers.whole_document_records(books), folder, as_json=False)
     value = lambda k: F.try_element_at("metadata", F.lit(k))
     return spark.read.parquet(folder).select("file_name", value("Bộ").alias("bo"), value("Chia Đoạn").alias("label"), F.md5("noi_dung_full_doc").alias("body_md5"))
@@ -257,15 +271,15 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON file for each region, with its nations as lines; read as segment records."""
     n = _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("noi_dung"))
     r = _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.create_map(F.lit("Bộ"), F.col("r_name")).alias("metadata"))
-    folder = f"{writers.shared_dir(spark)}/json-{uuid.uuid4().hex}"
-    n.join(r, "n_regionkey").repartition("n_regionkey").write.partitionBy("n_regionkey").json(folder)
+    folder = scratch(spark, "json")
+    n.join(r, "n_regionkey").repartition("n_regionkey").write.mode("overwrite").partitionBy("n_regionkey").json(folder)
     return readers.read_segments(spark, folder).select(F.try_element_at("metadata", F.lit("Bộ")).alias("bo"), F.array_join("noi_dung", ",").alias("lines"))
 
 
 @_query
 def normalized_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decomposed texts, written in normal form C and read again."""
-    folder = f"{writers.shared_dir(spark)}/nfc-{uuid.uuid4().hex}"
+    folder = scratch(spark, "nfc")
     writers.write_normalized(_t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), T.nfd("text").alias("value")), folder)
     return spark.read.parquet(folder).select("source_file", F.md5("value").alias("value_md5"))
 
@@ -334,7 +348,7 @@ def enrich_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("name"), F.create_map(F.lit("Bộ"), F.col("r_name")).alias("meta")
     )
     books = _t(spark, sf_dir, "customer").select(F.concat(F.lit("Nátiòn-"), F.col("c_nationkey").cast("string")).alias("book"))
-    folder = f"{writers.shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    folder = scratch(spark, "cache")
     writers.write_cache(enrich.enrich_misses(books, "book", cache, ask_about), folder)
     value = lambda k: F.try_element_at("meta", F.lit(k))
     return writers.VersionedTable(spark, folder).read().select("name", value("Bộ").alias("bo"), value("Ghi chú").alias("ghi_chu"), F.size("meta").cast("long").alias("n_keys"))
@@ -360,6 +374,21 @@ def sync_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.apply_changes(*_sides(spark, sf_dir)).select("id", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated"), "n")
 
 
+@_query
+def sync_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector table after two syncs: all documents, then those of one source with new texts and those of another gone. The model is a stand-in."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", F.col("text").alias("content"))
+    rows = docs.select("id", "content", "source", F.create_map(F.lit("source"), F.col("source")).alias("metadata"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("last_updated"))
+    changed = rows.where("source = 'src3'").withColumns({"content": F.concat(F.lit("new "), F.col("content")), "last_updated": F.lit("2024-02-01 00:00:00").cast("timestamp")})
+    table = writers.VersionedTable(spark, scratch(spark, "changes"))
+    service.sync_vectors(rows.drop("source"), table, letter_model)
+    # a repeated row, an older one and the new ones; then the deletion of what the source no longer has
+    service.sync_vectors(changed.unionByName(changed).unionByName(rows.where("source = 'src3'")).drop("source"), table, letter_model)
+    left = rows.where("source not in ('src3', 'src5')").unionByName(changed)
+    service.sync_vectors(left.drop("source"), table, letter_model, deletes=True)
+    return table.read().select("id", F.md5("document").alias("document_md5"), F.date_format("last_updated", "yyyy-MM-dd").alias("last_updated"))
+
+
 @_query
 def sync_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The difference where times are text, some of it missing or malformed on either side; ids that only the target has are deletes."""
@@ -421,7 +450,7 @@ def answer_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def flag_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two flag logs, of regions and of nations, one file each; the newer is read and reported, rows without a time left out."""
-    folder = f"{writers.shared_dir(spark)}/flags-{uuid.uuid4().hex}"
+    folder = scratch(spark, "flags")
     for table, name, key in (("region", "r_name", "r_regionkey"), ("nation", "n_name", "n_regionkey")):
         stamp = F.when(F.col(key) == 3, "no time").otherwise(F.concat(F.lit("2025-05-2"), F.col(key).cast("string"), F.lit(" 16:21:55.588567")))
         log = _t(spark, sf_dir, table).select(F.concat(F.lit('<h3>"'), F.col(name), F.lit('",\n</h3>')).alias("text"), stamp.alias("timestamp"))
@@ -451,7 +480,7 @@ def stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all documents arrive as a stream and are merged into a vector table; its final state. The model is a stand-in."""
     from palmleaf.streaming.sync_stream import stream_sync as start
 
-    folder = f"{writers.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark, "stream")
     docs = chunk.chunk_rows(_t(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = docs.select(
         F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("id"), "content",

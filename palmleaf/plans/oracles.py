@@ -198,6 +198,10 @@ def oracle_sql() -> dict[str, str]:
         "template_fill": f"""
             select r_regionkey, list_aggregate(list_sort(list_transform([{', '.join(map(_text, META_KEYS))}], lambda k: k || '=' || case k when 'Bộ' then r_name when 'Số Phẩm' then r_regionkey::VARCHAR else 'Not_Available' end)), 'string_agg', ';') as filled from region""",
         "metadata_scalars": "select event_id, 2::BIGINT as n, json_extract_string(props, '$.k') as k, strftime(ts, '%Y-%m-%d %H:%M:%S') as last_updated from events",
+        "index_recall": "select vec_id as query_id, (select least(5, count(*) - 1) from embeddings)::BIGINT as hits, true as recall_ok, (select count(*) from embeddings)::BIGINT as indexed from embeddings where vec_id % 20 = 0",
+        "sync_changes": """
+            select doc_id::VARCHAR as id, md5(case when source = 'src3' then 'new ' || text else text end) as document_md5, case when source = 'src3' then '2024-02-01' else '2024-01-01' end as last_updated
+            from documents where source <> 'src5'""",
         "sync_diff": _SIDES + "select s.id, case when t.id is null then 'add' when s.ts > t.ts then 'update' else 'unchanged' end as action from s left join t on s.id = t.id",
         "sync_apply": _SIDES + """
             select s.id, strftime(s.ts, '%Y-%m-%d %H:%M:%S') as last_updated, case when t.id is null or s.ts > t.ts then s.n else t.n end as n from s left join t on s.id = t.id""",

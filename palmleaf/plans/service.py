@@ -37,15 +37,23 @@ def chunk(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return parts.select(flatten.chunk_id().alias("id"), "content", meta.alias("metadata"), "source_file", "doan_so", F.current_timestamp().alias("last_updated"))
 
 
+#: Most ids of a sync by which the vector table is filtered before they are compared.
+FEW_IDS = 1000
+
+
 def sync_vectors(chunks: DataFrame, table: writers.VersionedTable, embed_fn: Callable, settings: Settings = Settings(), deletes: bool = False) -> DataFrame:
     """Embed what is new or newer, merge it into the table, and return the counts by action.
 
     Vectors: (id, embedding, document, metadata, last_updated). Only changed rows reach the model and are written; of the table
-    ids and times are read. What is to be done is worked out once and written beside the versions; of those the newest two
+    ids and times are read, bucket by bucket, without being shuffled; where few ids come in, of their buckets only. Of rows that
+    repeat an id the newest counts; null ids don't. What is to be done is worked out once and written beside the versions; of those the newest two
     stay, the one that readers may have open and its successor. A sync without changes writes nothing.
     """
     spark = chunks.sparkSession
-    old = table.read()
+    chunks = sync.newest(chunks)
+    few = [r["id"] for r in chunks.select("id").limit(FEW_IDS + 1).collect()]
+    # deletions need all ids of the table; otherwise those of the chunks are looked up in it
+    old = table.read() if deletes else table.current(chunks, "last_updated", few=few if len(few) <= FEW_IDS else None)
     times = old.select("id", "last_updated") if old is not None else spark.createDataFrame([], "id string, last_updated timestamp")
     actions = table.set_aside(sync.diff(chunks, times, deletes))
     n = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}

@@ -26,15 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return str(found).rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/palmleaf-{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    # a path must be there to be noted; Spark writes over the empty folder
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: lineage ends there and lost executors cost nothing. The
-    driver deletes the table when it ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palmleaf-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    table goes when the driver ends."""
+    path = scratch(df.sparkSession, "table")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import logging
-import re
-import tempfile
 import uuid
 from functools import reduce
 
@@ -65,16 +63,6 @@ def write_cache(entries: DataFrame, path: str) -> None:
     VersionedTable(entries.sparkSession, path).replace(entries)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse; a temporary one only for a
-    local session, which is one process."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
-        found = tempfile.mkdtemp(prefix="palmleaf-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/palmleaf"
-    return found.rstrip("/")
-
-
 class VersionedTable:
     """A Parquet table of versions and changes: each version `v=` is a folder of its own, the newest complete one counts, and
     the changes `d=` made to it since are folders beside it, which readers lay over it.
@@ -85,13 +73,46 @@ class VersionedTable:
 
     COMPACT_SHARE, COMPACT_FOLDERS = 0.25, 50
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        """Rows with an `id` are written in `buckets` buckets of it, sorted, so that versions, changes and sources meet without the
+        table being shuffled, and a filter on a few ids reads their buckets only. Folders written with other numbers stay readable."""
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _fs(self):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path
+        return at, at(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _put(self, rows: DataFrame, name: str) -> None:
+        """Write a folder. A file in it says in how many buckets; it is made last, so a folder without it is read as it is."""
+        folder = f"{self.path}/{name}"
+        if dict(rows.dtypes).get("id") != "string":
+            rows.write.mode("overwrite").parquet(folder)
+            return
+        name = f"palmleaf_{uuid.uuid4().hex}"
+        dealt = rows.repartition(self.buckets, "id")
+        dealt.write.mode("overwrite").format("parquet").option("path", folder).bucketBy(self.buckets, "id").sortBy("id").saveAsTable(name)
+        self.spark.sql(f"drop table {name}")
+        at, fs = self._fs()
+        fs.create(at(f"{folder}/_buckets-{self.buckets}")).close()
+
+    def _get(self, name: str) -> DataFrame:
+        """A folder's rows, as a bucketed table where it was written as one."""
+        folder = f"{self.path}/{name}"
+        rows = self.spark.read.parquet(folder)
+        at, fs = self._fs()
+        buckets = [n for s in fs.listStatus(at(folder)) if (n := s.getPath().getName()).startswith("_buckets-")]
+        if not buckets:
+            return rows
+        table, schema = f"palmleaf_{uuid.uuid4().hex}", rows._jdf.schema().toDDL()
+        self.spark.sql(f"create table {table} ({schema}) using parquet clustered by (id) sorted by (id) into {buckets[0].split('-')[1]} buckets location '{folder}'")
+        read = self.spark.table(table)
+        # the plan has found its files; the name is no longer needed
+        self.spark.sql(f"drop table {table}")
+        return read
 
     def _complete(self, prefix: str) -> list[str]:
         """Names of the folders that begin with `prefix` and were written to their end, in order."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = at(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        at, fs = self._fs()
         if not fs.exists(at(self.path)):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(at(self.path))]
@@ -108,15 +129,42 @@ class VersionedTable:
         found = self._versions()
         if not found:
             return None
-        base = self.spark.read.parquet(f"{self.path}/v={found[-1]:09d}")
-        changes = self._changes(found[-1])
-        if not changes:
+        base = self._get(f"v={found[-1]:09d}")
+        newest = self._newest(found[-1])
+        if newest is None:
             return base
-        parts = [self.spark.read.parquet(f"{self.path}/{n}").withColumn("__no", F.lit(k)) for k, n in enumerate(changes)]
-        rows = reduce(DataFrame.unionByName, parts)
-        newest = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("id", "__no")]), "__no").alias("r")).select("id", "r.*")
         return base.join(newest.select("id"), "id", "left_anti").select(*base.columns).unionByName(newest.where("not __gone").select(*base.columns))
 
+    def _newest(self, version: int, *cols: str) -> DataFrame | None:
+        """The changes since a version, the last one for each id, all columns or id and some; `__gone` where the row went."""
+        changes = self._changes(version)
+        if not changes:
+            return None
+        some = lambda rows: rows.select("id", "__gone", *cols) if cols else rows
+        rows = reduce(DataFrame.unionByName, [some(self._get(n)).withColumn("__no", F.lit(k)) for k, n in enumerate(changes)])
+        return rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("id", "__no")]), "__no").alias("r")).select("id", "r.*")
+
+    def current(self, ids: DataFrame, *cols: str, few: list[str] | None = None) -> DataFrame | None:
+        """(id, cols) as they are now of those `ids` that the table has, or None where there is no table.
+
+        The ids go to the buckets of the version and its changes; these aren't shuffled, and with `few`, a list of all these ids, only
+        their buckets are read.
+        """
+        found = self._versions()
+        if not found:
+            return None
+        cut = lambda rows: rows if few is None else rows.where(F.col("id").isin(few))
+        base = cut(self._get(f"v={found[-1]:09d}").select("id", F.struct(*cols).alias("__base")))
+        now = ids.select("id").join(base, "id", "left")
+        newest = self._newest(found[-1], *cols)
+        if newest is not None:
+            now = now.join(cut(newest.select("id", F.struct("__gone", *cols).alias("__over"))), "id", "left")
+            # a row that went is no row, one that came or changed is the newer one
+            over, under = F.col("__over"), F.col("__base")
+            row = F.when(over.isNull(), under).when(~over["__gone"], F.struct(*[over[c].alias(c) for c in cols]))
+            now = now.select("id", row.alias("__base"))
+        return now.where("__base is not null").select("id", *[F.col(f"__base.{c}").alias(c) for c in cols])
+
     def merge(self, rows: DataFrame, gone: DataFrame | None = None) -> None:
         """Rows that replace those of their `id` or are new, one an id, and the `id`s in `gone` that go. An empty table becomes `rows`."""
         found = self._versions()
@@ -127,7 +175,7 @@ class VersionedTable:
             marked = marked.unionByName(gone.select("id", F.lit(True).alias("__gone")), allowMissingColumns=True)
         before = self._changes(found[-1])
         number = int(before[-1].split("-")[1]) + 1 if before else 1
-        marked.write.mode("overwrite").parquet(f"{self.path}/d={found[-1]:09d}-{number:09d}")
+        self._put(marked, f"d={found[-1]:09d}-{number:09d}")
         changes = self._changes(found[-1])
         size = lambda names: self.spark.read.parquet(*[f"{self.path}/{n}" for n in names]).count()
         if len(changes) >= self.COMPACT_FOLDERS or size(changes) > self.COMPACT_SHARE * size([f"v={found[-1]:09d}"]):
@@ -135,7 +183,7 @@ class VersionedTable:
 
     def replace(self, rows: DataFrame) -> None:
         found = self._versions()
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={(found[-1] if found else 0) + 1:09d}")
+        self._put(rows, f"v={(found[-1] if found else 0) + 1:09d}")
 
     def set_aside(self, rows: DataFrame) -> DataFrame:
         """Rows written beside the versions and read again, so that they are worked out once; the next `vacuum` deletes them."""
@@ -145,8 +193,7 @@ class VersionedTable:
 
     def vacuum(self, keep: int = 2) -> None:
         """Delete all but the newest `keep` versions with their changes, and what was set aside."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = at(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        at, fs = self._fs()
         old = self._versions()[:-keep]
         prefixes = ["_aside-", *[f"v={v:09d}" for v in old], *[f"d={v:09d}-" for v in old]]
         for s in fs.listStatus(at(self.path)):

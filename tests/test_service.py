@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from palmleaf.config import META_KEYS, NOT_AVAILABLE, Settings
+from palmleaf.operators import sync
 from palmleaf.plans import catalog, service
 from palmleaf.plans.catalog import letter_model
 from palmleaf.sources import readers, writers
@@ -98,6 +99,58 @@ def test_merge_lays_changes_over_a_version(spark, tmp_path):
     assert sorted(x.name for x in (tmp_path / "t").iterdir()) == ["v=000000002"]
 
 
+def scans(df):
+    """(scan, the plan nodes above it) of every scan of files."""
+    above, out = [], []
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        above = [x for x in above if x[0] < depth]
+        if "FileScan" in line:
+            out.append((line, [x[1] for x in above]))
+        above.append((depth, line))
+    return out
+
+
+def test_a_sync_reads_what_it_may_touch(spark, tmp_path, monkeypatch):
+    """The table is neither shuffled nor, for a few ids, read beyond their buckets, with changes over its version or without."""
+    monkeypatch.setattr(writers.VersionedTable, "COMPACT_SHARE", 0.9)
+    table = writers.VersionedTable(spark, str(tmp_path / "t"), buckets=16)
+    rows = lambda a, b, day: spark.range(a, b).selectExpr("cast(id as string) as id", "concat('text ', id) as content", "map('k', 'v') as metadata", f"timestamp'2024-01-0{day} 00:00:00' as last_updated")
+    assert {r["action"]: r["n"] for r in service.sync_vectors(rows(0, 2000, 1), table, letter_model).collect()} == {"add": 2000}
+    assert {r["action"]: r["n"] for r in service.sync_vectors(rows(1990, 2010, 2), table, letter_model).collect()} == {"update": 10, "add": 10}
+    assert len(table._changes(1)) == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        source = rows(0, 20, 3)
+        whole = scans(sync.diff(source, table.current(source, "last_updated")))
+        assert len(whole) == 2 and all("embedding" not in x for x, _ in whole)
+        assert not any("Exchange" in x for _, above in whole for x in above)
+        assert table.current(source, "last_updated").count() == 20
+        few = table.current(source.where("id in ('3', '1995')"), "last_updated", few=["3", "1995"])
+        assert all("SelectedBucketsCount: 2 out of 16" in x for x, _ in scans(few)) and few.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert table.read().count() == 2010
+    # folders written with other numbers, or without buckets, stay readable
+    again = writers.VersionedTable(spark, str(tmp_path / "t"), buckets=4)
+    again.merge(table.read().limit(1), None)
+    assert again.read().count() == 2010
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    schema = "id string, content string, metadata map<string,string>, last_updated timestamp"
+    rows = spark.createDataFrame([("a", "x", None, None), ("a", "y", None, None), (None, "z", None, None), ("b", "q", None, None)], schema)
+    table = writers.VersionedTable(spark, str(tmp_path / "v"))
+    assert {r["action"]: r["n"] for r in service.sync_vectors(rows, table, letter_model).collect()} == {"add": 2}
+    assert {r["action"]: r["n"] for r in service.sync_vectors(rows, table, letter_model).collect()} == {"unchanged": 2}
+    assert sorted(r["id"] for r in table.read().collect()) == ["a", "b"]
+    plain = spark.createDataFrame([("a", "2024-01-02", 1), ("a", "2024-01-03", 2), (None, "2024-01-03", 3)], "id string, last_updated string, n int")
+    got = sync.apply_changes(plain, plain.where("n = 1")).collect()
+    assert [(r["id"], r["n"]) for r in got] == [("a", 2)]
+
+
 def test_flags(spark, tmp_path):
     assert service.flag_report(spark, str(tmp_path / "none")) == "<h3>no flags</h3>"
     (tmp_path / "dataset1.csv").write_bytes('r,timestamp\r\n"<h3>a\nb""c</h3>",2025-05-20 16:22:25.648525\n,2025-05-20 16:28:07.1\n'.encode())
