@@ -19,6 +19,8 @@ LEAST, ANCHOR = 100, 32
 _SPREAD = LEAST - ANCHOR + 1
 #: An anchor with more different surroundings than this is resolved window by window, with counts that combine map-side.
 LIMIT = 4096
+#: Anchors are counted over one of so many documents beforehand; one that promises more than LIMIT occurrences is dealt out in parts.
+PROBE = 16
 #: Most ids that are broadcast; beyond it Spark joins by shuffling.
 MAX_BROADCAST_IDS = 500_000
 _SLICE, _STRETCH = 1 << 19, 250_000
@@ -266,6 +268,30 @@ def _pick(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id", how)
 
 
+def frequent_anchors(docs: DataFrame) -> DataFrame:
+    """(anchor, parts): anchors that promise more than LIMIT occurrences, by a count over one document of PROBE, and the parts of about LIMIT
+    occurrences that they make. What isn't seen here is treated as rare, which changes how it is worked out and not the result."""
+    some = anchor_rows(docs.where(F.pmod(F.xxhash64("doc_id", F.lit("probe")), F.lit(PROBE)) == 0)).where("kind = 0")
+    counts = some.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * PROBE > LIMIT)
+    return materialize(counts.select("anchor", F.ceil(F.col("n") * PROBE / max(LIMIT, 1)).alias("parts")))
+
+
+def listed(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of `anchor_rows` that may be repeats, by anchor: n, low and high are its number of rows and its least and greatest code,
+    `later` whether one of its rows before this one has the same code. A frequent anchor is dealt out in parts, each for
+    itself (`part`, else null), so that no window holds much more than LIMIT rows of one."""
+    flagged = rows.join(F.broadcast(hot) if hot.count() <= MAX_BROADCAST_IDS else hot, "anchor", "left")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc", "at"), F.col("parts")))
+    by_anchor = Window.partitionBy("kind", "anchor", "part")
+    told = flagged.withColumn("part", part).drop("parts").withColumns(
+        {
+            "n": F.count(F.lit(1)).over(by_anchor), "low": F.min("code").over(by_anchor), "high": F.max("code").over(by_anchor),
+            "prev": F.lag("code").over(by_anchor.orderBy("code", "doc", "at")),
+        }
+    )
+    return told.where("kind = 1 or n > 1 or part is not null").withColumn("later", F.coalesce(F.col("prev") == F.col("code"), F.lit(False))).drop("prev")
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """(doc, start, finish): byte ranges of (doc_id, text) that together are all bytes covered by a string of LEAST bytes that
     starts earlier too (smaller doc_id, or earlier in the same text).
@@ -274,8 +300,8 @@ def removals(docs: DataFrame) -> DataFrame:
     hash, and those that occur once vanish. 3. Anchors with equal surroundings are classes: all but the first are repeats.
     4. The classes' first members, with their bytes, form a sparse suffix array for each anchor, a prefix bucket of the
     corpus's suffix array; its interval tree gives the maximal repeat groups, and all but a group's first occurrence go.
-    5. An anchor with more than LIMIT different surroundings would be one task's list: its members' windows are hashed instead,
-    and an aggregation that combines map-side finds the first of each.
+    5. An anchor with more than LIMIT different surroundings would be one task's list: it is dealt out in parts beforehand, its members'
+    windows are hashed instead, and aggregations that combine map-side find the first of each.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
@@ -297,20 +323,12 @@ def removals(docs: DataFrame) -> DataFrame:
         once = materialize(_pick(alone, again, "left_semi").dropDuplicates(["doc_id", "text"]))
         texts = alone = _pick(alone, again, "left_anti").union(once)
 
-    rows = anchor_rows(alone)
-    by_anchor = Window.partitionBy("kind", "anchor")
-    lists = materialize(
-        rows.withColumns(
-            {
-                "n": F.count(F.lit(1)).over(by_anchor), "low": F.min("code").over(by_anchor), "high": F.max("code").over(by_anchor),
-                "prev": F.lag("code").over(by_anchor.orderBy("code", "doc", "at")),
-            }
-        ).where("kind = 1 or n > 1").withColumn("later", F.coalesce(F.col("prev") == F.col("code"), F.lit(False))).drop("prev")
-    )
+    hot = frequent_anchors(alone)
+    lists = materialize(listed(anchor_rows(alone), hot))
     release(spark)
     sure = lists.where("kind = 1 or later").select("doc", (F.col("at") - F.col("back")).alias("start"), (F.col("at") + F.col("fore")).alias("finish"))
 
-    firsts = lists.where("kind = 0 and not later and low <> high")
+    firsts = lists.where("kind = 0 and not later and part is null and low <> high")
 
     def wanted(rows: DataFrame) -> DataFrame:
         return rows.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "at", "back", "fore")).alias("w"))
@@ -333,9 +351,16 @@ def removals(docs: DataFrame) -> DataFrame:
     release(spark)
     out = whole.union(sure).union(found)
 
-    hot = firsts.where(f"n > {LIMIT}")
+    many = firsts.where(f"n > {LIMIT}").select("anchor", "doc", "at", "back", "fore")
     if not hot.isEmpty():
-        windows = materialize(texts.join(wanted(hot), "doc_id").mapInPandas(_windows, "code binary, doc long, at long"))
+        # of the parts' firsts the least is the anchor's
+        spread = lists.where("kind = 0 and not later and part is not null")
+        least = materialize(spread.groupBy("anchor", "code").agg(F.min(F.struct("doc", "at")).alias("first")))
+        spread = materialize(spread.join(least, ["anchor", "code"]).withColumn("later", F.struct("doc", "at") > F.col("first")).select("later", *many.columns))
+        out = out.union(spread.where("later").select("doc", (F.col("at") - F.col("back")).alias("start"), (F.col("at") + F.col("fore")).alias("finish")))
+        many = many.union(spread.where("not later").drop("later"))
+    if not many.isEmpty():
+        windows = materialize(texts.join(wanted(many), "doc_id").mapInPandas(_windows, "code binary, doc long, at long"))
         best = windows.groupBy("code").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("code", "first")
         again = windows.join(materialize(best), "code").where(F.struct("doc", "at") > F.col("first"))
         out = out.union(again.select("doc", F.col("at").alias("start"), (F.col("at") + LEAST).alias("finish")))

@@ -46,6 +46,23 @@ def test_repeats(spark, monkeypatch, seed, limit):
     assert got == brute_repeats(dict(zip(ids, items, strict=True)))
 
 
+def test_a_frequent_anchor_is_dealt_out(spark, monkeypatch):
+    """Thousands of documents with a common phrase and other text around it: no window of an anchor holds more than some LIMIT rows."""
+    monkeypatch.setattr(R, "LIMIT", 128)
+    r = random.Random(9)
+    phrase = bytes(r.choices(range(97, 123), k=60)).decode()
+    own = lambda: bytes(r.choices(range(97, 123), k=80)).decode()
+    items = [f"{own()}{phrase}{own()}" for _ in range(3000)]
+    items += [f"{items[5]} {items[6]}", items[7][:150]]
+    df = corpus.frame(spark, items)
+    hot = R.frequent_anchors(df)
+    lists = R.listed(R.anchor_rows(df), hot)
+    assert hot.count() > 0 and lists.where("kind = 0").groupBy("anchor", "part").count().agg({"count": "max"}).first()[0] < 4 * 128
+    assert lists.where("kind = 0 and part is not null").count() >= 2500
+    got = {k: tuple(v)[1:] for k, v in keyed(R.digests(df)).items()}
+    assert got == brute_repeats(dict(enumerate(items)))
+
+
 def test_repeats_edges(spark):
     assert R.digests(corpus.empty(spark)).count() == 0
     df = corpus.frame(spark, ["x" * 120, "x" * 120, None], [1, 1, None])  # a repeated id, a null one
