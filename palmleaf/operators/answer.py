@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from palmleaf.functions import patterns as P
 from palmleaf.functions.text import is_blank, strip
+from palmleaf.operators.ledger import Ledger
+from palmleaf.shared import fresh
 
 # The prompt, the page and the labels of citations.
 PROMPT_HEAD = "Dựa vào các đoạn văn sau, hãy trả lời câu hỏi: '"
@@ -83,6 +85,17 @@ def answered(rows: DataFrame, answer_fn: Callable[[str], str], prompt_col: str =
     return rows.withColumn(out, settled(ask(F.col(prompt_col))))
 
 
+def answered_once(rows: DataFrame, ledger: Ledger, answer_fn: Callable[[str], str], prompt_col: str = "prompt", out: str = "answer", per_minute: float | None = None, workers: int = 4) -> DataFrame:
+    """As `answered`, but through a ledger: equal prompts are one call, and what was answered before, by a task or job that failed too,
+    isn't asked again. Error answers aren't kept, so they are tried again next time."""
+    key, told = fresh(rows, "key"), fresh(rows, "told")
+    keyed = rows.withColumn(key, ledger.key(F.col(prompt_col), "answer"))
+    got = ledger.ask(keyed.select(F.col(key).alias("key"), F.col(prompt_col).alias("prompt")), answer_fn, per_minute, workers)
+    said = F.coalesce("answer", F.concat(F.lit(P.ERROR_PREFIX), F.col("error")))
+    both = keyed.drop(out).join(got.select(F.col("key").alias(key), said.alias(told)), key, "left")
+    return both.withColumn(out, settled(F.col(told))).drop(key, told)
+
+
 def settled(answer: Column) -> Column:
     """The answer, or the no-information text where it is blank or says anywhere that nothing was found."""
     return F.when(P.is_no_info(answer), F.lit(P.NO_INFO)).otherwise(answer)
@@ -100,8 +113,8 @@ def citation(meta: Column) -> Column:
 
 def citations(hits: DataFrame, keys: tuple[str, ...] = ("query_id",), meta_col: str = "metadata") -> DataFrame:
     """(keys, citations): the distinct non-empty citations of each query in code point order."""
-    named = hits.withColumn("__c", citation(F.col(meta_col)))
-    return named.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(F.col("__c") != "", F.col("__c")))).alias("citations"))
+    named = hits.select(*keys, citation(F.col(meta_col)).alias("citations"))
+    return named.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(F.col("citations") != "", F.col("citations")))).alias("citations"))
 
 
 def page(question: Column, answer: Column, cites: Column) -> Column:

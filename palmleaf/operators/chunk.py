@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palmleaf.functions.patterns import sentences
 from palmleaf.functions.text import strip
+from palmleaf.shared import fresh
 
 
 def pack(parts: list[str], most: int) -> list[str]:
@@ -37,9 +38,10 @@ def chunks(text: Column, most: int = 512) -> Column:
 
 
 def chunk_rows(rows: DataFrame, text_col: str = "text", most: int = 512, chunk_col: str = "content") -> DataFrame:
-    """One row per chunk: the input's columns without the text, `chunk_no` (from 0) and the chunk. Null and blank texts give none."""
+    """One row per chunk: the input's columns without the text, `chunk_no` (from 0) and the chunk. Null and blank texts give
+    none. Columns named like the new ones are replaced."""
     full = rows.where(strip(F.col(text_col)) != "")
-    rest = [F.col(f"`{c}`") for c in rows.columns if c != text_col]
+    rest = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in (text_col.lower(), chunk_col.lower(), "chunk_no")]
     return full.select(*rest, F.posexplode(chunks(F.col(text_col), most)).alias("chunk_no", chunk_col))
 
 
@@ -53,11 +55,13 @@ def number_chunks(rows: DataFrame, file_col: str = "source_file", order: tuple[s
     A file may hold most of the rows, so it is numbered in stretches of STRETCH nodes, each from the count of the stretches
     before it. Only those counts meet in a file's window. The rows are worked out twice, once for the counts.
     """
+    at, place, begin = (fresh(rows, x) for x in ("at", "place", "begin"))
     stretch = F.floor(F.col(order[0]) / STRETCH)
-    counts = rows.groupBy(F.col(file_col).alias("__file"), stretch.alias("__stretch")).agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy("__file").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__file", "__stretch", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
-    place = F.row_number().over(Window.partitionBy(file_col, "__at").orderBy(*order))
-    numbered = rows.withColumn("__at", stretch).withColumn("__place", place)
-    both = numbered.join(offsets, F.col(file_col).eqNullSafe(F.col("__file")) & F.col("__at").eqNullSafe(F.col("__stretch")))
-    return both.select(*[F.col(f"`{c}`") for c in rows.columns if c != out], (F.col("__offset") + F.col("__place")).alias(out))
+    counts = rows.groupBy(F.col(file_col).alias("file"), stretch.alias("stretch")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.struct(F.col("file").alias("v")).alias(f"{at}f"), F.struct(F.col("stretch").alias("v")).alias(f"{at}s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(begin))
+    number = F.row_number().over(Window.partitionBy(file_col, at).orderBy(*order))
+    numbered = rows.withColumn(at, stretch).withColumn(place, number)
+    # a struct of a null equals another one
+    both = numbered.join(offsets, (F.struct(F.col(file_col).alias("v")) == F.col(f"{at}f")) & (F.struct(F.col(at).alias("v")) == F.col(f"{at}s")))
+    return both.select(*[F.col(f"`{c}`") for c in rows.columns if c != out], (F.col(begin) + F.col(place)).alias(out))

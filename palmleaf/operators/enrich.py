@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from palmleaf.config import META_KEYS, NOT_AVAILABLE
 from palmleaf.functions.text import match_key_a, match_key_b
+from palmleaf.operators.ledger import Ledger
+from palmleaf.shared import fresh
 
 _MAP = "map<string,string>"
 
@@ -34,9 +37,10 @@ def with_metadata(rows: DataFrame, name_col: str, index: DataFrame, key: Callabl
     Spark broadcasts the index where its size is below the session's threshold. Names of the index that share a key are
     one entry, that of the greatest name.
     """
-    dim = index.select(key(F.col("name")).alias("__key"), "name", "meta").groupBy("__key").agg(F.max_by("meta", "name").alias("__meta"))
-    joined = rows.withColumn("__key", key(F.col(name_col))).join(dim, "__key", "left")
-    return joined.withColumn(out, fill_template(F.col("__meta"), keys)).drop("__key", "__meta")
+    name, found = fresh(rows, "key"), fresh(rows, "meta")
+    dim = index.select(key(F.col("name")).alias(name), "name", "meta").groupBy(name).agg(F.max_by("meta", "name").alias(found))
+    joined = rows.withColumn(name, key(F.col(name_col))).join(dim, name, "left")
+    return joined.withColumn(out, fill_template(F.col(found), keys)).drop(name, found)
 
 
 def enrich_misses(rows: DataFrame, name_col: str, cache: DataFrame, enrich_fn: Callable[[str], dict | None], key: Callable[[Column], Column] = match_key_a, per_minute: float | None = None, workers: int = 4) -> DataFrame:
@@ -69,6 +73,18 @@ def enrich_misses(rows: DataFrame, name_col: str, cache: DataFrame, enrich_fn: C
     return cache.select("name", "meta").unionByName(misses.mapInPandas(run, f"name string, meta {_MAP}"))
 
 
+def enrich_once(rows: DataFrame, name_col: str, cache: DataFrame, enrich_fn: Callable[[str], dict | None], ledger: Ledger, key: Callable[[Column], Column] = match_key_a, per_minute: float | None = None, workers: int = 4) -> DataFrame:
+    """As `enrich_misses`, but through a ledger: a name is asked for once, whatever fails on the way; a failed call gives defaults now and
+    is tried again next time."""
+    known = cache.select(key(F.col("name")).alias("key")).distinct()
+    misses = rows.select(F.col(name_col).alias("name")).where("name is not null").groupBy(key(F.col("name")).alias("key")).agg(F.min("name").alias("name")).join(known, "key", "left_anti")
+    asked = misses.select(ledger.key(F.col("key"), "enrich").alias("key"), "name")
+    got = ledger.ask(asked.select("key", F.col("name").alias("prompt")), lambda n: json.dumps(x) if isinstance(x := enrich_fn(n), dict) else None, per_minute, workers)
+    # blank values are missing ones
+    found = F.map_filter(F.from_json("answer", _MAP), lambda _, v: v.isNotNull() & (v != ""))
+    return cache.select("name", "meta").unionByName(asked.join(got, "key", "left").select("name", fill_template(found).alias("meta")))
+
+
 def throttled(fn: Callable, per_minute: float) -> Callable:
     """`fn`, called at most so often a minute by each worker; give it to `enrich_misses` or `answered` as their function."""
     last = [0.0]

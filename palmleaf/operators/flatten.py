@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palmleaf.config import NODE_TYPES
+from palmleaf.shared import fresh
 
 _NODES = "source_file string, pos long, type string, text string, metadata map<string,string>, error string"
 
@@ -37,7 +38,10 @@ def _walk(root) -> Iterator[tuple[dict, dict]]:
 
 def _segment(root: dict) -> Iterator[tuple[dict, dict]]:
     """A segment record as paragraph nodes that carry the record's metadata."""
-    above = {k: _scalar(v) for k, v in (root.get("metadata") or {}).items() if v is None or isinstance(v, str | int | float | bool)}
+    own = root.get("metadata") or {}
+    if not isinstance(own, dict):
+        raise ValueError("metadata is no object")
+    above = {k: _scalar(v) for k, v in own.items() if v is None or isinstance(v, str | int | float | bool)}
     for line in root["noi_dung"]:
         yield {"type": "paragraph", "text": line}, above
 
@@ -66,7 +70,7 @@ def parse_trees(files: DataFrame) -> DataFrame:
                             raise ValueError("a text is not a string")
                         kind = node.get("type")
                         rows.append((name, len(rows), kind if isinstance(kind, str) else None, text if isinstance(text, str) else None, {"source_file": name} | scalars, None))
-                except (ValueError, TypeError) as e:
+                except (ValueError, TypeError, RecursionError) as e:
                     rows = [(name, 0, None, None, None, str(e))]
                 yield pd.DataFrame(rows, columns=names)
 
@@ -83,8 +87,9 @@ def flatten(files: DataFrame, types: list[str] = NODE_TYPES) -> DataFrame:
 
 def first_occurrences(rows: DataFrame, keys: tuple[str, ...] = ("source_file",), text_col: str = "text", order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """The first row of each text within its keys."""
+    name = fresh(rows, "rank")
     rank = F.row_number().over(Window.partitionBy(*keys, text_col).orderBy(*order))
-    return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    return rows.withColumn(name, rank).where(F.col(name) == 1).drop(name)
 
 
 def chunk_id(file_col: str = "source_file", number: str = "doan_so", content: str = "content"):
