@@ -13,19 +13,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palmleaf.shared import materialize
+from palmleaf.shared import materialize, store_of
 
 _ROW = pa.schema([("key", pa.string()), ("answer", pa.string())])
 _SCHEMA = "key string, answer string"
 
 
-def store_of(path: str):
-    """The file system and path of a folder, as pyarrow names them."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-
-
 def written(store, path: str) -> dict[str, str]:
     return dict(zip(*pq.read_table(path, filesystem=store, schema=_ROW).to_pydict().values(), strict=True))
 

@@ -9,12 +9,13 @@ from palmleaf.functions import patterns as P
 from palmleaf.functions import text as T
 from palmleaf.operators import answer as A
 from palmleaf.operators import chunk, enrich, flatten, report, segment, sync
+from palmleaf.operators.ledger import Ledger
 from palmleaf.operators.search import nearest
 from palmleaf.operators.vector_index import VectorIndex, recall
 from palmleaf.plans import service
 from palmleaf.plans.oracles import oracle_sql
 from palmleaf.shared import materialize, scratch
-from palmleaf.sources import readers, writers
+from palmleaf.sources import docx, readers, writers
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -276,6 +277,16 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_segments(spark, folder).select(F.try_element_at("metadata", F.lit("Bộ")).alias("bo"), F.array_join("noi_dung", ",").alias("lines"))
 
 
+@_query
+def docx_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A DOCX file for each conversation, its turns as paragraphs, written by tasks and read through the data source."""
+    folder = scratch(spark, "docx")
+    c = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("para_no"), "text")
+    docx.write_docx(c, folder)
+    docx.register(spark)
+    return spark.read.format("docx").load(folder).select("doc_id", F.col("para_no").cast("long").alias("para_no"), F.md5("text").alias("text_md5"), F.col("error").isNotNull().alias("failed"))
+
+
 @_query
 def normalized_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decomposed texts, written in normal form C and read again."""
@@ -447,6 +458,26 @@ def answer_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("query_id", F.md5("answer").alias("answer_md5"), F.array_join("citations", " | ").alias("citations"), F.md5("page").alias("page_md5"))
 
 
+def echo_model(prompt: str) -> str:
+    """A stand-in for an answering model."""
+    return f"told {prompt}"
+
+
+@_query
+def ledger_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to every turn of every conversation through a ledger, asked for twice: the second time all of them are in it."""
+    ledger = Ledger(spark, scratch(spark, "ledger"), batch=500)
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    A.answered_once(c, ledger, echo_model)
+    got = A.answered_once(c, ledger, silent_model)
+    return got.select("conv_id", "turn", F.md5("answer").alias("answer_md5"))
+
+
+def silent_model(prompt: str) -> str:
+    """A stand-in for a model that is down."""
+    raise ConnectionError("no answer")
+
+
 @_query
 def flag_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two flag logs, of regions and of nations, one file each; the newer is read and reported, rows without a time left out."""

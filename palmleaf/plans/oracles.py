@@ -198,6 +198,10 @@ def oracle_sql() -> dict[str, str]:
         "template_fill": f"""
             select r_regionkey, list_aggregate(list_sort(list_transform([{', '.join(map(_text, META_KEYS))}], lambda k: k || '=' || case k when 'Bộ' then r_name when 'Số Phẩm' then r_regionkey::VARCHAR else 'Not_Available' end)), 'string_agg', ';') as filled from region""",
         "metadata_scalars": "select event_id, 2::BIGINT as n, json_extract_string(props, '$.k') as k, strftime(ts, '%Y-%m-%d %H:%M:%S') as last_updated from events",
+        "docx_read": "select conv_id::VARCHAR as doc_id, row_number() over (partition by conv_id order by turn) - 1 as para_no, md5(text) as text_md5, false as failed from conversations",
+        "ledger_answers": f"""
+            select conv_id, turn, md5(case when trim(said) = '' or contains(lower(said), {_text(NO_INFO.lower())}) or contains(lower(said), 'tôi không tìm thấy thông tin') or contains(lower(said), 'không có thông tin này')
+                then {_text(NO_INFO)} else said end) as answer_md5 from (select *, 'told ' || text as said from conversations)""",
         "index_recall": "select vec_id as query_id, (select least(5, count(*) - 1) from embeddings)::BIGINT as hits, true as recall_ok, (select count(*) from embeddings)::BIGINT as indexed from embeddings where vec_id % 20 = 0",
         "sync_changes": """
             select doc_id::VARCHAR as id, md5(case when source = 'src3' then 'new ' || text else text end) as document_md5, case when source = 'src3' then '2024-02-01' else '2024-01-01' end as last_updated

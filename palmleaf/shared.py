@@ -51,3 +51,10 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def store_of(path: str):
+    """The file system and path of a folder, as pyarrow names them; for tasks that read or write single files."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)

@@ -6,12 +6,14 @@ import zipfile
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from palmleaf.config import META_KEYS, NOT_AVAILABLE, Settings
-from palmleaf.operators import sync
+from palmleaf.operators import chunk, enrich, flatten, sync
 from palmleaf.plans import catalog, service
 from palmleaf.plans.catalog import letter_model
+from palmleaf.sources import docx as docx_source
 from palmleaf.sources import readers, writers
 from palmleaf.streaming.sync_stream import stream_sync
 
@@ -46,6 +48,58 @@ def test_docx_to_records(spark, tmp_path):
     assert readers.list_files(spark, str(tmp_path), ".DOCX", ignore_case=True).count() == 2
 
 
+def test_docx_text():
+    """Only runs and links directly below a paragraph: no tab stops of its properties, no text box twice, hyphens kept."""
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/markup-compatibility/2006"'
+    box = "<w:txbxContent><w:p><w:r><w:t>box</w:t></w:r></w:p></w:txbxContent>"
+    body = (
+        '<w:p><w:pPr><w:tabs><w:tab w:val="left"/><w:tab w:val="left"/></w:tabs></w:pPr><w:r><w:t>KINH</w:t><w:tab/><w:t> A</w:t></w:r></w:p>'
+        f"<w:p><w:r><w:t>KINH B</w:t><m:AlternateContent><m:Choice>{box}</m:Choice><m:Fallback>{box}</m:Fallback></m:AlternateContent></w:r></w:p>"
+        "<w:p><w:r><w:t>a</w:t><w:noBreakHyphen/><w:t>b</w:t><w:br/></w:r><w:hyperlink><w:r><w:t>link</w:t></w:r></w:hyperlink><w:del><w:r><w:delText>gone</w:delText></w:r></w:del></w:p><w:p/>"
+    )
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+    assert docx_source.docx_paragraphs(out.getvalue()) == ["KINH\t A", "KINH B", "a-b\nlink", ""]
+    texts = ["a <b> & \"c\"", " x\ty\n ", "", "\x01\x0bé😀"]
+    assert docx_source.docx_paragraphs(docx_source.docx_bytes(texts)) == [*texts[:3], "é😀"]
+
+
+def test_docx_source(spark, tmp_path):
+    """The data source reads what the reader reads, some files a partition, and errors are rows."""
+    (tmp_path / "d").mkdir()
+    for k in range(5):
+        (tmp_path / "d" / f"b {k}.docx").write_bytes(docx_source.docx_bytes([f"line {k}", "x"] * k))
+    (tmp_path / "d" / "bad.docx").write_bytes(b"no zip")
+    good = bytearray(docx_source.docx_bytes(["some text of a file that is damaged later " * 20]))
+    at = good.index(b"word/document.xml") + 40
+    good[at : at + 20] = bytes(20)
+    (tmp_path / "d" / "damaged.docx").write_bytes(bytes(good))
+    (tmp_path / "d" / "UPPER.DOCX").write_bytes(docx_source.docx_bytes(["u"]))
+    docx_source.register(spark)
+    df = spark.read.format("docx").option("filesPerPartition", "2").load(str(tmp_path / "d"))
+    rows = sorted(map(tuple, df.select("doc_id", "para_no", "text", F.col("error").isNull().alias("ok")).collect()), key=str)
+    assert rows == sorted(map(tuple, readers.read_docx(spark, str(tmp_path / "d")).select("doc_id", "para_no", "text", F.col("error").isNull().alias("ok")).collect()), key=str)
+    assert df.rdd.getNumPartitions() == 4 and {r[0] for r in rows if not r[3]} == {"bad", "damaged"} and len(rows) == 22
+    assert spark.read.format("docx").option("ignoreCase", "true").load(str(tmp_path / "d")).where("doc_id = 'UPPER'").count() == 1
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("docx").load(str(tmp_path / "none")).count() == 0
+
+
+def test_trees_that_are_odd(spark):
+    """A bad record is an error row and others go on; columns of the caller stay whatever their names."""
+    files = spark.createDataFrame([("a", '{"metadata": [1], "noi_dung": ["x"]}'), ("b", '{"metadata": {"k": 1}, "noi_dung": ["y"]}'), ("c", None)], "source_file string, value string")
+    got = {r["source_file"]: (r["text"], r["error"] is not None) for r in flatten.parse_trees(files).collect()}
+    assert got == {"a": (None, True), "b": ("y", False), "c": (None, True)}
+    rows = spark.createDataFrame([("f", 3, "t. U", 7, 8, 9)], "source_file string, pos int, text string, at int, key int, content int")
+    chunks = chunk.number_chunks(chunk.chunk_rows(rows))
+    assert [(r["at"], r["key"], r["content"], r["doan_so"]) for r in chunks.collect()] == [(7, 8, "t. U", 1)]
+    index = spark.createDataFrame([("t. U", {"Bộ": "b"})], "name string, meta map<string,string>")
+    full = enrich.with_metadata(rows.withColumn("meta", F.lit(5)), "text", index).first()
+    assert (full["key"], full["meta"], full["metadata"]["Bộ"]) == (8, 5, "b")
+    assert flatten.first_occurrences(rows.withColumn("rank", F.lit(4))).first()["rank"] == 4
+
+
 def test_indexes(spark, tmp_path):
     (tmp_path / "i.json").write_text(json.dumps({"a": {"Bộ": "x"}}))
     (tmp_path / "bad.json").write_text("{")
