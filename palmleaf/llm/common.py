@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palmleaf.shared import fresh, materialize, shared_dir
+
+__all__ = ["Forest", "components", "fresh", "materialize", "release", "shared_dir", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """A table of the data set; only the named columns reach the scan."""
@@ -18,33 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one in the warehouse, which they
-    share too; only a local session, whose driver and executor are one process, gets a temporary one."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not found:
-        local = re.fullmatch(r"local(\[.*\])?", sc.master)
-        found = tempfile.mkdtemp(prefix="palmleaf-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/palmleaf-checkpoints"
-        sc.setCheckpointDir(found)
-    return str(found).rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/palmleaf-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """`name`, with underscores before it until no column has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now: it does so when the driver's JVM collects its garbage."""
     gc.collect()

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, centroids, jaccard_join, langid, line_dedup, merkle, packing, quality_rules, range_join, repeats, secret_scan, topk_search, unit_dedup
 from .common import table
@@ -45,7 +46,9 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op6 that don't depend on trained models."""
-    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = docs.select("doc_id", secret_scan.base_spans(F.coalesce("text", F.lit(""))).alias("spans"))
+    return secret_scan.summary(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,11 +222,16 @@ def model(spark: SparkSession, docs: DataFrame) -> list[float]:
     return train(labelled_samples(docs.select("doc_id", "text")))
 
 
-def report(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """One row for each document: counts by base kind, the digest of the base spans, and all spans as text."""
+def summary(found: DataFrame) -> DataFrame:
+    """Of (doc_id, spans): counts by base kind, the digest of the base spans, all spans as text, and the count of the models'."""
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
-    return scan(docs.select("doc_id", "text"), ratios).select(
+    return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(joined(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"), count(3).alias("n_markov"),
     )
+
+
+def report(docs: DataFrame, ratios: list[float]) -> DataFrame:
+    """The summary of every document's spans, of base kinds and of the models."""
+    return summary(scan(docs.select("doc_id", "text"), ratios))
