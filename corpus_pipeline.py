@@ -10,8 +10,8 @@ from palmleaf.llm import queries as registered
 from palmleaf.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document is rejected where its text has no letters or the network gives no language at least this probability.
-LEAST_SCORE = 0.3
+#: A document is rejected where its text has no letters, or where no language has the greater part of the probability over its windows.
+LEAST_SCORE = 0.5
 
 
 def _documents(df: DataFrame) -> DataFrame:
