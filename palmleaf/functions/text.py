@@ -1,7 +1,10 @@
-"""Text normalisation as Column functions; only Unicode normal forms need Python, in Arrow batches."""
+"""Text normalisation as Column functions; only texts that aren't plain, or in normal form, go to Python, in Arrow batches."""
 
 from __future__ import annotations
 
+import functools
+import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -9,33 +12,110 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Letters that decomposition leaves alone, with their plain spellings. Scripts other than Latin are dropped by match_key_a.
+#: Letters that decomposition leaves alone, with their plain spellings.
 SPELLINGS = {"đ": "d", "ß": "ss", "œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "þ": "th", "ð": "d", "ı": "i"}
 
 
-@F.pandas_udf(StringType())
-def nfc(x: pd.Series) -> pd.Series:
+@functools.cache
+def suspects(form: str) -> str:
+    """A regular expression class of the characters that may keep a text from being in a normal form: those that the form changes, those that
+    combine, and those that may close up with a character before them. A text without them is in that form as it stands."""
+    points = range(0x80, sys.maxunicode + 1)
+    parts = (unicodedata.decomposition(chr(c)) for c in points)
+    # the seconds of canonical pairs
+    seconds = {int(x.split()[1], 16) for x in parts if x and x[0] != "<" and len(x.split()) == 2}
+    vowels, finals = set(range(0x1161, 0x1176)), set(range(0x11A8, 0x11C3))  # jamo close up by rule
+    odd = [c for c in points if not 0xD800 <= c < 0xE000 and (unicodedata.combining(chr(c)) or unicodedata.normalize(form, chr(c)) != chr(c) or form == "NFC" and (c in seconds or c in vowels or c in finals))]
+    runs: list[list[int]] = []
+    for c in odd:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+def _normal(x: Column | str, form: str) -> Column:
+    """A normal form; only texts that may not be in it leave the JVM. Null stays null."""
+    c = F.col(x) if isinstance(x, str) else x
+    odd = c.rlike(suspects(form))
+
+    @F.pandas_udf(StringType())
+    def put(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: unicodedata.normalize(form, s), na_action="ignore")
+
+    return F.when(odd, put(F.when(odd, c))).otherwise(c)
+
+
+def nfc(x: Column | str) -> Column:
     """Unicode normal form C; null stays null."""
-    return x.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+    return _normal(x, "NFC")
 
 
-@F.pandas_udf(StringType())
-def nfd(x: pd.Series) -> pd.Series:
+def nfd(x: Column | str) -> Column:
     """Unicode normal form D; null stays null."""
-    return x.map(lambda s: unicodedata.normalize("NFD", s), na_action="ignore")
+    return _normal(x, "NFD")
 
 
 def bare(x: Column) -> Column:
-    """Lower case without accents. Plain ASCII, most text, never leaves the JVM's fast path for the result."""
+    """Lower case without accents."""
     return F.regexp_replace(nfd(F.lower(x)), r"\p{Mn}", "")
 
 
+def spelled(char: str) -> str:
+    """A plain spelling of a letter or digit of any script that names its letters by their sounds, from its Unicode name; else nothing.
+
+    Alphabets are spelled by how a letter's name begins, or ends where it begins with e (el is l); syllables by their whole name. Chinese characters
+    have no sounds in their names.
+    """
+    if char in SPELLINGS:
+        return SPELLINGS[char]
+    digit = unicodedata.decimal(char, None)
+    if digit is not None:
+        return str(digit)
+    name = unicodedata.name(char, "")
+    jamo = re.match(r"HANGUL (CHOSEONG|JUNGSEONG|JONGSEONG) (.*)", name)
+    if jamo:
+        sound = jamo[2].split("-")[0].lower()
+        if jamo[1] == "JUNGSEONG":
+            return sound
+        # the one letter that is silent in front and nasal at the end
+        return {"CHOSEONG": "", "JONGSEONG": "ng"}[jamo[1]] if sound == "ieung" else re.sub("[aeiouy].*", "", sound.removeprefix("ssang"))
+    kind = re.match(r"(.*?) (SMALL LETTER|CAPITAL LETTER|LETTER|SYLLABLE|VOWEL SIGN|CHARACTER) (.*)", name)
+    if not kind or unicodedata.category(char)[0] not in "LM":
+        return ""
+    script, what, sound = kind[1], kind[2], re.sub(r"^(FINAL|SHORT|LONG|SMALL|SHA LAKKHANGYAO) ", "", kind[3]).split(" ")[0].split("-")[0].lower()
+    if kind[3].endswith("SIGN") or not sound.isalpha():
+        return ""
+    if script.split(" ")[0] in ("GREEK", "CYRILLIC", "HEBREW", "ARABIC", "ARMENIAN", "GEORGIAN", "COPTIC", "LATIN") and what != "SYLLABLE":
+        if re.fullmatch("e[^aeiou]", sound):
+            return sound[1]
+        return re.match("y[aeiou]$|[^aeiou]+|[aeiou]", sound)[0]
+    return sound
+
+
+class _Spellings(dict):
+    """For `str.translate`: characters are looked up once; ASCII stays, marks that only modify go."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = c if point < 128 else "" if unicodedata.category(c) == "Mn" and not spelled(c) else spelled(c)
+        return self[point]
+
+
+_SPELLED = _Spellings()
+
+
 def match_key_a(x: Column) -> Column:
-    """Lower case, Latin letters spelled plainly, only a-z and 0-9 kept; null gives the empty string."""
-    out = bare(x)
-    for letter, plain in SPELLINGS.items():
-        out = F.replace(out, F.lit(letter), F.lit(plain))
-    return F.coalesce(F.regexp_replace(out, "[^a-z0-9]", ""), F.lit(""))
+    """Lower case, the letters of all scripts but Chinese characters spelled in plain Latin ones, only a-z and 0-9 kept; null gives the empty string."""
+    low = F.lower(x)
+    odd = low.rlike(r"[^\x00-\x7F]")
+
+    @F.pandas_udf(StringType())
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: unicodedata.normalize("NFD", s).translate(_SPELLED), na_action="ignore")
+
+    return F.coalesce(F.regexp_replace(F.when(odd, plain(F.when(odd, low))).otherwise(low), "[^a-z0-9]", ""), F.lit(""))
 
 
 def match_key_b(x: Column) -> Column:

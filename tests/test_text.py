@@ -1,6 +1,8 @@
 """Normalisation and patterns against Python's own functions."""
 
+import random
 import re
+import sys
 import unicodedata
 
 import pytest
@@ -27,6 +29,37 @@ def test_nfc_and_nfd(rows):
     assert values(rows, T.nfd(x)) == [t if t is None else unicodedata.normalize("NFD", t) for t in TEXTS]
 
 
+def test_normal_forms_of_all_characters():
+    """A text without suspect characters is in its form; every character that a form changes is suspect."""
+    r = random.Random(3)
+    for form in ("NFC", "NFD"):
+        odd = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", T.suspects(form))).match
+        every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+        fine = [c for c in every if not odd(c)]
+        assert all(unicodedata.is_normalized(form, c) for c in fine) and len(fine) > 1_000_000
+        letters = [c for c in fine if c.isalpha()]
+        for _ in range(3000):
+            assert unicodedata.is_normalized(form, "".join(r.choices(letters, k=40)))
+
+
+def test_only_suspects_leave_the_jvm(spark):
+    """What Python gets is null for every text that is in normal form, or plain."""
+    df = spark.createDataFrame([(0, "plain"), (1, "Đế đỗ"), (2, "e\u0301"), (3, None), (4, "ế")], "k int, x string")
+    for got, sent in ((T.nfc("x"), [False, False, True, None, False]), (T.nfd("x"), [False, True, True, None, True])):
+        assert values(df, F.col("x").rlike(T.suspects("NFC" if sent[1] is False else "NFD"))) == sent
+        plan = df.select(got)._jdf.queryExecution().optimizedPlan().toString()
+        assert "CASE WHEN" in next(x for x in plan.split("\n") if "ArrowEvalPython" in x or "put(" in x)
+
+
+def test_keys_of_other_scripts(spark):
+    titles = ["Αγάπη", "Ψυχή", "Философия", "Щука и ёж", "Thiền sư Đạo", "אהבה", "สวัสดี", "かな カナ", "한국", "नमस्ते", "٣٤ كتاب", "Ærø"]
+    df = spark.createDataFrame(list(enumerate(titles)), "k int, x string")
+    got = values(df, T.match_key_a(F.col("x")))
+    assert len(set(got)) == len(titles) and all(re.fullmatch("[a-z0-9]+", k) for k in got)
+    assert got[0] == "agape" and got[2] == "filosofiya" and got[4] == "thiensudao" and got[7] == "kanakana" and got[11] == "aero", got
+    assert got[1].startswith("ps") and got[3].startswith("shchuka") and got[8].startswith("h") and got[10].startswith("34")
+
+
 def test_strip_is_pythons(rows):
     assert values(rows, T.strip(F.col("x"))) == [t if t is None else t.strip() for t in TEXTS]
 
