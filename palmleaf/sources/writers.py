@@ -2,42 +2,39 @@
 
 from __future__ import annotations
 
-import logging
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palmleaf.config import NOT_AVAILABLE, UNKNOWN, WHOLE_DOCUMENT
+from palmleaf.config import NOT_AVAILABLE, UNKNOWN, WHOLE_DOCUMENT, Settings
 from palmleaf.functions.text import match_key_a, nfc, safe_name, segment_name_v1, segment_name_v2
 from palmleaf.operators.enrich import fill_template, overlay
 from palmleaf.operators.segment import without_delimiter_lines
 
-log = logging.getLogger("palmleaf")
 
-
-def segment_records_v1(segments: DataFrame) -> DataFrame:
+def segment_records_v1(segments: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(file_name, metadata, noi_dung) of strategy 1's segments with a `metadata` column; empty or untitled ones go."""
     lines = without_delimiter_lines(F.col("lines"), trailing_only=True)
     kept = segments.withColumn("noi_dung", lines).where((F.size("noi_dung") > 0) & (F.col("title") != UNKNOWN))
     base = F.translate(F.col("doc_id").cast("string"), " -", "__")
     return kept.select(
-        segment_name_v1(base, F.col("chapter_no").cast("int"), F.col("number"), F.col("title")).alias("file_name"),
+        segment_name_v1(base, F.col("chapter_no").cast("int"), F.col("number"), F.col("title"), settings.title_chars).alias("file_name"),
         overlay(F.col("metadata"), {"Tên Kinh Nhỏ": F.col("title"), "Số Phẩm": F.col("chapter_title"), "Chia Đoạn": F.col("label")}).alias("metadata"),
         "noi_dung",
     )
 
 
-def segment_records_v2(segments: DataFrame) -> DataFrame:
+def segment_records_v2(segments: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(file_name, metadata, noi_dung) of strategy 2's segments with a `metadata` column; blank and delimiter lines go, empty segments too."""
     kept = segments.withColumn("noi_dung", without_delimiter_lines(F.col("lines"))).where(F.size("noi_dung") > 0)
     known = lambda c: F.when(F.col(c) != UNKNOWN, F.col(c)).otherwise(NOT_AVAILABLE)
-    slug = lambda c: F.when(F.col(c) != UNKNOWN, F.left(match_key_a(F.col(c)), F.lit(50))).otherwise("")
+    slug = lambda c: F.when(F.col(c) != UNKNOWN, F.left(match_key_a(F.col(c)), F.lit(settings.title_chars))).otherwise("")
     base = F.translate(F.col("doc_id").cast("string"), " ", "_")
     meta = overlay(F.col("metadata"), {"Tên Kinh Nhỏ": known("title"), "Số Phẩm": known("chapter_title"), "Chia Đoạn": F.col("label")})
     return kept.select(
-        segment_name_v2(base, F.col("chapter_no"), slug("chapter_title"), F.col("number"), slug("title")).alias("file_name"), fill_template(meta).alias("metadata"), "noi_dung"
+        segment_name_v2(base, F.col("chapter_no"), slug("chapter_title"), F.col("number"), slug("title"), settings.name_chars).alias("file_name"), fill_template(meta).alias("metadata"), "noi_dung"
     )
 
 

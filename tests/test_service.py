@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from palmleaf.config import META_KEYS, NOT_AVAILABLE, Settings
 from palmleaf.operators import chunk, enrich, flatten, sync
+from palmleaf.operators.ledger import Ledger
 from palmleaf.plans import catalog, service
 from palmleaf.plans.catalog import letter_model
 from palmleaf.sources import docx as docx_source
@@ -222,6 +223,29 @@ def test_settings(spark):
     assert NOT_AVAILABLE == "Not_Available"
 
 
+def test_settings_are_used(spark, tmp_path):
+    """Lengths of titles, the number of passages, the vector table, and the rate of calls come from the settings."""
+    few = Settings(title_chars=4, name_chars=12, top_k=1, vector_table=str(tmp_path / "v"), documents_per_minute=600)
+    paragraphs = spark.createDataFrame([("b", k, t) for k, t in enumerate(["---o0o---", "1. KINH dài", "thân", "---o0o---"])], "doc_id string, para_no int, text string")
+    index = spark.createDataFrame([("b", {"Bộ": "x"})], "name string, meta map<string,string>")
+    assert service.ingest(paragraphs, index, settings=few).first()["file_name"] == "b_kinh_001_1.json"[:12] + ".json"
+    assert service.ingest(paragraphs, index, 1, settings=few).first()["file_name"].endswith("_kinh_001_1. K.json")
+    with pytest.raises(ValueError, match="vector_table"):
+        service.vector_table(spark, Settings())
+    chunks = spark.sql("select stack(2, 'a', 'aaaa.', 'b', 'eeee.') as (id, content)").selectExpr("id", "content", "map('Bộ', id) as metadata", "timestamp'2024-01-01 00:00:00' as last_updated")
+    table = service.vector_table(spark, few)
+    assert {r["action"]: r["n"] for r in service.sync_vectors(chunks, table, letter_model, few).collect()} == {"add": 2}
+    ledger = Ledger(spark, str(tmp_path / "l"))
+    asks = spark.createDataFrame([(1, "aaa")], "query_id long, question string")
+    for model in (lambda p: "said", lambda p: 1 / 0):
+        got = service.answer(asks, table.read(), letter_model, model, settings=few, ledger=ledger).first()
+        assert got["answer"] == "said" and got["citations"] == ["Bộ: a"]
+    books = spark.createDataFrame([("q",), ("r",)], "book string")
+    for fn in (lambda n: {"STT": n}, lambda n: 1 / 0):
+        got = service.enrich_cache(books, "book", str(tmp_path / "c"), fn, ledger, few)
+        assert {r["name"]: r["meta"]["STT"] for r in got.collect()} == {"q": "q", "r": "r"}
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
 
