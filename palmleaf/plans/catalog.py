@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palmleaf.functions import patterns as P
@@ -287,6 +287,43 @@ def docx_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.format("docx").load(folder).select("doc_id", F.col("para_no").cast("long").alias("para_no"), F.md5("text").alias("text_md5"), F.col("error").isNotNull().alias("failed"))
 
 
+@_query
+def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOCX files of all conversations, as a folder lists them: paragraphs read, books looked up in an index that must be there and a cache that isn't."""
+    folder = scratch(spark, "files")
+    c = _t(spark, sf_dir, "conversations")
+    opens = c.groupBy("conv_id").agg(F.min_by("role", "turn").alias("first"))
+    named = c.join(opens, "conv_id").select(F.concat_ws("-", "first", F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("para_no"), "text")
+    docx.write_docx(named, f"{folder}/docx")
+    # one object for each role
+    entries = c.select("role").distinct().agg(F.collect_list(F.struct("role", F.create_map(F.lit("Bộ"), F.concat(F.lit("book "), F.col("role"))).alias("meta"))).alias("e"))
+    entries.select(F.to_json(F.map_from_entries("e"))).coalesce(1).write.text(f"{folder}/index")
+    index, cache = readers.read_metadata_index(spark, f"{folder}/index"), readers.read_metadata_cache(spark, f"{folder}/cache")
+    read = readers.read_docx(spark, f"{folder}/docx").where("error is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"))
+    full = enrich.with_metadata(read.withColumn("book", F.regexp_extract("doc_id", "^[^-]*", 0)), "book", index.unionByName(cache))
+    listed = readers.list_files(spark, f"{folder}/docx", ".DOCX", ignore_case=True).select(T.base_name(F.col("name")).alias("doc_id"), (F.col("length") > 0).alias("filled"))
+    return listed.join(full, "doc_id", "left").select("doc_id", "filled", "paragraphs", F.try_element_at("metadata", F.lit("Bộ")).alias("bo"))
+
+
+@_query
+def tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree for each conversation, in the four forms that roots have, by turns; flattened, with inherited scalars."""
+    own = F.create_map(F.lit("k"), F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    c = c.withColumn("nodes", F.transform("t", lambda x: F.struct(F.lit("paragraph").alias("type"), x["text"].alias("text"), x["turn"].cast("string").alias("turn"))))
+    key = own["k"].alias("k")
+    form = F.col("conv_id") % 4
+    value = (
+        F.when(form == 0, F.to_json(F.struct(key, F.col("nodes").alias("Noi_Dung"))))
+        .when(form == 1, F.to_json(F.struct(key, F.lit("chapter").alias("type"), F.col("nodes").alias("content"))))
+        .when(form == 2, F.to_json(F.col("nodes")))
+        .otherwise(F.to_json(F.struct(own.alias("metadata"), F.transform("t", lambda x: F.coalesce(x["text"], F.lit(""))).alias("noi_dung"))))
+    )
+    got = flatten.flatten(c.select(F.col("conv_id").cast("string").alias("source_file"), value.alias("value")))
+    of = lambda k: F.try_element_at("metadata", F.lit(k))
+    return got.select("source_file", F.row_number().over(Window.partitionBy("source_file").orderBy("pos")).cast("long").alias("no"), F.md5("text").alias("text_md5"), of("k").alias("k"), of("turn").alias("turn"))
+
+
 @_query
 def normalized_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decomposed texts, written in normal form C and read again."""

@@ -198,6 +198,12 @@ def oracle_sql() -> dict[str, str]:
         "template_fill": f"""
             select r_regionkey, list_aggregate(list_sort(list_transform([{', '.join(map(_text, META_KEYS))}], lambda k: k || '=' || case k when 'Bộ' then r_name when 'Số Phẩm' then r_regionkey::VARCHAR else 'Not_Available' end)), 'string_agg', ';') as filled from region""",
         "metadata_scalars": "select event_id, 2::BIGINT as n, json_extract_string(props, '$.k') as k, strftime(ts, '%Y-%m-%d %H:%M:%S') as last_updated from events",
+        "ingest_files": """
+            select arg_min(role, turn) || '-' || conv_id as doc_id, true as filled, count(*) as paragraphs, 'book ' || arg_min(role, turn) as bo from conversations group by conv_id""",
+        "tree_roots": r"""
+            select conv_id::VARCHAR as source_file, row_number() over (partition by conv_id order by turn) as no, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) as text_md5,
+                case when conv_id % 4 in (1, 3) then 'c' || conv_id end as k, case when conv_id % 4 < 3 then turn::VARCHAR end as turn
+            from conversations where text is not null and regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''""",
         "docx_read": "select conv_id::VARCHAR as doc_id, row_number() over (partition by conv_id order by turn) - 1 as para_no, md5(text) as text_md5, false as failed from conversations",
         "ledger_answers": f"""
             select conv_id, turn, md5(case when trim(said) = '' or contains(lower(said), {_text(NO_INFO.lower())}) or contains(lower(said), 'tôi không tìm thấy thông tin') or contains(lower(said), 'không có thông tin này')
