@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -136,6 +138,20 @@ def threshold_search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own
     return out, walks
 
 
+def integer_search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, scale: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The ids and scores of each query's k best rows where doubles can't hold the scores: floor(scale * component) of all rows in
+    Python's integers. A score that a long can't hold counts as the long nearest to it."""
+    # beyond 2**53 a double is an integer
+    down = lambda v: int(v) * scale if abs(v) >= 2.0**53 else math.floor(scale * v)
+    whole = np.array([[down(v) for v in row] for row in rows.tolist()], object).reshape(rows.shape)
+    out = []
+    for query, me in zip(queries.tolist(), own.tolist(), strict=True):
+        scores = whole @ np.array([down(v) for v in query], object)
+        ranked = sorted((-min(max(int(s), -(1 << 63)), (1 << 63) - 1), int(i)) for s, i in zip(scores.tolist(), ids.tolist(), strict=True) if i != me)[:k]
+        out.append((np.array([i for _, i in ranked], np.int64), np.array([-s for s, _ in ranked], np.int64)))
+    return out
+
+
 def _blocks(vectors: DataFrame, k: int, every: int, scale: int, walked: bool) -> DataFrame:
     """Each block of queries against each block of candidates: the k best of each query, or how its walk went."""
     part = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable("embedding"))
@@ -153,9 +169,12 @@ def _blocks(vectors: DataFrame, k: int, every: int, scale: int, walked: bool) ->
         if not len(left) or not len(right):
             return pd.DataFrame({c: [] for c in names}, dtype="int64")
         width = max(left["embedding"].map(len).max(), right["query"].map(len).max(), 1)
-        a, b = np.floor(scale * matrix(left["embedding"], width)), np.floor(scale * matrix(right["query"], width))
-        own = right["query_id"].to_numpy()
-        got, walks = threshold_search(a, left["vec_id"].to_numpy(), b, own, k)
+        a, b = matrix(left["embedding"], width), matrix(right["query"], width)
+        own, most = right["query_id"].to_numpy(), [scale * float(np.abs(x).max()) + 1 for x in (a, b)]
+        if width * most[0] * most[1] >= 2.0**53:
+            got, walks = integer_search(a, left["vec_id"].to_numpy(), b, own, k, scale), np.tile([len(a), 0, 0], (len(own), 1))
+        else:
+            got, walks = threshold_search(np.floor(scale * a), left["vec_id"].to_numpy(), np.floor(scale * b), own, k)
         if walked:
             return pd.DataFrame(np.column_stack([own, np.full(len(own), len(a)), walks]), columns=names)
         return pd.DataFrame(
@@ -180,7 +199,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     Components become floor(scale * x). Queries are the rows whose vec_id `every` divides; candidates are all rows but
     those of the query's own vec_id. Ties go to the smaller vec_id; fewer candidates give fewer ranks. Rows with a null
     id, a null vector or components that are null or not finite take no part; a shorter vector counts as ended by zeros;
-    repeated rows count each. Scores are exact while they stay below 2**53. Each block of queries meets each block of
+    repeated rows count each. Scores are exact; a block in which they may reach 2**53 is worked out in integers of any size, and a
+    score that a long can't hold counts as the long nearest to it. Each block of queries meets each block of
     candidates in a task of bounded size; the blocks' best are merged by a window that keeps k rows before the shuffle.
     """
     best = _blocks(vectors, k, every, scale, False)

@@ -50,6 +50,22 @@ def test_top_k(spark, monkeypatch, block):
     assert sum(r["rows"] for r in walked) == len(good) * len({q for q in ints if q % 20 == 0}) and all(r["seen"] <= r["rows"] for r in walked)
 
 
+@pytest.mark.parametrize("size", [1e6, 1e9, 1e300, 2e307])
+def test_top_k_of_large_components(spark, size):
+    """Scores above 2**53 are exact integers; those that a long can't hold are its ends, ties to the smaller id."""
+    r = np.random.default_rng(2)
+    rows = [(k, [float(v) for v in np.round(r.normal(size=5), 3) * size + r.integers(0, 9, 5)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {k: [math.floor(64 * c) if abs(c) < 2**53 else 64 * int(c) for c in v] for k, v in rows}
+    clip = lambda n: min(max(n, -(1 << 63)), (1 << 63) - 1)
+    want = []
+    for q in (0, 20, 40):
+        scored = sorted((-clip(sum(a * b for a, b in zip(ints[q], w, strict=True))), k) for k, w in ints.items() if k != q)[:20]
+        want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(scored)]
+    assert sorted(tuple(r) for r in TK.top_k(df).collect()) == want
+    assert all(r["seen"] <= r["rows"] for r in TK.walks(df).collect())
+
+
 def test_threshold_stops_early():
     rows = np.zeros((4096, 3))
     rows[:, 0] = np.arange(4096)
