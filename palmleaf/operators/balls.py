@@ -91,6 +91,12 @@ def balls_of(rows: DataFrame, metric: str) -> tuple[Balls, DataFrame]:
     return balls, dealt.drop("far")
 
 
+def _copies(part: pd.DataFrame, i: np.ndarray, c: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The rows i of part with their cells c, some at a time: a query may go to thousands of cells."""
+    for k in range(0, len(i), 4096):
+        yield part.iloc[i[k : k + 4096]][["query_id", "q"]].assign(cell=c[k : k + 4096])
+
+
 def _routed(asks: DataFrame, balls: Balls, cells: Callable[[Balls, pd.DataFrame, np.ndarray], np.ndarray]) -> DataFrame:
     """(query_id, q, cell): the queries with the cells that `cells` names."""
     shared = asks.sparkSession.sparkContext.broadcast(balls)
@@ -100,7 +106,7 @@ def _routed(asks: DataFrame, balls: Balls, cells: Callable[[Balls, pd.DataFrame,
             for k in range(0, len(pdf), 512):
                 part = pdf.iloc[k : k + 512]
                 i, c = np.nonzero(cells(shared.value, part, _stack(part["q"])))
-                yield part.iloc[i][["query_id", "q"]].assign(cell=c)
+                yield from _copies(part, i, c)
 
     return asks.mapInPandas(route, f"query_id {asks.schema['query_id'].dataType.simpleString()}, q {asks.schema['q'].dataType.simpleString()}, cell long")
 
@@ -151,7 +157,7 @@ def visits(dealt: DataFrame, asks: DataFrame, balls: Balls, best: Callable, out:
                 endless = np.isnan(kth) | ((b.metric != "l2") & ~(q != 0).any(1))
                 reach = np.where(endless, np.inf, b.length(np.nan_to_num(kth)))
                 i, c = np.nonzero(b.reached(q, reach) & ~b.first(q, least))
-                yield part.iloc[i][["query_id", "q"]].assign(cell=c)
+                yield from _copies(part, i, c)
 
     far = materialize(rest.mapInPandas(route, f"query_id {asks.schema['query_id'].dataType.simpleString()}, q {asks.schema['q'].dataType.simpleString()}, cell long"))
     return hits, near, far
@@ -162,15 +168,12 @@ def pairs(routed: DataFrame, balls: Balls) -> int:
     return sum(r["n"] * int(balls.count[r["cell"]]) for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())
 
 
-def nearest_by_balls(rows: DataFrame, asks: DataFrame, best: Callable, out: str, k: int, metric: str, own: bool) -> DataFrame:
-    """The k best hits (query_id, id, distance) of (query_id, q) among (id, embedding), exactly, for metric l2 or cosine.
+def nearest_by_balls(balls: Balls, dealt: DataFrame, asks: DataFrame, best: Callable, out: str, k: int, own: bool) -> DataFrame:
+    """(query_id, rank, id, distance): the k nearest of (query_id, q) among the rows of `balls_of`, exactly, for metric l2 or cosine.
 
     Every row belongs to the cell of its nearest pivot, every cell has a ball. Rows stay in their cells; queries are sent to
     the cells that they have to visit, so clustered vectors cost a share of all pairs. Where nothing is clustered every ball is reached, and
-    the cost is that of all pairs.
+    a query would be copied once for each cell.
     """
-    balls, dealt = balls_of(rows, metric)
-    if not balls.count.any():
-        return _top(rows.sparkSession.createDataFrame([], out), k).select("query_id", "rank", "id", "distance")
     hits, _, far = visits(dealt, asks, balls, best, out, k, own)
     return _top(hits.unionByName(_visited(dealt, far, balls, best, out)), k).select("query_id", "rank", "id", "distance")

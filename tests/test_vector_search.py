@@ -145,3 +145,56 @@ def test_index_edges(spark, tmp_path):
     assert empty.search(asks).count() == 0
     small = V.VectorIndex.build(v.where("id < 3"), str(tmp_path / "s"))
     assert {len(g) for g in hits(small.search(asks, 5)).values()} == {3} and small.search(asks.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+@pytest.mark.parametrize("scale", [1.0, 1e-20, 1e20, 1e6])
+def test_best_is_exact(monkeypatch, metric, scale):
+    """The screen in single precision loses nothing: far apart and nearly equal vectors, copies, zeros, vectors that aren't finite."""
+    monkeypatch.setattr(S, "MOST_KEPT", 2000)
+    r = np.random.default_rng(7)
+    x = r.normal(size=(7000, 8))
+    x[2000:3500] = x[2000] + r.normal(size=(1500, 8)) * 1e-9
+    x[5000:5010] = 0 if metric != "cosine" else x[5000]
+    x *= scale
+    bad = np.full((3, 8), [[np.nan], [np.inf], [-np.inf]])
+    q, ids = np.concatenate([x[1990:2020], x[4998:5012], bad]), r.permutation(7003) + 10
+    x = np.concatenate([x, bad])
+    got = S._best(np.r_[ids[1990:2020], ids[4998:5012], 1, 2, 3], q, ids, x, 6, metric, True)
+    assert set(got["query_id"]) == set(ids[1990:2020]) | set(ids[4998:5012])
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-150)
+    for at in [*range(1990, 2020), *range(4998, 5012)]:
+        a, b = (x[[at]], x[:7000]) if metric != "cosine" else (unit(x[[at]]), unit(x[:7000]))
+        d = np.round(((a - b) ** 2).sum(1) if metric == "l2" else 1.0 - (a * b).sum(1), 12)
+        d[at] = np.inf
+        want = sorted(zip(d.tolist(), ids[:7000].tolist(), strict=True))[:6]
+        mine = got[got["query_id"] == ids[at]]
+        assert list(zip(mine["distance"], mine["id"], strict=True)) == want
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_vectors_without_clusters_meet_in_blocks(spark, monkeypatch, metric):
+    """Where every ball is reached no query is copied once for each cell; blocks of both sides meet, copies of a vector don't crowd them."""
+    monkeypatch.setattr(S, "BROADCAST_QUERIES", 10)
+    monkeypatch.setattr(S, "FEW_ROWS", 50)
+    monkeypatch.setattr(S, "nearest_by_balls", None)
+    x = np.random.default_rng(5).normal(size=(600, 32)).astype(np.float32).astype(float)
+    x[100:180] = x[100]
+    v = frame(spark, x, "array<float>")
+    got = hits(S.nearest(v, v.withColumnRenamed("id", "query_id"), 4, metric, skip_self=True))
+    if metric == "ip":
+        d = (1 - x @ x.T).round(12)
+        np.fill_diagonal(d, np.inf)
+        want = {q: sorted(range(600), key=lambda j: (d[q, j], j))[:4] for q in range(600)}
+    else:
+        want = brute(x, 4, metric)
+        # all copies of a vector are equally far
+        want |= {q: [j for j in range(100, 180) if j != q][:4] for q in range(100, 180)}
+    assert got == want
+
+
+def test_copies_of_queries_come_some_at_a_time():
+    part = B.pd.DataFrame({"query_id": range(10), "q": [[1.0]] * 10})
+    i, c = np.nonzero(np.ones((10, 3000), bool))
+    sizes = [len(p) for p in B._copies(part, i, c)]
+    assert sum(sizes) == 30_000 and max(sizes) <= 4096
