@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palmleaf.operators.search import _smallest as smallest
 from palmleaf.operators.search import nearest
+from palmleaf.shared import materialize
 
 #: Most rows, and bytes of their vectors, that the centroids are trained on; they are chosen by a hash of the id.
 SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 64 << 20
@@ -37,10 +39,10 @@ class Codebook:
         rest = self._split(x - self.cells[cell])
         return np.stack([_squared(rest[:, p], self.parts[p]).argmin(1) for p in range(len(self.parts))], 1).astype(np.uint8)
 
-    def look_up(self, q: np.ndarray, cell: int) -> np.ndarray:
-        """(queries, parts, CODES): squared distances of the queries' residuals to every centroid of a part."""
-        rest = self._split(q - self.cells[cell])
-        return np.stack([_squared(rest[:, p], self.parts[p]) for p in range(len(self.parts))], 1)
+    def decode(self, codes: np.ndarray, cell: int) -> np.ndarray:
+        """The vectors that the codes (rows, parts) of a cell stand for."""
+        pieces = self.parts[np.arange(len(self.parts)), codes].reshape(len(codes), -1)
+        return self.cells[cell] + pieces[:, : self.cells.shape[1]]
 
     def _split(self, x: np.ndarray) -> np.ndarray:
         n, width = len(self.parts), self.parts.shape[2]
@@ -196,7 +198,7 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int = 5, probes: int = 8, refine: int = 8, skip_self: bool = False) -> DataFrame:
         """(query_id, rank, id, distance): k near rows of each query (query_id, embedding) under squared Euclidean distance, ties to the smaller id.
 
-        The lists of the `probes` nearest cells are scanned by table look-up: the distance of a code is a sum of `parts` numbers.
+        The lists of the `probes` nearest cells are scanned by their codes, decoded once for all queries of a load.
         Each query keeps refine * k candidates, whose vectors are then read and ranked exactly. What is lost is what lies in
         other cells or falls behind by its code; more probes and a higher `refine` lose less.
         """
@@ -219,16 +221,18 @@ class VectorIndex:
             out = []
             if len(x) and len(y):
                 cell = int(x["cell"].iloc[0])
-                codes = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1).astype(np.int64)
-                tables = shared.value.look_up(_matrix(y["q"]), cell)
-                rows, places = x["id"].to_numpy(), np.arange(codes.shape[1])
-                for query, table in zip(y["query_id"].to_numpy(), tables, strict=True):
-                    d = table[places, codes].sum(1)
+                x = x.sort_values("id")
+                codes = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1)
+                rows, about = x["id"].to_numpy(), shared.value.decode(codes, cell)
+                for s in range(0, len(y), 32):
+                    asked, q = y["query_id"].to_numpy()[s : s + 32], _matrix(y["q"].iloc[s : s + 32])
+                    d = _squared(q, about)
                     if skip_self:
-                        d[rows == query] = np.inf
-                    best = np.argpartition(d, most - 1)[:most] if len(d) > most else np.arange(len(d))
-                    best = best[np.isfinite(d[best])]
-                    out.append(pd.DataFrame({"query_id": query, "cell": cell, "id": rows[best], "about": d[best]}))
+                        d[asked[:, None] == rows[None, :]] = np.inf
+                    best = smallest(d, most)
+                    got = np.take_along_axis(d, best, 1).ravel()
+                    few = pd.DataFrame({"query_id": np.repeat(asked, best.shape[1]), "cell": cell, "id": rows[best].ravel(), "about": got})
+                    out.append(few[np.isfinite(got)])
             return pd.concat(out) if out else pd.DataFrame({"query_id": [], "cell": [], "id": [], "about": []}, dtype=object)
 
         near = left.groupBy("cell", "block", "load").cogroup(right.groupBy("cell_", "block_", "load_")).applyInPandas(scan, f"query_id {asks}, cell int, id {ids}, about double")
@@ -239,26 +243,41 @@ class VectorIndex:
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
         return full.select("query_id", "id", F.round(apart, 12).alias("distance")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
-
     def probes_for(self, target: float = 0.95, k: int = 5, sample: int = 256) -> int:
         """The fewest probes that find the share `target` of the k true neighbours of up to `sample` indexed rows.
 
         The rows are chosen by a hash of their id and compared with all; where a true neighbour's cell stands among the cells nearest to its
         row tells how many probes reach it. What codes lose comes on top. Vectors without clusters need many probes.
         """
-        rows = self.lists().select("id", "embedding", "cell")
-        some = rows.orderBy(F.xxhash64("id", F.lit("tune")), "id").limit(sample).select(F.col("id").alias("query_id"), "embedding")
+        rows, some, near = self._truth(k, sample)
         asks = some.toPandas()
         if not len(asks):
             return 1
         place = np.empty((len(asks), len(self.book.cells)), np.int64)
         np.put_along_axis(place, self.book.nearest_cells(_matrix(asks["embedding"]), place.shape[1]), np.arange(place.shape[1])[None, :], 1)
-        near = nearest(rows.select("id", "embedding"), some, k, skip_self=True).select("query_id", "id")
         at = {q: k for k, q in enumerate(asks["query_id"])}
         # at most sample * k rows
         needed = sorted(place[at[r["query_id"]], r["cell"]] + 1 for r in near.join(rows.select("id", "cell"), "id").collect())
         return int(needed[max(0, -(-int(1e6 * target) * len(needed) // 10**6) - 1)]) if needed else 1
 
+    def refine_for(self, probes: int, target: float = 0.93, k: int = 5, sample: int = 256, most: int = 4096) -> int:
+        """The first of 8, 16, ... `most` candidates for each hit at which a search with so many probes finds the share `target` of the k true
+        neighbours of the rows that `probes_for` takes. The more rows there are, the more of them have codes like a neighbour's."""
+        _, some, near = self._truth(k, sample)
+        near, refine = materialize(near), 8
+        while refine < most:
+            got = recall(self.search(some, k, probes, refine, skip_self=True), near).first()
+            if got["found"] >= target * got["wanted"]:
+                break
+            refine *= 2
+        return refine
+
+    def _truth(self, k: int, sample: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """All rows, up to `sample` of them as queries, chosen by a hash of their id, and those queries' true neighbours (query_id, id)."""
+        rows = self.lists().select("id", "embedding", "cell")
+        some = rows.orderBy(F.xxhash64("id", F.lit("tune")), "id").limit(sample).select(F.col("id").alias("query_id"), "embedding")
+        return rows, some, nearest(rows.select("id", "embedding"), some, k, skip_self=True).select("query_id", "id")
+
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(wanted, found): how many rows of `exact` (query_id, id) there are, and how many of them are in `found`."""

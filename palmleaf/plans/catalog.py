@@ -59,8 +59,9 @@ def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of every twentieth vector in an index of all of them, and whether nine tenths of the true neighbours are among all hits."""
     v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asks = v.where("id % 20 = 0").withColumnRenamed("id", "query_id")
-    index = VectorIndex.build(v, scratch(spark, "index"))
-    found = materialize(index.search(asks, 5, probes=index.probes_for(0.95), skip_self=True))
+    index = VectorIndex.build(v, scratch(spark, "index"), parts=32)
+    probes = index.probes_for(0.97)
+    found = materialize(index.search(asks, 5, probes=probes, refine=index.refine_for(probes, 0.94), skip_self=True))
     share = recall(found, nearest(v, asks, 5, skip_self=True)).select((F.col("found") >= 0.9 * F.col("wanted")).alias("recall_ok"))
     hits = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
     indexed = index.lists().agg(F.count(F.lit(1)).alias("indexed"))

@@ -198,3 +198,15 @@ def test_copies_of_queries_come_some_at_a_time():
     i, c = np.nonzero(np.ones((10, 3000), bool))
     sizes = [len(p) for p in B._copies(part, i, c)]
     assert sum(sizes) == 30_000 and max(sizes) <= 4096
+
+
+def test_refine_makes_up_for_codes(spark, tmp_path):
+    """One part for 32 dimensions tells rows without clusters badly apart: so many candidates are ranked that the neighbours are among them."""
+    x = np.random.default_rng(8).normal(size=(1500, 32))
+    v = frame(spark, x).where("embedding is not null")
+    built = V.VectorIndex.build(v, str(tmp_path / "r"), cells=4, parts=1)
+    asks = v.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    exact = S.nearest(v, asks, 5, skip_self=True)
+    share = lambda refine: (lambda r: r["found"] / r["wanted"])(V.recall(built.search(asks, 5, 4, refine, skip_self=True), exact).first())
+    refine = built.refine_for(4, 0.95, sample=150)
+    assert share(8) < 0.9 <= share(refine) and refine > 8
