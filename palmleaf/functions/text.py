@@ -6,16 +6,37 @@ import functools
 import re
 import sys
 import unicodedata
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Letters that decomposition leaves alone, with their plain spellings.
 SPELLINGS = {"đ": "d", "ß": "ss", "œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "þ": "th", "ð": "d", "ı": "i"}
 
 
+#: Rows whose values are Python's at once. An Arrow batch may hold 64 MB, and texts of other than Latin characters take two or four bytes a character.
+ROWS = 64
+
+
+def row_by_row(fn: Callable, kind: str, of: pa.DataType, nulls: bool = False) -> Callable[[Column], Column]:
+    """A column function of a Python function of one value; nulls stay null and aren't handed over unless `nulls`. Batches stay Arrow's, ROWS
+    values at a time are Python's."""
+
+    def piece(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None and not nulls else fn(v) for v in x.to_pylist()], of)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in batches:
+            if x.null_count == len(x) and not (nulls and len(x)):
+                yield pa.nulls(len(x), of)
+            else:
+                yield pa.concat_arrays([piece(x[k : k + ROWS]) for k in range(0, len(x), ROWS)])
+
+    return F.arrow_udf(run, kind)
+
+
 @functools.cache
 def suspects(form: str) -> str:
     """A regular expression class of the characters that may keep a text from being in a normal form: those that the form changes, those that
@@ -42,10 +63,7 @@ def _normal(x: Column | str, form: str) -> Column:
     rest = F.regexp_replace(c, {"NFC": r"[\x00-\x{2FF}]+", "NFD": r"[\x00-\x7F]+"}[form], "")
     odd = rest.rlike(suspects(form))
 
-    @F.pandas_udf(StringType())
-    def put(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: unicodedata.normalize(form, s), na_action="ignore")
-
+    put = row_by_row(lambda s: unicodedata.normalize(form, s), "string", pa.string())
     return F.when(odd, put(F.when(odd, c))).otherwise(c)
 
 
@@ -113,10 +131,7 @@ def match_key_a(x: Column) -> Column:
     low = F.lower(x)
     odd = low.rlike(r"[^\x00-\x7F]")
 
-    @F.pandas_udf(StringType())
-    def plain(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: unicodedata.normalize("NFD", s).translate(_SPELLED), na_action="ignore")
-
+    plain = row_by_row(lambda s: unicodedata.normalize("NFD", s).translate(_SPELLED), "string", pa.string())
     return F.coalesce(F.regexp_replace(F.when(odd, plain(F.when(odd, low))).otherwise(low), "[^a-z0-9]", ""), F.lit(""))
 
 

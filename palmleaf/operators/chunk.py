@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palmleaf.functions.patterns import sentences
-from palmleaf.functions.text import strip
+from palmleaf.functions.text import row_by_row, strip
 from palmleaf.shared import fresh
 
 
@@ -29,12 +29,7 @@ def chunks(text: Column, most: int = 512) -> Column:
     Sentences are split in the JVM. They are packed in Arrow batches, in linear time: `aggregate` copies what it has gathered
     at every step, which a text of some megabytes doesn't survive.
     """
-
-    @F.pandas_udf("array<string>")
-    def packed(x: pd.Series) -> pd.Series:
-        return x.map(lambda parts: None if parts is None else pack(parts, most))
-
-    return packed(sentences(text))
+    return row_by_row(lambda parts: pack(parts, most), "array<string>", pa.list_(pa.string()))(sentences(text))
 
 
 def chunk_rows(rows: DataFrame, text_col: str = "text", most: int = 512, chunk_col: str = "content") -> DataFrame:

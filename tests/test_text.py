@@ -105,3 +105,31 @@ def test_sentences_match_python(spark):
     texts = ["A b. C d! Đ e? f g. \"H\" i. 1 j. K", "x. Y", "no end", "A.B. C"]
     df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string")
     assert values(df, P.sentences(F.col("x"))) == [re.split(r"(?<=[.!?])\s+(?=[A-ZĐ])", t) for t in texts]
+
+
+def test_few_values_are_python_s_at_once(spark):
+    """A batch stays Arrow's: no more than ROWS of its values are Python's; nulls stay null, or are handed over if asked."""
+    import pyarrow as pa
+
+    live, seen = [], []
+
+    class Slices:
+        """An array that notes how many values are taken from it at once."""
+
+        def __init__(self, x):
+            self.x, self.null_count = x, x.null_count
+
+        def __len__(self):
+            return len(self.x)
+
+        def __getitem__(self, s):
+            live.append(len(self.x[s]))
+            return self.x[s]
+
+    texts = [None if k % 7 == 0 else f"é{k}" for k in range(1000)]
+    run = T.row_by_row(lambda s: seen.append(s) or s.upper(), "string", pa.string()).func
+    got = list(run(iter([Slices(pa.array(texts)), pa.array([], pa.string()), pa.array([None], pa.string())])))
+    assert [x for y in got for x in y.to_pylist()] == [None if t is None else t.upper() for t in texts] + [None]
+    assert max(live) <= T.ROWS and None not in seen
+    told = T.row_by_row(lambda s: f"<{s}>", "string", pa.string(), nulls=True)
+    assert [r[0] for r in spark.createDataFrame([("a",), (None,)], "t string").select(told(F.col("t"))).collect()] == ["<a>", "<None>"]
