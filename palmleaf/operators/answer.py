@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import queue
 import threading
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palmleaf.functions import patterns as P
-from palmleaf.functions.text import is_blank, strip
+from palmleaf.functions.text import is_blank, row_by_row, strip
 from palmleaf.operators.ledger import Ledger
 from palmleaf.shared import fresh
 
@@ -71,17 +71,13 @@ def answered(rows: DataFrame, answer_fn: Callable[[str], str], prompt_col: str =
     Retries are the function's own affair; `limited` gives it a time limit and `throttled` a rate.
     """
 
-    @F.pandas_udf("string")
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for prompts in batches:
-            out = []
-            for p in prompts:
-                try:
-                    out.append(answer_fn(p))
-                except Exception as e:  # reported as an answer, as users see it
-                    out.append(f"{P.ERROR_PREFIX}{e}")
-            yield pd.Series(out, dtype=object)
+    def one(text: str) -> str:
+        try:
+            return answer_fn(text)
+        except Exception as e:  # reported as an answer, as users see it
+            return f"{P.ERROR_PREFIX}{e}"
 
+    ask = row_by_row(one, "string", pa.string(), nulls=True)
     return rows.withColumn(out, settled(ask(F.col(prompt_col))))
 
 
