@@ -329,57 +329,56 @@ def removals(docs: DataFrame) -> DataFrame:
     sure = lists.where("kind = 1 or later").select("doc", (F.col("at") - F.col("back")).alias("start"), (F.col("at") + F.col("fore")).alias("finish"))
 
     firsts = lists.where("kind = 0 and not later and part is null and low <> high")
-
-    def wanted(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "at", "back", "fore")).alias("w"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc, text, w in zip(pdf["doc_id"], pdf["text"], pdf["w"], strict=True):
-                data = text.encode()
-                out += [(x["anchor"], doc, x["at"], x["back"], data[x["at"] - x["back"] : x["at"] + x["fore"]]) for x in w]
-                if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=["anchor", "doc", "at", "back", "span"])
-                    out = []
-            yield pd.DataFrame(out, columns=["anchor", "doc", "at", "back", "span"])
-
-    spans = materialize(texts.join(wanted(firsts.where(f"n <= {LIMIT}")), "doc_id").mapInPandas(cut, "anchor long, doc long, at long, back short, span binary"))
-    release(spark)
-    found = spans.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_removals_of_lists, "doc long, start long, finish long")
-    found = materialize(found)
-    release(spark)
-    out = whole.union(sure).union(found)
-
-    many = firsts.where(f"n > {LIMIT}").select("anchor", "doc", "at", "back", "fore")
+    columns = ["anchor", "doc", "at", "back", "fore"]
+    out, many = whole.union(sure), firsts.where(f"n > {LIMIT}").select(*columns)
     if not hot.isEmpty():
         # of the parts' firsts the least is the anchor's
         spread = lists.where("kind = 0 and not later and part is not null")
         least = materialize(spread.groupBy("anchor", "code").agg(F.min(F.struct("doc", "at")).alias("first")))
-        spread = materialize(spread.join(least, ["anchor", "code"]).withColumn("later", F.struct("doc", "at") > F.col("first")).select("later", *many.columns))
+        spread = materialize(spread.join(least, ["anchor", "code"]).withColumn("later", F.struct("doc", "at") > F.col("first")).select("later", *columns))
         out = out.union(spread.where("later").select("doc", (F.col("at") - F.col("back")).alias("start"), (F.col("at") + F.col("fore")).alias("finish")))
-        many = many.union(spread.where("not later").drop("later"))
-    if not many.isEmpty():
-        windows = materialize(texts.join(wanted(many), "doc_id").mapInPandas(_windows, "code binary, doc long, at long"))
+        many = many.union(spread.where("not later").select(*columns))
+    bytes_ = materialize(wanted_bytes(texts, firsts.where(f"n <= {LIMIT}").select(*columns), many))
+    release(spark)
+
+    spans = bytes_.where("not each").drop("each")
+    found = spans.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_removals_of_lists, "doc long, start long, finish long")
+    found = materialize(found)
+    release(spark)
+    out = out.union(found)
+
+    windows = bytes_.where("each").select(F.col("span").alias("code"), "doc", "at")
+    if not windows.isEmpty():
         best = windows.groupBy("code").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("code", "first")
         again = windows.join(materialize(best), "code").where(F.struct("doc", "at") > F.col("first"))
         out = out.union(again.select("doc", F.col("at").alias("start"), (F.col("at") + LEAST).alias("finish")))
     return out
 
 
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(code, doc, at) of every window of LEAST bytes that the anchors w of a document own, from rows (doc_id, text, w)."""
-    names = ["code", "doc", "at"]
-    for pdf in batches:
-        out = []
-        for doc, text, w in zip(pdf["doc_id"], pdf["text"], pdf["w"], strict=True):
-            data = text.encode()
-            for x in w:
-                out += [(hashlib.md5(data[p : p + LEAST]).digest(), doc, p) for p in range(x["at"] - x["back"], x["at"] + x["fore"] - LEAST + 1)]
-                if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-        yield pd.DataFrame(out, columns=names)
+def wanted_bytes(texts: DataFrame, few: DataFrame, many: DataFrame) -> DataFrame:
+    """(each, anchor, doc, at, back, span) of the anchors (anchor, doc, at, back, fore), from the texts, which are shuffled once for both kinds: of `few`
+    the bytes around each anchor, of `many`, with each set, the digest of every window of LEAST bytes that one owns, which starts at `at`."""
+    both = few.withColumn("each", F.lit(False)).union(many.withColumn("each", F.lit(True)))
+    wanted = both.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "at", "back", "fore", "each")).alias("w"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["each", "anchor", "doc", "at", "back", "span"]
+        for pdf in batches:
+            out = []
+            for doc, text, w in zip(pdf["doc_id"], pdf["text"], pdf["w"], strict=True):
+                data = text.encode()
+                for x in w:
+                    first, end = x["at"] - x["back"], x["at"] + x["fore"]
+                    if x["each"]:
+                        out += [(True, x["anchor"], doc, p, 0, hashlib.md5(data[p : p + LEAST]).digest()) for p in range(first, end - LEAST + 1)]
+                    else:
+                        out.append((False, x["anchor"], doc, x["at"], x["back"], data[first:end]))
+                    if len(out) > 50_000:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+            yield pd.DataFrame(out, columns=names)
+
+    return texts.join(wanted, "doc_id").mapInPandas(cut, "each boolean, anchor long, doc long, at long, back short, span binary")
 
 
 def merged(ranges) -> list[tuple[int, int]]:

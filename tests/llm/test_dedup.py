@@ -63,6 +63,18 @@ def test_a_frequent_anchor_is_dealt_out(spark, monkeypatch):
     assert got == brute_repeats(dict(enumerate(items)))
 
 
+def test_bytes_of_rare_and_frequent_anchors(spark):
+    """The bytes around rare anchors and the windows of frequent ones come from one shuffle of the texts; anchors beyond 2**53 stay as they are."""
+    text = bytes(random.Random(4).choices(range(97, 123), k=400)).decode()
+    kind = "anchor long, doc long, at long, back short, fore short"
+    few, many = spark.createDataFrame([(2**62 + 1, 0, 150, 50, 90)], kind), spark.createDataFrame([(2**62 + 3, 0, 210, 10, 92)], kind)
+    got = R.wanted_bytes(corpus.frame(spark, [text, text[:200]]), few, many)
+    rows = {(r["each"], r["anchor"], r["doc"], r["at"], r["back"], bytes(r["span"])) for r in got.collect()}
+    windows = {(True, 2**62 + 3, 0, p, 0, hashlib.md5(text[p : p + 100].encode()).digest()) for p in (200, 201, 202)}
+    assert rows == windows | {(False, 2**62 + 1, 0, 150, 50, text[100:240].encode())}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
 def test_repeats_edges(spark):
     assert R.digests(corpus.empty(spark)).count() == 0
     df = corpus.frame(spark, ["x" * 120, "x" * 120, None], [1, 1, None])  # a repeated id, a null one
