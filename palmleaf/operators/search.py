@@ -15,38 +15,68 @@ from palmleaf.shared import materialize
 
 #: Most queries whose vectors are broadcast; more go to balls or are dealt into blocks that meet blocks of candidates.
 BROADCAST_QUERIES = 1024
-#: Bytes of a block's vectors in double precision, the fewest blocks a side that more than a few rows are dealt into, and those few.
-BLOCK_BYTES, LEAST_BLOCKS, FEW_ROWS = 16 << 20, 6, 512
+#: Bytes of a block's vectors as they come, the fewest blocks a side that more than a few rows are dealt into, and those few.
+BLOCK_BYTES, LEAST_BLOCKS, FEW_ROWS = 32 << 20, 6, 512
 #: Queries that tell whether balls spare work, and the share of all pairs above which they don't.
 TRIAL, WORTH = 128, 0.25
-#: Pairs that one query tile may keep before it ranks them exactly; pairs whose exact distances are worked out at once.
-MOST_KEPT, PAIRS = 1 << 18, 1 << 15
+#: Pairs that one query tile may keep before it ranks them exactly; pairs whose exact distances are worked out at once; rows that are in double precision at once.
+MOST_KEPT, PAIRS, WIDE_ROWS = 1 << 18, 1 << 15, 4096
 
 
 def _stack(x: pd.Series) -> np.ndarray:
     return np.array(x.tolist(), dtype=np.float64)
 
 
-def _screen(q: np.ndarray, x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Factors a, b of scores a @ b.T that order each query's rows as their distances do, and how far a query's scores may be off."""
-    if metric == "l2":
-        centre = x.mean(0) if len(x) else 0.0
-        q, x = q - centre, x - centre
-        a, b = np.c_[q, np.ones(len(q))], np.c_[-2 * x, (x * x).sum(1)]
-    else:
-        a, b = q, -x
-    most = max(np.abs(v).max(initial=0) for v in (a, b))
-    kind = np.float32 if 1e-15 < most < 1e15 else np.float64
-    # the sum of as many rounded products, each of two rounded factors
-    long, wide = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1)).max(initial=0)
-    return a.astype(kind), b.astype(kind), (a.shape[1] + 6) * np.finfo(kind).eps * long * wide + 2e-12
+def _wide(v: np.ndarray, metric: str) -> np.ndarray:
+    """Rows in double precision, under cosine of length 1."""
+    v = v.astype(np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-150) if metric == "cosine" else v
+
+
+def _slices(v: np.ndarray, metric: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, rows in double precision), some rows at a time."""
+    for s in range(0, len(v), WIDE_ROWS):
+        yield s, _wide(v[s : s + WIDE_ROWS], metric)
+
+
+class _Screen:
+    """Scores a @ b.T in single precision, if the components allow it, that order each query's rows as their distances do, and how far a query's
+    may be off. Only `b` is as long as the rows; nothing of that length is in double precision."""
+
+    def __init__(self, q: np.ndarray, x: np.ndarray, metric: str):
+        self.metric, dims = metric, x.shape[1]
+        self.centre = sum(y.sum(0) for _, y in _slices(x, metric)) / len(x) if metric == "l2" else np.zeros(dims)
+        most = self.wide = 0.0
+        for _, y in _slices(x, metric):
+            b = self._rows(y)
+            most, self.wide = max(most, np.abs(b).max(initial=0)), max(self.wide, np.sqrt((b * b).sum(1)).max(initial=0))
+        most = max([most, *(np.abs(self._asks(y)).max(initial=0) for _, y in _slices(q, metric))])
+        self.kind = np.float32 if 1e-15 < most < 1e15 else np.float64
+        self.b = np.empty((len(x), dims + (metric == "l2")), self.kind)
+        for s, y in _slices(x, metric):
+            self.b[s : s + len(y)] = self._rows(y)
+
+    def _rows(self, y: np.ndarray) -> np.ndarray:
+        if self.metric != "l2":
+            return -y
+        y = y - self.centre
+        return np.c_[-2 * y, (y * y).sum(1)]
+
+    def _asks(self, y: np.ndarray) -> np.ndarray:
+        return np.c_[y - self.centre, np.ones(len(y))] if self.metric == "l2" else y
+
+    def of(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """a, and how far each of the scores may be off, of queries in double precision."""
+        a = self._asks(q)
+        # the sum of as many rounded products, each of two rounded factors
+        return a.astype(self.kind), (a.shape[1] + 6) * np.finfo(self.kind).eps * np.sqrt((a * a).sum(1)) * self.wide + 2e-12
 
 
 def _exact(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
-    """The distances of the pairs (i, j) in double precision, rounded at 12 digits."""
+    """The distances of the pairs (i, j) in double precision, rounded at 12 digits, of queries by `_wide` and rows as they come."""
     out = np.empty(len(i))
     for k in range(0, len(i), PAIRS):
-        y, z = q[i[k : k + PAIRS]], x[j[k : k + PAIRS]]
+        y, z = q[i[k : k + PAIRS]], _wide(x[j[k : k + PAIRS]], metric)
         out[k : k + PAIRS] = ((y - z) ** 2).sum(1) if metric == "l2" else 1.0 - (y * z).sum(1)
     return np.round(out, 12)
 
@@ -74,23 +104,21 @@ def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int
 
     Products in single precision with a bound on their error leave a few rows for each query; their distances are worked out in double precision.
     """
-    own, there = np.isfinite(q).all(1), np.isfinite(x).all(1)
-    qid, q, ids, x = qid[own], q[own], ids[there], x[there]
+    own, order = np.isfinite(q).all(1), np.argsort(ids, kind="stable")
+    order = order[np.isfinite(x).all(1)[order]]
+    qid, q, ids, x = qid[own], q if own.all() else q[own], ids[order], x[order]
     if not len(q) or not len(x):
         return _none()
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    if metric == "cosine":
-        q, x = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-150) for v in (q, x))
     selves = np.empty((2, len(qid)), np.int64)
     alike = skip_self and (qid.dtype == object) == (ids.dtype == object)
     for side, row in zip(("left", "right"), selves, strict=True):
         row[:] = np.searchsorted(ids, qid, side) if alike else 0
-    a, b, slack = _screen(q, x, metric)
-    found = []
+    screen, found = _Screen(q, x, metric), []
     for s in range(0, len(q), 512):
-        i, j = _tile(a[s : s + 512], b, slack[s : s + 512], q[s : s + 512], x, selves[:, s : s + 512], k, metric)
-        d = _exact(q[s : s + 512], x, i, j, metric)
+        y = _wide(q[s : s + 512], metric)
+        a, slack = screen.of(y)
+        i, j = _tile(a, screen.b, slack, y, x, selves[:, s : s + 512], k, metric)
+        d = _exact(y, x, i, j, metric)
         at = _leading(i, j, d, k=k)
         found.append((i[at] + s, j[at], d[at]))
     i, j, d = (np.concatenate(v) for v in zip(*found, strict=True))
@@ -143,9 +171,8 @@ def whole(c: str) -> Column:
 
 
 def _matrix(x: pa.ChunkedArray) -> np.ndarray:
-    """The vectors of a column without nulls, as rows."""
-    one = x.combine_chunks()
-    return np.asarray(one.flatten(), dtype=np.float64).reshape(len(one), -1)
+    """The vectors of a column without nulls, as rows, in the precision that they have."""
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1) for c in x.chunks if len(c)])
 
 
 def _few_copies(rows: DataFrame, most: int) -> DataFrame:
@@ -208,12 +235,13 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
 def _by_blocks(rows: DataFrame, asks: DataFrame, k: int, metric: str, skip_self: bool, out: str) -> DataFrame:
     """The k best hits of every pair of blocks. A task holds two blocks of BLOCK_BYTES, and a vector is shuffled once for each block of the other side."""
     dims = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
-    most = max(FEW_ROWS, BLOCK_BYTES // (8 * dims))
-    count = lambda n: max(1, min(LEAST_BLOCKS, n // FEW_ROWS), -(-n // most))
-    blocks, groups = count(rows.count()), count(asks.count())
+    single = lambda df, c: df.schema[c].dataType.simpleString() == "array<float>"
+    most = lambda df, c: max(FEW_ROWS, BLOCK_BYTES // ((4 if single(df, c) else 8) * dims))
+    count = lambda n, most: max(1, min(LEAST_BLOCKS, n // FEW_ROWS), -(-n // most))
+    blocks, groups = count(rows.count(), most(rows, "embedding")), count(asks.count(), most(asks, "q"))
     deal = lambda c, n: F.pmod(F.xxhash64(c, F.lit("block")), F.lit(n)).cast("int")
     to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    plain = lambda df, c: F.col(c) if df.schema[c].dataType.simpleString() == "array<float>" else F.col(c).cast("array<double>")
+    plain = lambda df, c: F.col(c) if single(df, c) else F.col(c).cast("array<double>")
     left = rows.select("id", plain(rows, "embedding").alias("embedding"), deal("id", blocks).alias("block"), to_all(groups).alias("ask"))
     right = asks.select("query_id", plain(asks, "q").alias("q"), to_all(blocks).alias("block_"), deal("query_id", groups).alias("ask_"))
 

@@ -72,7 +72,8 @@ def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, rank, id, document, metadata): the five nearest of the vectors that have a document, for each of them."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "lang", "source")
-    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(docs.select("id"), "id", "left_semi")
+    # read several times, so the join is written once
+    v = materialize(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(docs.select("id"), "id", "left_semi"))
     hits = nearest(v, v.withColumnRenamed("id", "query_id"), 5, skip_self=True)
     meta = F.create_map(F.lit("Bộ"), F.col("source"), F.lit("Tên Kinh Đầy Đủ"), F.col("lang"), F.lit("Việt Dịch"), F.lit(""))
     return hits.join(docs, "id").select("query_id", "rank", "id", "document", meta.alias("metadata"))

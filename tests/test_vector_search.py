@@ -1,5 +1,7 @@
 """Neighbours by balls, and the persistent approximate index, against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -193,6 +195,20 @@ def test_vectors_without_clusters_meet_in_blocks(spark, monkeypatch, metric):
     assert got == want
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_a_block_stays_in_single_precision(metric):
+    """A task holds its block's rows in the precision that they have, in order and as factors; in double precision only some at a time."""
+    x = np.random.default_rng(6).normal(size=(100_000, 32)).astype(np.float32)
+    ids = np.arange(len(x))[::-1].copy()
+    tracemalloc.start()
+    got = S._best(ids[:20], x[:20], ids, x, 3, metric, True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 * x.nbytes and len(got) == 60
+    few = S._best(ids[:20], x[:20].astype(float), ids, x.astype(float), 3, metric, True)
+    assert got.equals(few)
+
+
 def test_copies_of_queries_come_some_at_a_time():
     part = B.pd.DataFrame({"query_id": range(10), "q": [[1.0]] * 10})
     i, c = np.nonzero(np.ones((10, 3000), bool))
