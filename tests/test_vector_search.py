@@ -226,3 +226,78 @@ def test_refine_makes_up_for_codes(spark, tmp_path):
     share = lambda refine: (lambda r: r["found"] / r["wanted"])(V.recall(built.search(asks, 5, 4, refine, skip_self=True), exact).first())
     refine = built.refine_for(4, 0.95, sample=150)
     assert share(8) < 0.9 <= share(refine) and refine > 8
+
+
+def peak(f):
+    tracemalloc.start()
+    out = f()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, most
+
+
+def test_index_steps_hold_few_distances():
+    """Rows and cells together set neither the memory of training nor that of naming cells and codes: all at once would be 82 MB and more here."""
+    x = np.random.default_rng(9).normal(size=(20_000, 8))
+    c, most = peak(lambda: V.centres(x, 512, rounds=2))
+    assert c.shape == (512, 8) and most < 40 << 20
+    book = V.Codebook(c, np.random.default_rng(10).normal(size=(4, V.CODES, 2)))
+    (near, one), most = peak(lambda: (book.nearest_cells(x, 3), book.nearest_cells(x, 1)))
+    assert most < 40 << 20
+    d = ((x[:500, None] - c) ** 2).sum(2)
+    assert (near[:500] == np.argsort(d, axis=1)[:, :3]).all() and (one[:, 0] == near[:, 0]).all()
+    codes, most = peak(lambda: book.encode(x, one[:, 0]))
+    assert codes.shape == (20_000, 4) and most < 40 << 20
+
+
+def test_index_has_few_files(spark, index):
+    """No more than there are cells and slots: a slot's share of rows is cut no further."""
+    _, built = index
+    assert len(built.lists().inputFiles()) <= 40 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("most", [3, 40, 2000])
+def test_candidates_are_a_query_s_first(monkeypatch, most):
+    """Cells are scanned one after another and few rows kept, equal codes by id, a query's own row left out: as if all were compared at once."""
+    r = np.random.default_rng(12)
+    book = V.Codebook(r.normal(size=(9, 6)) * 2, r.normal(size=(3, V.CODES, 2)))
+    ids, cell = np.sort(r.permutation(5000)[:1500]), r.integers(0, 8, 1500)
+    codes = r.integers(0, 256, (1500, 3)).astype(np.uint8)
+    codes[200:320], cell[200:320] = codes[200], 3
+    q = r.normal(size=(70, 6))
+    asked = np.concatenate([ids[100:160], np.arange(9000, 9010)])
+    near = book.nearest_cells(q, 5)
+    monkeypatch.setattr(V, "TILE", 3000)
+    monkeypatch.setattr(V, "DECODED", 50)
+    monkeypatch.setattr(V, "MOST_KEPT", 500)
+    i, j, d = V._candidates(book, ids, cell, codes, asked, q, np.repeat(np.arange(70), 5), near.ravel(), most, True)
+    about = np.stack([book.decode(codes[[k]], cell[k])[0] for k in range(1500)])
+    for a in range(70):
+        mine = np.flatnonzero(np.isin(cell, near[a]) & (ids != asked[a]))
+        far = ((q[a] - about[mine]) ** 2).sum(1).round(9)
+        want = sorted(zip(far.tolist(), ids[mine].tolist(), strict=True))[:most]
+        got = sorted(zip(d[i == a].round(9).tolist(), ids[j[i == a]].tolist(), strict=True))
+        assert [x[1] for x in got] == [x[1] for x in want] and np.allclose([x[0] for x in got], [x[0] for x in want], atol=1e-8)
+
+
+def test_queries_go_to_bundles_of_cells(spark, index, monkeypatch):
+    """A query is sent to a bundle of cells once, not once for each cell; a cell of more rows than a bundle holds is cut."""
+    v, built = index
+    sizes = {r["cell"]: r["n"] for r in built.lists().groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    asks = v.where("id % 20 = 0 and embedding is not null").withColumnRenamed("id", "query_id")
+    want = built.search(asks, 5, probes=30, refine=4, skip_self=True).collect()
+    x = np.array([r["embedding"] for r in asks.orderBy("query_id").collect()])
+    part = S.pd.DataFrame({"query_id": range(len(x)), "q": list(x)})
+    near = built.book.nearest_cells(x, 30)
+    asked = dict(zip(*(a.tolist() for a in np.unique(near, return_counts=True)), strict=True))
+    first, blocks, loads = V._bundles(sizes, asked, 40, 30, 20)
+    sent = V._sent(part, near, first, blocks, loads)
+    bundles = int((first + blocks).max())
+    assert bundles < 10 and len(sent) <= len(x) * bundles and not sent.duplicated(["query_id", "bundle"]).any()
+    assert [set(np.concatenate(list(c)).tolist()) for _, c in sent.groupby("query_id")["cells"]] == [set(c) for c in near.tolist()]
+    monkeypatch.setattr(V, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(V, "BLOCK_QUERIES", 20)
+    first, blocks, loads = V._bundles(sizes, asked, 40, 30, 20)
+    assert blocks.max() >= 2 and loads.max() == 4 and all(blocks[c] * 100 >= n for c, n in sizes.items())
+    key = lambda rows: sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in rows)
+    assert key(built.search(asks, 5, probes=30, refine=4, skip_self=True).collect()) == key(want)
